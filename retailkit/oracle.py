@@ -89,7 +89,8 @@ SELECT l.l_orderkey AS sale_id, l.l_linenumber AS line_no, p.id, p.barcode, p.na
 FROM lineitem l JOIN products p ON l.l_partkey = p.id"""
 
 VIEWS["sale_items"] = """
-SELECT s.*, i.line_no, i.id AS item_id, i.barcode, i.name, i.qty, i.price, i.cost_price, i.discount
+SELECT s.*, i.line_no, i.id AS item_id, i.barcode, i.name, i.qty, i.price, i.cost_price, i.discount,
+       ROW_NUMBER() OVER (PARTITION BY i.sale_id ORDER BY i.line_no, i.id, i.qty, i.discount) - 1 AS pos
 FROM sales s JOIN sale_lines i ON i.sale_id = s.id"""
 
 VIEWS["sale_vat"] = """
