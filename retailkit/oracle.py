@@ -28,9 +28,9 @@ SELECT CAST(i AS BIGINT) AS id, 'staff' || lpad(CAST(i AS VARCHAR), 2, '0') AS n
 FROM range(20) t(i)"""
 
 VIEWS["tax_rules"] = """
-SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'VAT', CAST(15.0 AS DECIMAL(5,2)), CAST(NULL AS INTEGER), 'active'),
-                      (2, 'LEVY', 2.5, 1, 'active'),
-                      (3, 'TOURISM', 1.0, NULL, 'inactive')) t(id, name, rate, branch_id, status)"""
+SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'VAT', CAST(15.0 AS DECIMAL(5,2)), CAST(NULL AS INTEGER), 'Active'),
+                      (2, 'LEVY', 2.5, 1, 'Active'),
+                      (3, 'TOURISM', 1.0, NULL, 'Inactive')) t(id, name, rate, branch_id, status)"""
 
 VIEWS["settings"] = """
 SELECT * FROM (VALUES (1, CAST(12.5 AS DECIMAL(5,2)), CAST(500000 AS DECIMAL(12,2))),
@@ -41,7 +41,7 @@ SELECT c_custkey AS id, c_name AS name,
        CASE WHEN c_custkey % 10 = 0 THEN 'ACC-' || CAST(c_custkey AS VARCHAR) ELSE CAST(c_custkey AS VARCHAR) END
          AS account_number,
        CAST(GREATEST(c_acctbal, 0.0) AS DECIMAL(12,2)) AS credit_limit,
-       CAST(ABS(c_acctbal) / 10 AS DECIMAL(12,2)) AS current_balance,
+       CAST(ROUND(CAST(ABS(c_acctbal) AS DECIMAL(12,2)) * 0.1, 2) AS DECIMAL(12,2)) AS current_balance,
        CASE WHEN c_custkey % 9 = 0 THEN CAST(CAST(GREATEST(c_acctbal, 0.0) AS DECIMAL(12,2)) * 2 AS DECIMAL(12,2))
        END AS pending_credit_limit,
        CASE WHEN c_custkey % 7 = 0 THEN 'Pending' ELSE 'Active' END AS status,
@@ -197,6 +197,21 @@ SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'proforma' ELSE 'sal
        o_custkey % 20 AS created_by
 FROM orders"""
 
+VIEWS["ledger"] = """
+SELECT customer_id, created_at AS date, COALESCE(receipt_number, 'TRX') || ' (Sale)' AS description, 'SALE' AS type,
+       CAST(total_amount AS DECIMAL(18,2)) AS debit, CAST(0 AS DECIMAL(18,2)) AS credit, id AS transaction_id,
+       id AS ref_id
+FROM sales WHERE status = 'completed' AND customer_id IS NOT NULL AND payment_method = 'credit'
+UNION ALL
+SELECT customer_id, payment_date, 'Payment Received', 'PAYMENT', CAST(0 AS DECIMAL(18,2)),
+       CAST(amount AS DECIMAL(18,2)), NULL, id
+FROM payments"""
+
+VIEWS["shift_pairs"] = """
+SELECT sh.id AS shift_id, e.id AS sale_id, e.user_id, e.created_at, e.total_amount, e.payment_method
+FROM event_sales e JOIN shifts sh ON e.user_id = sh.user_id AND e.created_at >= sh.start_time
+ AND (sh.end_time IS NULL OR e.created_at <= sh.end_time)"""
+
 _NAME = re.compile(r"\b([a-z_]+)\b")
 
 
@@ -222,6 +237,8 @@ def with_views(sql: str) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in order)
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -1 +1,95 @@
-"""Registered jobs (filled in progressively)."""
+"""Registered tax jobs with their SQL oracle twins."""
+
+from __future__ import annotations
+
+from retailkit.catalog import job, Retail
+from retailkit.plans import tax as TX
+
+PERIOD = dict(start="2000-01-01", end="2000-12-31")
+S_PERIOD = """status = 'completed' AND created_at >= TIMESTAMP '2000-01-01 00:00:00'
+  AND created_at <= CAST(DATE '2000-12-31' AS TIMESTAMP) + INTERVAL 1 DAY - INTERVAL 1 SECOND"""
+AMOUNTS = f"""s AS (SELECT COALESCE(store_location, 'Main Branch') AS branch, total_amount, id FROM sales
+       WHERE {S_PERIOD}),
+vat AS (SELECT COALESCE(MAX(CAST(vat_rate AS DOUBLE)), 15.0) AS vat FROM settings WHERE branch_id = 1),
+legacy AS (SELECT branch, 'VAT' AS tax_name,
+                  CAST(SUM(total_amount) AS DOUBLE) - CAST(SUM(total_amount) AS DOUBLE) / (1 + vat.vat / 100) AS amount
+           FROM s, vat WHERE s.id % 3 = 0 GROUP BY branch, vat.vat),
+stored AS (SELECT s.branch, t.name AS tax_name, CAST(SUM(t.amount) AS DOUBLE) AS amount
+           FROM s JOIN sale_taxes t ON t.sale_id = s.id GROUP BY s.branch, t.name),
+amounts AS (SELECT branch, tax_name, SUM(amount) AS amount
+            FROM (SELECT * FROM legacy UNION ALL SELECT * FROM stored) GROUP BY branch, tax_name)"""
+
+
+@job("rpt16_tax_report", f"""
+WITH {AMOUNTS},
+g AS (SELECT branch, SUM(total_amount) AS gross FROM s GROUP BY branch),
+t AS (SELECT branch, SUM(amount) AS tax FROM amounts GROUP BY branch)
+SELECT g.branch, CAST(g.gross AS DECIMAL(18,2)) AS gross_revenue, ROUND(COALESCE(t.tax, 0.0), 2) AS total_tax,
+       ROUND(CAST(g.gross AS DOUBLE) - COALESCE(t.tax, 0.0), 2) AS net_revenue
+FROM g LEFT JOIN t ON t.branch = g.branch""")
+def rpt16_tax_report(spark, d):
+    r = Retail(spark, d)
+    return TX.tax_report(r.sales(), r.settings(), **PERIOD)
+
+
+@job("agg28_tax_by_rule", f"""
+WITH {AMOUNTS},
+rules AS (SELECT 'VAT' AS tax_name, vat AS rate FROM vat
+          UNION SELECT name, CAST(rate AS DOUBLE) FROM tax_rules WHERE status = 'Active' AND branch_id IN (1, 1))
+SELECT b.branch, r.tax_name, r.rate, ROUND(COALESCE(a.amount, 0.0), 2) AS amount
+FROM (SELECT DISTINCT branch FROM amounts) b CROSS JOIN rules r
+LEFT JOIN amounts a ON a.branch = b.branch AND a.tax_name = r.tax_name""")
+def agg28_tax_by_rule(spark, d):
+    r = Retail(spark, d)
+    return TX.tax_by_rule(r.sales(), r.settings(), r.tax_rules(), **PERIOD)
+
+
+@job("agg27_tax_rollup", f"""
+WITH s AS (SELECT COALESCE(store_location, 'Main Branch') AS branch, total_amount, id FROM sales WHERE {S_PERIOD}),
+tx AS (SELECT sale_id, SUM(amount) AS tx FROM sale_taxes GROUP BY sale_id)
+SELECT CASE WHEN GROUPING(branch) = 1 THEN 'TOTAL' ELSE branch END AS branch,
+       CAST(SUM(total_amount) AS DECIMAL(18,2)) AS gross, CAST(SUM(COALESCE(tx.tx, 0)) AS DECIMAL(18,2)) AS stored_tax
+FROM s LEFT JOIN tx ON tx.sale_id = s.id GROUP BY ROLLUP (branch)""")
+def agg27_tax_rollup(spark, d):
+    return TX.tax_rollup(Retail(spark, d).sales(), **PERIOD)
+
+
+@job("rpt14_transaction_tax", """
+WITH vat AS (SELECT COALESCE(MAX(CAST(vat_rate AS DOUBLE)), 15.0) AS vat FROM settings WHERE branch_id = 1),
+tx AS (SELECT sale_id, SUM(CAST(amount AS DOUBLE)) AS t FROM sale_taxes GROUP BY sale_id),
+x AS (SELECT s.id, s.total_amount, vat.vat,
+             CASE WHEN s.id % 3 = 0 THEN CAST(s.total_amount AS DOUBLE)
+                                         - CAST(s.total_amount AS DOUBLE) / (1 + vat.vat / 100)
+                  ELSE COALESCE(tx.t, 0.0) END AS tax
+      FROM sales s CROSS JOIN vat LEFT JOIN tx ON tx.sale_id = s.id)
+SELECT id, total_amount, ROUND(tax, 2) AS total_tax, ROUND(CAST(total_amount AS DOUBLE) - tax, 2) AS subtotal,
+       CASE WHEN id % 3 = 0 THEN 'VAT (' || CAST(vat AS VARCHAR) || '%)' ELSE 'stored' END AS source
+FROM x""")
+def rpt14_transaction_tax(spark, d):
+    r = Retail(spark, d)
+    return TX.transaction_tax(r.sales(), r.settings())
+
+
+@job("agg29_company_tax_report", """
+SELECT CAST(COALESCE(SUM(total_amount), 0) AS DECIMAL(18,2)) AS gross,
+       CAST(COALESCE(SUM(tax_amount), 0) AS DECIMAL(18,2)) AS tax,
+       CAST(COALESCE(SUM(subtotal), 0) AS DECIMAL(18,2)) AS net, COUNT(*) AS invoices
+FROM invoices WHERE kind = 'sales' AND issue_date >= TIMESTAMP '2000-01-01 00:00:00'
+  AND issue_date <= CAST(DATE '2000-12-31' AS TIMESTAMP) + INTERVAL 1 DAY - INTERVAL 1 SECOND""")
+def agg29_company_tax_report(spark, d):
+    return TX.company_tax_report(Retail(spark, d).invoices(), **PERIOD)
+
+
+@job("rpt35_active_taxes", """
+WITH b AS (SELECT CAST(id AS INTEGER) AS branch_id FROM branches),
+rules AS (SELECT branch_id AS rb, name, CAST(rate AS DOUBLE) AS rate FROM tax_rules WHERE status = 'Active'),
+own AS (SELECT b.branch_id, r.name, r.rate FROM b JOIN rules r ON r.rb = b.branch_id OR r.rb = 1),
+vat AS (SELECT b.branch_id, 'VAT' AS name,
+               COALESCE(CAST(st.vat_rate AS DOUBLE),
+                        (SELECT MAX(CAST(vat_rate AS DOUBLE)) FROM settings WHERE branch_id = 1), 15.0) AS rate
+        FROM b LEFT JOIN settings st ON st.branch_id = b.branch_id
+        WHERE b.branch_id NOT IN (SELECT branch_id FROM own WHERE UPPER(name) = 'VAT'))
+SELECT * FROM vat UNION ALL SELECT * FROM own""")
+def rpt35_active_taxes(spark, d):
+    r = Retail(spark, d)
+    return TX.active_taxes(r.tax_rules(), r.branches(), r.settings())

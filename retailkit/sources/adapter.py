@@ -104,8 +104,8 @@ class Retail:
             rows, "id BIGINT, name STRING, role STRING, branch_id INT, store_location STRING, status STRING")
 
     def tax_rules(self) -> DataFrame:
-        rows = [(1, "VAT", 15.0, None, "active"), (2, "LEVY", 2.5, 1, "active"),
-                (3, "TOURISM", 1.0, None, "inactive")]
+        rows = [(1, "VAT", 15.0, None, "Active"), (2, "LEVY", 2.5, 1, "Active"),
+                (3, "TOURISM", 1.0, None, "Inactive")]
         return (self.spark.createDataFrame(rows, "id BIGINT, name STRING, rate DOUBLE, branch_id INT, status STRING")
                 .withColumn("rate", F.col("rate").cast("decimal(5,2)")))
 
@@ -123,7 +123,8 @@ class Retail:
             F.when(c.c_custkey % 10 == 0, F.concat(F.lit("ACC-"), c.c_custkey.cast("string")))
              .otherwise(c.c_custkey.cast("string")).alias("account_number"),
             limit.alias("credit_limit"),
-            (F.abs(c.c_acctbal) / 10).cast(MONEY12).alias("current_balance"),
+            F.round(F.abs(c.c_acctbal).cast(MONEY12) * F.lit("0.1").cast("decimal(2,1)"), 2).cast(MONEY12)
+             .alias("current_balance"),
             F.when(c.c_custkey % 9 == 0, (limit * 2).cast(MONEY12)).alias("pending_credit_limit"),
             F.when(c.c_custkey % 7 == 0, "Pending").otherwise("Active").alias("status"),
             (c.c_custkey % 20).alias("created_by"),
