@@ -76,7 +76,8 @@ SELECT o.o_orderkey AS id, o.o_orderkey % 20 AS user_id,
        CASE o.o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'Completed' WHEN 'P' THEN 'pending' END AS status,
        o.o_orderkey % 10 = 3 AS is_return,
        CASE WHEN o.o_orderkey % 10 = 3 THEN o.o_orderkey - 3 END AS original_transaction_id,
-       o.o_orderdate + CAST(o.o_orderkey % 1440 AS INTEGER) * INTERVAL '1' MINUTE AS created_at
+       o.o_orderdate + CAST(o.o_orderkey % 1440 AS INTEGER) * INTERVAL '1' MINUTE AS created_at,
+       CASE WHEN o.o_orderkey % 7 = 0 THEN 'PROMO-' || CAST(o.o_custkey % 25 + 1 AS VARCHAR) END AS promo_code
 FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
 LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey"""
 
@@ -127,13 +128,13 @@ SELECT p_partkey % 10 AS stock_take_id, CAST(p_partkey AS VARCHAR) AS product_ba
 FROM part"""
 
 VIEWS["transfers"] = """
-SELECT l.l_orderkey AS transfer_id, nf.n_name AS from_location, nt.n_name AS to_location,
+SELECT l.l_orderkey AS transfer_id,
+       CASE l.l_suppkey % 3 WHEN 0 THEN 'Main Warehouse' WHEN 1 THEN 'B1' ELSE 'B2' END AS from_location,
+       nt.n_name AS to_location,
        CASE WHEN l.l_linestatus = 'O' THEN 'In Transit' ELSE 'Completed' END AS status,
        CAST(l.l_partkey AS VARCHAR) AS barcode, CAST(l.l_quantity AS INTEGER) AS qty, l.l_shipdate AS created_at
-FROM lineitem l LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey
-LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey
+FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey
 LEFT JOIN customer c ON o.o_custkey = c.c_custkey
-LEFT JOIN nation nf ON s.s_nationkey = nf.n_nationkey
 LEFT JOIN nation nt ON c.c_nationkey = nt.n_nationkey
 WHERE l.l_linenumber = 1"""
 
@@ -142,6 +143,9 @@ SELECT l_orderkey AS po_id, l_suppkey AS supplier_id, CAST(l_partkey AS VARCHAR)
        CAST(SUM(l_quantity) AS INTEGER) AS quantity, MIN(l_shipdate) AS order_date
 FROM lineitem GROUP BY l_suppkey, l_orderkey, l_partkey"""
 
+VIEWS["company_users"] = """
+SELECT s_suppkey AS id, s_name AS company_name FROM supplier"""
+
 VIEWS["suppliers"] = """
 SELECT s_suppkey AS id, s_name AS name, s_nationkey AS branch_id, CAST(s_acctbal AS DECIMAL(12,2)) AS balance
 FROM supplier"""

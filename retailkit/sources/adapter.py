@@ -189,6 +189,8 @@ class Retail:
             is_return.alias("is_return"),
             F.when(is_return, k - 3).alias("original_transaction_id"),
             F.timestamp_add("MINUTE", (k % 1440).cast("int"), F.col("o_orderdate")).alias("created_at"),
+            F.when(k % 7 == 0, F.concat(F.lit("PROMO-"), (F.col("o_custkey") % 25 + 1).cast("string")))
+             .alias("promo_code"),
         )
 
     def sales(self) -> DataFrame:
@@ -263,19 +265,16 @@ class Retail:
     def transfers(self) -> DataFrame:
         """Flat transfer lines: lineitem rows with l_linenumber = 1."""
         l = self.raw("lineitem").filter(F.col("l_linenumber") == 1)
-        s = self.raw("supplier").select("s_suppkey", "s_nationkey")
         o = self.raw("orders").select("o_orderkey", "o_custkey")
         c = self.raw("customer").select("c_custkey", "c_nationkey")
         n = self.raw("nation").select("n_nationkey", "n_name")
-        nf = F.broadcast(n.withColumnRenamed("n_nationkey", "fk").withColumnRenamed("n_name", "from_location"))
         nt = F.broadcast(n.withColumnRenamed("n_nationkey", "tk").withColumnRenamed("n_name", "to_location"))
-        j = (l.join(s, l.l_suppkey == s.s_suppkey, "left")
-             .join(o, l.l_orderkey == o.o_orderkey, "left")
+        j = (l.join(o, l.l_orderkey == o.o_orderkey, "left")
              .join(c, F.col("o_custkey") == c.c_custkey, "left")
-             .join(nf, F.col("s_nationkey") == F.col("fk"), "left")
              .join(nt, F.col("c_nationkey") == F.col("tk"), "left"))
+        src = _case(F.col("l_suppkey") % 3, {0: STOCK_KEYS[0], 1: STOCK_KEYS[1], 2: STOCK_KEYS[2]})
         return j.select(
-            F.col("l_orderkey").alias("transfer_id"), "from_location", "to_location",
+            F.col("l_orderkey").alias("transfer_id"), src.alias("from_location"), "to_location",
             F.when(F.col("l_linestatus") == "O", "In Transit").otherwise("Completed").alias("status"),
             F.col("l_partkey").cast("string").alias("barcode"),
             F.col("l_quantity").cast("int").alias("qty"),
@@ -289,6 +288,11 @@ class Retail:
                 .select(F.col("l_orderkey").alias("po_id"), F.col("l_suppkey").alias("supplier_id"),
                         F.col("l_partkey").cast("string").alias("barcode"), "quantity", "order_date"))
 
+    def company_users(self) -> DataFrame:
+        """Company portal users (their ids share the staff id space, T20)."""
+        s = self.raw("supplier")
+        return s.select(s.s_suppkey.alias("id"), s.s_name.alias("company_name"))
+
     def suppliers(self) -> DataFrame:
         s = self.raw("supplier")
         return s.select(s.s_suppkey.alias("id"), s.s_name.alias("name"), s.s_nationkey.alias("branch_id"),
