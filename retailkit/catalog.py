@@ -41,6 +41,7 @@ def oracle_sql() -> dict[str, str]:
 def _load():
     # Importing the job modules fills REGISTRY.
     from retailkit.plans import jobs_sales, jobs_stock, jobs_credit, jobs_tax, jobs_ops  # noqa: F401
+    from retailkit.plans import jobs_stream  # noqa: F401  (reuses the oracle SQL registered above)
 
 
 __all__ = ["job", "queries", "oracle_sql", "Retail", "SALES_AS_OF", "EVENTS_AS_OF", "STOCK_KEYS"]

@@ -14,13 +14,19 @@ the replay gives the same answer.
 
 from __future__ import annotations
 
+import sys
 from decimal import Decimal
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# The fold runs in Python workers; ship this module by value so workers need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def sequential_accept(events: DataFrame, key: str, order: list[str], amount: str, checked: str,
                       start: str, limit: str, partitions: int | None = None) -> DataFrame:
     """Add ``accepted`` (bool) and ``balance_after`` (decimal(18,2)).

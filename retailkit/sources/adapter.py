@@ -80,11 +80,15 @@ def _typed_empty_array(elem: T.DataType) -> Column:
 class Retail:
     """Accessor for the retail view of one test-data folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, overrides: dict[str, DataFrame] | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
+        # e.g. {"orders": spark.readStream...}: the same derivations then run on a stream
+        self.overrides = overrides or {}
 
     def raw(self, name: str) -> DataFrame:
+        if name in self.overrides:
+            return self.overrides[name]
         return read_raw(self.spark, self.sf_dir, name)
 
     # -- dimensions ---------------------------------------------------------
