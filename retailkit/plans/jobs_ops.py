@@ -62,7 +62,7 @@ FROM a""")
 def win10_movement_deltas(spark, d):
     r = Retail(spark, d)
     p = r.products()
-    return O.movement_deltas(K.audit_rows(K.sale_deltas(r.sales(), p), p))
+    return O.movement_deltas(K.audit_rows(K.sale_deltas(r.sale_items(), p), p))
 
 
 @job("rpt34_branch_list", """
@@ -256,7 +256,7 @@ f AS (
 SELECT sale_id, pos, barcode, accepted, used AS used_after FROM f""")
 def win12_pos_stock_decisions(spark, d):
     r = Retail(spark, d)
-    return O.pos_stock_decisions(r.sales(), r.products())
+    return O.pos_stock_decisions(r.sale_items(), r.products())
 
 
 @job("rpt32_po_listing", """

@@ -115,7 +115,7 @@ WHERE i.status = 'completed'
 GROUP BY p.name ORDER BY net_sold DESC, p.name LIMIT 10""")
 def rpt12_top_products_net(spark, d):
     r = Retail(spark, d)
-    return S.top_products_net(r.sales(), r.products())
+    return S.top_products_net(r.sale_items(), r.products())
 
 
 PRODUCT_SALES = f"""ps AS (
@@ -128,7 +128,7 @@ PRODUCT_SALES = f"""ps AS (
 WITH {PRODUCT_SALES}
 SELECT name, units, revenue FROM ps ORDER BY revenue DESC NULLS LAST, name LIMIT 5""")
 def top02_top_products(spark, d):
-    return S.top_products(Retail(spark, d).sales(), since=MONTH_START)
+    return S.top_products(Retail(spark, d).sale_items(), since=MONTH_START)
 
 
 @job("top04_slow_movers", f"""
@@ -143,7 +143,7 @@ UNION ALL
 SELECT name, CAST(stock AS BIGINT), 'unsold' FROM unsold, flag WHERE NOT use_slow""")
 def top04_slow_movers(spark, d):
     r = Retail(spark, d)
-    return S.slow_movers(r.sales(), r.products(), since=MONTH_START)
+    return S.slow_movers(r.sale_items(), r.products(), since=MONTH_START)
 
 
 @job("agg08_monthly_product_sales", f"""
@@ -151,7 +151,7 @@ SELECT CAST(date_trunc('month', created_at) AS DATE) AS month, store_location, n
        CAST(SUM(qty) AS BIGINT) AS total_qty, CAST(SUM(qty * price) AS DECIMAL(18,2)) AS total_revenue
 FROM sale_items WHERE {CI} GROUP BY 1, 2, 3""")
 def agg08_monthly_product_sales(spark, d):
-    return S.monthly_product_sales(Retail(spark, d).sales())
+    return S.monthly_product_sales(Retail(spark, d).sale_items())
 
 
 @job("agg07_ytd_months", f"""
@@ -161,7 +161,7 @@ LEFT JOIN (SELECT month(created_at) AS month, SUM(qty) AS units, SUM(qty * price
            FROM sale_items WHERE {CI} AND created_at >= TIMESTAMP '{YEAR_START} 00:00:00' GROUP BY 1) g
   ON g.month = m.month""")
 def agg07_ytd_months(spark, d):
-    return S.ytd(Retail(spark, d).sales(), AS_OF)[0]
+    return S.ytd(Retail(spark, d).sale_items(), AS_OF)[0]
 
 
 @job("agg07_ytd_products", f"""
@@ -169,7 +169,7 @@ SELECT barcode, arg_min(name, created_at) AS name, CAST(SUM(qty) AS BIGINT) AS u
        CAST(SUM(qty * price) AS DECIMAL(18,2)) AS revenue
 FROM sale_items WHERE {CI} AND created_at >= TIMESTAMP '{YEAR_START} 00:00:00' GROUP BY barcode""")
 def agg07_ytd_products(spark, d):
-    return S.ytd(Retail(spark, d).sales(), AS_OF)[1]
+    return S.ytd(Retail(spark, d).sale_items(), AS_OF)[1]
 
 
 @job("agg11_daily_revenue", f"""
@@ -261,7 +261,7 @@ SELECT revenue, cogs, CAST(revenue - cogs AS DECIMAL(18,2)) AS gross_profit,
        products_without_cost
 FROM t""")
 def agg24_profitability(spark, d):
-    return S.profitability(Retail(spark, d).sales())
+    return S.profitability(Retail(spark, d).sale_items())
 
 
 @job("agg26_best_of", f"""
@@ -273,7 +273,7 @@ SELECT (SELECT name FROM (SELECT name, SUM(qty) AS v FROM sale_items WHERE {CI}
                        WHERE {CI} GROUP BY 1) ORDER BY v DESC, b DESC LIMIT 1) AS best_store""")
 def agg26_best_of(spark, d):
     r = Retail(spark, d)
-    return S.best_of(r.sale_headers(), r.sales(), r.users())
+    return S.best_of(r.sale_headers(), r.sale_items(), r.users())
 
 
 @job("agg25_scaled_item_revenue", f"""

@@ -185,7 +185,7 @@ FROM products p LEFT JOIN (SELECT barcode, SUM(delta) AS d FROM deltas GROUP BY
 def chg01_stock_after_sales(spark, d):
     r = Retail(spark, d)
     p = r.products()
-    return K.stock_after(p, K.sale_deltas(r.sales(), p)).select("barcode", "new_stock")
+    return K.stock_after(p, K.sale_deltas(r.sale_items(), p)).select("barcode", "new_stock")
 
 
 @job("chg01_map_after_sales", f"""
@@ -198,7 +198,7 @@ def chg01_map_after_sales(spark, d):
     from pyspark.sql import functions as F
     r = Retail(spark, d)
     p = r.products()
-    snap = K.stock_after(p, K.sale_deltas(r.sales(), p))
+    snap = K.stock_after(p, K.sale_deltas(r.sale_items(), p))
     return snap.select("barcode", F.explode("stock_levels").alias("branch", "qty"))
 
 
@@ -212,7 +212,7 @@ WINDOW w AS (PARTITION BY d.barcode ORDER BY d.created_at, d.id, d.pos, d.qty RO
 def win09_sale_audit(spark, d):
     r = Retail(spark, d)
     p = r.products()
-    return K.audit_rows(K.sale_deltas(r.sales(), p), p)
+    return K.audit_rows(K.sale_deltas(r.sale_items(), p), p)
 
 
 @job("win02_fefo_single", f"""
@@ -242,7 +242,7 @@ FROM d JOIN s ON d.product_barcode = s.product_barcode
  AND d.d_hi - d.qty < s.s_hi AND s.s_hi - s.quantity < d.d_hi""")
 def win03_fefo_sales(spark, d):
     r = Retail(spark, d)
-    return K.fefo_for_sales(r.batches(), r.sales())
+    return K.fefo_for_sales(r.batches(), r.sale_items())
 
 
 @job("win04_return_restock", f"""
@@ -254,7 +254,7 @@ SELECT f.product_barcode, f.batch_number, f.branch_id, CAST(r.returned AS BIGINT
 FROM f JOIN r ON r.product_barcode = f.product_barcode WHERE f.rn = 1""")
 def win04_return_restock(spark, d):
     r = Retail(spark, d)
-    return K.restock_returns(r.batches(), r.sales())
+    return K.restock_returns(r.batches(), r.sale_items())
 
 
 @job("agg18_count_variance", """

@@ -11,6 +11,7 @@ from retailkit.operators.fold import sequential_accept
 from retailkit.operators.nest import nest
 from retailkit.operators.topk import top_k
 from retailkit.operators.upsert import upsert
+from retailkit.plans.sales import items_of
 
 
 # -- audit (RPT-33, JN-17, FN-29, FN-30, WIN-10) ----------------------------------
@@ -228,9 +229,8 @@ def transfer_receipts(transfers: DataFrame) -> DataFrame:
 def pos_stock_decisions(sales: DataFrame, products: DataFrame) -> DataFrame:
     """WIN-12: sale lines in time order take from the product's stock; a line that does not fit
     is refused and does not consume stock."""
-    it = sales.filter(F.lower("status") == "completed").select(
-        F.col("id").alias("sale_id"), "created_at", F.posexplode("items").alias("pos", "i")).select(
-        "sale_id", "created_at", "pos", F.col("i.barcode").alias("barcode"), F.col("i.qty").cast("decimal(18,2)").alias("qty"))
+    it = items_of(sales.filter(F.lower("status") == "completed")).select(
+        F.col("id").alias("sale_id"), "created_at", "pos", "barcode", F.col("qty").cast("decimal(18,2)").alias("qty"))
     p = products.select("barcode", F.lit(0).cast("decimal(18,2)").alias("used"),
                         F.greatest(F.coalesce("stock", F.lit(0)), F.lit(0)).cast("decimal(18,2)").alias("available"),
                         F.lit(True).alias("checked"))

@@ -21,8 +21,17 @@ def _completed(ci: bool):
 
 def items_of(sales: DataFrame, header_cols=("id", "user_id", "customer_id", "store_location", "status",
                                              "is_return", "created_at", "payment_method", "total_amount")) -> DataFrame:
-    """JN-8: lateral unnest of the item array (rows with an empty array drop out)."""
-    return sales.select(*header_cols, F.explode("items").alias("item")).select(*header_cols, "item.*")
+    """JN-8: lateral unnest of the item array (rows with an empty array drop out).
+
+    Accepts the nested sales frame, or an already flat item frame (``Retail.sale_items``),
+    which is the same rows without the nest-then-unnest round trip.
+    """
+    if "items" not in sales.columns:
+        return sales
+    fields = ["barcode", "name", "qty", "price", "cost_price", "discount"]
+    return (sales.select(*header_cols, F.posexplode("items").alias("pos", "item"))
+            .select(*header_cols, F.col("item.id").alias("item_id"), *[F.col(f"item.{f}").alias(f) for f in fields],
+                    "pos"))
 
 
 # -- RPT-9 / AGG-6 -------------------------------------------------------------

@@ -10,6 +10,7 @@ from retailkit.functions import exprs as X
 from retailkit.operators.fefo import fefo_many, fefo_single, return_restock
 from retailkit.operators.running import day_bucket, running_sum
 from retailkit.operators.topk import first_per_group
+from retailkit.plans.sales import items_of
 
 
 def batch_stats(batches: DataFrame) -> DataFrame:
@@ -148,10 +149,8 @@ def clean_negative(products: DataFrame) -> DataFrame:
 # -- posting of sales (CHG-1..5) -------------------------------------------------
 def sale_deltas(sales: DataFrame, products: DataFrame) -> DataFrame:
     """CHG-1/3: signed stock delta per sale line; a sale with any unknown barcode is rejected whole."""
-    it = sales.select("id", "is_return", "created_at", X.branch_label().alias("branch"),
-                      F.posexplode("items").alias("pos", "i"))
-    it = it.select("id", "is_return", "created_at", "branch", "pos", F.col("i.barcode").alias("barcode"),
-                   F.col("i.qty").alias("qty"))
+    it = items_of(sales).select("id", "is_return", "created_at", X.branch_label().alias("branch"), "pos",
+                                "barcode", "qty")
     unknown = it.join(products.select("barcode"), "barcode", "left_anti").select("id").distinct()
     ok = it.join(unknown, "id", "left_anti")
     return ok.withColumn("delta", F.when(F.col("is_return"), F.col("qty")).otherwise(-F.col("qty")))
@@ -186,8 +185,8 @@ def fefo_for_demand(batches: DataFrame, products: DataFrame, demand: int) -> Dat
 def fefo_for_sales(batches: DataFrame, sales: DataFrame) -> DataFrame:
     """CHG-2 / WIN-3: completed non-return sale lines consume batches in time order."""
     s = sales.filter((F.lower("status") == "completed") & ~F.col("is_return"))
-    d = s.select(F.col("id").alias("sale_id"), "created_at", F.posexplode("items").alias("pos", "i")).select(
-        "sale_id", "created_at", "pos", F.col("i.barcode").alias("product_barcode"), F.col("i.qty").alias("qty"))
+    d = items_of(s).select(F.col("id").alias("sale_id"), "created_at", "pos",
+                           F.col("barcode").alias("product_barcode"), "qty")
     order = [F.col("created_at"), F.col("sale_id"), F.col("pos"), F.col("qty")]
     b = batches.select("product_barcode", "batch_number", "branch_id", "expiry_date", "quantity")
     r = fefo_many(b, d, order)
@@ -195,8 +194,7 @@ def fefo_for_sales(batches: DataFrame, sales: DataFrame) -> DataFrame:
 
 
 def restock_returns(batches: DataFrame, sales: DataFrame) -> DataFrame:
-    it = sales.filter(F.col("is_return")).select(F.explode("items").alias("i")).select(
-        F.col("i.barcode").alias("product_barcode"), F.col("i.qty").alias("qty"))
+    it = items_of(sales.filter(F.col("is_return"))).select(F.col("barcode").alias("product_barcode"), "qty")
     return return_restock(batches, it)
 
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -227,6 +227,17 @@ class Retail:
                .otherwise(F.array(vat_row)))
         return j.select(*[c for c in h.columns], items.alias("items"), tax.alias("tax_breakdown"))
 
+    def sale_items(self, header_cols=("id", "user_id", "customer_id", "store_location", "status", "is_return",
+                                      "created_at", "payment_method", "total_amount")) -> DataFrame:
+        """The lateral unnest of ``sales().items`` (JN-8) with header columns, built straight
+        from the flat line table: one shuffle join on the order key, no nest-then-explode.
+        ``pos`` is the item's index in the nested array (same order as ``sales()``)."""
+        h = self.sale_headers().select(*header_cols)
+        lines = self.sale_lines().withColumnRenamed("id", "item_id").drop("vat_part")
+        j = h.join(lines, h["id"] == lines["sale_id"], "inner")
+        w = Window.partitionBy("sale_id").orderBy("line_no", "item_id", "qty", "discount")
+        return j.withColumn("pos", F.row_number().over(w) - 1).drop("sale_id", "line_no")
+
     def refunds(self) -> DataFrame:
         s = self.sale_headers().filter("is_return")
         return s.select(
