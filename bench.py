@@ -2,7 +2,8 @@
 
 Each job is fully computed through the ``noop`` sink (no collect to the
 driver).  One warm-up job runs first so JVM start-up is not charged to the
-first query.  ``value`` is the sum of the per-query wall times.
+first query.  Each job runs ``$BENCH_RUNS`` times (default 2) and the best time is kept;
+``value`` is the sum of those per-query times.
 """
 
 from __future__ import annotations
@@ -46,15 +47,20 @@ def main() -> None:
     qs = queries()
     names = [n for n in HEADLINE if n in qs]
     qs[names[0]](spark, sf_dir).write.format("noop").mode("overwrite").save()      # warm-up
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     times: dict[str, float] = {}
     for n in names:
-        t = time.perf_counter()
-        qs[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[n] = round(time.perf_counter() - t, 3)
+        best = None
+        for _ in range(runs):                      # best of `runs`: damps noise of a shared machine
+            t = time.perf_counter()
+            qs[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            dt = time.perf_counter() - t
+            best = dt if best is None else min(best, dt)
+        times[n] = round(best, 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {"metric": "sum_of_headline_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
            "queries": times, "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus,
-           "shuffle_partitions": 2 * cpus, "spark": spark.version}
+           "shuffle_partitions": 2 * cpus, "runs_per_query": runs, "spark": spark.version}
     print(json.dumps(out))
     spark.stop()
 

@@ -136,7 +136,7 @@ def map_lookup_alias(m, keys, zero_is_missing: bool = False) -> Column:
 def map_key_ci(m, key) -> Column:
     """FN-25: the map key equal to ``key`` ignoring case (first in key order)."""
     k = key if isinstance(key, Column) else F.lit(key)
-    return F.element_at(F.filter(F.array_sort(F.map_keys(col(m))), lambda x: F.upper(x) == F.upper(k)), 1)
+    return F.try_element_at(F.filter(F.array_sort(F.map_keys(col(m))), lambda x: F.upper(x) == F.upper(k)), F.lit(1))
 
 
 # -- stock and expiry (FLT-14/15, FN-14/15) ----------------------------------

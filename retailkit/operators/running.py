@@ -6,12 +6,14 @@ that task does a third of the work.  ``running_sum`` splits the scan in two
 levels along a *bucket* column that is monotone in the ordering (e.g. the
 day of the timestamp):
 
-1. per (key, bucket) totals -- an aggregate, combined map-side;
-2. an exclusive prefix over the bucket totals per key -- a window over a
-   table with one row per (key, bucket), small by construction;
-3. the row-level running sum inside each (key, bucket) -- a window whose
+1. rows are shuffled once on (key, bucket); a window over each (key, bucket)
+   gives the running value inside the bucket and the bucket total -- its
    partitions are bounded by one bucket, not by the key;
-4. offset from (2) + running value from (3), joined on (key, bucket).
+2. one row per (key, bucket) with its total (no new shuffle: the data is
+   already partitioned that way), then an exclusive prefix over those totals
+   per key -- a window over a small table;
+3. offset from (2) + running value from (1), joined on (key, bucket), again
+   without moving the large side.
 
 The result equals the single-window form exactly (tested), for any data.
 """
@@ -22,29 +24,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_AGG = {"sum": (F.sum, lambda a, b: a + b, 0), "min": (F.min, F.least, None), "max": (F.max, F.greatest, None)}
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Column | str, out: str,
                 bucket: Column | None = None, inclusive: bool = True) -> DataFrame:
+    return running_agg(df, keys, order, value, out, bucket, inclusive, "sum")
+
+
+def running_agg(df: DataFrame, keys: list[str], order: list[Column], value: Column | str, out: str,
+                bucket: Column | None = None, inclusive: bool = True, agg: str = "sum") -> DataFrame:
     """Add ``out`` = Σ value over rows of the same key up to this row (in ``order``).
 
     ``bucket`` must be non-decreasing along ``order`` within a key.  Without a
     bucket the single-window form is used.  ``inclusive=False`` excludes the
     current row.
     """
+    """Running ``agg`` (sum, min or max) of ``value`` per key in ``order``; see the module notes.
+
+    For sums an empty prefix gives 0; for min/max it gives NULL (NULL values are ignored).
+    """
+    fn, combine, zero = _AGG[agg]
+
+    def z(c):
+        return F.coalesce(c, F.lit(zero)) if zero is not None else c
+
     v = F.col(value) if isinstance(value, str) else value
     frame_end = Window.currentRow if inclusive else -1
     if bucket is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
-        return df.withColumn(out, F.coalesce(F.sum(v).over(w), F.lit(0)))
+        return df.withColumn(out, z(fn(v).over(w)))
 
     b = "_rs_bucket"
     d = df.withColumn(b, bucket).withColumn("_rs_v", v)
-    totals = d.groupBy(*keys, b).agg(F.sum("_rs_v").alias("_rs_tot"))
-    wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, b, F.coalesce(F.sum("_rs_tot").over(wb), F.lit(0)).alias("_rs_off"))
+    # one shuffle of the rows on (key, bucket): the running value inside the bucket and the
+    # bucket total come from the same partitioning, so the input is read and moved once
     wr = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
-    inner = d.withColumn("_rs_in", F.coalesce(F.sum("_rs_v").over(wr), F.lit(0)))
+    wt = Window.partitionBy(*keys, b)
+    inner = (d.withColumn("_rs_in", z(fn("_rs_v").over(wr)))
+             .withColumn("_rs_tot", fn("_rs_v").over(wt)))
+    totals = inner.groupBy(*keys, b).agg(F.max("_rs_tot").alias("_rs_tot"))     # one row per (key, bucket)
+    wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, b, z(fn("_rs_tot").over(wb)).alias("_rs_off"))
     j = inner.join(offsets, [*keys, b], "left")
-    return j.withColumn(out, F.col("_rs_off") + F.col("_rs_in")).drop(b, "_rs_v", "_rs_in", "_rs_off")
+    if zero is not None:
+        res = z(F.col("_rs_off")) + F.col("_rs_in")
+    else:                                   # min/max: NULL-aware combine of prefix and in-bucket value
+        res = F.coalesce(combine(F.col("_rs_off"), F.col("_rs_in")), F.col("_rs_off"), F.col("_rs_in"))
+    return j.withColumn(out, res).drop(b, "_rs_v", "_rs_in", "_rs_tot", "_rs_off")
 
 
 def day_bucket(ts: str | Column) -> Column:

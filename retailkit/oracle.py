@@ -132,7 +132,8 @@ SELECT l.l_orderkey AS transfer_id,
        CASE l.l_suppkey % 3 WHEN 0 THEN 'Main Warehouse' WHEN 1 THEN 'B1' ELSE 'B2' END AS from_location,
        nt.n_name AS to_location,
        CASE WHEN l.l_linestatus = 'O' THEN 'In Transit' ELSE 'Completed' END AS status,
-       CAST(l.l_partkey AS VARCHAR) AS barcode, CAST(l.l_quantity AS INTEGER) AS qty, l.l_shipdate AS created_at
+       CAST(l.l_partkey AS VARCHAR) AS barcode, CAST(l.l_quantity AS INTEGER) AS qty,
+       CAST(CAST(l.l_quantity AS INTEGER) - l.l_partkey % 3 AS INTEGER) AS received_qty, l.l_shipdate AS created_at
 FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey
 LEFT JOIN customer c ON o.o_custkey = c.c_custkey
 LEFT JOIN nation nt ON c.c_nationkey = nt.n_nationkey
@@ -216,6 +217,23 @@ SELECT sh.id AS shift_id, e.id AS sale_id, e.user_id, e.created_at, e.total_amou
 FROM event_sales e JOIN shifts sh ON e.user_id = sh.user_id AND e.created_at >= sh.start_time
  AND (sh.end_time IS NULL OR e.created_at <= sh.end_time)"""
 
+VIEWS["credit_decisions"] = """
+SELECT c_custkey AS customer_id, TIMESTAMP '2024-01-10 00:00:00' + CAST(c_custkey AS INTEGER) * INTERVAL '1' MINUTE
+         AS decided_at, CASE WHEN c_custkey % 2 = 0 THEN 'approve' ELSE 'reject' END AS decision
+FROM customer WHERE c_custkey % 9 = 0 OR c_custkey % 7 = 0
+UNION ALL
+SELECT c_custkey, TIMESTAMP '2024-01-05 00:00:00', CASE WHEN c_custkey % 2 = 0 THEN 'reject' ELSE 'approve' END
+FROM customer WHERE (c_custkey % 9 = 0 OR c_custkey % 7 = 0) AND c_custkey % 4 = 0"""
+
+VIEWS["invoice_payments"] = """
+SELECT l.l_orderkey AS invoice_id, CAST(ROUND(CAST(l.l_extendedprice AS DECIMAL(12,2)) * 0.1, 2) AS DECIMAL(12,2))
+         AS amount
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'O'"""
+
+VIEWS["shift_events"] = """
+SELECT user_id, start_time AS ts, 'open' AS kind FROM shifts
+UNION ALL SELECT user_id, end_time, 'close' FROM shifts WHERE end_time IS NOT NULL"""
+
 _NAME = re.compile(r"\b([a-z_]+)\b")
 
 

@@ -53,7 +53,8 @@ FROM sales s LEFT JOIN (SELECT sale_id, SUM(qty * price) AS gross FROM sale_line
 WHERE LOWER(s.status) = 'completed'
 GROUP BY 1, 2""")
 def rpt01_dashboard_daily(spark, d):
-    return S.dashboard_daily(Retail(spark, d).sales())
+    r = Retail(spark, d)
+    return S.dashboard_daily_flat(r.sale_headers(), r.sale_lines())
 
 
 @job("rpt01_low_stock_counts", """
@@ -135,12 +136,14 @@ def top02_top_products(spark, d):
 WITH {PRODUCT_SALES},
 top AS (SELECT name FROM ps ORDER BY revenue DESC NULLS LAST, name LIMIT 5),
 slow AS (SELECT * FROM ps ORDER BY units ASC NULLS LAST, name LIMIT 5),
-flag AS (SELECT COUNT(*) > 0 AS use_slow FROM slow WHERE name NOT IN (SELECT name FROM top)),
-unsold AS (SELECT id, name, stock FROM products WHERE name NOT IN (SELECT name FROM ps)
-           ORDER BY stock DESC NULLS LAST, name, id LIMIT 5)
-SELECT name, CAST(units AS BIGINT) AS value, 'slow' AS source FROM slow, flag WHERE use_slow
+dead AS (SELECT id, name, stock FROM products WHERE stock > 0 AND name NOT IN (SELECT name FROM top)
+         ORDER BY stock DESC NULLS FIRST, name, id LIMIT 5),
+flag AS (SELECT ((SELECT COUNT(*) FROM slow) = 0
+                 OR (SELECT COUNT(*) FROM slow WHERE name NOT IN (SELECT name FROM top)) = 0)
+                AND (SELECT COUNT(*) FROM dead) > 0 AS use_dead)
+SELECT name, CAST(units AS BIGINT) AS units_sold, revenue, 'slow' AS source FROM slow, flag WHERE NOT use_dead
 UNION ALL
-SELECT name, CAST(stock AS BIGINT), 'unsold' FROM unsold, flag WHERE NOT use_slow""")
+SELECT name, CAST(0 AS BIGINT), CAST(0 AS DECIMAL(18,2)), 'dead_stock' FROM dead, flag WHERE use_dead""")
 def top04_slow_movers(spark, d):
     r = Retail(spark, d)
     return S.slow_movers(r.sale_items(), r.products(), since=MONTH_START)

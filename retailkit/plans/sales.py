@@ -73,6 +73,20 @@ def dashboard_daily(sales: DataFrame) -> DataFrame:
                  F.count(F.when(~F.col("is_return"), 1)).alias("total_transactions")))
 
 
+def dashboard_daily_flat(headers: DataFrame, lines: DataFrame) -> DataFrame:
+    """The same report from a flat line table: Σ qty·price per sale is a partial aggregate
+    (combined map-side), joined back to the headers on the sale key; sales without lines
+    still count, with a zero total."""
+    gross = lines.groupBy("sale_id").agg(F.sum(F.col("qty") * F.col("price")).alias("_gross"))
+    h = headers.filter(_completed(True)).select("id", "store_location", "created_at", "is_return")
+    s = h.join(gross, h.id == gross.sale_id, "left").select(
+        X.branch_label().alias("branch"), F.to_date("created_at").alias("day"),
+        (X.return_sign() * F.coalesce("_gross", F.lit(0))).alias("signed"), "is_return")
+    return (s.groupBy("branch", "day")
+            .agg(X.money_sum("signed", zero=True).alias("total_sales"),
+                 F.count(F.when(~F.col("is_return"), 1)).alias("total_transactions")))
+
+
 def low_stock_counts(products: DataFrame, branch_keys) -> DataFrame:
     """FLT-14 counts per stock-map key (missing key = 0) plus the global stock test."""
     keys = F.array(*[F.lit(k) for k in branch_keys])
@@ -156,24 +170,25 @@ def top_products(sales: DataFrame, since, k: int = 5) -> DataFrame:
 
 
 def slow_movers(sales: DataFrame, products: DataFrame, since, k: int = 5) -> DataFrame:
-    """TOP-3 / TOP-4: bottom-k by units; if empty or all among the top sellers, unsold stock instead.
-
-    The fallback decision is a one-row flag frame joined in, never a driver-side branch.
-    """
+    """TOP-3 / TOP-4 / JN-15: bottom-k by units; when that list is empty or entirely among the
+    top sellers, products with stock that are not top sellers (highest stock first) replace it,
+    provided there are any.  The choice is a one-row flag frame joined in, not a driver branch."""
     ps = product_sales(sales, since)
     top = top_k(ps, [F.col("revenue").desc_nulls_last(), F.col("name").asc()], k).select("name")
     slow = top_k(ps, [F.col("units").asc_nulls_last(), F.col("name").asc()], k)
-    outside = slow.join(top, "name", "left_anti")                             # SET-3
-    flag = outside.agg((F.count(F.lit(1)) > 0).alias("use_slow"))
-    # JN-15: products never sold in the period, highest stock first
-    unsold = products.join(ps.select("name"), "name", "left_anti")
-    unsold = top_k(unsold.select("id", "name", "stock"),
-                   [F.col("stock").desc_nulls_last(), F.col("name").asc(), F.col("id").asc()], k)
-    a = slow.select("name", F.col("units").cast("long").alias("value"), F.lit("slow").alias("source"))
-    b = unsold.select("name", F.col("stock").cast("long").alias("value"), F.lit("unsold").alias("source"))
-    both = a.unionByName(b).crossJoin(F.broadcast(flag))
-    return both.filter(F.when(F.col("use_slow"), F.col("source") == "slow").otherwise(F.col("source") == "unsold")) \
-               .drop("use_slow")
+    dead = products.filter(F.col("stock") > 0).join(top, "name", "left_anti")           # NOT IN top names
+    dead = top_k(dead.select("id", "name", "stock"),
+                 [F.col("stock").desc_nulls_first(), F.col("name").asc(), F.col("id").asc()], k)
+    flag = (slow.join(top, "name", "left_anti").agg(F.count(F.lit(1)).alias("outside"))        # SET-3
+            .crossJoin(slow.agg(F.count(F.lit(1)).alias("n_slow")))
+            .crossJoin(dead.agg(F.count(F.lit(1)).alias("n_dead")))
+            .select((((F.col("n_slow") == 0) | (F.col("outside") == 0)) & (F.col("n_dead") > 0)).alias("use_dead")))
+    a = slow.select("name", F.col("units").cast("long").alias("units_sold"), "revenue", F.lit("slow").alias("source"))
+    b = dead.select("name", F.lit(0).cast("long").alias("units_sold"), F.lit(0).cast("decimal(18,2)").alias("revenue"),
+                    F.lit("dead_stock").alias("source"))
+    both = a.unionByName(b).crossJoin(F.broadcast(flag))                  # flag: one row by construction
+    return both.filter(F.when(F.col("use_dead"), F.col("source") == "dead_stock")
+                       .otherwise(F.col("source") == "slow")).drop("use_dead")
 
 
 # -- AGG-8 / SRC-4 ---------------------------------------------------------------

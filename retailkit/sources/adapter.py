@@ -293,6 +293,7 @@ class Retail:
             F.when(F.col("l_linestatus") == "O", "In Transit").otherwise("Completed").alias("status"),
             F.col("l_partkey").cast("string").alias("barcode"),
             F.col("l_quantity").cast("int").alias("qty"),
+            (F.col("l_quantity").cast("int") - F.col("l_partkey") % 3).cast("int").alias("received_qty"),
             F.col("l_shipdate").alias("created_at"))
 
     def purchase_order_lines(self) -> DataFrame:
@@ -354,6 +355,36 @@ class Retail:
         return e.select(F.lit("Ops").alias("category"), F.col("value").cast(MONEY).alias("amount"),
                         F.to_date("ts").alias("expense_date"), (F.col("user_id") % 25).cast("int").alias("branch_id"))
 
+    def credit_decisions(self) -> DataFrame:
+        """CEO decisions on pending accounts / limit requests; some customers get two (latest wins)."""
+        c = self.raw("customer").filter((F.col("c_custkey") % 9 == 0) | (F.col("c_custkey") % 7 == 0))
+        first = F.when(F.col("c_custkey") % 2 == 0, "approve").otherwise("reject")
+        a = c.select(F.col("c_custkey").alias("customer_id"),
+                     F.timestamp_add("MINUTE", F.col("c_custkey").cast("int"),
+                                     F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")).alias("decided_at"),
+                     first.alias("decision"))
+        b = c.filter(F.col("c_custkey") % 4 == 0).select(
+            F.col("c_custkey").alias("customer_id"), F.lit("2024-01-05 00:00:00").cast("timestamp_ntz").alias("decided_at"),
+            F.when(first == "approve", "reject").otherwise("approve").alias("decision"))
+        return a.unionByName(b)
+
+    def invoice_payments(self) -> DataFrame:
+        """Payments against partially paid sales invoices: a tenth of each line's extended price."""
+        l = self.raw("lineitem").select("l_orderkey", "l_extendedprice")
+        o = self.raw("orders").filter(F.col("o_orderstatus") == "O").select("o_orderkey")
+        j = l.join(o, l.l_orderkey == o.o_orderkey, "inner")
+        return j.select(F.col("l_orderkey").alias("invoice_id"),
+                        F.round(F.col("l_extendedprice").cast(MONEY12) * F.lit("0.1").cast("decimal(2,1)"), 2)
+                        .cast(MONEY12).alias("amount"))
+
+    def shift_events(self) -> DataFrame:
+        """Open / close events of the shifts (closes only for closed shifts)."""
+        s = self.shifts()
+        o = s.select("user_id", F.col("start_time").alias("ts"), F.lit("open").alias("kind"))
+        c = s.filter(F.col("end_time").isNotNull()).select("user_id", F.col("end_time").alias("ts"),
+                                                            F.lit("close").alias("kind"))
+        return o.unionByName(c)
+
     def activity_logs(self) -> DataFrame:
         e = self.raw("events")
         return e.select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("action"),
