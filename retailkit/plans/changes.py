@@ -169,3 +169,27 @@ def pair_shift_events(events: DataFrame) -> DataFrame:
     order = [F.col("ts").desc(), F.col("kind").asc()]            # at equal times the close comes first
     r = running_agg(e, ["user_id"], order, "_close_ts", "end_time", bucket=-day_bucket("ts"), agg="min")
     return r.filter(F.col("kind") == "open").select("user_id", F.col("ts").alias("start_time"), "end_time")
+
+
+def product_edits(products: DataFrame, edits: DataFrame, default_branch: str = "Main Warehouse") -> DataFrame:
+    """CHG-30: an edit sets the stock of the product's first map key (or the editor's branch when the
+    map is empty), recomputes the total as Σ map, keeps tracking flags given as NULL, and may
+    rename the barcode (the rename is cascaded to batches by ``rename_batches``)."""
+    p = products.select("id", "barcode", "stock_levels", "track_batch")
+    j = p.join(edits, "id", "inner")
+    key = F.coalesce(F.try_element_at(F.map_keys("stock_levels"), F.lit(1)), F.lit(default_branch))
+    new_map = F.map_concat(F.map_filter("stock_levels", lambda k, v: k != key), F.create_map(key, F.col("new_stock")))
+    out = j.select("id", F.coalesce("new_barcode", "barcode").alias("barcode"), F.col("barcode").alias("old_barcode"),
+                   F.col("new_name").alias("name"), key.alias("stock_key"), new_map.alias("m"),
+                   F.coalesce("new_track_batch", "track_batch").alias("track_batch"))
+    return out.select("id", "barcode", "old_barcode", "name", "stock_key", X.map_total("m").alias("stock"),
+                      "track_batch")
+
+
+def rename_batches(batches: DataFrame, edited: DataFrame) -> DataFrame:
+    """CHG-30 cascade: batches of renamed products take the new barcode."""
+    ren = edited.filter(F.col("barcode") != F.col("old_barcode")).select(
+        F.col("old_barcode").alias("product_barcode"), F.col("barcode").alias("new_barcode"))
+    j = batches.join(ren, "product_barcode", "left")
+    return j.select(F.coalesce("new_barcode", "product_barcode").alias("product_barcode"), "batch_number",
+                    "branch_id", "quantity")
