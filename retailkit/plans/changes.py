@@ -153,11 +153,11 @@ def apply_invoice_payments(invoices: DataFrame, payments: DataFrame) -> DataFram
 
 
 def rekey_promotions(promotions: DataFrame, branches: DataFrame, users: DataFrame) -> DataFrame:
-    """CHG-31: one promotion row per branch that has active users (promotions x branches: both small
-    dimensions, the product is bounded by their sizes)."""
+    """CHG-31: one promotion row per branch that has active users; the branch list (at most the 25
+    branches) is one scalar array value exploded into each promotion."""
     active = users.filter(F.col("status") == "active").select(F.col("store_location").alias("name")).distinct()
-    b = branches.join(active, "name", "left_semi").select(F.col("id").cast("int").alias("branch_id"))
-    return promotions.select("code", "discount_percentage").crossJoin(F.broadcast(b)).select(
+    ids = branches.join(active, "name", "left_semi").agg(F.collect_list(F.col("id").cast("int"))).scalar()
+    return promotions.select("code", "discount_percentage", F.explode(ids).alias("branch_id")).select(
         "code", "branch_id", "discount_percentage")
 
 

@@ -134,6 +134,6 @@ def renumber_accounts(customers: DataFrame) -> DataFrame:
     start = next_account_number(customers)
     todo = customers.filter(~F.col("account_number").rlike("^[0-9]+$")).select("id", "account_number")
     r = global_row_number(todo, "id", "seq")
-    return r.crossJoin(F.broadcast(start)).select(
+    return r.withColumn("next_account", start.scalar()).select(
         "id", F.col("account_number").alias("old_number"),
         (F.col("next_account") + F.col("seq") - 1).cast("string").alias("new_number"))

@@ -31,9 +31,9 @@ def flt05_branch_sentinel(spark, d):
     h = r.sale_headers()
     out = None
     for b in ["All Branches", "NATION_2", "Nowhere"]:
-        # resolution as a one-row flag frame (no collect): is the requested branch a known name?
-        flag = r.branches().agg(F.coalesce(F.max(F.col("name") == b), F.lit(False)).alias("known"))
-        c = (h.crossJoin(F.broadcast(flag)).filter(SC.branch_sentinel("store_location", b, F.col("known")))
+        # resolution as a scalar subquery (no collect): is the requested branch a known name?
+        known = r.branches().agg(F.coalesce(F.max(F.col("name") == b), F.lit(False))).scalar()
+        c = (h.filter(SC.branch_sentinel("store_location", b, known))
              .agg(F.count(F.lit(1)).alias("rows")).select(F.lit(b).alias("requested"), "rows"))
         out = c if out is None else out.unionByName(c)
     return out

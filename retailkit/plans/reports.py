@@ -18,8 +18,8 @@ def ceo_financials(headers: DataFrame, expenses: DataFrame, invoices: DataFrame,
                    branches: DataFrame, settings: DataFrame, start, end, cogs_ratio: str = "0.7",
                    default_target: str = "50000") -> DataFrame:
     """RPT-6 (all branches): revenue, estimated COGS, opex, profits, company revenue, asset value,
-    branch count and target.  Independent one-row aggregates crossed together (each is a global
-    aggregate: partial per task, one tiny final)."""
+    branch count and target.  Independent global aggregates (partial per task, one tiny final),
+    combined as uncorrelated scalar subqueries."""
     s = headers.filter((F.lower("status") == "completed") & (F.col("created_at") >= X.lit_ts(start))
                        & (F.col("created_at") <= X.day_end_inclusive(end)))
     rev = s.agg(X.money(F.coalesce(F.sum("total_amount"), F.lit(0))).alias("revenue"))
@@ -32,7 +32,9 @@ def ceo_financials(headers: DataFrame, expenses: DataFrame, invoices: DataFrame,
     nb = branches.agg(F.count(F.lit(1)).alias("branch_count"))
     tgt = settings.filter(F.col("branch_id") == 1).agg(F.max("monthly_target").alias("t")).select(
         F.coalesce(F.col("t"), X.dec(default_target, 12, 2)).cast("decimal(18,2)").alias("target"))
-    j = rev.crossJoin(ex).crossJoin(comp).crossJoin(assets).crossJoin(nb).crossJoin(tgt)
+    j = rev.select("revenue", ex.scalar().alias("opex"), comp.scalar().alias("company_revenue"),
+                   assets.scalar().alias("asset_value"), nb.scalar().alias("branch_count"),
+                   tgt.scalar().alias("target"))
     r = F.col("revenue").cast("double")
     cogs = r * float(cogs_ratio)
     return j.select("revenue", "company_revenue", F.round(cogs, 2).alias("cogs"), "opex",
@@ -114,7 +116,7 @@ def itemised_statement(ledger: DataFrame, items: DataFrame, settings: DataFrame,
         (-F.col("credit")).alias("total"))
     sales = period.filter(F.col("type") == "SALE")
     it = items.select(F.col("id").alias("transaction_id"), "name", "qty", "price")
-    with_items = sales.join(it, "transaction_id", "inner").crossJoin(F.broadcast(vat))
+    with_items = sales.join(it, "transaction_id", "inner").withColumn("vat", vat.scalar())
     sub = F.col("qty") * F.col("price")
     item_rows = with_items.select("customer_id", "date", "name", F.col("qty").cast("long").alias("qty"), "price",
                                   (sub + sub * F.col("vat") * X.dec("0.01", 3, 2)).alias("total"))

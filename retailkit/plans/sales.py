@@ -172,23 +172,22 @@ def top_products(sales: DataFrame, since, k: int = 5) -> DataFrame:
 def slow_movers(sales: DataFrame, products: DataFrame, since, k: int = 5) -> DataFrame:
     """TOP-3 / TOP-4 / JN-15: bottom-k by units; when that list is empty or entirely among the
     top sellers, products with stock that are not top sellers (highest stock first) replace it,
-    provided there are any.  The choice is a one-row flag frame joined in, not a driver branch."""
+    provided there are any.  The choice is a scalar-subquery flag, not a driver-side branch."""
     ps = product_sales(sales, since)
     top = top_k(ps, [F.col("revenue").desc_nulls_last(), F.col("name").asc()], k).select("name")
     slow = top_k(ps, [F.col("units").asc_nulls_last(), F.col("name").asc()], k)
     dead = products.filter(F.col("stock") > 0).join(top, "name", "left_anti")           # NOT IN top names
     dead = top_k(dead.select("id", "name", "stock"),
                  [F.col("stock").desc_nulls_first(), F.col("name").asc(), F.col("id").asc()], k)
-    flag = (slow.join(top, "name", "left_anti").agg(F.count(F.lit(1)).alias("outside"))        # SET-3
-            .crossJoin(slow.agg(F.count(F.lit(1)).alias("n_slow")))
-            .crossJoin(dead.agg(F.count(F.lit(1)).alias("n_dead")))
-            .select((((F.col("n_slow") == 0) | (F.col("outside") == 0)) & (F.col("n_dead") > 0)).alias("use_dead")))
+    outside = slow.join(top, "name", "left_anti").agg(F.count(F.lit(1))).scalar()             # SET-3
+    n_slow = slow.agg(F.count(F.lit(1))).scalar()
+    n_dead = dead.agg(F.count(F.lit(1))).scalar()
+    use_dead = ((n_slow == 0) | (outside == 0)) & (n_dead > 0)            # uncorrelated scalar subqueries
     a = slow.select("name", F.col("units").cast("long").alias("units_sold"), "revenue", F.lit("slow").alias("source"))
     b = dead.select("name", F.lit(0).cast("long").alias("units_sold"), F.lit(0).cast("decimal(18,2)").alias("revenue"),
                     F.lit("dead_stock").alias("source"))
-    both = a.unionByName(b).crossJoin(F.broadcast(flag))                  # flag: one row by construction
-    return both.filter(F.when(F.col("use_dead"), F.col("source") == "dead_stock")
-                       .otherwise(F.col("source") == "slow")).drop("use_dead")
+    return a.unionByName(b).filter(F.when(use_dead, F.col("source") == "dead_stock")
+                                   .otherwise(F.col("source") == "slow"))
 
 
 # -- AGG-8 / SRC-4 ---------------------------------------------------------------
@@ -327,7 +326,7 @@ def best_of(headers: DataFrame, sales: DataFrame, users: DataFrame) -> DataFrame
             .agg(F.max_by("name", F.struct("v", F.col("user_id"))).alias("best_cashier")))
     store = (h.groupBy(X.branch_label().alias("b")).agg(F.sum("total_amount").alias("v"))
              .agg(F.max_by("b", F.struct("v", F.col("b"))).alias("best_store")))
-    return prod.crossJoin(cash).crossJoin(store)
+    return prod.select("best_product", cash.scalar().alias("best_cashier"), store.scalar().alias("best_store"))
 
 
 def scaled_item_revenue(sales: DataFrame, k: int = 5) -> DataFrame:

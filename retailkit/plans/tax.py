@@ -39,7 +39,7 @@ def tax_amounts(headers_with_tax: DataFrame, settings: DataFrame, start=None, en
         f = f & (F.col("created_at") >= X.month_start(as_of).cast("timestamp_ntz"))
     s = headers_with_tax.filter(f).select(X.branch_label().alias("branch"), "total_amount", "tax_breakdown")
     legacy = (s.filter(F.col("tax_breakdown").isNull()).groupBy("branch")
-              .agg(F.sum("total_amount").alias("lg")).crossJoin(F.broadcast(system_vat(settings)))
+              .agg(F.sum("total_amount").alias("lg")).withColumn("vat", system_vat(settings).scalar())
               .select("branch", F.lit("VAT").alias("tax_name"),
                       (F.col("lg").cast("double") - F.col("lg").cast("double") / (1 + F.col("vat") / 100)).alias("amount")))
     stored = (s.filter(F.col("tax_breakdown").isNotNull())
@@ -71,7 +71,9 @@ def tax_by_rule(headers_with_tax: DataFrame, settings: DataFrame, tax_rules: Dat
     amounts = tax_amounts(headers_with_tax, settings, **period)
     branches = amounts.select("branch").distinct()
     rules = report_rules(tax_rules, settings).select(F.col("name").alias("tax_name"), "rate").distinct()
-    grid = branches.crossJoin(F.broadcast(rules))      # branches x rule columns: both bounded
+    # every branch gets every rule column: the (small, bounded) rule list is one array value
+    rule_list = rules.agg(F.array_sort(F.collect_list(F.struct("tax_name", "rate")))).scalar()
+    grid = branches.select("branch", F.explode(rule_list).alias("r")).select("branch", "r.tax_name", "r.rate")
     j = grid.join(amounts, ["branch", "tax_name"], "left")
     return j.select("branch", "tax_name", "rate", F.round(F.coalesce("amount", F.lit(0.0)), 2).alias("amount"))
 
@@ -94,7 +96,7 @@ def transaction_tax(headers_with_tax: DataFrame, settings: DataFrame) -> DataFra
     """RPT-14 for every sale: stored breakdown when not NULL (even empty), else VAT back-calculated
     at the branch-1 rate (FN-27); amounts as the reference's floats, rounded to cents."""
     vat = system_vat(settings)
-    s = headers_with_tax.select("id", "total_amount", "tax_breakdown").crossJoin(F.broadcast(vat))
+    s = headers_with_tax.select("id", "total_amount", "tax_breakdown").withColumn("vat", vat.scalar())
     stored = F.aggregate(_taxes(), F.lit(0.0),
                          lambda a, t: a + t["amount"].cast("double"))
     total = F.col("total_amount").cast("double")
@@ -120,13 +122,14 @@ def active_taxes(tax_rules: DataFrame, branches: DataFrame, settings: DataFrame)
     b = branches.select(F.col("id").cast("int").alias("branch_id"))
     rules = tax_rules.filter(F.col("status") == "Active").select(
         F.col("branch_id").alias("rb"), "name", F.col("rate").cast("double").alias("rate"))
-    own = b.crossJoin(F.broadcast(rules)).filter((F.col("rb") == F.col("branch_id")) | (F.col("rb") == 1)) \
-           .select("branch_id", "name", "rate")
+    rule_list = rules.agg(F.collect_list(F.struct("rb", "name", "rate"))).scalar()    # a few active rules
+    own = (b.select("branch_id", F.explode(rule_list).alias("r")).select("branch_id", "r.*")
+           .filter((F.col("rb") == F.col("branch_id")) | (F.col("rb") == 1)).select("branch_id", "name", "rate"))
     s1 = settings.filter(F.col("branch_id") == 1).select(F.col("vat_rate").cast("double").alias("v1"))
     own_rate = settings.select(F.col("branch_id"), F.col("vat_rate").cast("double").alias("v"))
-    vat = (b.join(F.broadcast(own_rate), "branch_id", "left").crossJoin(F.broadcast(s1.agg(F.max("v1").alias("v1"))))
+    vat = (b.join(F.broadcast(own_rate), "branch_id", "left")
            .select("branch_id", F.lit("VAT").alias("name"),
-                   F.coalesce("v", "v1", F.lit(15.0)).alias("rate")))
+                   F.coalesce("v", s1.agg(F.max("v1")).scalar(), F.lit(15.0)).alias("rate")))
     has_vat = own.filter(F.upper("name") == "VAT").select("branch_id").distinct()
     vat = vat.join(has_vat, "branch_id", "left_anti")
     return vat.unionByName(own)

@@ -1,8 +1,13 @@
-"""Run every registered job against its oracle: python tools_check.py [sf_dir] [name-substring]"""
+"""Run every registered job against its oracle: python tools/check_all.py [sf_dir] [name-substring]"""
 import json
 import sys
 import time
 
+import os
+import sys
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 from retailkit.catalog import queries, oracle_sql
 from retailkit.check import compare, duck
 from retailkit.session import build_session
