@@ -193,3 +193,30 @@ def rename_batches(batches: DataFrame, edited: DataFrame) -> DataFrame:
     j = batches.join(ren, "product_barcode", "left")
     return j.select(F.coalesce("new_barcode", "product_barcode").alias("product_barcode"), "batch_number",
                     "branch_id", "quantity")
+
+
+def normalise_users(users: DataFrame, branches: DataFrame) -> DataFrame:
+    """CHG-21: missing status -> 'Active'; e-mail and role lower-cased; a missing store id is filled
+    from the branch whose name or location equals the user's store text (case-insensitive, JN-16),
+    lowest branch id when several match.  The OR condition is two equi-joins, not a nested loop."""
+    b = branches.select(F.col("id").cast("int").alias("bid"), F.lower("name").alias("ln"),
+                        F.lower("location").alias("ll"))
+    u = users.withColumn("_l", F.lower("store_location"))
+    m1 = u.join(b, F.col("_l") == F.col("ln")).select("id", "bid")
+    m2 = u.join(b, F.col("_l") == F.col("ll")).select("id", "bid")
+    best = m1.unionByName(m2).groupBy("id").agg(F.min("bid").alias("bid"))
+    j = u.join(best, "id", "left")
+    return j.select("id", F.lower("email").alias("email"), F.lower("role").alias("role"),
+                    F.coalesce("status", F.lit("Active")).alias("status"), "store_location",
+                    F.coalesce(F.col("store_id"), F.col("bid")).alias("store_id"))
+
+
+def adjustment_history(lines: DataFrame, products: DataFrame, users: DataFrame) -> DataFrame:
+    """JN-4 / RPT-36: adjustments x products (inner: name) left-joined to the adjusting user."""
+    a = lines.filter(F.col("variance") != 0).select(
+        "stock_take_id", F.col("product_barcode").alias("barcode"), F.col("variance").alias("quantity"),
+        (F.col("stock_take_id") % 20).alias("adjusted_by"))
+    j = a.join(products.select("barcode", "name"), "barcode", "inner").join(
+        F.broadcast(users.select(F.col("id").alias("adjusted_by"), F.col("name").alias("user_name"))),
+        "adjusted_by", "left")
+    return j.select("stock_take_id", "barcode", "name", "quantity", "user_name")

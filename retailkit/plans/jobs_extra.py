@@ -167,3 +167,48 @@ def chg30_batch_rename(spark, d):
     b = CH.rename_batches(r.batches(), edited)
     return b.groupBy("product_barcode").agg(F.count(F.lit(1)).alias("batches"),
                                             F.sum("quantity").cast("long").alias("quantity"))
+
+
+STAFF_SQL = """staff AS (
+  SELECT s.s_suppkey AS id, s.s_name || '@Shop.Example' AS email,
+         CASE s.s_suppkey % 3 WHEN 0 THEN 'Cashier' WHEN 1 THEN 'MANAGER' ELSE 'admin' END AS role,
+         CASE WHEN s.s_suppkey % 4 = 0 THEN NULL ELSE 'active' END AS status,
+         CASE WHEN s.s_suppkey % 2 = 0 THEN upper(n.n_name) ELSE lower(r.r_name) END AS store_location,
+         CASE WHEN s.s_suppkey % 5 = 0 THEN s.s_nationkey END AS store_id
+  FROM supplier s LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey
+  LEFT JOIN region r ON r.r_regionkey = n.n_regionkey)"""
+
+
+def _staff(r: Retail):
+    s = r.raw("supplier")
+    n = r.raw("nation")
+    g = r.raw("region")
+    j = (s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey, "left")
+         .join(F.broadcast(g), F.col("n_regionkey") == g.r_regionkey, "left"))
+    k = F.col("s_suppkey")
+    return j.select(k.alias("id"), F.concat(F.col("s_name"), F.lit("@Shop.Example")).alias("email"),
+                    F.when(k % 3 == 0, "Cashier").when(k % 3 == 1, "MANAGER").otherwise("admin").alias("role"),
+                    F.when(k % 4 == 0, F.lit(None).cast("string")).otherwise(F.lit("active")).alias("status"),
+                    F.when(k % 2 == 0, F.upper("n_name")).otherwise(F.lower("r_name")).alias("store_location"),
+                    F.when(k % 5 == 0, F.col("s_nationkey")).alias("store_id"))
+
+
+@job("chg21_normalise_users", f"""
+WITH {STAFF_SQL},
+m AS (SELECT u.id, MIN(CAST(b.id AS INTEGER)) AS bid FROM staff u JOIN branches b
+      ON LOWER(u.store_location) = LOWER(b.name) OR LOWER(u.store_location) = LOWER(b.location) GROUP BY u.id)
+SELECT u.id, LOWER(u.email) AS email, LOWER(u.role) AS role, COALESCE(u.status, 'Active') AS status,
+       u.store_location, COALESCE(u.store_id, m.bid) AS store_id
+FROM staff u LEFT JOIN m ON m.id = u.id""")
+def chg21_normalise_users(spark, d):
+    r = Retail(spark, d)
+    return CH.normalise_users(_staff(r), r.branches())
+
+
+@job("jn04_adjustment_history", """
+SELECT c.stock_take_id, c.product_barcode AS barcode, p.name, c.variance AS quantity, u.name AS user_name
+FROM count_lines c JOIN products p ON p.barcode = c.product_barcode
+LEFT JOIN users u ON u.id = c.stock_take_id % 20 WHERE c.variance <> 0""")
+def jn04_adjustment_history(spark, d):
+    r = Retail(spark, d)
+    return CH.adjustment_history(r.count_lines(), r.products(), r.users())
