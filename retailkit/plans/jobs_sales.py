@@ -28,7 +28,8 @@ FROM sales WHERE {CI} AND created_at >= TIMESTAMP '2000-01-01 00:00:00'
   AND created_at <= CAST(DATE '2000-12-31' AS TIMESTAMP) + INTERVAL 1 DAY - INTERVAL 1 SECOND
 GROUP BY store_location""")
 def rpt09_branch_matrix_range(spark, d):
-    return S.branch_matrix(Retail(spark, d).sale_headers(), start="2000-01-01", end="2000-12-31")
+    h = Retail(spark, d).sale_headers(since="2000-01-01", until="2000-12-31 23:59:59")   # pruned at the scan
+    return S.branch_matrix(h, start="2000-01-01", end="2000-12-31")
 
 
 @job("rpt09_branch_performance", """
@@ -39,7 +40,8 @@ FROM sales WHERE status = 'completed'
   AND created_at BETWEEN TIMESTAMP '2000-01-01 00:00:00' AND TIMESTAMP '2000-06-30 12:00:00'
 GROUP BY store_location ORDER BY revenue DESC NULLS FIRST, branch LIMIT 50""")
 def rpt09_branch_performance(spark, d):
-    return S.branch_matrix(Retail(spark, d).sale_headers(), start="2000-01-01 00:00:00",
+    h = Retail(spark, d).sale_headers(since="2000-01-01 00:00:00", until="2000-06-30 12:00:00")
+    return S.branch_matrix(h, start="2000-01-01 00:00:00",
                            end="2000-06-30 12:00:00", exact_status=True, between=True, limit=50)
 
 
@@ -89,7 +91,7 @@ WHERE LOWER(s.status) = 'completed' AND s.created_at >= TIMESTAMP '{YEAR_START}
 GROUP BY u.name ORDER BY total_sales DESC NULLS FIRST, cashier NULLS LAST LIMIT 5""")
 def rpt01_cashier_stats(spark, d):
     r = Retail(spark, d)
-    return S.cashier_stats(r.sale_headers(), r.users(), since=YEAR_START)
+    return S.cashier_stats(r.sale_headers(since=YEAR_START), r.users(), since=YEAR_START)
 
 
 @job("rpt12_sales_summary", """
@@ -129,7 +131,7 @@ PRODUCT_SALES = f"""ps AS (
 WITH {PRODUCT_SALES}
 SELECT name, units, revenue FROM ps ORDER BY revenue DESC NULLS LAST, name LIMIT 5""")
 def top02_top_products(spark, d):
-    return S.top_products(Retail(spark, d).sale_items(), since=MONTH_START)
+    return S.top_products(Retail(spark, d).sale_items(since=MONTH_START), since=MONTH_START)
 
 
 @job("top04_slow_movers", f"""
@@ -208,7 +210,7 @@ SELECT CAST(EXTRACT(HOUR FROM created_at) AS INTEGER) AS hour, COUNT(*) AS count
        CAST(SUM(total_amount) AS DECIMAL(18,2)) AS revenue
 FROM sales WHERE status = 'completed' AND created_at >= TIMESTAMP '{MONTH_START} 00:00:00' GROUP BY 1""")
 def agg13_peak_hours(spark, d):
-    return S.peak_hours(Retail(spark, d).sale_headers(), AS_OF)
+    return S.peak_hours(Retail(spark, d).sale_headers(since=MONTH_START), AS_OF)
 
 
 @job("top05_high_value", f"""
@@ -218,7 +220,7 @@ WHERE s.status = 'completed' AND s.created_at >= TIMESTAMP '{MONTH_START} 00:00:
 ORDER BY s.total_amount DESC NULLS FIRST, s.id LIMIT 5""")
 def top05_high_value(spark, d):
     r = Retail(spark, d)
-    return S.high_value(r.sale_headers(), r.users(), AS_OF)
+    return S.high_value(r.sale_headers(since=MONTH_START), r.users(), AS_OF)
 
 
 @job("agg14_staff_performance", f"""
@@ -230,7 +232,7 @@ WHERE s.status = 'completed' AND s.created_at >= TIMESTAMP '{MONTH_START} 00:00:
 GROUP BY u.id, u.name ORDER BY sales DESC NULLS FIRST, u.name LIMIT 10""")
 def agg14_staff_performance(spark, d):
     r = Retail(spark, d)
-    return S.staff_performance(r.sale_headers(), r.users(), AS_OF)
+    return S.staff_performance(r.sale_headers(since=MONTH_START), r.users(), AS_OF)
 
 
 @job("agg03_payment_totals", f"""

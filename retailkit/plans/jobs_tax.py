@@ -29,7 +29,7 @@ SELECT g.branch, CAST(g.gross AS DECIMAL(18,2)) AS gross_revenue, ROUND(COALESCE
 FROM g LEFT JOIN t ON t.branch = g.branch""")
 def rpt16_tax_report(spark, d):
     r = Retail(spark, d)
-    return TX.tax_report(r.sales(), r.settings(), **PERIOD)
+    return TX.tax_report(r.sales(since=PERIOD["start"], until=PERIOD["end"] + " 23:59:59"), r.settings(), **PERIOD)
 
 
 @job("agg28_tax_by_rule", f"""
@@ -41,7 +41,8 @@ FROM (SELECT DISTINCT branch FROM amounts) b CROSS JOIN rules r
 LEFT JOIN amounts a ON a.branch = b.branch AND a.tax_name = r.tax_name""")
 def agg28_tax_by_rule(spark, d):
     r = Retail(spark, d)
-    return TX.tax_by_rule(r.sales(), r.settings(), r.tax_rules(), **PERIOD)
+    return TX.tax_by_rule(r.sales(since=PERIOD["start"], until=PERIOD["end"] + " 23:59:59"), r.settings(),
+                          r.tax_rules(), **PERIOD)
 
 
 @job("agg27_tax_rollup", f"""
@@ -51,7 +52,7 @@ SELECT CASE WHEN GROUPING(branch) = 1 THEN 'TOTAL' ELSE branch END AS branch,
        CAST(SUM(total_amount) AS DECIMAL(18,2)) AS gross, CAST(SUM(COALESCE(tx.tx, 0)) AS DECIMAL(18,2)) AS stored_tax
 FROM s LEFT JOIN tx ON tx.sale_id = s.id GROUP BY ROLLUP (branch)""")
 def agg27_tax_rollup(spark, d):
-    return TX.tax_rollup(Retail(spark, d).sales(), **PERIOD)
+    return TX.tax_rollup(Retail(spark, d).sales(since=PERIOD["start"], until=PERIOD["end"] + " 23:59:59"), **PERIOD)
 
 
 @job("rpt14_transaction_tax", """

@@ -170,8 +170,23 @@ class Retail:
             F.round(qty * p.price * l.l_tax.cast("decimal(4,2)"), 2).alias("vat_part"),
         )
 
-    def sale_headers(self) -> DataFrame:
+    def _orders(self, since=None, until=None) -> DataFrame:
+        """Orders, optionally pruned to a period on the stored date column.
+
+        ``created_at`` is ``o_orderdate`` plus less than one day, so ``created_at >= since`` implies
+        ``o_orderdate > since - 1 day`` and ``created_at <= until`` implies ``o_orderdate <= until``.
+        These conservative predicates reach the Parquet scan (PushedFilters, row-group skipping);
+        the jobs still apply their exact period filter on ``created_at``.
+        """
         o = self.raw("orders")
+        if since is not None:
+            o = o.filter(F.col("o_orderdate") > F.timestamp_add("DAY", F.lit(-1), F.lit(str(since)).cast("timestamp_ntz")))
+        if until is not None:
+            o = o.filter(F.col("o_orderdate") <= F.lit(str(until)).cast("timestamp_ntz"))
+        return o
+
+    def sale_headers(self, since=None, until=None) -> DataFrame:
+        o = self._orders(since, until)
         c = self.raw("customer").select("c_custkey", "c_name", "c_nationkey")
         n = self.raw("nation").select("n_nationkey", "n_name")
         j = (o.join(c, o.o_custkey == c.c_custkey, "left")
@@ -197,7 +212,7 @@ class Retail:
              .alias("promo_code"),
         )
 
-    def sales(self) -> DataFrame:
+    def sales(self, since=None, until=None) -> DataFrame:
         """Sales with nested ``items`` and ``tax_breakdown`` arrays.
 
         The lines are grouped by order key (one shuffle; a sale's lines are
@@ -210,7 +225,7 @@ class Retail:
                 "line_no", "id", "barcode", "name", "qty", "price", "cost_price", "discount"))).alias("_items"),
             F.sum("vat_part").alias("_vat"),
         )
-        h = self.sale_headers()
+        h = self.sale_headers(since, until)
         j = h.join(nested, h.id == nested.sale_id, "left")
         items = F.coalesce(
             F.transform("_items", lambda s: F.struct(*[s[f.name].alias(f.name) for f in ITEM_TYPE.fields])),
@@ -228,11 +243,12 @@ class Retail:
         return j.select(*[c for c in h.columns], items.alias("items"), tax.alias("tax_breakdown"))
 
     def sale_items(self, header_cols=("id", "user_id", "customer_id", "store_location", "status", "is_return",
-                                      "created_at", "payment_method", "total_amount")) -> DataFrame:
+                                      "created_at", "payment_method", "total_amount"),
+                   since=None, until=None) -> DataFrame:
         """The lateral unnest of ``sales().items`` (JN-8) with header columns, built straight
         from the flat line table: one shuffle join on the order key, no nest-then-explode.
         ``pos`` is the item's index in the nested array (same order as ``sales()``)."""
-        h = self.sale_headers().select(*header_cols)
+        h = self.sale_headers(since, until).select(*header_cols)
         lines = self.sale_lines().withColumnRenamed("id", "item_id").drop("vat_part")
         j = h.join(lines, h["id"] == lines["sale_id"], "inner")
         w = Window.partitionBy("sale_id").orderBy("line_no", "item_id", "qty", "discount")
