@@ -43,7 +43,8 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=2 * cpus, app_name="retailkit-bench")
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(cpus)))
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=parts, app_name="retailkit-bench")
     qs = queries()
     names = [n for n in HEADLINE if n in qs]
     qs[names[0]](spark, sf_dir).write.format("noop").mode("overwrite").save()      # warm-up
@@ -60,7 +61,7 @@ def main() -> None:
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {"metric": "sum_of_headline_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
            "queries": times, "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus,
-           "shuffle_partitions": 2 * cpus, "runs_per_query": runs, "spark": spark.version}
+           "shuffle_partitions": parts, "runs_per_query": runs, "spark": spark.version}
     print(json.dumps(out))
     spark.stop()
 
