@@ -52,8 +52,8 @@ def flexible_date(c) -> Column:
         parts = F.split(v["t"], F.concat(F.lit("["), v["sep"], F.lit("]")))
         ints = F.transform(parts, lambda x: js_parse_int(x))
         return F.struct((v["sep"].isNotNull() & (F.size(parts) == 3)).alias("ok"),
-                        F.element_at(ints, 1).alias("p0"), F.element_at(ints, 2).alias("p1"),
-                        F.element_at(ints, 3).alias("p2"))
+                        F.try_element_at(ints, F.lit(1)).alias("p0"), F.try_element_at(ints, F.lit(2)).alias("p1"),
+                        F.try_element_at(ints, F.lit(3)).alias("p2"))
 
     def pick(a, b, c_):
         return F.struct(a.alias("y"), b.alias("m"), c_.alias("d"))

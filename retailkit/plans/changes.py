@@ -139,7 +139,7 @@ def quick_sale_stock(sales_items: DataFrame, products: DataFrame, branch: str) -
     j = p.join(g, "barcode", "inner")
     return j.select("barcode", F.col("key").alias("matched_key"),
                     (F.coalesce("stock", F.lit(0)) - F.col("q")).cast("long").alias("new_stock"),
-                    F.when(F.col("key").isNotNull(), (F.element_at("stock_levels", F.col("key")) - F.col("q")))
+                    F.when(F.col("key").isNotNull(), (F.try_element_at("stock_levels", F.col("key")) - F.col("q")))
                      .cast("long").alias("new_branch_stock"))
 
 

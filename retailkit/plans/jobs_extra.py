@@ -122,7 +122,7 @@ def rpt42_transfer_documents(spark, d):
     doc = nest(heads, t.select("transfer_id", "barcode", "qty"), "transfer_id", "lines", order=["barcode", "qty"])
     return doc.select("transfer_id", F.size("lines").alias("n_lines"),
                       F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["qty"]).alias("total_qty"),
-                      F.element_at("lines", 1)["barcode"].alias("first_barcode"))
+                      F.try_element_at("lines", F.lit(1))["barcode"].alias("first_barcode"))
 
 
 EDITS_SQL = """edits AS (

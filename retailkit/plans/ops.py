@@ -108,7 +108,7 @@ def barcode_lookup(requests: DataFrame, products: DataFrame) -> DataFrame:
     j = requests.join(products.select("barcode", "stock", "stock_levels"), "barcode", "inner")
     has = F.map_contains_key("stock_levels", F.col("branch"))
     return j.select("barcode", "branch",
-                    F.when(has, F.element_at("stock_levels", F.col("branch"))).otherwise(F.col("stock")).alias("stock"),
+                    F.when(has, F.try_element_at("stock_levels", F.col("branch"))).otherwise(F.col("stock")).alias("stock"),
                     F.when(has, "branch").otherwise("total").alias("source"))
 
 
