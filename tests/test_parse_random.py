@@ -77,3 +77,21 @@ def test_flexible_date_matches_brute_force(spark):
     got = {r["i"]: r["d"] for r in df.select("i", flexible_date("t").alias("d")).collect()}
     mism = [(t, got[i], brute(t)) for i, t in enumerate(texts) if got[i] != brute(t)]
     assert not mism, mism[:10]
+
+
+def _brute_num(text):
+    """FN-7 restated: keep digits, '.', '-'; then the longest parseFloat prefix; failure -> 0."""
+    s = re.sub(r"[^0-9.\-]", "", text or "")
+    m = re.match(r"^([+-]?([0-9]+\.?[0-9]*|\.[0-9]+))", s)
+    return float(m.group(1)) if m else 0.0
+
+
+def test_clean_num_matches_brute_force(spark):
+    from retailkit.functions.parse import clean_num
+    rnd = random.Random(21)
+    alphabet = "0123456789.,-₵GHS $abc"
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 10))) for _ in range(3000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
+    got = {r["i"]: r["n"] for r in df.select("i", clean_num("t").alias("n")).collect()}
+    mism = [(t, got[i], _brute_num(t)) for i, t in enumerate(texts) if got[i] != _brute_num(t)]
+    assert not mism, mism[:10]
