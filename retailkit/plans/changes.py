@@ -217,6 +217,6 @@ def adjustment_history(lines: DataFrame, products: DataFrame, users: DataFrame)
         "stock_take_id", F.col("product_barcode").alias("barcode"), F.col("variance").alias("quantity"),
         (F.col("stock_take_id") % 20).alias("adjusted_by"))
     j = a.join(products.select("barcode", "name"), "barcode", "inner").join(
-        F.broadcast(users.select(F.col("id").alias("adjusted_by"), F.col("name").alias("user_name"))),
+        (users.select(F.col("id").alias("adjusted_by"), F.col("name").alias("user_name"))),
         "adjusted_by", "left")
     return j.select("stock_take_id", "barcode", "name", "quantity", "user_name")

@@ -112,7 +112,7 @@ def credit_decisions(headers: DataFrame, customers: DataFrame) -> DataFrame:
 def approvals_queue(customers: DataFrame, users: DataFrame) -> DataFrame:
     """RPT-11 / FLT-18: pending accounts or pending limit increases, with requester name."""
     c = customers.filter((F.col("status") == "Pending") | F.col("pending_credit_limit").isNotNull())
-    c = c.join(F.broadcast(users.select(F.col("id").alias("created_by"), F.col("name").alias("requested_by"))),
+    c = c.join((users.select(F.col("id").alias("created_by"), F.col("name").alias("requested_by"))),
                "created_by", "left")
     return c.select("id", "name", "credit_limit", "pending_credit_limit", "status", "requested_by",
                     F.when(F.col("pending_credit_limit").isNotNull(), "Limit Increase")

@@ -40,7 +40,7 @@ def activity_feed(activity: DataFrame, users: DataFrame, company_users: DataFram
     """Activity with actor = staff name, else company name (staff first on id clashes, T20)."""
     u = users.select(F.col("id").alias("uid"), F.col("name").alias("staff_name"), "role")
     cu = company_users.select(F.col("id").alias("cuid"), "company_name")
-    j = (activity.join(F.broadcast(u), F.col("user_id") == F.col("uid"), "left")
+    j = (activity.join(u, F.col("user_id") == F.col("uid"), "left")
          .join(cu, F.col("user_id") == F.col("cuid"), "left"))
     out = j.select("id", "created_at", "action", X.action_label("action").alias("action_label"),
                    F.coalesce("staff_name", "company_name").alias("user_name"),
@@ -194,7 +194,7 @@ def promo_validity(headers: DataFrame, promotions: DataFrame, branches: DataFram
 def users_per_branch(branches: DataFrame, users: DataFrame) -> DataFrame:
     """AGG-33: active users per branch (LEFT JOIN keeps empty branches)."""
     u = users.filter(F.col("status") == "active").select(F.col("store_location").alias("name"), F.col("id").alias("uid"))
-    return branches.join(F.broadcast(u), "name", "left").groupBy("id", "name").agg(
+    return branches.join(u, "name", "left").groupBy("id", "name").agg(
         F.count("uid").alias("active_users"))
 
 
@@ -210,7 +210,7 @@ def transfer_decisions(transfers: DataFrame, products: DataFrame, branches: Data
         F.col("input").alias("from_location"),
         F.array_distinct(F.filter(F.array("branch_name", "input", "b_location", "branch_name"),
                                   lambda x: x.isNotNull())).alias("keys"))
-    t = transfers.join(F.broadcast(keys), "from_location", "left")
+    t = transfers.join(keys, "from_location", "left")
     t = t.join(products.select("barcode", "stock_levels"), "barcode", "left")
     avail = F.aggregate("keys", F.lit(0), lambda a, k: a + F.coalesce(F.try_element_at("stock_levels", k), F.lit(0)))
     t = t.withColumn("available", avail)

@@ -74,7 +74,7 @@ def receipt_totals(sales: DataFrame) -> DataFrame:
 def company_transactions(invoices: DataFrame, company_users: DataFrame, k: int = 50) -> DataFrame:
     """RPT-17 transactions list: sales invoices with the creating company user (JN-1), newest first."""
     i = invoices.filter(F.col("kind") == "sales").join(
-        F.broadcast(company_users.select(F.col("id").alias("created_by"), "company_name")), "created_by", "left")
+        (company_users.select(F.col("id").alias("created_by"), "company_name")), "created_by", "left")
     return top_k(i.select("id", "invoice_number", "issue_date", "total_amount", "status", "company_name"),
                  [F.col("issue_date").desc_nulls_first(), F.col("id").desc()], k)
 

@@ -102,7 +102,7 @@ def recent_sales(headers: DataFrame, users: DataFrame, k: int = 5) -> DataFrame:
     """Latest k completed non-return sales per branch label with cashier name (TOP-1, JN-1)."""
     s = (headers.filter(_completed(True) & ~F.col("is_return"))
          .withColumn("branch", X.branch_label())
-         .join(F.broadcast(users.select(F.col("id").alias("uid"), F.col("name").alias("cashier_name"))),
+         .join((users.select(F.col("id").alias("uid"), F.col("name").alias("cashier_name"))),
                F.col("user_id") == F.col("uid"), "left"))
     top = top_k_per_group(s, ["branch"], [F.col("created_at").desc_nulls_last(), F.col("id").desc()], k)
     return top.select("branch", "id", "receipt_number", "created_at", "total_amount",
@@ -112,7 +112,7 @@ def recent_sales(headers: DataFrame, users: DataFrame, k: int = 5) -> DataFrame:
 def cashier_stats(headers: DataFrame, users: DataFrame, since, k: int = 5) -> DataFrame:
     """Top-k cashiers by sales since a day, grouped by user name (LEFT JOIN users)."""
     s = (headers.filter(_completed(True) & (F.col("created_at") >= X.lit_ts(since)))
-         .join(F.broadcast(users.select(F.col("id").alias("uid"), "name")), F.col("user_id") == F.col("uid"), "left"))
+         .join((users.select(F.col("id").alias("uid"), "name")), F.col("user_id") == F.col("uid"), "left"))
     g = s.groupBy(F.col("name").alias("cashier")).agg(
         F.count("id").alias("transaction_count"), X.money_sum("total_amount").alias("total_sales"))
     return top_k(g, [F.col("total_sales").desc_nulls_first(), F.col("cashier").asc_nulls_last()], k)
@@ -256,7 +256,7 @@ def peak_hours(headers: DataFrame, as_of) -> DataFrame:
 
 def high_value(headers: DataFrame, users: DataFrame, as_of, k: int = 5) -> DataFrame:
     s = headers.filter(_completed(False) & (F.col("created_at") >= X.month_start(as_of).cast("timestamp_ntz")))
-    s = s.join(F.broadcast(users.select(F.col("id").alias("uid"), F.col("name").alias("cashier_name"))),
+    s = s.join((users.select(F.col("id").alias("uid"), F.col("name").alias("cashier_name"))),
                F.col("user_id") == F.col("uid"), "left").drop("uid")
     return top_k(s.select("id", "receipt_number", "total_amount", "created_at", "cashier_name"),
                  [F.col("total_amount").desc_nulls_first(), F.col("id").asc()], k)
@@ -266,7 +266,7 @@ def staff_performance(headers: DataFrame, users: DataFrame, as_of, k: int = 10,
                       high_threshold: int = 5000) -> DataFrame:
     """JN-7: LEFT JOIN made inner by the WHERE on the sales side."""
     s = headers.filter(_completed(False) & (F.col("created_at") >= X.month_start(as_of).cast("timestamp_ntz")))
-    j = F.broadcast(users.select(F.col("id").alias("uid"), "name")).join(s, F.col("uid") == F.col("user_id"), "inner")
+    j = (users.select(F.col("id").alias("uid"), "name")).join(s, F.col("uid") == F.col("user_id"), "inner")
     g = j.groupBy("uid", "name").agg(F.count(F.when(~F.col("is_return"), 1)).alias("transactions"),
                                      X.money_sum("total_amount").alias("sales"))
     g = g.withColumn("performance", F.when(F.col("sales") > high_threshold, "High").otherwise("Normal"))
@@ -322,7 +322,7 @@ def best_of(headers: DataFrame, sales: DataFrame, users: DataFrame) -> DataFrame
         F.max_by("name", F.struct("v", F.col("name"))).alias("best_product"))
     h = headers.filter(_completed(True))
     cash = (h.groupBy("user_id").agg(F.sum("total_amount").alias("v"))
-            .join(F.broadcast(users.select(F.col("id").alias("user_id"), "name")), "user_id", "left")
+            .join((users.select(F.col("id").alias("user_id"), "name")), "user_id", "left")
             .agg(F.max_by("name", F.struct("v", F.col("user_id"))).alias("best_cashier")))
     store = (h.groupBy(X.branch_label().alias("b")).agg(F.sum("total_amount").alias("v"))
              .agg(F.max_by("b", F.struct("v", F.col("b"))).alias("best_store")))
@@ -359,7 +359,7 @@ def completed_register(headers: DataFrame, customers: DataFrame, k: int = 20) ->
 def returns_register(headers: DataFrame, users: DataFrame, customers: DataFrame) -> DataFrame:
     """RPT-13: star left join of returns to staff and customers (JN-2)."""
     r = headers.filter(F.col("is_return"))
-    r = (r.join(F.broadcast(users.select(F.col("id").alias("uid"), F.col("name").alias("cashier_name"))),
+    r = (r.join((users.select(F.col("id").alias("uid"), F.col("name").alias("cashier_name"))),
                 F.col("user_id") == F.col("uid"), "left")
           .join(customers.select(F.col("id").alias("cid"), F.col("name").alias("customer")),
                 F.col("customer_id") == F.col("cid"), "left"))

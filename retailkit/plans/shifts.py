@@ -21,7 +21,7 @@ def shift_history(shifts: DataFrame, sales: DataFrame, users: DataFrame) -> Data
     """RPT-4: every shift with its staff name, branch and sales total (0 when none)."""
     tot = shift_sales(shifts, sales).groupBy("shift_id").agg(F.sum("total_amount").alias("t"))
     j = (shifts.join(tot, shifts.id == tot.shift_id, "left")
-         .join(F.broadcast(users.select(F.col("id").alias("uid"), F.col("name").alias("user_name"),
+         .join((users.select(F.col("id").alias("uid"), F.col("name").alias("user_name"),
                                         F.col("store_location").alias("branch"))),
                F.col("user_id") == F.col("uid"), "left"))
     return j.select("id", "user_id", "start_time", "end_time", "user_name", "branch",
@@ -56,7 +56,7 @@ def shift_cashup(shifts: DataFrame, sales: DataFrame) -> DataFrame:
 def active_shifts(shifts: DataFrame, users: DataFrame) -> DataFrame:
     """RPT-43: open shifts with the user's name and branch."""
     o = shifts.filter(F.col("end_time").isNull())
-    return o.join(F.broadcast(users.select(F.col("id").alias("user_id"), "name", "store_location")),
+    return o.join((users.select(F.col("id").alias("user_id"), "name", "store_location")),
                   "user_id", "left").select("id", "user_id", "start_time", "name", "store_location")
 
 
