@@ -34,7 +34,7 @@ def fefo_single(batches: DataFrame, demand: DataFrame) -> DataFrame:
 
 
 def fefo_many(batches: DataFrame, demands: DataFrame, demand_order: list, demand_ts: str = "created_at",
-              width: int = 256) -> DataFrame:
+              width: int | str = "auto") -> DataFrame:
     """Many demands per product in time order (``demands``: product_barcode, qty, ... ).
 
     Each demand is the interval [D_before, D_before + qty) on the product's

@@ -37,17 +37,34 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, key: str, ts: s
 
 
 def overlap_amounts(left: DataFrame, right: DataFrame, key: str, l_lo: str, l_hi: str, r_lo: str, r_hi: str,
-                    width: int = 256) -> DataFrame:
-    """Pairs of overlapping [lo, hi) intervals with ``overlap`` = their shared length."""
-    def bucketed(df, lo, hi):
-        first = F.floor(F.col(lo) / width)
-        last = F.floor((F.col(hi) - 1) / width)
+                    width: int | str = "auto") -> DataFrame:
+    """Pairs of overlapping [lo, hi) intervals with ``overlap`` = their shared length.
+
+    ``width="auto"`` sizes the buckets per key as the mean interval length over both sides (a partial
+    aggregate per key), so each bucket holds O(1) intervals of each side whatever the unit scale: the
+    exploded rows stay linear in (total length / width + intervals) and the candidate pairs per bucket
+    stay small.  A fixed integer width applies to every key.
+    """
+    if width == "auto":
+        lens = (left.select(key, (F.col(l_hi) - F.col(l_lo)).alias("_len"))
+                .unionByName(right.select(key, (F.col(r_hi) - F.col(r_lo)).alias("_len"))))
+        widths = lens.filter(F.col("_len") > 0).groupBy(key).agg(
+            F.greatest(F.lit(1), F.ceil(F.avg("_len"))).cast("long").alias("_w"))
+        left = left.join(widths, key, "inner")
+        right = right.join(widths.withColumnRenamed("_w", "_wr"), key, "inner")
+        lw, rw = F.col("_w"), F.col("_wr")
+    else:
+        lw = rw = F.lit(int(width))
+
+    def bucketed(df, lo, hi, w):
+        first = F.floor(F.col(lo) / w)
+        last = F.floor((F.col(hi) - 1) / w)
         return df.filter(F.col(hi) > F.col(lo)).withColumn("_b", F.explode(F.sequence(first, last)))
 
-    l = bucketed(left, l_lo, l_hi)
-    r = bucketed(right, r_lo, r_hi)
+    l = bucketed(left, l_lo, l_hi, lw)
+    r = bucketed(right, r_lo, r_hi, rw)
     j = l.join(r, [key, "_b"], "inner")
     lo = F.greatest(F.col(l_lo), F.col(r_lo))
     hi = F.least(F.col(l_hi), F.col(r_hi))
-    j = j.filter((hi > lo) & (F.floor(lo / width) == F.col("_b")))
-    return j.withColumn("overlap", hi - lo).drop("_b")
+    j = j.filter((hi > lo) & (F.floor(lo / lw) == F.col("_b")))
+    return j.withColumn("overlap", hi - lo).drop("_b", "_w", "_wr")

@@ -82,9 +82,11 @@ def test_fefo_many_equals_sequential_loop(spark):
     bdf = spark.createDataFrame(batches, "product_barcode STRING, batch_number STRING, expiry_date DATE, "
                                          "branch_id INT, quantity INT")
     ddf = spark.createDataFrame(demands, "sale_id LONG, pos INT, product_barcode STRING, qty INT, created_at TIMESTAMP_NTZ")
-    got = fefo_many(bdf, ddf, [F.col("created_at"), F.col("sale_id"), F.col("pos"), F.col("qty")], width=7)
-    got = {(r["sale_id"], r["pos"], r["batch_number"], r["branch_id"]): r["take"] for r in got.collect()}
-    assert got == _fefo_loop(batches, demands)
+    exp = _fefo_loop(batches, demands)
+    for width in (7, "auto"):
+        got = fefo_many(bdf, ddf, [F.col("created_at"), F.col("sale_id"), F.col("pos"), F.col("qty")], width=width)
+        got = {(r["sale_id"], r["pos"], r["batch_number"], r["branch_id"]): r["take"] for r in got.collect()}
+        assert got == exp
 
 
 def test_fefo_single_demand_above_supply_and_zero_batches(spark):
@@ -157,14 +159,16 @@ def test_overlap_amounts_equals_brute_force(spark):
     a, b = ivs(60, 0), ivs(60, 1000)
     l = spark.createDataFrame(a, "aid LONG, key STRING, alo LONG, ahi LONG")
     r = spark.createDataFrame(b, "bid LONG, key STRING, blo LONG, bhi LONG")
-    got = {(x["aid"], x["bid"]): x["overlap"] for x in overlap_amounts(l, r, "key", "alo", "ahi", "blo", "bhi", 16).collect()}
     exp = {}
     for i, _, lo1, hi1 in a:
         for j, _, lo2, hi2 in b:
             o = min(hi1, hi2) - max(lo1, lo2)
             if o > 0:
                 exp[(i, j)] = o
-    assert got == exp
+    for width in (16, "auto"):
+        got = {(x["aid"], x["bid"]): x["overlap"]
+               for x in overlap_amounts(l, r, "key", "alo", "ahi", "blo", "bhi", width).collect()}
+        assert got == exp
 
 
 def test_global_row_number_is_dense_and_ordered(spark):
