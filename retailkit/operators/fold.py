@@ -62,3 +62,57 @@ def sequential_accept(events: DataFrame, key: str, order: list[str], amount: str
     n = partitions or events.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ordered = events.repartition(int(n), key).sortWithinPartitions(key, *order)
     return ordered.mapInPandas(fold, out_schema)
+
+
+def sequential_baskets(lines: DataFrame, key: str, basket: str, order: list[str], item: str, qty: str,
+                       available: str, partitions: int | None = None) -> DataFrame:
+    """All-or-nothing acceptance of baskets in order (CHG-10 transfers, WIN-12 coupled keys).
+
+    A basket (e.g. a transfer) is a group of lines sharing ``key`` (its source) and ``basket``; it is
+    accepted only if every item fits: used[item] + Σ qty <= available, where ``used`` counts the
+    items of baskets accepted earlier from the same source.  Lines are hash-partitioned by ``key``,
+    sorted by (key, order..., basket) and streamed; only the current basket's lines and one
+    counter per (key, item) are held in memory -- never a key's whole history.
+
+    Returns one row per basket: key, basket, accepted, lines.
+    """
+    out_schema = T.StructType([lines.schema[key], lines.schema[basket],
+                               T.StructField("accepted", T.BooleanType()), T.StructField("lines", T.LongType())])
+
+    def fold(batches):
+        import pandas as pd
+        used: dict = {}
+        cur = None
+        need: dict = {}
+        avail: dict = {}
+        nlines = 0
+        rows = []
+
+        def close():
+            if cur is None:
+                return
+            ok = all(used.get((cur[0], i), 0) + q <= (avail[i] if avail[i] is not None else 0)
+                     for i, q in need.items())
+            if ok:
+                for i, q in need.items():
+                    used[(cur[0], i)] = used.get((cur[0], i), 0) + q
+            rows.append((cur[0], cur[1], ok, nlines))
+
+        for pdf in batches:
+            for k, b, it, q, av in zip(pdf[key], pdf[basket], pdf[item], pdf[qty], pdf[available]):
+                if (k, b) != cur:
+                    close()
+                    cur, need, avail, nlines = (k, b), {}, {}, 0
+                need[it] = need.get(it, 0) + (int(q) if q is not None else 0)
+                avail[it] = None if av is None else int(av)
+                nlines += 1
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, basket, "accepted", "lines"])
+                rows = []
+        close()
+        if rows:
+            yield pd.DataFrame(rows, columns=[key, basket, "accepted", "lines"])
+
+    n = partitions or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = lines.repartition(n, key).sortWithinPartitions(key, *order, basket)
+    return ordered.mapInPandas(fold, out_schema)

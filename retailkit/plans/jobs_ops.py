@@ -343,3 +343,41 @@ UNION ALL SELECT 'DE_TXN_COUNT', period, orgUnit, transactions FROM g""")
 def src05_export_rows(spark, d):
     r = Retail(spark, d)
     return O.export_rows(r.sale_headers(), r.branches())
+
+
+@job("chg10_transfer_fold", """
+WITH RECURSIVE i AS (SELECT DISTINCT from_location AS input FROM transfers),
+best AS (SELECT input, arg_min(name, id) AS name, arg_min(location, id) AS location
+         FROM (SELECT i.input, b.id, b.name, b.location FROM i JOIN branches b
+               ON LOWER(i.input) = LOWER(b.name) OR LOWER(i.input) = LOWER(b.location)) GROUP BY input),
+k AS (SELECT DISTINCT from_location, key FROM (
+        SELECT i.input AS from_location, UNNEST([COALESCE(best.name, i.input), i.input, best.location]) AS key
+        FROM i LEFT JOIN best ON best.input = i.input) WHERE key IS NOT NULL),
+t AS (
+  SELECT tr.from_location, tr.transfer_id, tr.barcode, tr.qty, tr.created_at,
+         CASE WHEN p.barcode IS NULL THEN NULL
+              ELSE COALESCE((SELECT SUM(sl.qty) FROM k JOIN stock_levels sl ON sl.branch = k.key
+                             WHERE k.from_location = tr.from_location AND sl.barcode = tr.barcode), 0) END AS available
+  FROM transfers tr LEFT JOIN products p ON p.barcode = tr.barcode),
+b AS (SELECT from_location, transfer_id, MIN(created_at) AS t_time, CAST(SUM(n) AS BIGINT) AS lines,
+             list({'item': barcode, 'q': q, 'av': av}) AS need
+      FROM (SELECT from_location, transfer_id, barcode, MIN(created_at) AS created_at, CAST(SUM(qty) AS BIGINT) AS q, COUNT(*) AS n,
+                   CAST(MAX(available) AS BIGINT) AS av FROM t GROUP BY 1, 2, 3)
+      GROUP BY 1, 2),
+o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY from_location ORDER BY t_time, transfer_id) AS rn FROM b),
+f(from_location, rn, transfer_id, accepted, lines, used) AS (
+  SELECT from_location, 0, NULL::BIGINT, NULL::BOOLEAN, NULL::BIGINT, MAP {}::MAP(VARCHAR, BIGINT)
+  FROM (SELECT DISTINCT from_location FROM o)
+  UNION ALL
+  SELECT o.from_location, o.rn, o.transfer_id,
+         list_bool_and(list_transform(o.need, lambda x: COALESCE(f.used[x.item], 0) + x.q <= COALESCE(x.av, 0))),
+         o.lines,
+         CASE WHEN list_bool_and(list_transform(o.need, lambda x: COALESCE(f.used[x.item], 0) + x.q <= COALESCE(x.av, 0)))
+              THEN map_concat(f.used, map_from_entries(list_transform(o.need,
+                     lambda x: {'k': x.item, 'v': COALESCE(f.used[x.item], 0) + x.q})))
+              ELSE f.used END
+  FROM f JOIN o ON o.from_location = f.from_location AND o.rn = f.rn + 1)
+SELECT from_location, transfer_id, accepted, lines FROM f WHERE rn > 0""")
+def chg10_transfer_fold(spark, d):
+    r = Retail(spark, d)
+    return O.transfer_fold(r.transfers(), r.products(), r.branches())

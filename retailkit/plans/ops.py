@@ -220,6 +220,27 @@ def transfer_decisions(transfers: DataFrame, products: DataFrame, branches: Data
         F.count_if(F.col("stock_levels").isNull() | (F.col("available") < F.col("qty"))).alias("short_items"))
 
 
+def transfer_fold(transfers: DataFrame, products: DataFrame, branches: DataFrame) -> DataFrame:
+    """CHG-10, sequential form: transfers from one source are dispatched in time order, all or
+    nothing, and an accepted transfer lowers what later ones can take (per product, over the
+    source's alias keys).  A transfer is the lines of one (source, transfer id); its time is its
+    earliest line."""
+    from retailkit.operators.fold import sequential_baskets
+    res = resolve_branch(transfers.select(F.col("from_location").alias("input")), branches)
+    b = branches.select(F.col("name").alias("branch_name"), F.col("location").alias("b_location"))
+    keys = res.join(F.broadcast(b), "branch_name", "left").select(
+        F.col("input").alias("from_location"),
+        F.array_distinct(F.filter(F.array("branch_name", "input", "b_location", "branch_name"),
+                                  lambda x: x.isNotNull())).alias("keys"))
+    t = transfers.join(keys, "from_location", "left").join(products.select("barcode", "stock_levels"), "barcode", "left")
+    avail = F.when(F.col("stock_levels").isNotNull(), F.aggregate(
+        "keys", F.lit(0), lambda a, k: a + F.coalesce(F.try_element_at("stock_levels", k), F.lit(0))))
+    t = t.select("from_location", "transfer_id", "barcode", "qty", "created_at", avail.alias("available"))
+    w = Window.partitionBy("from_location", "transfer_id")          # one transfer: bounded group
+    t = t.withColumn("t_time", F.min("created_at").over(w))
+    return sequential_baskets(t, "from_location", "transfer_id", ["t_time"], "barcode", "qty", "available")
+
+
 def transfer_receipts(transfers: DataFrame) -> DataFrame:
     """CHG-11: only 'In Transit' transfers add to the destination key (and the total)."""
     t = transfers.filter(F.col("status") == "In Transit")

@@ -197,3 +197,31 @@ def test_upsert_policies(spark):
     assert run("add", add_cols=("q",)) == [(1, 10, "x"), (2, 25, "y"), (3, 7, "z")]
     assert run("keep_if_null") == [(1, 10, "x"), (2, 5, "y"), (3, 7, "z")]
     assert run("partial", set_cols=("q",)) == [(1, 10, "x"), (2, 5, "y"), (3, 7, "z")]
+
+
+def test_sequential_baskets_equals_loop(spark):
+    from retailkit.operators.fold import sequential_baskets
+    rnd = random.Random(17)
+    rows = []
+    avail = {(s, p): rnd.randrange(0, 30) for s in range(3) for p in range(5)}
+    for t in range(200):
+        s = 0 if rnd.random() < 0.4 else rnd.randrange(1, 3)
+        ts = T0 + dt.timedelta(minutes=rnd.randrange(0, 3000))
+        for _ in range(rnd.randrange(1, 4)):
+            p = rnd.randrange(0, 5)
+            rows.append((s, t, ts, p, rnd.randrange(1, 6), avail[(s, p)]))
+    df = spark.createDataFrame(rows, "src LONG, tid LONG, ts TIMESTAMP_NTZ, item LONG, q LONG, av LONG")
+    got = {(r["src"], r["tid"]): r["accepted"]
+           for r in sequential_baskets(df, "src", "tid", ["ts"], "item", "q", "av").collect()}
+    used, exp = {}, {}
+    baskets = {}
+    for s, t, ts, p, q, av in rows:
+        need = baskets.setdefault((s, t), [ts, {}])[1]
+        need[p] = need.get(p, 0) + q
+    for (s, t), (ts, need) in sorted(baskets.items(), key=lambda kv: (kv[0][0], kv[1][0], kv[0][1])):
+        ok = all(used.get((s, p), 0) + q <= avail[(s, p)] for p, q in need.items())
+        if ok:
+            for p, q in need.items():
+                used[(s, p)] = used.get((s, p), 0) + q
+        exp[(s, t)] = ok
+    assert got == exp and 0 < sum(exp.values()) < len(exp)
