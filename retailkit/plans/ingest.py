@@ -48,16 +48,20 @@ PATTERNS = {
 }
 
 
-def read_upload(spark: SparkSession, path: str) -> DataFrame:
+def read_upload(spark: SparkSession, path: str, order_col: str | None = None) -> DataFrame:
+    """Text-only CSV read.  Row order: ``order_col`` when the file carries a line number, else the
+    file order (``monotonically_increasing_id``: partition index, then position)."""
     df = (spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_bad").csv(path))
     data_cols = [c for c in df.columns if c != "_bad"]
     df = df.na.fill("", subset=data_cols)
-    return df.withColumn("_row", F.monotonically_increasing_id())
+    row = F.col(f"`{order_col}`").cast("long") if order_col else F.monotonically_increasing_id()
+    return df.withColumn("_row", row)
 
 
 def column_mapping(columns: list[str]) -> dict[str, str | None]:
     cols = [c for c in columns if c not in ("_bad", "_row")]
+    # (header names only: resolved once on the driver from the schema)
     return {field: find_column(cols, pats) for field, pats in PATTERNS.items()}
 
 
