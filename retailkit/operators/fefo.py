@@ -34,7 +34,7 @@ def fefo_single(batches: DataFrame, demand: DataFrame) -> DataFrame:
 
 
 def fefo_many(batches: DataFrame, demands: DataFrame, demand_order: list, demand_ts: str = "created_at",
-              width: int | str = "auto") -> DataFrame:
+              width: int | str = "auto", materialize: bool = True) -> DataFrame:
     """Many demands per product in time order (``demands``: product_barcode, qty, ... ).
 
     Each demand is the interval [D_before, D_before + qty) on the product's
@@ -42,6 +42,13 @@ def fefo_many(batches: DataFrame, demands: DataFrame, demand_order: list, demand
     cumulative-supply axis; the amount a demand takes from a batch is the
     length of their overlap.  Equal to the sequential per-sale loop.
     """
+    if materialize:
+        # both inputs are read three times (row pass, bucket totals, bucket width): write their narrow
+        # projections once to the shared checkpoint folder instead of recomputing the joins upstream
+        from retailkit.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(batches.sparkSession)
+        batches = batches.checkpoint(eager=True)
+        demands = demands.checkpoint(eager=True)
     s = batches.filter(F.col("quantity") > 0)
     s = running_sum(s, ["product_barcode"], fefo_order(), "quantity", "s_hi", bucket=month_bucket("expiry_date"))
     s = s.withColumn("s_lo", F.col("s_hi") - F.col("quantity"))
