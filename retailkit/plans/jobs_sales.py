@@ -108,6 +108,21 @@ def rpt12_sales_summary(spark, d):
     return S.sales_summary(Retail(spark, d).sale_headers())
 
 
+@job("rpt12_sales_summary_branch", """
+SELECT COUNT(*) AS total_transactions,
+       COUNT(CASE WHEN is_return = FALSE THEN 1 END) AS sales_transactions,
+       COUNT(CASE WHEN is_return = TRUE THEN 1 END) AS return_transactions,
+       CAST(COALESCE(SUM(CASE WHEN is_return = FALSE THEN total_amount ELSE 0 END), 0) AS DECIMAL(18,2)) AS gross_sales,
+       CAST(COALESCE(SUM(CASE WHEN is_return = TRUE THEN total_amount ELSE 0 END), 0) AS DECIMAL(18,2)) AS returns_amount,
+       CAST(COALESCE(SUM(CASE WHEN is_return = FALSE THEN total_amount ELSE 0 END), 0)
+          + COALESCE(SUM(CASE WHEN is_return = TRUE THEN total_amount ELSE 0 END), 0) AS DECIMAL(18,2)) AS net_sales,
+       CAST(COALESCE(SUM(total_amount), 0) AS DECIMAL(18,2)) AS total_amount
+FROM sales WHERE status = 'completed' AND user_id IN (SELECT id FROM users WHERE branch_id = 2)""")
+def rpt12_sales_summary_branch(spark, d):
+    r = Retail(spark, d)
+    return S.sales_summary(S.staff_scoped(r.sale_headers(), r.users(), 2))
+
+
 @job("rpt12_top_products_net", """
 SELECT p.name, CAST(SUM(CASE WHEN NOT i.is_return THEN i.qty ELSE 0 END) AS BIGINT) AS total_sold,
        CAST(SUM(CASE WHEN i.is_return THEN i.qty ELSE 0 END) AS BIGINT) AS total_returned,

@@ -137,6 +137,13 @@ def sales_summary(headers: DataFrame, start=None, end=None) -> DataFrame:
         X.money(F.coalesce(F.sum(amt), F.lit(0))).alias("total_amount"))
 
 
+def staff_scoped(headers: DataFrame, users: DataFrame, branch_id: int) -> DataFrame:
+    """JN-12: sales whose cashier belongs to the branch -- ``user_id IN (SELECT id FROM users WHERE
+    branch_id = b)`` as a left semi join (no duplication, no columns from the right side)."""
+    staff = users.filter(F.col("branch_id") == branch_id).select(F.col("id").alias("user_id"))
+    return headers.join(staff, "user_id", "left_semi")
+
+
 def top_products_net(sales: DataFrame, products: DataFrame, start=None, end=None, k: int = 10) -> DataFrame:
     """Sold, returned and net units per product name (explode + join on barcode, JN-10)."""
     f = _completed(False)
