@@ -19,7 +19,6 @@ from decimal import Decimal
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def nest(headers: DataFrame, lines: DataFrame, key: str, name: str, order: list[str] | None = None) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 from retailkit.functions import exprs as X
 from retailkit.operators.running import month_bucket, running_sum
 from retailkit.operators.topk import top_k
-from retailkit.plans.sales import items_of
 from retailkit.sources.adapter import TAX_TYPE
 
 

@@ -17,7 +17,6 @@ statistics) and lets AQE re-plan at runtime with skew splitting.
 
 from __future__ import annotations
 
-from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
