@@ -144,8 +144,22 @@ def staff_scoped(headers: DataFrame, users: DataFrame, branch_id: int) -> DataFr
     return headers.join(staff, "user_id", "left_semi")
 
 
-def top_products_net(sales: DataFrame, products: DataFrame, start=None, end=None, k: int = 10) -> DataFrame:
-    """Sold, returned and net units per product name (explode + join on barcode, JN-10)."""
+def dedupe_products(products: DataFrame) -> DataFrame:
+    """T7: the product key drifted from barcode to (barcode, name), so a barcode join can fan out.
+    Keep one product per barcode (lowest id) -- a ``min_by`` aggregate, no window."""
+    cols = [c for c in products.columns if c != "barcode"]
+    g = products.groupBy("barcode").agg(F.min_by(F.struct(*cols), "id").alias("_p"))
+    return g.select("barcode", *[F.col(f"_p.{c}").alias(c) for c in cols])
+
+
+def top_products_net(sales: DataFrame, products: DataFrame, start=None, end=None, k: int = 10,
+                     dedupe: bool = False) -> DataFrame:
+    """Sold, returned and net units per product name (explode + join on barcode, JN-10).
+
+    As in the reference, a barcode shared by several products multiplies the line (T7); pass
+    ``dedupe=True`` to join one product per barcode instead."""
+    if dedupe:
+        products = dedupe_products(products)
     f = _completed(False)
     if start is not None:
         f = f & (F.col("created_at") >= X.lit_ts(start))

@@ -135,3 +135,13 @@ def test_bulk_upload(spark, tmp_path):
     assert nb == {("1", "LOT-1"): dt.date(2025, 2, 13), ("NEW-1", "LOT-9"): dt.date(2049, 2, 1)}
     assert [(r["product_barcode"], r["variance"]) for r in counts.collect()] == [("NEW-1", 5)]
     assert cats.count() == 4
+
+
+def test_barcode_fan_out_and_dedupe(spark):
+    """T7: two products share a barcode -> the join doubles the line unless deduplicated."""
+    sales = spark.createDataFrame([(1, False, "completed", "X", 3)],
+                                  "id LONG, is_return BOOLEAN, status STRING, barcode STRING, qty INT")
+    products = spark.createDataFrame([(1, "X", "Alpha"), (2, "X", "Alpha")], "id LONG, barcode STRING, name STRING")
+    fan = S.top_products_net(sales, products).first()
+    one = S.top_products_net(sales, products, dedupe=True).first()
+    assert (fan["total_sold"], one["total_sold"]) == (6, 3)
