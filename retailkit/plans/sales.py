@@ -119,7 +119,9 @@ def cashier_stats(headers: DataFrame, users: DataFrame, since, k: int = 5) -> Da
 
 
 # -- RPT-12 / AGG-1 / AGG-10 ---------------------------------------------------
-def sales_summary(headers: DataFrame, start=None, end=None) -> DataFrame:
+def sales_summary(headers: DataFrame, start=None, end=None, returns_stored_positive: bool = False) -> DataFrame:
+    """AGG-1.  T2: the reference nets as ``gross + returns``, which is right only when return rows
+    carry negative totals; that formula is the default, ``returns_stored_positive=True`` subtracts."""
     f = _completed(False)
     if start is not None:
         f = f & (F.col("created_at") >= X.lit_ts(start))
@@ -133,7 +135,7 @@ def sales_summary(headers: DataFrame, start=None, end=None) -> DataFrame:
         F.count(F.when(~r, 1)).alias("sales_transactions"),
         F.count(F.when(r, 1)).alias("return_transactions"),
         X.money(gross).alias("gross_sales"), X.money(rets).alias("returns_amount"),
-        X.money(gross + rets).alias("net_sales"),
+        X.money(gross - rets if returns_stored_positive else gross + rets).alias("net_sales"),
         X.money(F.coalesce(F.sum(amt), F.lit(0))).alias("total_amount"))
 
 

@@ -145,3 +145,12 @@ def test_barcode_fan_out_and_dedupe(spark):
     fan = S.top_products_net(sales, products).first()
     one = S.top_products_net(sales, products, dedupe=True).first()
     assert (fan["total_sold"], one["total_sold"]) == (6, 3)
+
+
+def test_return_sign_conventions(spark):
+    """T2: verbatim 'gross + returns' vs returns stored as positive amounts."""
+    h = spark.createDataFrame([(1, "completed", False, Decimal("100.00")), (2, "completed", True, Decimal("30.00"))],
+                              "id LONG, status STRING, is_return BOOLEAN, total_amount DECIMAL(12,2)") \
+        .withColumn("created_at", F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz"))
+    assert str(S.sales_summary(h).first()["net_sales"]) == "130.00"
+    assert str(S.sales_summary(h, returns_stored_positive=True).first()["net_sales"]) == "70.00"
