@@ -44,5 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="retailkit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    try:
+        spark.sparkContext.setCheckpointDir(d)      # classic sessions
+    except Exception:                               # Spark Connect: no SparkContext; the conf is used
+        pass
     return d
