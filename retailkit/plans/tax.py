@@ -67,15 +67,18 @@ def tax_report(headers_with_tax: DataFrame, settings: DataFrame, **period) -> Da
 
 
 def tax_by_rule(headers_with_tax: DataFrame, settings: DataFrame, tax_rules: DataFrame, **period) -> DataFrame:
-    """AGG-28: one column per report rule, as rows (branch, rule, amount; 0 when absent)."""
+    """AGG-28: one column per report rule, as rows (branch, rule, amount; 0 when absent).
+
+    Each branch's amounts (a handful of tax names) become one small map, and the rule list (one
+    bounded array value) is exploded against it, so the amounts are computed once."""
     amounts = tax_amounts(headers_with_tax, settings, **period)
-    branches = amounts.select("branch").distinct()
+    per_branch = amounts.groupBy("branch").agg(
+        F.map_from_entries(F.collect_list(F.struct("tax_name", "amount"))).alias("m"))
     rules = report_rules(tax_rules, settings).select(F.col("name").alias("tax_name"), "rate").distinct()
-    # every branch gets every rule column: the (small, bounded) rule list is one array value
     rule_list = rules.agg(F.array_sort(F.collect_list(F.struct("tax_name", "rate")))).scalar()
-    grid = branches.select("branch", F.explode(rule_list).alias("r")).select("branch", "r.tax_name", "r.rate")
-    j = grid.join(amounts, ["branch", "tax_name"], "left")
-    return j.select("branch", "tax_name", "rate", F.round(F.coalesce("amount", F.lit(0.0)), 2).alias("amount"))
+    grid = per_branch.select("branch", "m", F.explode(rule_list).alias("r"))
+    return grid.select("branch", F.col("r.tax_name").alias("tax_name"), F.col("r.rate").alias("rate"),
+                       F.round(F.coalesce(F.try_element_at("m", F.col("r.tax_name")), F.lit(0.0)), 2).alias("amount"))
 
 
 def tax_rollup(headers_with_tax: DataFrame, **period) -> DataFrame:
