@@ -196,7 +196,11 @@ def slow_movers(sales: DataFrame, products: DataFrame, since, k: int = 5) -> Dat
     """TOP-3 / TOP-4 / JN-15: bottom-k by units; when that list is empty or entirely among the
     top sellers, products with stock that are not top sellers (highest stock first) replace it,
     provided there are any.  The choice is a scalar-subquery flag, not a driver-side branch."""
-    ps = product_sales(sales, since)
+    from retailkit.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(sales.sparkSession)
+    # one row per product, read by six branches below: materialise it once (shared checkpoint
+    # folder) instead of re-running the sales scan and unnest for every branch
+    ps = product_sales(sales, since).checkpoint(eager=True)
     top = top_k(ps, [F.col("revenue").desc_nulls_last(), F.col("name").asc()], k).select("name")
     slow = top_k(ps, [F.col("units").asc_nulls_last(), F.col("name").asc()], k)
     dead = products.filter(F.col("stock") > 0).join(top, "name", "left_anti")           # NOT IN top names
