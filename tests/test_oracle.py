@@ -34,3 +34,9 @@ def test_entry_contract(spark):
     assert df.columns == ["branch", "txn_count", "revenue"]
     assert df.count() > 0
     assert set(E.queries()) == set(E.oracle_sql())
+
+
+def test_bench_headline_jobs_are_registered():
+    import bench
+    assert set(bench.HEADLINE) <= set(queries())
+    assert len(bench.HEADLINE) == len(set(bench.HEADLINE))
