@@ -31,6 +31,13 @@ def credit_balances(customers: DataFrame, ledger: DataFrame) -> DataFrame:
                     X.money(F.col("current_balance") + F.col("d") - F.col("c")).alias("new_balance"))
 
 
+def ledger_rows(customers: DataFrame, running: DataFrame) -> DataFrame:
+    """CHG-6 / CHG-7: the ledger rows that posting writes, each with the customer's balance after it."""
+    j = running.join(customers.select(F.col("id").alias("customer_id"), "current_balance"), "customer_id")
+    return j.select("customer_id", "date", "description", "type", "debit", "credit", "transaction_id",
+                    X.money(F.col("current_balance") + F.col("balance")).alias("balance"))
+
+
 def apply_credit_decisions(customers: DataFrame, decisions: DataFrame) -> DataFrame:
     """CHG-26: the latest decision per customer wins (max_by, an aggregate); approve moves the pending
     limit into the limit and activates a pending account, reject clears it and rejects the account."""
@@ -109,24 +116,18 @@ def sell_from_batches(batches: DataFrame, picks: DataFrame) -> DataFrame:
 
 
 def shelf_moves(moves: DataFrame, products: DataFrame) -> DataFrame:
-    """CHG-28: moves of a product in time order are refused when they exceed the stock left
-    (a sequential fold per product); accepted moves add to the shelf."""
-    p = products.select("barcode", F.lit(0).cast("decimal(18,2)").alias("used"),
-                        F.greatest(F.coalesce("stock", F.lit(0)), F.lit(0)).cast("decimal(18,2)").alias("available"),
-                        F.lit(True).alias("checked"))
-    ev = moves.select("move_id", "barcode", "shelf", "created_at", F.col("qty").cast("decimal(18,2)").alias("qty")) \
-              .join(p, "barcode", "inner")
-    r = sequential_accept(ev, "barcode", ["created_at", "move_id", "qty"], "qty", "checked", "used", "available")
-    return (r.filter("accepted").groupBy("barcode", "shelf")
-            .agg(F.sum("qty").cast("long").alias("on_shelf"), F.count(F.lit(1)).alias("moves")))
+    """CHG-28: a move is refused when the product's stock is below its quantity (moves don't use the stock up); accepted
+    ones add to the product's shelf quantity."""
+    p = products.select("barcode", F.coalesce("stock", F.lit(0)).alias("_stock"))
+    ok = moves.join(p, "barcode").filter(F.col("_stock") >= F.col("qty"))
+    return ok.groupBy("barcode").agg(F.sum("qty").cast("long").alias("on_shelf"), F.count(F.lit(1)).alias("moves"))
 
 
 def confirm_transfers(transfers: DataFrame) -> DataFrame:
-    """CHG-12: in-transit lines are confirmed with the received quantity (never above the sent one)."""
+    """CHG-12: lines in transit get the received quantity as it was given; the transfer is confirmed."""
     t = transfers.filter(F.col("status") == "In Transit")
-    received = F.least(F.col("qty"), F.greatest(F.col("received_qty"), F.lit(0)))
-    return t.groupBy("transfer_id", "to_location", "barcode").agg(
-        F.sum("qty").cast("long").alias("sent"), F.sum(received).cast("long").alias("received"))
+    return t.select("transfer_id", "to_location", "barcode", F.col("qty").alias("sent"), F.col("received_qty").alias("received"),
+                    F.lit("Confirmed").alias("status"))
 
 
 def quick_sale_stock(sales_items: DataFrame, products: DataFrame, branch: str) -> DataFrame:
@@ -151,13 +152,12 @@ def apply_invoice_payments(invoices: DataFrame, payments: DataFrame) -> DataFram
                     F.when(paid >= F.col("total_amount"), "Paid").otherwise("Partially Paid").alias("status"))
 
 
-def rekey_promotions(promotions: DataFrame, branches: DataFrame, users: DataFrame) -> DataFrame:
-    """CHG-31: one promotion row per branch that has active users; the branch list (at most the 25
-    branches) is one scalar array value exploded into each promotion."""
-    active = users.filter(F.col("status") == "active").select(F.col("store_location").alias("name")).distinct()
-    ids = branches.join(active, "name", "left_semi").agg(F.collect_list(F.col("id").cast("int"))).scalar()
-    return promotions.select("code", "discount_percentage", F.explode(ids).alias("branch_id")).select(
-        "code", "branch_id", "discount_percentage")
+def rekey_promotions(promotions: DataFrame, users: DataFrame, code: str, discount: str) -> DataFrame:
+    """CHG-31: promotions are restored as they are; one code is made anew for each branch with active users."""
+    kept = promotions.filter(F.col("code") != code).select("code", "branch_id", "discount_percentage")
+    active = users.filter((F.lower("status") == "active") & F.col("branch_id").isNotNull()).select("branch_id").distinct()
+    new = active.select(F.lit(code).alias("code"), "branch_id", F.lit(discount).cast("decimal(5,2)").alias("discount_percentage"))
+    return kept.unionByName(new)
 
 
 def pair_shift_events(events: DataFrame) -> DataFrame:

@@ -33,6 +33,18 @@ def build_ledger(headers: DataFrame, payments: DataFrame, scope: str = "credit")
     return s.unionByName(p)
 
 
+def posted_ledger(headers: DataFrame, payments: DataFrame) -> DataFrame:
+    """CHG-6/7: the ledger as sales are finalised: a credit sale debits its total, a credit return credits it."""
+    s = credit_sales(headers).select(
+        "customer_id", F.col("created_at").alias("date"),
+        F.concat(F.when(F.col("is_return"), "Credit Return - ").otherwise("Credit Sale - "), F.col("receipt_number")).alias("description"),
+        F.when(F.col("is_return"), "RETURN").otherwise("SALE").alias("type"),
+        X.money(F.when(F.col("is_return"), 0).otherwise(F.col("total_amount"))).alias("debit"),
+        X.money(F.when(F.col("is_return"), F.col("total_amount")).otherwise(0)).alias("credit"),
+        F.col("id").alias("transaction_id"), F.col("id").alias("ref_id"))
+    return s.unionByName(build_ledger(headers, payments).filter(F.col("type") == "PAYMENT"))
+
+
 def ledger_order():
     return [F.col("date"), F.col("type"), F.col("ref_id")]
 
@@ -99,9 +111,11 @@ def missing_ledger_rows(ledger: DataFrame, headers: DataFrame, payments: DataFra
 
 
 def credit_decisions(headers: DataFrame, customers: DataFrame) -> DataFrame:
-    """WIN-11: credit sales in time order; refused when balance + amount > limit; refusals don't count."""
+    """WIN-11: credit sales in time order; refused when balance + amount > limit; refusals don't count.
+    Returns always apply and lower the balance."""
+    signed = (X.return_sign() * F.col("total_amount")).cast("decimal(18,2)")
     s = credit_sales(headers, "credit").select("customer_id", F.col("id").alias("sale_id"), "created_at",
-                                               "total_amount", F.lit(True).alias("checked"))
+                                               signed.alias("total_amount"), (~F.col("is_return")).alias("checked"))
     c = customers.select(F.col("id").alias("customer_id"), "current_balance", "credit_limit")
     ev = s.join(c, "customer_id", "inner")
     r = sequential_accept(ev, "customer_id", ["created_at", "sale_id"], "total_amount", "checked",

@@ -142,17 +142,18 @@ def chg18_missing_ledger_rows(spark, d):
 
 @job("win11_credit_decisions", """
 WITH RECURSIVE ev AS (
-  SELECT s.customer_id, s.id AS sale_id, s.total_amount AS amount, c.current_balance AS start, c.credit_limit AS lim,
+  SELECT s.customer_id, s.id AS sale_id, CASE WHEN s.is_return THEN -s.total_amount ELSE s.total_amount END AS amount,
+         s.is_return, c.current_balance AS start, c.credit_limit AS lim,
          ROW_NUMBER() OVER (PARTITION BY s.customer_id ORDER BY s.created_at, s.id) AS rn
   FROM sales s JOIN customers c ON c.id = s.customer_id
   WHERE s.status = 'completed' AND s.customer_id IS NOT NULL AND s.payment_method = 'credit'),
 f AS (
-  SELECT customer_id, rn, sale_id, start + amount <= COALESCE(lim, 0) AS accepted,
-         CAST(CASE WHEN start + amount <= COALESCE(lim, 0) THEN start + amount ELSE start END AS DECIMAL(18,2)) AS bal
+  SELECT customer_id, rn, sale_id, is_return OR start + amount <= COALESCE(lim, 0) AS accepted,
+         CAST(CASE WHEN is_return OR start + amount <= COALESCE(lim, 0) THEN start + amount ELSE start END AS DECIMAL(18,2)) AS bal
   FROM ev WHERE rn = 1
   UNION ALL
-  SELECT e.customer_id, e.rn, e.sale_id, f.bal + e.amount <= COALESCE(e.lim, 0),
-         CAST(CASE WHEN f.bal + e.amount <= COALESCE(e.lim, 0) THEN f.bal + e.amount ELSE f.bal END AS DECIMAL(18,2))
+  SELECT e.customer_id, e.rn, e.sale_id, e.is_return OR f.bal + e.amount <= COALESCE(e.lim, 0),
+         CAST(CASE WHEN e.is_return OR f.bal + e.amount <= COALESCE(e.lim, 0) THEN f.bal + e.amount ELSE f.bal END AS DECIMAL(18,2))
   FROM f JOIN ev e ON e.customer_id = f.customer_id AND e.rn = f.rn + 1)
 SELECT customer_id, sale_id, accepted, bal AS balance_after FROM f""")
 def win11_credit_decisions(spark, d):

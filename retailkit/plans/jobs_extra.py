@@ -79,11 +79,14 @@ def agg32_targeted_sums(spark, d):
         .alias("total_for_null_customer"))
 
 
-@job("jn20_first_product_per_name", """
-SELECT name, arg_min(barcode, id) AS barcode, MIN(id) AS id FROM products GROUP BY name""")
-def jn20_first_product_per_name(spark, d):
-    p = Retail(spark, d).products()
-    return first_per_group(p, ["name"], F.col("id"), ["barcode", "id"])
+@job("jn20_first_product_per_barcode", """
+SELECT barcode, arg_min(name, id) AS name, MIN(id) AS id FROM (
+  SELECT id, barcode, name FROM products UNION ALL SELECT id - 1000000, barcode, name || ' old' FROM products WHERE id % 5 = 0)
+GROUP BY barcode""")
+def jn20_first_product_per_barcode(spark, d):
+    p = Retail(spark, d).products().select("id", "barcode", "name")
+    p = p.unionByName(p.filter("id % 5 = 0").selectExpr("id - 1000000 AS id", "barcode", "name || ' old' AS name"))
+    return first_per_group(p, ["barcode"], F.col("id"), ["name", "id"])
 
 
 @job("src03_decode_details", """

@@ -63,7 +63,7 @@ def rpt15_receipt_totals(spark, d):
 @job("rpt17_company_transactions", """
 SELECT i.id, i.invoice_number, i.issue_date, i.total_amount, i.status, cu.company_name
 FROM invoices i LEFT JOIN company_users cu ON cu.id = i.created_by WHERE i.kind = 'sales'
-ORDER BY i.issue_date DESC NULLS FIRST, i.id DESC LIMIT 50""")
+ORDER BY i.issue_date DESC NULLS FIRST, i.id DESC""")
 def rpt17_company_transactions(spark, d):
     r = Retail(spark, d)
     return RP.company_transactions(r.invoices(), r.company_users())
@@ -72,7 +72,7 @@ def rpt17_company_transactions(spark, d):
 @job("rpt19_statement_source", """
 SELECT customer_id, created_at AS date, 'purchase' AS kind, receipt_number AS reference,
        CAST(total_amount AS DECIMAL(18,2)) AS amount
-FROM sales WHERE status = 'completed' AND customer_id IS NOT NULL
+FROM sales WHERE payment_method = 'credit' AND customer_id IS NOT NULL
   AND created_at >= TIMESTAMP '2001-05-01 00:00:00' AND created_at <= TIMESTAMP '2001-06-01 00:00:00'
 UNION ALL
 SELECT customer_id, payment_date, 'payment', CAST(id AS VARCHAR), CAST(-amount AS DECIMAL(18,2)) FROM payments
@@ -142,14 +142,37 @@ def chg03_post_returns(spark, d):
     return CH.post_returns(Retail(spark, d).sale_headers())
 
 
-@job("chg06_credit_balances", """
+POSTED = """posted AS (
+  SELECT customer_id, created_at AS date,
+         CASE WHEN is_return THEN 'Credit Return - ' ELSE 'Credit Sale - ' END || receipt_number AS description,
+         CASE WHEN is_return THEN 'RETURN' ELSE 'SALE' END AS type,
+         CAST(CASE WHEN is_return THEN 0 ELSE total_amount END AS DECIMAL(18,2)) AS debit,
+         CAST(CASE WHEN is_return THEN total_amount ELSE 0 END AS DECIMAL(18,2)) AS credit, id AS transaction_id, id AS ref_id
+  FROM sales WHERE status = 'completed' AND customer_id IS NOT NULL AND payment_method = 'credit'
+  UNION ALL SELECT customer_id, payment_date, 'Payment Received', 'PAYMENT', CAST(0 AS DECIMAL(18,2)),
+                   CAST(amount AS DECIMAL(18,2)), NULL, id FROM payments)"""
+
+
+@job("chg06_credit_balances", f"""
+WITH {POSTED}
 SELECT c.id AS customer_id, CAST(c.current_balance AS DECIMAL(18,2)) AS old_balance,
        CAST(c.current_balance + g.d - g.c AS DECIMAL(18,2)) AS new_balance
-FROM customers c JOIN (SELECT customer_id, SUM(debit) AS d, SUM(credit) AS c FROM ledger GROUP BY 1) g
+FROM customers c JOIN (SELECT customer_id, SUM(debit) AS d, SUM(credit) AS c FROM posted GROUP BY 1) g
   ON g.customer_id = c.id""")
 def chg06_credit_balances(spark, d):
     r = Retail(spark, d)
-    return CH.credit_balances(r.customers(), C.build_ledger(r.sale_headers(), r.payments()))
+    return CH.credit_balances(r.customers(), C.posted_ledger(r.sale_headers(), r.payments()))
+
+
+@job("chg06_ledger_rows", f"""
+WITH {POSTED}
+SELECT p.customer_id, p.date, p.description, p.type, p.debit, p.credit, p.transaction_id,
+       CAST(c.current_balance + SUM(p.debit - p.credit) OVER (PARTITION BY p.customer_id ORDER BY p.date, p.type, p.ref_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(18,2)) AS balance
+FROM posted p JOIN customers c ON c.id = p.customer_id""")
+def chg06_ledger_rows(spark, d):
+    r = Retail(spark, d)
+    return CH.ledger_rows(r.customers(), C.running_balance(C.posted_ledger(r.sale_headers(), r.payments())))
 
 
 @job("chg26_credit_decisions", """
@@ -238,31 +261,16 @@ def chg29_sell_from_batches(spark, d):
 
 
 @job("chg28_shelf_moves", """
-WITH RECURSIVE ev AS (
-  SELECT t.transfer_id AS move_id, t.barcode, 'SHELF-' || t.to_location AS shelf, CAST(t.qty AS DECIMAL(18,2)) AS qty,
-         CAST(GREATEST(COALESCE(p.stock, 0), 0) AS DECIMAL(18,2)) AS avail,
-         ROW_NUMBER() OVER (PARTITION BY t.barcode ORDER BY t.created_at, t.transfer_id, t.qty) AS rn
-  FROM transfers t JOIN products p ON p.barcode = t.barcode),
-f AS (
-  SELECT barcode, rn, shelf, qty, qty <= avail AS accepted,
-         CAST(CASE WHEN qty <= avail THEN qty ELSE 0 END AS DECIMAL(18,2)) AS used FROM ev WHERE rn = 1
-  UNION ALL
-  SELECT e.barcode, e.rn, e.shelf, e.qty, f.used + e.qty <= e.avail,
-         CAST(CASE WHEN f.used + e.qty <= e.avail THEN f.used + e.qty ELSE f.used END AS DECIMAL(18,2))
-  FROM f JOIN ev e ON e.barcode = f.barcode AND e.rn = f.rn + 1)
-SELECT barcode, shelf, CAST(SUM(qty) AS BIGINT) AS on_shelf, COUNT(*) AS moves FROM f WHERE accepted GROUP BY 1, 2""")
+SELECT t.barcode, CAST(SUM(t.qty) AS BIGINT) AS on_shelf, COUNT(*) AS moves
+FROM transfers t JOIN products p ON p.barcode = t.barcode WHERE COALESCE(p.stock, 0) >= t.qty GROUP BY 1""")
 def chg28_shelf_moves(spark, d):
     r = Retail(spark, d)
-    t = r.transfers()
-    moves = t.select(F.col("transfer_id").alias("move_id"), "barcode",
-                     F.concat(F.lit("SHELF-"), F.col("to_location")).alias("shelf"), "qty", "created_at")
-    return CH.shelf_moves(moves, r.products())
+    return CH.shelf_moves(r.transfers().select("barcode", "qty"), r.products())
 
 
 @job("chg12_confirm_transfers", """
-SELECT transfer_id, to_location, barcode, CAST(SUM(qty) AS BIGINT) AS sent,
-       CAST(SUM(LEAST(qty, GREATEST(received_qty, 0))) AS BIGINT) AS received
-FROM transfers WHERE status = 'In Transit' GROUP BY 1, 2, 3""")
+SELECT transfer_id, to_location, barcode, qty AS sent, received_qty AS received, 'Confirmed' AS status
+FROM transfers WHERE status = 'In Transit'""")
 def chg12_confirm_transfers(spark, d):
     return CH.confirm_transfers(Retail(spark, d).transfers())
 
@@ -289,12 +297,12 @@ def chg25_invoice_payments(spark, d):
 
 
 @job("chg31_promo_rekey", """
-SELECT p.code, CAST(b.id AS INTEGER) AS branch_id, p.discount_percentage
-FROM promotions p CROSS JOIN branches b
-WHERE b.name IN (SELECT store_location FROM users WHERE status = 'active')""")
+SELECT code, branch_id, discount_percentage FROM promotions WHERE code <> 'PROMO-23'
+UNION ALL
+SELECT DISTINCT 'PROMO-23', branch_id, CAST(5.00 AS DECIMAL(5,2)) FROM users WHERE LOWER(status) = 'active' AND branch_id IS NOT NULL""")
 def chg31_promo_rekey(spark, d):
     r = Retail(spark, d)
-    return CH.rekey_promotions(r.promotions(), r.branches(), r.users())
+    return CH.rekey_promotions(r.promotions(), r.users(), "PROMO-23", "5.00")
 
 
 @job("chg35_shift_pairing", """

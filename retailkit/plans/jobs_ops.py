@@ -100,12 +100,15 @@ WITH r AS (SELECT DISTINCT request FROM (
              UNION ALL SELECT CAST(transaction_id AS VARCHAR) FROM refunds
              UNION ALL SELECT 'INV-' || CAST(transaction_id - 3 AS VARCHAR) FROM refunds)),
 f AS (SELECT r.request, s.id, s.total_amount FROM r LEFT JOIN sales s
-      ON (regexp_full_match(r.request, '[0-9]+') AND CAST(s.id AS VARCHAR) = r.request)
-      OR (NOT regexp_full_match(r.request, '[0-9]+') AND s.receipt_number = r.request))
+      ON s.status = 'completed' AND ((regexp_full_match(r.request, '[0-9]+') AND CAST(s.id AS VARCHAR) = r.request)
+      OR (NOT regexp_full_match(r.request, '[0-9]+') AND s.receipt_number = r.request))),
+i AS (SELECT request, MIN(id) AS id, arg_min(total_amount, id) AS total_amount FROM (
+        SELECT invoice_number AS request, id, total_amount FROM invoices
+        UNION ALL SELECT CAST(id AS VARCHAR), id, total_amount FROM invoices) GROUP BY request)
 SELECT f.request, CASE WHEN f.id IS NOT NULL THEN 'transaction' WHEN i.id IS NOT NULL THEN 'invoice' ELSE 'none' END
          AS source,
        COALESCE(f.id, i.id) AS found_id, CAST(COALESCE(f.total_amount, i.total_amount) AS DECIMAL(18,2)) AS total_amount
-FROM f LEFT JOIN invoices i ON i.invoice_number = f.request""")
+FROM f LEFT JOIN i ON i.request = f.request""")
 def flt20_receipt_lookup(spark, d):
     r = Retail(spark, d)
     rf = r.refunds()
@@ -136,24 +139,23 @@ def set01_recent_invoices(spark, d):
     return O.recent_invoices(Retail(spark, d).invoices())
 
 
-@job("agg30_company_dashboard", f"""
-WITH a AS (SELECT company_id, COUNT(*) AS sales_invoices, SUM(total_amount) AS total_sales,
-                  SUM(total_amount - paid_amount) AS outstanding,
-                  COUNT(*) FILTER (WHERE status <> 'Paid' AND due_date < DATE '{AS_OF}') AS overdue
-           FROM invoices WHERE kind = 'sales' GROUP BY company_id),
-b AS (SELECT company_id, COUNT(*) AS proformas FROM invoices WHERE kind = 'proforma' GROUP BY company_id),
-l AS (SELECT id % 10 AS company_id, SUM(credit_limit) AS credit_limit FROM customers GROUP BY 1),
-j AS (SELECT COALESCE(a.company_id, b.company_id) AS company_id, a.sales_invoices, b.proformas, a.total_sales,
-             a.outstanding, a.overdue FROM a FULL OUTER JOIN b ON a.company_id = b.company_id)
-SELECT j.company_id, COALESCE(sales_invoices, 0) AS sales_invoices, COALESCE(proformas, 0) AS proformas,
-       CAST(COALESCE(total_sales, 0) AS DECIMAL(18,2)) AS total_sales,
-       CAST(COALESCE(outstanding, 0) AS DECIMAL(18,2)) AS outstanding, COALESCE(overdue, 0) AS overdue,
-       CAST(l.credit_limit AS DECIMAL(18,2)) AS credit_limit,
-       ROUND(CAST(COALESCE(outstanding, 0) AS DOUBLE) * 100 / CAST(l.credit_limit AS DOUBLE), 1) AS credit_usage_pct
-FROM j LEFT JOIN l ON l.company_id = j.company_id""")
+@job("agg30_company_dashboard", """
+WITH a AS (SELECT company_id, COUNT(*) FILTER (WHERE kind = 'proforma') AS proformas,
+                  COUNT(*) FILTER (WHERE kind = 'sales') AS sales_invoices,
+                  CAST(COALESCE(SUM(total_amount) FILTER (WHERE kind = 'sales'), 0) AS DECIMAL(18,2)) AS total_revenue,
+                  CAST(COALESCE(SUM(total_amount - paid_amount) FILTER (WHERE kind = 'sales' AND status <> 'Paid'), 0)
+                       AS DECIMAL(18,2)) AS outstanding,
+                  COUNT(*) FILTER (WHERE kind = 'proforma' AND status ILIKE 'Draft') AS pending_payments
+           FROM invoices GROUP BY company_id),
+c AS (SELECT COALESCE(SUM(current_balance), 0) AS owed, COALESCE(SUM(credit_limit), 0) AS lim,
+             COUNT(*) FILTER (WHERE current_balance > 0) AS active_debtors FROM customers)
+SELECT a.*, CAST(c.owed AS DECIMAL(18,2)) AS total_credit_owed,
+       ROUND(CASE WHEN c.lim > 0 THEN CAST(c.owed AS DOUBLE) * 100 / CAST(c.lim AS DOUBLE) ELSE 0.0 END, 1) AS credit_usage_pct,
+       c.active_debtors
+FROM a CROSS JOIN c""")
 def agg30_company_dashboard(spark, d):
     r = Retail(spark, d)
-    return O.company_dashboard(r.invoices(), r.customers(), AS_OF)
+    return O.company_dashboard(r.invoices(), r.customers())
 
 
 @job("chg24_convert_proformas", f"""
@@ -174,26 +176,41 @@ def rpt38_invoice_documents(spark, d):
     return O.invoice_documents(r.invoices(), r.sale_lines())
 
 
-USAGE = """usage AS (SELECT s.promo_code AS code, CAST(b.id AS INTEGER) AS branch_id,
-                        CAST(SUM(CASE WHEN s.is_return THEN -1 ELSE 1 END) AS BIGINT) AS uses
-                 FROM sales s LEFT JOIN branches b ON b.name = s.store_location
-                 WHERE s.promo_code IS NOT NULL GROUP BY 1, 2)"""
+USAGE = """given AS (SELECT sale_id, SUM(discount) AS discount FROM sale_lines GROUP BY sale_id),
+ch AS (SELECT s.promo_code AS code, CAST(COALESCE(b.id, 1) AS INTEGER) AS branch_id,
+              CASE WHEN s.is_return THEN -g.discount ELSE g.discount END AS change
+       FROM sales s JOIN given g ON g.sale_id = s.id LEFT JOIN branches b ON b.name = s.store_location
+       WHERE s.promo_code IS NOT NULL AND g.discount > 0),
+usage AS (SELECT code, branch_id, CAST(SUM(change) AS DECIMAL(18,2)) AS total_discounted FROM ch GROUP BY 1, 2)"""
+
+
+def _discount_changes(r):
+    return O.discount_changes(r.sale_headers(), r.sale_lines(), r.branches())
 
 
 @job("chg04_promo_usage", f"WITH {USAGE} SELECT * FROM usage")
 def chg04_promo_usage(spark, d):
+    return O.promo_usage(_discount_changes(Retail(spark, d)))
+
+
+@job("chg04_promo_totals", f"""
+WITH {USAGE}
+SELECT p.code, p.discount_percentage, p.branch_id,
+       CAST(COALESCE((SELECT SUM(change) FROM ch WHERE ch.code = p.code), 0) AS DECIMAL(18,2)) AS total_discounted
+FROM promotions p""")
+def chg04_promo_totals(spark, d):
     r = Retail(spark, d)
-    return O.promo_usage(r.sale_headers(), r.branches())
+    return O.promo_totals(r.promotions(), _discount_changes(r))
 
 
 @job("rpt31_promotions_branch", f"""
 WITH {USAGE}
-SELECT p.code, p.discount_percentage, p.branch_id, COALESCE(u.uses, 0) AS branch_uses
+SELECT p.code, p.discount_percentage, p.branch_id, CAST(COALESCE(u.total_discounted, 0) AS DECIMAL(18,2)) AS total_discounted
 FROM promotions p LEFT JOIN usage u ON u.code = p.code AND u.branch_id = 1
 WHERE p.branch_id = 1 OR p.branch_id IS NULL""")
 def rpt31_promotions_branch(spark, d):
     r = Retail(spark, d)
-    return O.promotions_for_branch(r.promotions(), O.promo_usage(r.sale_headers(), r.branches()), 1)
+    return O.promotions_for_branch(r.promotions(), O.promo_usage(_discount_changes(r)), 1)
 
 
 @job("rpt37_promo_validity", """
@@ -295,29 +312,31 @@ def chg09_goods_received(spark, d):
 
 
 @job("chg27_price_list", """
-SELECT barcode, cost_price,
-       CAST(CASE WHEN cost_price IS NULL OR cost_price = 0 THEN price
-                 ELSE ROUND(cost_price * CAST(1.25 AS DECIMAL(8,4)), 2) END AS DECIMAL(18,2)) AS selling_price
+SELECT barcode, cost_price, CAST(10 + id % 4 * 5 AS DECIMAL(5,2)) AS markup_percentage,
+       CAST(ROUND(COALESCE(cost_price, 0) * CAST(1 + (10 + id % 4 * 5) / 100.0 AS DECIMAL(8,4)), 2) AS DECIMAL(18,2)) AS selling_price
 FROM products""")
 def chg27_price_list(spark, d):
-    return O.price_list(Retail(spark, d).products())
-
-
-@job("chg33_batch_upsert_summary", """
-WITH ch AS (SELECT barcode AS product_barcode, CAST(po_id AS VARCHAR) AS batch_number,
-                   CAST(supplier_id AS INTEGER) AS branch_id, CAST(SUM(quantity) AS INTEGER) AS quantity
-            FROM purchase_order_lines GROUP BY barcode, po_id, supplier_id),
-j AS (SELECT t.product_barcode IS NOT NULL AS has_t, ch.product_barcode IS NOT NULL AS has_c,
-             t.quantity AS tq, ch.quantity AS cq
-      FROM batches t FULL OUTER JOIN ch ON t.product_barcode = ch.product_barcode
-       AND t.batch_number = ch.batch_number AND t.branch_id = ch.branch_id)
-SELECT CASE WHEN has_t AND has_c THEN 'update' WHEN has_c THEN 'insert' ELSE 'keep' END AS action, COUNT(*) AS rows,
-       CAST(SUM(CASE WHEN has_t AND has_c THEN COALESCE(tq, 0) + COALESCE(cq, 0) WHEN has_c THEN cq ELSE tq END)
-            AS BIGINT) AS quantity
-FROM j GROUP BY 1""")
-def chg33_batch_upsert_summary(spark, d):
+    p = Retail(spark, d).products()
+    return O.price_list(p, p.selectExpr("barcode", "CAST(10 + id % 4 * 5 AS DECIMAL(5,2)) AS markup_percentage"))
+
+
+@job("chg33_batch_upsert", """
+WITH ch AS (SELECT barcode AS product_barcode, CASE WHEN po_id % 5 = 0 THEN 'N-' ELSE '' END || CAST(po_id AS VARCHAR) AS batch_number,
+                   CAST(supplier_id AS INTEGER) AS branch_id, CAST(SUM(quantity) + 1 AS INTEGER) AS quantity
+            FROM purchase_order_lines WHERE po_id % 3 <> 0 GROUP BY barcode, po_id, supplier_id)
+SELECT COALESCE(t.product_barcode, ch.product_barcode) AS product_barcode, COALESCE(t.batch_number, ch.batch_number) AS batch_number,
+       COALESCE(t.branch_id, ch.branch_id) AS branch_id, COALESCE(ch.quantity, t.quantity) AS quantity,
+       COALESCE(ch.quantity, t.quantity_available) AS quantity_available,
+       CASE WHEN t.product_barcode IS NULL THEN 'insert' WHEN ch.product_barcode IS NULL THEN 'keep' ELSE 'update' END AS action
+FROM batches t FULL OUTER JOIN ch ON t.product_barcode = ch.product_barcode
+ AND t.batch_number = ch.batch_number AND t.branch_id = ch.branch_id""")
+def chg33_batch_upsert(spark, d):
     r = Retail(spark, d)
-    return O.batch_upsert_summary(r.batches(), r.purchase_order_lines())
+    number = F.concat(F.when(F.col("po_id") % 5 == 0, "N-").otherwise(""), F.col("po_id").cast("string"))
+    po = r.purchase_order_lines().filter("po_id % 3 <> 0").groupBy("barcode", "po_id", "supplier_id").agg(F.sum("quantity").alias("q"))
+    ch = po.select(F.col("barcode").alias("product_barcode"), number.alias("batch_number"), F.col("supplier_id").cast("int").alias("branch_id"),
+                   (F.col("q") + 1).cast("int").alias("quantity"))
+    return O.batch_upsert(r.batches(), ch)
 
 
 @job("chg34_settings_upsert", """

@@ -9,6 +9,7 @@ AS_OF = SALES_AS_OF                # 2001-06-15
 MONTH_START = "2001-06-01"
 YEAR_START = "2001-01-01"
 CI = "LOWER(status) = 'completed'"
+EXACT = "status = 'completed'"
 
 
 @job("rpt09_branch_matrix", f"""
@@ -71,16 +72,18 @@ def rpt01_low_stock_counts(spark, d):
 
 
 @job("rpt01_recent_sales", """
-SELECT branch, id, receipt_number, created_at, total_amount, type, cashier_name FROM (
-  SELECT COALESCE(s.store_location, 'Main Branch') AS branch, s.id, s.receipt_number, s.created_at, s.total_amount,
+SELECT branch, id, receipt_number, created_at, CAST(COALESCE(g.gross, 0) AS DECIMAL(18,2)) AS amount, type, cashier_name FROM (
+  SELECT COALESCE(s.store_location, 'Main Branch') AS branch, s.id, s.receipt_number, s.created_at,
          CASE WHEN s.is_return THEN 'RETURN' ELSE 'SALE' END AS type, u.name AS cashier_name,
          ROW_NUMBER() OVER (PARTITION BY COALESCE(s.store_location, 'Main Branch')
                             ORDER BY s.created_at DESC NULLS LAST, s.id DESC) AS rn
   FROM sales s LEFT JOIN users u ON s.user_id = u.id
-  WHERE LOWER(s.status) = 'completed' AND NOT s.is_return) WHERE rn <= 5""")
+  WHERE LOWER(s.status) = 'completed' AND NOT s.is_return) t
+LEFT JOIN (SELECT sale_id, SUM(qty * price) AS gross FROM sale_lines GROUP BY sale_id) g ON g.sale_id = t.id
+WHERE rn <= 5""")
 def rpt01_recent_sales(spark, d):
     r = Retail(spark, d)
-    return S.recent_sales(r.sale_headers(), r.users())
+    return S.recent_sales(r.sale_headers(), r.sale_lines(), r.users())
 
 
 @job("rpt01_cashier_stats", f"""
@@ -167,9 +170,9 @@ def top04_slow_movers(spark, d):
 
 
 @job("agg08_monthly_product_sales", f"""
-SELECT CAST(date_trunc('month', created_at) AS DATE) AS month, store_location, name AS product_name,
+SELECT CAST(date_trunc('month', created_at) AS DATE) AS month, COALESCE(store_location, 'Main Branch') AS branch, name AS product_name,
        CAST(SUM(qty) AS BIGINT) AS total_qty, CAST(SUM(qty * price) AS DECIMAL(18,2)) AS total_revenue
-FROM sale_items WHERE {CI} GROUP BY 1, 2, 3""")
+FROM sale_items WHERE {EXACT} GROUP BY 1, 2, 3""")
 def agg08_monthly_product_sales(spark, d):
     return S.monthly_product_sales(Retail(spark, d).sale_items())
 
@@ -178,7 +181,7 @@ def agg08_monthly_product_sales(spark, d):
 SELECT m.month, CAST(COALESCE(g.units, 0) AS BIGINT) AS units, CAST(COALESCE(g.revenue, 0) AS DECIMAL(18,2)) AS revenue
 FROM (SELECT CAST(range AS INTEGER) AS month FROM range(1, 13)) m
 LEFT JOIN (SELECT month(created_at) AS month, SUM(qty) AS units, SUM(qty * price) AS revenue
-           FROM sale_items WHERE {CI} AND created_at >= TIMESTAMP '{YEAR_START} 00:00:00' GROUP BY 1) g
+           FROM sale_items WHERE {EXACT} AND created_at >= TIMESTAMP '{YEAR_START} 00:00:00' GROUP BY 1) g
   ON g.month = m.month""")
 def agg07_ytd_months(spark, d):
     return S.ytd(Retail(spark, d).sale_items(), AS_OF)[0]
@@ -187,7 +190,7 @@ def agg07_ytd_months(spark, d):
 @job("agg07_ytd_products", f"""
 SELECT barcode, arg_min(name, created_at) AS name, CAST(SUM(qty) AS BIGINT) AS units,
        CAST(SUM(qty * price) AS DECIMAL(18,2)) AS revenue
-FROM sale_items WHERE {CI} AND created_at >= TIMESTAMP '{YEAR_START} 00:00:00' GROUP BY barcode""")
+FROM sale_items WHERE {EXACT} AND created_at >= TIMESTAMP '{YEAR_START} 00:00:00' GROUP BY barcode""")
 def agg07_ytd_products(spark, d):
     return S.ytd(Retail(spark, d).sale_items(), AS_OF)[1]
 
@@ -214,7 +217,7 @@ def rpt07_trend_7d(spark, d):
 SELECT c.day, CAST(COALESCE(SUM(s.total_amount), 0) AS DECIMAL(18,2)) AS revenue
 FROM (SELECT CAST(range AS DATE) AS day FROM range(DATE '{AS_OF}' - INTERVAL 6 DAY, DATE '{AS_OF}' + INTERVAL 1 DAY,
                                                     INTERVAL 1 DAY)) c
-LEFT JOIN sales s ON CAST(s.created_at AS DATE) = c.day AND LOWER(s.status) = 'completed'
+LEFT JOIN sales s ON CAST(s.created_at AS DATE) = c.day AND s.status = 'completed'
 GROUP BY c.day""")
 def agg12_last7_zero_filled(spark, d):
     return S.last_days_zero_filled(Retail(spark, d).sale_headers(), AS_OF)
@@ -259,38 +262,48 @@ def agg03_payment_totals(spark, d):
 
 @job("agg05_payment_mix", f"""
 SELECT b.bucket, COALESCE(g.count, 0) AS count
-FROM (VALUES ('cash'), ('momo'), ('card')) b(bucket)
-LEFT JOIN (SELECT CASE WHEN LOWER(payment_method) = 'cash' THEN 'cash'
-                       WHEN LOWER(payment_method) = 'momo' OR contains(LOWER(payment_method), 'mobile') THEN 'momo'
-                       WHEN LOWER(payment_method) = 'card' THEN 'card' ELSE 'cash' END AS bucket, COUNT(*) AS count
-           FROM sales WHERE {CI} GROUP BY 1) g ON g.bucket = b.bucket""")
+FROM (VALUES ('cash'), ('momo'), ('card'), ('credit')) b(bucket)
+LEFT JOIN (SELECT CASE WHEN LOWER(payment_method) = 'momo' OR contains(LOWER(payment_method), 'mobile') THEN 'momo'
+                       WHEN LOWER(payment_method) = 'card' THEN 'card'
+                       WHEN LOWER(payment_method) = 'credit' THEN 'credit' ELSE 'cash' END AS bucket, COUNT(*) AS count
+           FROM sales WHERE {EXACT} GROUP BY 1) g ON g.bucket = b.bucket""")
 def agg05_payment_mix(spark, d):
     return S.payment_mix(Retail(spark, d).sale_headers())
 
 
 @job("agg24_profitability", f"""
-WITH t AS (
-  SELECT CAST(COALESCE(SUM(CASE WHEN COALESCE(qty, 0) <= 0 THEN 1 ELSE qty END * price), 0) AS DECIMAL(18,2)) AS revenue,
-         CAST(COALESCE(SUM(CASE WHEN COALESCE(qty, 0) <= 0 THEN 1 ELSE qty END * COALESCE(cost_price, 0)), 0)
+WITH c AS (
+  SELECT CAST(COALESCE(SUM(CASE WHEN COALESCE(qty, 0) = 0 THEN 1 ELSE qty END * COALESCE(cost_price, 0)), 0)
               AS DECIMAL(18,2)) AS cogs,
-         COUNT(DISTINCT CASE WHEN COALESCE(cost_price, 0) = 0 THEN name END) AS products_without_cost
-  FROM sale_items WHERE {CI})
+         COUNT(DISTINCT CASE WHEN COALESCE(cost_price, 0) = 0 THEN COALESCE(NULLIF(name, ''), NULLIF(barcode, ''), 'Unknown') END)
+           AS products_without_cost
+  FROM sale_items WHERE {EXACT}),
+t AS (SELECT (SELECT CAST(COALESCE(SUM(total_amount), 0) AS DECIMAL(18,2)) FROM sales WHERE {EXACT}) AS revenue, c.* FROM c)
 SELECT revenue, cogs, CAST(revenue - cogs AS DECIMAL(18,2)) AS gross_profit,
-       ROUND(CAST(cogs AS DOUBLE) * 100 / NULLIF(CAST(revenue AS DOUBLE), 0), 4) AS cost_ratio_pct,
-       ROUND(CAST(revenue - cogs AS DOUBLE) * 100 / NULLIF(CAST(revenue AS DOUBLE), 0), 4) AS margin_pct,
+       CASE WHEN revenue > 0 THEN ROUND(CAST(cogs AS DOUBLE) * 100 / CAST(revenue AS DOUBLE), 4) END AS cost_ratio_pct,
+       CASE WHEN revenue > 0 THEN ROUND(CAST(revenue - cogs AS DOUBLE) * 100 / CAST(revenue AS DOUBLE), 4) END AS margin_pct,
        products_without_cost
 FROM t""")
 def agg24_profitability(spark, d):
-    return S.profitability(Retail(spark, d).sale_items())
+    r = Retail(spark, d)
+    return S.profitability(r.sale_headers(), r.sale_items())
+
+
+@job("agg24_products_without_cost", f"""
+SELECT DISTINCT COALESCE(NULLIF(name, ''), NULLIF(barcode, ''), 'Unknown') AS name
+FROM sale_items WHERE {EXACT} AND COALESCE(cost_price, 0) = 0""")
+def agg24_products_without_cost(spark, d):
+    return S.products_without_cost(Retail(spark, d).sale_items())
 
 
 @job("agg26_best_of", f"""
-SELECT (SELECT name FROM (SELECT name, SUM(qty) AS v FROM sale_items WHERE {CI} GROUP BY name)
+SELECT (SELECT name FROM (SELECT name, SUM(qty) AS v FROM sale_items WHERE {EXACT} GROUP BY name)
         ORDER BY v DESC, name DESC LIMIT 1) AS best_product,
-       (SELECT u.name FROM (SELECT user_id, SUM(total_amount) AS v FROM sales WHERE {CI} GROUP BY user_id) g
-        LEFT JOIN users u ON u.id = g.user_id ORDER BY g.v DESC, g.user_id DESC LIMIT 1) AS best_cashier,
-       (SELECT b FROM (SELECT COALESCE(store_location, 'Main Branch') AS b, SUM(total_amount) AS v FROM sales
-                       WHERE {CI} GROUP BY 1) ORDER BY v DESC, b DESC LIMIT 1) AS best_store""")
+       (SELECT name FROM (SELECT COALESCE(u.name, 'Unknown') AS name, SUM(s.total_amount) AS v
+                          FROM sales s LEFT JOIN users u ON u.id = s.user_id WHERE s.{EXACT} GROUP BY 1)
+        ORDER BY v DESC, name DESC LIMIT 1) AS best_cashier,
+       (SELECT b FROM (SELECT COALESCE(store_location, 'Accra Main Branch') AS b, SUM(total_amount) AS v FROM sales
+                       WHERE {EXACT} GROUP BY 1) ORDER BY v DESC, b DESC LIMIT 1) AS best_store""")
 def agg26_best_of(spark, d):
     r = Retail(spark, d)
     return S.best_of(r.sale_headers(), r.sale_items(), r.users())
@@ -298,10 +311,10 @@ def agg26_best_of(spark, d):
 
 @job("agg25_scaled_item_revenue", f"""
 WITH sub AS (SELECT s.id, s.total_amount, SUM(l.qty * l.price) AS sub
-             FROM sales s JOIN sale_lines l ON l.sale_id = s.id WHERE {CI} GROUP BY s.id, s.total_amount),
-r AS (SELECT id, CASE WHEN sub = 0 THEN NULL ELSE CAST(total_amount AS DOUBLE) / CAST(sub AS DOUBLE) END AS ratio
+             FROM sales s JOIN sale_lines l ON l.sale_id = s.id WHERE s.{EXACT} GROUP BY s.id, s.total_amount),
+r AS (SELECT id, CASE WHEN sub > 0 AND total_amount > 0 THEN CAST(total_amount AS DOUBLE) / CAST(sub AS DOUBLE) ELSE 1.0 END AS ratio
       FROM sub)
-SELECT l.name, ROUND(SUM(CAST(l.qty * l.price AS DOUBLE) * COALESCE(r.ratio, 1.0)), 2) AS revenue
+SELECT l.name, ROUND(SUM(CAST(l.qty * l.price AS DOUBLE) * r.ratio), 2) AS revenue
 FROM r JOIN sale_lines l ON l.sale_id = r.id GROUP BY l.name ORDER BY revenue DESC, l.name LIMIT 5""")
 def agg25_scaled_item_revenue(spark, d):
     return S.scaled_item_revenue(Retail(spark, d).sales())

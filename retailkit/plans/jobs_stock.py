@@ -136,20 +136,51 @@ def rpt24_reorder_suggestions(spark, d):
     return K.reorder_suggestions(Retail(spark, d).products())
 
 
-@job("chg16_reorder_alerts", """
-SELECT barcode, name, COALESCE(stock, 0) AS current_stock, COALESCE(reorder_level, 10) AS reorder_level,
-       COALESCE(reorder_level, 10) * 2 AS suggested_order_qty,
-       CASE WHEN COALESCE(stock, 0) <= 0 THEN 'critical'
-            WHEN COALESCE(stock, 0) <= COALESCE(reorder_level, 10) / 2 THEN 'high' ELSE 'medium' END AS priority
-FROM products WHERE COALESCE(stock, 0) <= COALESCE(reorder_level, 10)""")
+ALERTS = """found AS (
+  SELECT barcode, name, stock AS current_stock, reorder_level, reorder_level * 2 AS suggested_quantity,
+         CASE WHEN stock = 0 THEN 'Critical' WHEN stock <= reorder_level THEN 'High' ELSE 'Normal' END AS priority
+  FROM products WHERE stock <= reorder_level)"""
+
+
+@job("chg16_reorder_alerts", f"WITH {ALERTS} SELECT * FROM found")
 def chg16_reorder_alerts(spark, d):
     return K.reorder_alerts(Retail(spark, d).products())
 
 
+@job("chg16_alert_upsert", f"""
+WITH {ALERTS},
+old AS (SELECT barcode, name, 99 AS current_stock, 7 AS reorder_level, 14 AS suggested_quantity, 'Normal' AS priority
+        FROM products WHERE id % 4 = 0)
+SELECT COALESCE(o.barcode, f.barcode) AS barcode, COALESCE(o.name, f.name) AS name,
+       COALESCE(f.current_stock, o.current_stock) AS current_stock,
+       CASE WHEN o.barcode IS NULL THEN f.reorder_level ELSE o.reorder_level END AS reorder_level,
+       CASE WHEN o.barcode IS NULL THEN f.suggested_quantity ELSE o.suggested_quantity END AS suggested_quantity,
+       COALESCE(f.priority, o.priority) AS priority,
+       CASE WHEN o.barcode IS NULL THEN 'insert' WHEN f.barcode IS NULL THEN 'keep' ELSE 'update' END AS action
+FROM old o FULL OUTER JOIN found f ON o.barcode = f.barcode""")
+def chg16_alert_upsert(spark, d):
+    p = Retail(spark, d).products()
+    old = p.filter("id % 4 = 0").selectExpr("barcode", "name", "99 AS current_stock", "7 AS reorder_level", "14 AS suggested_quantity", "'Normal' AS priority")
+    return K.upsert_alerts(old, K.reorder_alerts(p)).withColumnRenamed("_action", "action")
+
+
+@job("top07_alert_list", f"""
+WITH {ALERTS}
+SELECT f.barcode, p.name, p.price, f.current_stock, f.priority,
+       CASE WHEN f.priority = 'Critical' THEN 1 WHEN f.priority = 'High' THEN 2 ELSE 3 END AS priority_rank
+FROM found f JOIN products p ON p.barcode = f.barcode ORDER BY priority_rank, current_stock, f.barcode""")
+def top07_alert_list(spark, d):
+    p = Retail(spark, d).products()
+    return K.alert_list(K.reorder_alerts(p), p)
+
+
 @job("agg22_duplicate_products", """
-SELECT name, category, COUNT(*) AS count FROM products GROUP BY name, category HAVING COUNT(*) > 1""")
+SELECT barcode, name, COUNT(*) AS count FROM (
+  SELECT barcode, name FROM products UNION ALL SELECT barcode, name FROM products WHERE id % 9 = 0)
+GROUP BY barcode, name HAVING COUNT(*) > 1""")
 def agg22_duplicate_products(spark, d):
-    return K.duplicates(Retail(spark, d).products())
+    p = Retail(spark, d).products().select("id", "barcode", "name")
+    return K.duplicates(p.unionByName(p.filter("id % 9 = 0")))
 
 
 @job("chg19_stock_resync", """

@@ -85,16 +85,20 @@ def resolve_branch(inputs: DataFrame, branches: DataFrame, col: str = "input") -
 
 # -- receipts (FLT-20, JN-18, RPT-39) ------------------------------------------------
 def receipt_lookup(requests: DataFrame, headers: DataFrame, invoices: DataFrame) -> DataFrame:
-    """Numeric text -> transaction id; other text -> receipt number; not found -> invoice number."""
+    """Numeric text -> transaction id; other text -> receipt number, both of completed sales;
+    not found -> invoice number or id."""
     r = requests.select("request").distinct()
+    headers = headers.filter(F.col("status") == "completed")
     numeric = F.col("request").rlike("^[0-9]+$")
     by_id = (r.filter(numeric).join(headers.select(F.col("id").cast("string").alias("request"), "id", "total_amount"),
                                     "request", "left"))
     by_rcp = (r.filter(~numeric).join(headers.select(F.col("receipt_number").alias("request"), "id", "total_amount"),
                                       "request", "left"))
     found = by_id.unionByName(by_rcp)
-    inv = invoices.select(F.col("invoice_number").alias("request"), F.col("id").alias("inv_id"),
-                          F.col("total_amount").alias("inv_total"))
+    # an invoice is found by its number or its id; of several the one with the lowest id
+    key = F.explode(F.array(F.col("invoice_number"), F.col("id").cast("string"))).alias("request")
+    inv = (invoices.select("id", "total_amount", key).groupBy("request")
+           .agg(F.min(F.struct("id", "total_amount")).alias("i")).select("request", F.col("i.id").alias("inv_id"), F.col("i.total_amount").alias("inv_total")))
     j = found.join(inv, "request", "left")
     return j.select("request",
                     F.when(F.col("id").isNotNull(), "transaction").when(F.col("inv_id").isNotNull(), "invoice")
@@ -121,24 +125,23 @@ def recent_invoices(invoices: DataFrame, k: int = 10) -> DataFrame:
     return top_k(pro.unionByName(sal), [F.col("date").desc_nulls_first(), F.col("id").desc()], k)
 
 
-def company_dashboard(invoices: DataFrame, customers: DataFrame, as_of) -> DataFrame:
-    """AGG-30 for every company: independent aggregates joined on the company key."""
-    s = invoices.filter(F.col("kind") == "sales")
-    a = s.groupBy("company_id").agg(
-        F.count(F.lit(1)).alias("sales_invoices"), X.money_sum("total_amount").alias("total_sales"),
-        X.money_sum(F.col("total_amount") - F.col("paid_amount")).alias("outstanding"),
-        F.count_if((F.col("status") != "Paid") & (F.col("due_date") < X.lit_date(as_of))).alias("overdue"))
-    b = invoices.filter(F.col("kind") == "proforma").groupBy("company_id").agg(F.count(F.lit(1)).alias("proformas"))
-    lim = customers.groupBy((F.col("id") % 10).alias("company_id")).agg(F.sum("credit_limit").alias("credit_limit"))
-    j = a.join(b, "company_id", "full_outer").join(lim, "company_id", "left")
-    return j.select("company_id", F.coalesce("sales_invoices", F.lit(0)).alias("sales_invoices"),
-                    F.coalesce("proformas", F.lit(0)).alias("proformas"),
-                    F.coalesce("total_sales", F.lit(0)).cast("decimal(18,2)").alias("total_sales"),
-                    F.coalesce("outstanding", F.lit(0)).cast("decimal(18,2)").alias("outstanding"),
-                    F.coalesce("overdue", F.lit(0)).alias("overdue"),
-                    X.money("credit_limit").alias("credit_limit"),
-                    F.round(X.safe_div(F.coalesce("outstanding", F.lit(0)).cast("double") * 100, "credit_limit"), 1)
-                     .alias("credit_usage_pct"))
+def company_dashboard(invoices: DataFrame, customers: DataFrame) -> DataFrame:
+    """AGG-30 for every company: its invoices, and the credit position of all customers.
+
+    Outstanding counts invoices that are not paid; pending payments are draft proformas.  Credit owed, usage and debtors
+    are over the whole customer table, as every company sees them."""
+    sales, pro = F.col("kind") == "sales", F.col("kind") == "proforma"
+    a = invoices.groupBy("company_id").agg(
+        F.count_if(pro).alias("proformas"), F.count_if(sales).alias("sales_invoices"),
+        X.money_sum(F.when(sales, F.col("total_amount")), zero=True).alias("total_revenue"),
+        X.money_sum(F.when(sales & (F.col("status") != "Paid"), F.col("total_amount") - F.col("paid_amount")), zero=True).alias("outstanding"),
+        F.count_if(pro & (F.lower("status") == "draft")).alias("pending_payments"))
+    owed, limit = F.coalesce(F.sum("current_balance"), F.lit(0)), F.coalesce(F.sum("credit_limit"), F.lit(0))
+    usage = F.round(F.when(limit > 0, owed.cast("double") * 100 / limit.cast("double")).otherwise(0.0), 1)
+    return a.select("company_id", "proformas", "sales_invoices", "total_revenue", "outstanding", "pending_payments",
+                    customers.agg(X.money(owed).alias("v")).scalar().alias("total_credit_owed"),
+                    customers.agg(usage.alias("v")).scalar().alias("credit_usage_pct"),
+                    customers.agg(F.count_if(F.col("current_balance") > 0).alias("v")).scalar().alias("active_debtors"))
 
 
 def convert_proformas(invoices: DataFrame, as_of, due_days: int = 30) -> DataFrame:
@@ -161,22 +164,34 @@ def invoice_documents(invoices: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 # -- promotions (CHG-4, RPT-31, RPT-37, AGG-33, CHG-31) ----------------------------------
-def promo_usage(headers: DataFrame, branches: DataFrame) -> DataFrame:
-    """CHG-4: uses per (code, branch) with -1 for returns; branch from the resolved store name."""
-    s = headers.filter(F.col("promo_code").isNotNull())
-    b = F.broadcast(branches.select(F.col("name").alias("store_location"), F.col("id").cast("int").alias("branch_id")))
-    s = s.join(b, "store_location", "left")
-    return s.groupBy(F.col("promo_code").alias("code"), "branch_id").agg(
-        F.sum(F.when(F.col("is_return"), -1).otherwise(1)).cast("long").alias("uses"))
+def discount_changes(headers: DataFrame, lines: DataFrame, branches: DataFrame) -> DataFrame:
+    """(code, branch_id, change): the discount of every sale with a code, negative for returns; no discount, no row.
+    A sale without a known branch counts for branch 1."""
+    given = lines.groupBy("sale_id").agg(F.sum("discount").alias("_given"))
+    s = headers.filter(F.col("promo_code").isNotNull()).join(given, F.col("id") == F.col("sale_id")).filter(F.col("_given") > 0)
+    s = s.join(branches.select(F.col("name").alias("store_location"), F.col("id").cast("int").alias("_branch")), "store_location", "left")
+    return s.select(F.col("promo_code").alias("code"), F.coalesce("_branch", F.lit(1)).alias("branch_id"),
+                    (X.return_sign() * F.col("_given")).alias("change"))
+
+
+def promo_usage(changes: DataFrame) -> DataFrame:
+    """CHG-4: discounted total per (code, branch)."""
+    return changes.groupBy("code", "branch_id").agg(X.money_sum("change").alias("total_discounted"))
+
+
+def promo_totals(promotions: DataFrame, changes: DataFrame) -> DataFrame:
+    """CHG-4: every promotion with its discounted total over all branches."""
+    g = changes.groupBy("code").agg(F.sum("change").alias("_sum"))
+    return promotions.join(g, "code", "left").select("code", "discount_percentage", "branch_id", X.money(F.coalesce("_sum", F.lit(0))).alias("total_discounted"))
 
 
 def promotions_for_branch(promotions: DataFrame, usage: DataFrame, branch_id: int) -> DataFrame:
     """RPT-31: promotions of the branch or global (FLT-2), with that branch's usage (JN-6: the
     branch predicate is part of the join condition, so promotions without usage stay)."""
     p = promotions.filter((F.col("branch_id") == branch_id) | F.col("branch_id").isNull())
-    u = usage.filter(F.col("branch_id") == branch_id).select("code", F.col("uses").alias("branch_uses"))
+    u = usage.filter(F.col("branch_id") == branch_id).select("code", F.col("total_discounted").alias("_used"))
     return p.join(u, "code", "left").select("code", "discount_percentage", "branch_id",
-                                            F.coalesce("branch_uses", F.lit(0)).alias("branch_uses"))
+                                            X.money(F.coalesce("_used", F.lit(0))).alias("total_discounted"))
 
 
 def promo_validity(headers: DataFrame, promotions: DataFrame, branches: DataFrame) -> DataFrame:
@@ -301,27 +316,20 @@ def goods_received(po_lines: DataFrame, products: DataFrame) -> DataFrame:
                     F.coalesce("track_batch", F.lit(False)).alias("creates_batch"))
 
 
-def price_list(products: DataFrame, markup_pct: str = "25") -> DataFrame:
-    """CHG-27 / FN-10: selling = cost x (1 + markup/100); products without cost fall back to price."""
-    from decimal import Decimal
-    factor = X.dec(str(1 + Decimal(markup_pct) / 100), 8, 4)      # exact decimal, no float rounding
-    sell = F.round(F.col("cost_price") * factor, 2)
-    return products.select("barcode", "cost_price",
-                           X.money(F.when(F.col("cost_price").isNull() | (F.col("cost_price") == 0), F.col("price"))
-                                   .otherwise(sell)).alias("selling_price"))
+def price_list(products: DataFrame, items: DataFrame) -> DataFrame:
+    """CHG-27 / FN-10: a list item's selling price is the product's cost plus the item's markup; no cost counts as 0."""
+    factor = 1 + F.col("markup_percentage").cast("decimal(8,2)") / X.dec("100", 5, 2)
+    cost = F.coalesce("cost_price", F.lit(0))
+    j = items.join(products.select("barcode", "cost_price"), "barcode")
+    return j.select("barcode", "cost_price", "markup_percentage", X.money(F.round(cost * factor, 2)).alias("selling_price"))
 
 
 # -- snapshot upserts (CHG-33, CHG-34) --------------------------------------------------------
-def batch_upsert_summary(batches: DataFrame, po_lines: DataFrame) -> DataFrame:
-    """CHG-33: received PO lines overwrite / insert batches on (barcode, number, branch)."""
-    ch = po_lines.groupBy("barcode", "po_id", "supplier_id").agg(F.sum("quantity").cast("int").alias("quantity"),
-                                                                 F.max("order_date").alias("created_at"))
-    ch = ch.select(F.col("barcode").alias("product_barcode"), F.col("po_id").cast("string").alias("batch_number"),
-                   F.col("supplier_id").cast("int").alias("branch_id"), "quantity", "created_at")
-    t = batches.select("product_barcode", "batch_number", "branch_id", "quantity", "created_at")
-    u = upsert(t, ch, ["product_barcode", "batch_number", "branch_id"], "add", add_cols=("quantity",))
-    return u.groupBy("_action").agg(F.count(F.lit(1)).alias("rows"), F.sum("quantity").cast("long").alias("quantity")) \
-            .withColumnRenamed("_action", "action")
+def batch_upsert(batches: DataFrame, received: DataFrame) -> DataFrame:
+    """CHG-33: received batches overwrite or join the batch table on (product, number, branch)."""
+    t = batches.select("product_barcode", "batch_number", "branch_id", "quantity", "quantity_available")
+    ch = received.select("product_barcode", "batch_number", "branch_id", "quantity", F.col("quantity").alias("quantity_available"))
+    return upsert(t, ch, ["product_barcode", "batch_number", "branch_id"], "overwrite").withColumnRenamed("_action", "action")
 
 
 def settings_upsert(settings: DataFrame, branches: DataFrame) -> DataFrame:

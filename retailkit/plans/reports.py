@@ -70,20 +70,20 @@ def receipt_totals(sales: DataFrame) -> DataFrame:
                     F.round(F.col("t") - F.col("n"), 2).alias("tax"))
 
 
-def company_transactions(invoices: DataFrame, company_users: DataFrame, k: int = 50) -> DataFrame:
+def company_transactions(invoices: DataFrame, company_users: DataFrame) -> DataFrame:
     """RPT-17 transactions list: sales invoices with the creating company user (JN-1), newest first."""
     i = invoices.filter(F.col("kind") == "sales").join(
         (company_users.select(F.col("id").alias("created_by"), "company_name")), "created_by", "left")
-    return top_k(i.select("id", "invoice_number", "issue_date", "total_amount", "status", "company_name"),
-                 [F.col("issue_date").desc_nulls_first(), F.col("id").desc()], k)
+    return (i.select("id", "invoice_number", "issue_date", "total_amount", "status", "company_name")
+            .orderBy(F.col("issue_date").desc_nulls_first(), F.col("id").desc()))
 
 
 def statement_source(headers: DataFrame, payments: DataFrame, year: int, month: int) -> DataFrame:
-    """RPT-19 for every customer: the month's completed sales and payments as one list
+    """RPT-19 for every customer: the month's credit purchases of any status and payments as one list
     (purchases positive, payments negative), both sides filtered to the inclusive month end."""
     start, nxt = X.prev_month_range(year, month)
     s_ts, n_ts = X.lit_ts(f"{start} 00:00:00"), X.lit_ts(f"{nxt} 00:00:00")
-    buy = headers.filter((F.col("status") == "completed") & F.col("customer_id").isNotNull()
+    buy = headers.filter((F.col("payment_method") == "credit") & F.col("customer_id").isNotNull()
                          & (F.col("created_at") >= s_ts) & (F.col("created_at") <= n_ts)).select(
         "customer_id", F.col("created_at").alias("date"), F.lit("purchase").alias("kind"),
         F.col("receipt_number").alias("reference"), X.money("total_amount").alias("amount"))

@@ -36,7 +36,7 @@ def items_of(sales: DataFrame, header_cols=("id", "user_id", "customer_id", "sto
 
 # -- RPT-9 / AGG-6 -------------------------------------------------------------
 def branch_matrix(headers: DataFrame, start=None, end=None, exact_status: bool = False,
-                  between: bool = False, limit: int | None = None) -> DataFrame:
+                  between: bool = False, limit: int | None = None, max_limit: int = 500) -> DataFrame:
     """Branch performance matrix: group by the raw location, label afterwards (T6).
 
     ``between=False``: case-insensitive status and inclusive-day end (``/ceo/branches``);
@@ -54,7 +54,7 @@ def branch_matrix(headers: DataFrame, start=None, end=None, exact_status: bool =
               X.money_sum("total_amount").alias("revenue")))
     out = g.select(X.branch_label().alias("branch"), "txn_count", "revenue")
     if limit is not None:
-        out = top_k(out, [F.col("revenue").desc_nulls_first(), F.col("branch").asc()], min(limit, 500))
+        out = top_k(out, [F.col("revenue").desc_nulls_first(), F.col("branch").asc()], min(limit, max_limit))
     return out
 
 
@@ -98,14 +98,18 @@ def low_stock_counts(products: DataFrame, branch_keys) -> DataFrame:
     return per.unionByName(tot)
 
 
-def recent_sales(headers: DataFrame, users: DataFrame, k: int = 5) -> DataFrame:
-    """Latest k completed non-return sales per branch label with cashier name (TOP-1, JN-1)."""
+def recent_sales(headers: DataFrame, lines: DataFrame, users: DataFrame, k: int = 5) -> DataFrame:
+    """Latest k completed non-return sales per branch label with cashier name (TOP-1, JN-1); the amount is the signed
+    total of the sale's items."""
     s = (headers.filter(_completed(True) & ~F.col("is_return"))
          .withColumn("branch", X.branch_label())
          .join((users.select(F.col("id").alias("uid"), F.col("name").alias("cashier_name"))),
                F.col("user_id") == F.col("uid"), "left"))
     top = top_k_per_group(s, ["branch"], [F.col("created_at").desc_nulls_last(), F.col("id").desc()], k)
-    return top.select("branch", "id", "receipt_number", "created_at", "total_amount",
+    gross = lines.groupBy("sale_id").agg(F.sum(F.col("qty") * F.col("price")).alias("_gross"))
+    top = top.join(gross, top.id == gross.sale_id, "left")
+    return top.select("branch", "id", "receipt_number", "created_at",
+                      X.money(X.return_sign() * F.coalesce("_gross", F.lit(0))).alias("amount"),
                       F.when(F.col("is_return"), "RETURN").otherwise("SALE").alias("type"), "cashier_name")
 
 
@@ -220,8 +224,8 @@ def slow_movers(sales: DataFrame, products: DataFrame, since, k: int = 5) -> Dat
 # -- AGG-8 / SRC-4 ---------------------------------------------------------------
 def monthly_product_sales(sales: DataFrame) -> DataFrame:
     """Month x branch x product: units and revenue; returns are not netted (T3)."""
-    it = items_of(sales.filter(_completed(True)), ("store_location", "created_at"))
-    return it.groupBy(F.trunc(F.to_date("created_at"), "month").alias("month"), "store_location",
+    it = items_of(sales.filter(_completed(False)), ("store_location", "created_at"))
+    return it.groupBy(F.trunc(F.to_date("created_at"), "month").alias("month"), X.branch_label().alias("branch"),
                       F.col("name").alias("product_name")).agg(
         F.sum("qty").alias("total_qty"),
         X.money_sum(F.col("qty") * F.col("price")).alias("total_revenue"))
@@ -230,7 +234,7 @@ def monthly_product_sales(sales: DataFrame) -> DataFrame:
 # -- AGG-7 / AGG-7b / RPT-28 ------------------------------------------------------
 def ytd(sales: DataFrame, as_of):
     """Year-to-date units, revenue, 12-month histogram (zero filled) and per product."""
-    s = sales.filter((F.lower("status") == "completed") & (F.col("created_at") >= X.year_start(as_of).cast("timestamp_ntz")))
+    s = sales.filter(_completed(False) & (F.col("created_at") >= X.year_start(as_of).cast("timestamp_ntz")))
     it = items_of(s, ("created_at",)).withColumn("rev", F.col("qty") * F.col("price"))
     months = it.groupBy(F.month("created_at").alias("month")).agg(
         F.sum("qty").alias("units"), X.money_sum("rev").alias("revenue"))
@@ -265,7 +269,7 @@ def trend_7d(headers: DataFrame, as_of_ts, cost_ratio: str = "0.7", forecast_rat
 def last_days_zero_filled(headers: DataFrame, as_of, days: int = 7) -> DataFrame:
     """AGG-12: one row per calendar day of the window, 0 when no sales."""
     d = X.lit_date(as_of)
-    s = headers.filter(_completed(True) & (F.to_date("created_at") > F.date_sub(d, days))
+    s = headers.filter(_completed(False) & (F.to_date("created_at") > F.date_sub(d, days))
                        & (F.to_date("created_at") <= d))
     g = s.groupBy(F.to_date("created_at").alias("day")).agg(X.money_sum("total_amount").alias("revenue"))
     cal = headers.sparkSession.range(1).select(
@@ -319,50 +323,65 @@ def payment_bucket(method="payment_method", unknown_as_cash: bool = False):
 
 
 def payment_mix(headers: DataFrame) -> DataFrame:
-    """AGG-5: count per bucket (unknown -> cash), zero-filled over the bucket list."""
-    s = headers.filter(_completed(True)).withColumn("bucket", payment_bucket(unknown_as_cash=True))
+    """AGG-5: count per bucket (credit is one of its own, anything unknown is cash), zero-filled over the bucket list."""
+    bucket = F.when(F.lower("payment_method") == "credit", "credit").otherwise(payment_bucket(unknown_as_cash=True))
+    s = headers.filter(_completed(False)).withColumn("bucket", bucket)
     g = s.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"))
-    cal = headers.sparkSession.createDataFrame([("cash",), ("momo",), ("card",)], "bucket STRING")
+    cal = headers.sparkSession.createDataFrame([("cash",), ("momo",), ("card",), ("credit",)], "bucket STRING")
     return F.broadcast(cal).join(g, "bucket", "left").select("bucket", F.coalesce("count", F.lit(0)).alias("count"))
 
 
 # -- AGG-24 / AGG-26 / AGG-25 / RPT-29 / RPT-30 ----------------------------------------
-def profitability(sales: DataFrame) -> DataFrame:
-    """Real COGS from item cost (qty 0 or invalid counts as 1), margin and products without cost."""
-    it = items_of(sales.filter(_completed(True)), ("is_return",))
-    q = F.when(F.coalesce(F.col("qty"), F.lit(0)) <= 0, F.lit(1)).otherwise(F.col("qty"))
-    return it.agg(
-        X.money_sum(q * F.col("price"), zero=True).alias("revenue"),
-        X.money_sum(q * F.coalesce("cost_price", F.lit(0)), zero=True).alias("cogs"),
-        F.count_distinct(F.when(F.coalesce("cost_price", F.lit(0)) == 0, F.col("name"))).alias("products_without_cost"),
-    ).select("revenue", "cogs", X.money(F.col("revenue") - F.col("cogs")).alias("gross_profit"),
-             X.ratio(X.safe_div(F.col("cogs").cast("double") * 100, "revenue")).alias("cost_ratio_pct"),
-             X.ratio(X.safe_div((F.col("revenue") - F.col("cogs")).cast("double") * 100, "revenue"))
-              .alias("margin_pct"),
-             "products_without_cost")
+def profitability(headers: DataFrame, sales: DataFrame) -> DataFrame:
+    """Revenue from the transactions' totals, COGS from the items' cost prices; a quantity of 0 or none counts as 1,
+    negative quantities stay.  Percentages of revenue only where it is positive."""
+    it = items_of(sales.filter(_completed(False)), ("is_return",))
+    q = F.when(F.coalesce("qty", F.lit(0)) == 0, F.lit(1)).otherwise(F.col("qty"))
+    cost = it.agg(X.money_sum(q * F.coalesce("cost_price", F.lit(0)), zero=True).alias("cogs"),
+                  F.count_distinct(F.when(F.coalesce("cost_price", F.lit(0)) == 0, item_label())).alias("products_without_cost"))
+    total = headers.filter(_completed(False)).agg(X.money_sum("total_amount", zero=True).alias("revenue"))
+    t = cost.select(total.scalar().alias("revenue"), "cogs", "products_without_cost")
+
+    def pct(part):
+        return X.ratio(F.when(F.col("revenue") > 0, part.cast("double") * 100 / F.col("revenue").cast("double")))
+    profit = F.col("revenue") - F.col("cogs")
+    return t.select("revenue", "cogs", X.money(profit).alias("gross_profit"), pct(F.col("cogs")).alias("cost_ratio_pct"),
+                    pct(profit).alias("margin_pct"), "products_without_cost")
+
+
+def item_label():
+    return F.coalesce(F.nullif("name", F.lit("")), F.nullif("barcode", F.lit("")), F.lit("Unknown"))
+
+
+def products_without_cost(sales: DataFrame) -> DataFrame:
+    """The names behind ``profitability``'s count: items sold without a cost price."""
+    it = items_of(sales.filter(_completed(False)), ("is_return",))
+    return it.filter(F.coalesce("cost_price", F.lit(0)) == 0).select(item_label().alias("name")).distinct()
 
 
 def best_of(headers: DataFrame, sales: DataFrame, users: DataFrame) -> DataFrame:
-    """AGG-26: argmax of product (units), cashier and store (revenue), deterministic ties."""
-    it = items_of(sales.filter(_completed(True)), ("is_return",))
+    """AGG-26: argmax of product (units), cashier and store (revenue), deterministic ties; rows without a cashier or
+    store count under fixed labels."""
+    it = items_of(sales.filter(_completed(False)), ("is_return",))
     prod = it.groupBy("name").agg(F.sum("qty").alias("v")).agg(
         F.max_by("name", F.struct("v", F.col("name"))).alias("best_product"))
-    h = headers.filter(_completed(True))
-    cash = (h.groupBy("user_id").agg(F.sum("total_amount").alias("v"))
-            .join((users.select(F.col("id").alias("user_id"), "name")), "user_id", "left")
-            .agg(F.max_by("name", F.struct("v", F.col("user_id"))).alias("best_cashier")))
-    store = (h.groupBy(X.branch_label().alias("b")).agg(F.sum("total_amount").alias("v"))
+    h = headers.filter(_completed(False))
+    cash = (h.join(users.select(F.col("id").alias("user_id"), "name"), "user_id", "left")
+            .groupBy(F.coalesce("name", F.lit("Unknown")).alias("name")).agg(F.sum("total_amount").alias("v"))
+            .agg(F.max_by("name", F.struct("v", F.col("name"))).alias("best_cashier")))
+    store = (h.groupBy(F.coalesce("store_location", F.lit("Accra Main Branch")).alias("b")).agg(F.sum("total_amount").alias("v"))
              .agg(F.max_by("b", F.struct("v", F.col("b"))).alias("best_store")))
     return prod.select("best_product", cash.scalar().alias("best_cashier"), store.scalar().alias("best_store"))
 
 
 def scaled_item_revenue(sales: DataFrame, k: int = 5) -> DataFrame:
-    """AGG-25: item revenue scaled by txn total / item subtotal, top-k products."""
-    s = sales.filter(_completed(True)).withColumn("_sub", X.items_gross())
-    s = s.withColumn("_ratio", F.try_divide(F.col("total_amount").cast("double"), F.col("_sub").cast("double")))
+    """AGG-25: item revenue scaled by txn total / item subtotal where both are positive, top-k products."""
+    s = sales.filter(_completed(False)).withColumn("_sub", X.items_gross())
+    s = s.withColumn("_ratio", F.when((F.col("_sub") > 0) & (F.col("total_amount") > 0),
+                                      F.col("total_amount").cast("double") / F.col("_sub").cast("double")).otherwise(1.0))
     it = s.select("_ratio", F.explode("items").alias("i")).select(
         "_ratio", F.col("i.name").alias("name"), (F.col("i.qty") * F.col("i.price")).cast("double").alias("line"))
-    g = it.groupBy("name").agg(F.round(F.sum(F.col("line") * F.coalesce("_ratio", F.lit(1.0))), 2).alias("revenue"))
+    g = it.groupBy("name").agg(F.round(F.sum(F.col("line") * F.col("_ratio")), 2).alias("revenue"))
     return top_k(g, [F.col("revenue").desc(), F.col("name").asc()], k)
 
 

@@ -10,6 +10,7 @@ from retailkit.functions import exprs as X
 from retailkit.operators.fefo import fefo_many, fefo_single, return_restock
 from retailkit.operators.running import day_bucket, running_sum
 from retailkit.operators.topk import first_per_group
+from retailkit.operators.upsert import upsert
 from retailkit.plans.sales import items_of
 
 
@@ -115,23 +116,33 @@ def reorder_suggestions(products: DataFrame) -> DataFrame:
 
 
 def reorder_alerts(products: DataFrame) -> DataFrame:
-    """CHG-16: priority by stock level, suggested order = 2 x level (FLT-14 <= form)."""
-    lvl = F.coalesce("reorder_level", F.lit(10))
-    p = products.filter(X.low_stock_le())
-    pr = (F.when(F.coalesce("stock", F.lit(0)) <= 0, "critical")
-          .when(F.coalesce("stock", F.lit(0)) <= lvl / 2, "high").otherwise("medium"))
-    return p.select("barcode", "name", F.coalesce("stock", F.lit(0)).alias("current_stock"),
-                    lvl.alias("reorder_level"), (lvl * 2).alias("suggested_order_qty"), pr.alias("priority"))
+    """CHG-16: products at or under their level (a product without a level never alerts); suggested order = 2 x level."""
+    p = products.filter(F.col("stock") <= F.col("reorder_level"))
+    pr = F.when(F.col("stock") == 0, "Critical").when(F.col("stock") <= F.col("reorder_level"), "High").otherwise("Normal")
+    return p.select("barcode", "name", F.col("stock").alias("current_stock"), "reorder_level",
+                    (F.col("reorder_level") * 2).alias("suggested_quantity"), pr.alias("priority"))
 
 
-def duplicates(products: DataFrame, keys=("name", "category")) -> DataFrame:
+def upsert_alerts(alerts: DataFrame, found: DataFrame) -> DataFrame:
+    """The alert table after a check: known products get stock and priority, new ones a whole row, others stay."""
+    return upsert(alerts, found, ["barcode"], "partial", set_cols=("current_stock", "priority"))
+
+
+def alert_list(alerts: DataFrame, products: DataFrame) -> DataFrame:
+    """TOP-7: active alerts with their product, worst first: the rank orders by priority, then stock."""
+    rank = F.when(F.col("priority") == "Critical", 1).when(F.col("priority") == "High", 2).otherwise(3)
+    j = alerts.drop("name").join(products.select("barcode", "name", "price"), "barcode")
+    return j.select("barcode", "name", "price", "current_stock", "priority", rank.alias("priority_rank")).orderBy("priority_rank", "current_stock", "barcode")
+
+
+def duplicates(products: DataFrame, keys=("barcode", "name")) -> DataFrame:
     """AGG-22: GROUP BY key HAVING count > 1."""
     return products.groupBy(*keys).count().filter(F.col("count") > 1)
 
 
 def resync_map(products: DataFrame, default_key: str = "Main Warehouse") -> DataFrame:
-    """CHG-19: empty map -> {default_key: stock}; stock = Σ map.  Flattened entries."""
-    m = F.when(F.size("stock_levels") == 0, F.create_map(F.lit(default_key), F.col("stock"))) \
+    """CHG-19: NULL or empty map -> {default_key: stock}; stock = Σ map.  Flattened entries."""
+    m = F.when(F.col("stock_levels").isNull() | (F.size("stock_levels") == 0), F.create_map(F.lit(default_key), F.col("stock"))) \
          .otherwise(F.col("stock_levels"))
     p = products.select("barcode", m.alias("m"))
     p = p.withColumn("new_stock", X.map_total("m"))

@@ -124,11 +124,11 @@ def _credit_fold(key, pdfs, state):
         return
     pdf = pd.concat(out).sort_values(["created_at", "sale_id"], kind="mergesort")
     rows = []
-    for sid, amt, start, lim in zip(pdf["sale_id"], pdf["total_amount"], pdf["current_balance"], pdf["credit_limit"]):
+    for sid, amt, start, lim, back in zip(pdf["sale_id"], pdf["total_amount"], pdf["current_balance"], pdf["credit_limit"], pdf["is_return"]):
         if bal is None:
             bal = Decimal(start) if start is not None else Decimal(0)
-        a = Decimal(amt)
-        ok = bal + a <= (Decimal(lim) if lim is not None else Decimal(0))
+        a = -Decimal(amt) if back else Decimal(amt)
+        ok = back or bal + a <= (Decimal(lim) if lim is not None else Decimal(0))
         if ok:
             bal = bal + a
         rows.append((key[0], int(sid), bool(ok), bal.quantize(Decimal("0.01"))))
@@ -141,7 +141,7 @@ def credit_stream(headers: DataFrame, customers: DataFrame) -> DataFrame:
                        & (F.col("payment_method") == "credit"))
     c = customers.select(F.col("id").alias("customer_id"), "current_balance", "credit_limit")
     ev = s.join(c, "customer_id", "inner").select("customer_id", F.col("id").alias("sale_id"), "created_at",
-                                                   "total_amount", "current_balance", "credit_limit")
+                                                   "total_amount", "is_return", "current_balance", "credit_limit")
     return ev.groupBy("customer_id").applyInPandasWithState(
         _credit_fold, CREDIT_OUT, CREDIT_STATE, "append", GroupStateTimeout.NoTimeout)
 

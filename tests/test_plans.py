@@ -6,7 +6,7 @@ from retailkit.catalog import queries
 
 from conftest import SF_SMALL
 
-FOLDS = {"win11_credit_decisions", "win12_pos_stock_decisions", "chg28_shelf_moves", "chg10_transfer_fold"}
+FOLDS = {"win11_credit_decisions", "win12_pos_stock_decisions", "chg10_transfer_fold"}
 
 
 @pytest.mark.parametrize("name", sorted(n for n in queries() if not n.startswith("str0")))
