@@ -34,18 +34,23 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the session.
+    """The shared folder that the session names in ``spark.checkpoint.dir``, or that its SparkContext already uses.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; we only
-    pick our own (a fresh scratch folder) when that setting is absent,
-    which happens in local tests.
+    A folder of our own, on this machine, is taken only in local mode (tests, bench).  On a cluster without a named folder
+    this is an error: executors can't share a folder of the driver's machine.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext                     # classic sessions
+    except Exception:                               # Spark Connect has none; the setting must be there
+        sc = None
+    set_now = sc.getCheckpointDir() if sc is not None else None
+    d = spark.conf.get("spark.checkpoint.dir", None) or (os.path.dirname(set_now.rstrip("/")) if set_now else None)
     if not d:
+        master = sc.master if sc is not None else ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="retailkit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    try:
-        spark.sparkContext.setCheckpointDir(d)      # classic sessions
-    except Exception:                               # Spark Connect: no SparkContext; the conf is used
-        pass
+    if sc is not None and not set_now:
+        sc.setCheckpointDir(d)
     return d
