@@ -109,9 +109,8 @@ def map_total(m) -> Column:
 
 def map_add(m, delta) -> Column:
     """jsonb_set(m, k, old + n) for every key of ``delta`` (FN-21)."""
-    base = F.coalesce(col(m), F.create_map().cast("map<string,int>"))
-    d = F.coalesce(col(delta), F.create_map().cast("map<string,int>"))
-    return F.map_zip_with(base, d, lambda k, a, b: (F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))).cast("int"))
+    base, d = (F.coalesce(col(x).cast("map<string,bigint>"), F.create_map().cast("map<string,bigint>")) for x in (m, delta))
+    return F.map_zip_with(base, d, lambda k, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
 
 
 def map_clamp_negative(m) -> Column:
@@ -185,4 +184,4 @@ def action_label(c) -> Column:
     """FN-29: underscores to spaces, first letter of each word upper-cased, rest kept."""
     words = F.split(F.regexp_replace(col(c), "_", " "), " ")
     return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)),
-                                                               F.substring(w, 2, 1 << 20))), " ")
+                                                               w.substr(F.lit(2), F.length(w)))), " ")

@@ -13,7 +13,7 @@ DataFrame:
    lower(name)+lower(category) (two-stage match, JN-23: a left join, then
    the unmatched remainder joined on the second key); rows of the same
    product are folded in file order (stock summed, last row's attributes
-   win); new products get a deterministic barcode (prefix + xxhash64, FN-11);
+   win); new products get a deterministic barcode (prefix + MD5 of name and category, FN-11);
    batch rows are insert-if-new on (barcode, batch, branch); physical counts
    become count lines against the updated system stock.
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retailkit.functions.parse import clean_num, find_column, flexible_date, js_parse_int
 from retailkit.operators.upsert import upsert
@@ -51,14 +52,20 @@ PATTERNS = {
 def read_upload(spark: SparkSession, path: str, order_col: str | None = None) -> DataFrame:
     """Text-only CSV read.  Row order: ``order_col`` when the file carries a line number, else the
     file order (``monotonically_increasing_id``: partition index, then position)."""
-    df = (spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
+    data_cols = spark.read.option("header", True).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*data_cols, "_bad"]])
+    df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True)
           .option("columnNameOfCorruptRecord", "_bad").csv(path))
-    data_cols = [c for c in df.columns if c != "_bad"]
     df = df.na.fill("", subset=data_cols)
     row = F.col(f"`{order_col}`").cast("long") if order_col else F.monotonically_increasing_id()
     return df.withColumn("_row", row)
 
 
+def rejected_lines(raw: DataFrame) -> DataFrame:
+    """(_row, line) of lines whose fields don't fit the header: too many or too few."""
+    return raw.filter(F.col("_bad").isNotNull()).select("_row", F.col("_bad").alias("line"))
+
+
 def column_mapping(columns: list[str]) -> dict[str, str | None]:
     cols = [c for c in columns if c not in ("_bad", "_row")]
     # (header names only: resolved once on the driver from the schema)
@@ -102,8 +109,8 @@ def match_products(rows: DataFrame, products: DataFrame) -> DataFrame:
     s2 = rest.join(by_name, (F.lower(rest["name"]) == F.col("_ln")) & (F.lower(rest["category"]) == F.col("_lc")),
                    "left")
     prefix = F.regexp_replace(F.upper(F.substring("name", 1, 3)), "[^A-Z]", "X")
-    generated = F.concat_ws("-", prefix, (F.abs(F.xxhash64(F.lower("name"), F.lower("category"))) % 1000000)
-                            .cast("string"))
+    # 128 bits of (name, category): different products don't share a code, equal ones are one product
+    generated = F.concat_ws("-", prefix, F.md5(F.concat_ws("\x1f", F.lower("name"), F.lower("category"))))
     new_bc = F.when(F.col("barcode_provided") != "", F.col("barcode_provided")).otherwise(generated)
     s2 = s2.select(*rows.columns, F.coalesce(F.col("_b2"), new_bc).alias("barcode"),
                    F.col("_b2").isNotNull().alias("_m2"))
@@ -116,7 +123,7 @@ def bulk_apply(rows: DataFrame, products: DataFrame, batches: DataFrame, branch:
     m = match_products(rows, products)
     w = Window.partitionBy("barcode").orderBy(F.col("_row").desc())
     last = m.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk")   # last row's attributes
-    sums = m.groupBy("barcode").agg(F.sum("stock").cast("int").alias("added"))
+    sums = m.groupBy("barcode").agg(F.sum("stock").alias("added"))
     per = last.join(sums, "barcode")
     changes = per.select(
         "barcode", "name", "category", F.col("price").cast("decimal(10,2)").alias("price"),
@@ -138,8 +145,8 @@ def bulk_apply(rows: DataFrame, products: DataFrame, batches: DataFrame, branch:
         F.when(has_c, F.col("_cp")).otherwise(F.col("cost_price")).alias("cost_price"),
         (F.coalesce("stock", F.lit(0)) + F.coalesce("added", F.lit(0))).alias("stock"),
         F.when(has_c, F.map_zip_with(F.coalesce("stock_levels", F.create_map().cast("map<string,int>")), delta,
-                                     lambda k, a, b: (F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))).cast("int")))
-         .otherwise(F.col("stock_levels")).alias("stock_levels"),
+                                     lambda k, a, b: (F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))).cast("long")))
+         .otherwise(F.col("stock_levels").cast("map<string,bigint>")).alias("stock_levels"),
         F.when(has_c, F.col("_cr")).otherwise(F.col("conversion_rate")).alias("conversion_rate"),
         F.when(has_c, F.col("_rl")).otherwise(F.col("reorder_level")).alias("reorder_level"))
     nb = (m.filter(F.col("batch_number") != "")

@@ -22,7 +22,7 @@ def details_text(c="details") -> Column:
     name, bc, stock, role, email = g("name"), g("barcode"), g("stock"), g("role"), g("email")
     entries = F.map_entries(F.from_json(F.col(c), "map<string,string>"))
     generic = F.array_join(F.transform(entries, lambda e: F.concat(
-        F.upper(F.substring(e["key"], 1, 1)), F.substring(e["key"], 2, 1 << 20), F.lit(": "), e["value"])), ", ")
+        F.upper(F.substring(e["key"], 1, 1)), e["key"].substr(F.lit(2), F.length(e["key"])), F.lit(": "), e["value"])), ", ")
     return (F.when(F.col(c).isNull(), F.lit(""))
             .when(total.isNotNull() & rn.isNotNull() & ot.isNotNull(),
                   F.concat(F.lit("Return Receipt #"), rn, F.lit(", Total: -"), total, F.lit(", Items: "), ic,

@@ -170,7 +170,7 @@ def sale_deltas(sales: DataFrame, products: DataFrame) -> DataFrame:
 def stock_after(products: DataFrame, deltas: DataFrame) -> DataFrame:
     """New product snapshot: stock + Σ delta and map[branch] + Σ delta (FN-21), one shuffle per target."""
     tot = deltas.groupBy("barcode").agg(F.sum("delta").alias("d"))
-    per = deltas.groupBy("barcode", "branch").agg(F.sum("delta").cast("int").alias("d"))
+    per = deltas.groupBy("barcode", "branch").agg(F.sum("delta").cast("long").alias("d"))
     mp = per.groupBy("barcode").agg(F.map_from_entries(F.collect_list(F.struct("branch", "d"))).alias("dm"))
     j = products.select("barcode", "stock", "stock_levels").join(tot, "barcode", "left").join(mp, "barcode", "left")
     return j.select("barcode", (F.coalesce("stock", F.lit(0)) + F.coalesce("d", F.lit(0))).cast("long").alias("new_stock"),
