@@ -40,9 +40,9 @@ VIEWS["customers"] = """
 SELECT c_custkey AS id, c_name AS name,
        CASE WHEN c_custkey % 10 = 0 THEN 'ACC-' || CAST(c_custkey AS VARCHAR) ELSE CAST(c_custkey AS VARCHAR) END
          AS account_number,
-       CAST(GREATEST(c_acctbal, 0.0) AS DECIMAL(12,2)) AS credit_limit,
+       CAST(CAST(GREATEST(c_acctbal, 0.0) AS DECIMAL(12,2)) * 100 AS DECIMAL(12,2)) AS credit_limit,
        CAST(ROUND(CAST(ABS(c_acctbal) AS DECIMAL(12,2)) * 0.1, 2) AS DECIMAL(12,2)) AS current_balance,
-       CASE WHEN c_custkey % 9 = 0 THEN CAST(CAST(GREATEST(c_acctbal, 0.0) AS DECIMAL(12,2)) * 2 AS DECIMAL(12,2))
+       CASE WHEN c_custkey % 9 = 0 THEN CAST(CAST(GREATEST(c_acctbal, 0.0) AS DECIMAL(12,2)) * 200 AS DECIMAL(12,2))
        END AS pending_credit_limit,
        CASE WHEN c_custkey % 7 = 0 THEN 'Pending' ELSE 'Active' END AS status,
        c_custkey % 20 AS created_by, c_nationkey AS branch_id
@@ -136,8 +136,7 @@ SELECT l.l_orderkey AS transfer_id,
        CAST(CAST(l.l_quantity AS INTEGER) - l.l_partkey % 3 AS INTEGER) AS received_qty, l.l_shipdate AS created_at
 FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey
 LEFT JOIN customer c ON o.o_custkey = c.c_custkey
-LEFT JOIN nation nt ON c.c_nationkey = nt.n_nationkey
-WHERE l.l_linenumber = 1"""
+LEFT JOIN nation nt ON c.c_nationkey = nt.n_nationkey"""
 
 VIEWS["purchase_order_lines"] = """
 SELECT l_orderkey AS po_id, l_suppkey AS supplier_id, CAST(l_partkey AS VARCHAR) AS barcode,
@@ -173,7 +172,7 @@ SELECT event_id AS id, user_id, ts AS created_at, CAST(value AS DECIMAL(10,2)) A
 FROM events WHERE event_type = 'purchase'"""
 
 VIEWS["payments"] = """
-SELECT event_id AS id, user_id AS customer_id, CAST(value AS DECIMAL(10,2)) AS amount, ts AS payment_date
+SELECT event_id AS id, user_id AS customer_id, CAST(value AS DECIMAL(10,2)) AS amount, ts - INTERVAL 8280 DAY AS payment_date
 FROM events WHERE event_type = 'purchase'"""
 
 VIEWS["expenses"] = """

@@ -83,9 +83,7 @@ def statement_lines(ledger: DataFrame, year: int, month: int, legacy_gap: bool =
     opening = ledger.filter(before).groupBy("customer_id").agg(
         F.sum(F.col("debit") - F.col("credit")).alias("opening"))
     period = ledger.filter((F.col("date") >= s) & (F.col("date") < n))
-    w = Window.partitionBy("customer_id").orderBy(*ledger_order()).rowsBetween(Window.unboundedPreceding, 0)
-    # one month of one customer's ledger: bounded by the period, a plain window suffices
-    p = period.withColumn("run", F.sum(F.col("debit") - F.col("credit")).over(w))
+    p = running_sum(period, ["customer_id"], ledger_order(), F.col("debit") - F.col("credit"), "run", bucket=day_bucket("date"))
     j = p.join(opening, "customer_id", "left")
     return j.select("customer_id", "date", "description", "debit", "credit",
                     X.money(F.coalesce("opening", F.lit(0))).alias("opening_balance"),

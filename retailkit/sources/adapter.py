@@ -120,7 +120,7 @@ class Retail:
 
     def customers(self) -> DataFrame:
         c = self.raw("customer")
-        limit = F.greatest(c.c_acctbal, F.lit(0.0)).cast(MONEY12)
+        limit = (F.greatest(c.c_acctbal, F.lit(0.0)).cast(MONEY12) * 100).cast(MONEY12)      # in the range of sale totals
         return c.select(
             c.c_custkey.alias("id"), c.c_name.alias("name"),
             F.when(c.c_custkey % 10 == 0, F.concat(F.lit("ACC-"), c.c_custkey.cast("string")))
@@ -293,8 +293,8 @@ class Retail:
         ).withColumn("variance", F.col("physical_count") - F.col("system_count"))
 
     def transfers(self) -> DataFrame:
-        """Flat transfer lines: lineitem rows with l_linenumber = 1."""
-        l = self.raw("lineitem").filter(F.col("l_linenumber") == 1)
+        """Flat transfer lines, one per line item."""
+        l = self.raw("lineitem")
         o = self.raw("orders").select("o_orderkey", "o_custkey")
         c = self.raw("customer").select("c_custkey", "c_nationkey")
         n = self.raw("nation").select("n_nationkey", "n_name")
@@ -363,7 +363,9 @@ class Retail:
     def payments(self) -> DataFrame:
         e = self.raw("events").filter(F.col("event_type") == "purchase")
         return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("customer_id"),
-                        F.col("value").cast(MONEY).alias("amount"), F.col("ts").alias("payment_date"))
+                        F.col("value").cast(MONEY).alias("amount"),
+                        # the event month moved onto a month with sales
+                        F.timestamp_add("DAY", F.lit(-8280), F.col("ts")).alias("payment_date"))
 
     def expenses(self) -> DataFrame:
         e = self.raw("events").filter(F.col("event_type") == "error")
