@@ -8,10 +8,9 @@ the choice (T15); batches with no quantity are skipped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retailkit.operators.intervals import overlap_amounts
 from retailkit.operators.running import day_bucket, month_bucket, running_sum
 
 
@@ -33,8 +32,10 @@ def fefo_single(batches: DataFrame, demand: DataFrame) -> DataFrame:
             .withColumn("remaining", (F.col("quantity") - F.col("take")).cast("long")))
 
 
-def fefo_many(batches: DataFrame, demands: DataFrame, demand_order: list, demand_ts: str = "created_at",
-              width: int | str = "auto", materialize: bool = True) -> DataFrame:
+AXIS = 4096       # units of the cumulative axis in one bucket; a bucket holds at most one batch end and one demand end per unit
+
+
+def fefo_many(batches: DataFrame, demands: DataFrame, demand_order: list, demand_ts: str = "created_at") -> DataFrame:
     """Many demands per product in time order (``demands``: product_barcode, qty, ... ).
 
     Each demand is the interval [D_before, D_before + qty) on the product's
@@ -42,21 +43,46 @@ def fefo_many(batches: DataFrame, demands: DataFrame, demand_order: list, demand
     cumulative-supply axis; the amount a demand takes from a batch is the
     length of their overlap.  Equal to the sequential per-sale loop.
     """
-    if materialize:
-        # both inputs are read three times (row pass, bucket totals, bucket width): write their narrow
-        # projections once to the shared checkpoint folder instead of recomputing the joins upstream
-        from retailkit.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(batches.sparkSession)
-        batches = batches.checkpoint(eager=True)
-        demands = demands.checkpoint(eager=True)
     s = batches.filter(F.col("quantity") > 0)
     s = running_sum(s, ["product_barcode"], fefo_order(), "quantity", "s_hi", bucket=month_bucket("expiry_date"))
-    s = s.withColumn("s_lo", F.col("s_hi") - F.col("quantity"))
     d = demands.filter(F.col("qty") > 0)
     d = running_sum(d, ["product_barcode"], demand_order, "qty", "d_hi", bucket=day_bucket(demand_ts))
-    d = d.withColumn("d_lo", F.col("d_hi") - F.col("qty"))
-    pairs = overlap_amounts(d, s, "product_barcode", "d_lo", "d_hi", "s_lo", "s_hi", width=width)
-    return pairs.withColumnRenamed("overlap", "take")
+    return merged_axis(d, s, "product_barcode", "d_hi", "s_hi").withColumnRenamed("length", "take")
+
+
+def merged_axis(left: DataFrame, right: DataFrame, key: str, left_hi: str, right_hi: str) -> DataFrame:
+    """Overlaps of two sets of intervals that each cover a key's axis from 0 without gaps, given by their upper ends.
+
+    The ends of both sides cut the axis into steps; a step belongs to the interval of either side that ends next at or after
+    it.  One shuffle of the ends on (key, bucket of the axis), a pass from high to low inside each bucket that carries the
+    next interval of either side, and one row per bucket that hands the carried intervals on to lower buckets.  Ends are
+    distinct whole numbers on each side, so a bucket is bounded whatever a key's share of the rows.
+    Returns key, the other columns of both sides, and ``length``.
+    """
+    lc, rc = [c for c in left.columns if c != key], [c for c in right.columns if c != key]
+    l_type, r_type = F.struct(F.col(left_hi).alias("_hi"), *lc), F.struct(F.col(right_hi).alias("_hi"), *rc)
+    a = left.select(key, F.col(left_hi).cast("long").alias("_p"), l_type.alias("_l"))
+    b = right.select(key, F.col(right_hi).cast("long").alias("_p"), r_type.alias("_r"))
+    ends = a.unionByName(b, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_p") / AXIS)).repartition(key, "_b")
+    down = Window.partitionBy(key, "_b").orderBy(F.col("_p").desc(), F.col("_l").isNull())
+    carried = down.rowsBetween(Window.unboundedPreceding, 0)
+    steps = (ends.withColumn("_nl", F.last("_l", ignorenulls=True).over(carried)).withColumn("_nr", F.last("_r", ignorenulls=True).over(carried))
+             .withColumn("_q", F.lead("_p").over(down)))
+    ends_of = _bucket_ends(ends, key)
+    up = Window.partitionBy(key).orderBy(F.col("_b").desc())
+    above = up.rowsBetween(Window.unboundedPreceding, -1)
+    hand = ends_of.select(key, "_b", F.last("_fl", ignorenulls=True).over(above).alias("_al"), F.last("_fr", ignorenulls=True).over(above).alias("_ar"),
+                          F.lead("_top").over(up).alias("_below"))
+    j = steps.join(hand, [key, "_b"])
+    out = j.select(key, F.coalesce("_nl", "_al").alias("_l"), F.coalesce("_nr", "_ar").alias("_r"),
+                   (F.col("_p") - F.coalesce("_q", "_below", F.lit(0))).alias("length"))
+    out = out.filter(F.col("_l").isNotNull() & F.col("_r").isNotNull() & (F.col("length") > 0))
+    return out.select(key, *[F.col(f"_l.{c}").alias(c) for c in lc], *[F.col(f"_r.{c}").alias(c) for c in rc], "length")
+
+
+def _bucket_ends(ends: DataFrame, key: str) -> DataFrame:
+    """Per bucket the lowest interval of either side and the highest end."""
+    return ends.groupBy(key, "_b").agg(F.min("_l").alias("_fl"), F.min("_r").alias("_fr"), F.max("_p").alias("_top"))
 
 
 def return_restock(batches: DataFrame, returns: DataFrame) -> DataFrame:

@@ -17,7 +17,9 @@ from retailkit.plans.sales import items_of
 # -- audit (RPT-33, JN-17, FN-29, FN-30, WIN-10) ----------------------------------
 def details_text(c="details") -> Column:
     """FN-30: probe known keys of the JSON details, else generic 'Key: value, ...'."""
-    g = lambda k: F.get_json_object(F.col(c), f"$.{k}")
+    fields = ("total", "receiptNumber", "originalTransactionId", "itemCount", "name", "barcode", "stock", "role", "email")
+    known = F.from_json(F.col(c), ", ".join(f"{k} STRING" for k in fields))
+    g = known.getField
     total, rn, ot, ic = g("total"), g("receiptNumber"), g("originalTransactionId"), g("itemCount")
     name, bc, stock, role, email = g("name"), g("barcode"), g("stock"), g("role"), g("email")
     entries = F.map_entries(F.from_json(F.col(c), "map<string,string>"))

@@ -3,7 +3,7 @@ FEFO allocation, audit before/after, stock posting and map maintenance."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retailkit.functions import exprs as X
@@ -159,11 +159,14 @@ def clean_negative(products: DataFrame) -> DataFrame:
 
 # -- posting of sales (CHG-1..5) -------------------------------------------------
 def sale_deltas(sales: DataFrame, products: DataFrame) -> DataFrame:
-    """CHG-1/3: signed stock delta per sale line; a sale with any unknown barcode is rejected whole."""
+    """CHG-1/3: signed stock delta per sale line with the product's opening stock; a sale with any unknown barcode is
+    rejected whole (a test inside the sale, after one join with the products)."""
     it = items_of(sales).select("id", "is_return", "created_at", X.branch_label().alias("branch"), "pos",
                                 "barcode", "qty")
-    unknown = it.join(products.select("barcode"), "barcode", "left_anti").select("id").distinct()
-    ok = it.join(unknown, "id", "left_anti")
+    known = products.groupBy("barcode").agg(F.min_by(F.coalesce("stock", F.lit(0)), "id").alias("opening"))
+    j = it.join(known, "barcode", "left")
+    whole = F.min(F.col("opening").isNotNull()).over(Window.partitionBy("id"))
+    ok = j.withColumn("_ok", whole).filter("_ok").drop("_ok")
     return ok.withColumn("delta", F.when(F.col("is_return"), F.col("qty")).otherwise(-F.col("qty")))
 
 
@@ -179,7 +182,7 @@ def stock_after(products: DataFrame, deltas: DataFrame) -> DataFrame:
 
 def audit_rows(deltas: DataFrame, products: DataFrame) -> DataFrame:
     """WIN-9 / CHG-5: quantity before and after each posting, per product in time order."""
-    d = deltas.join(products.select("barcode", F.coalesce("stock", F.lit(0)).alias("opening")), "barcode", "inner")
+    d = deltas if "opening" in deltas.columns else deltas.join(products.select("barcode", F.coalesce("stock", F.lit(0)).alias("opening")), "barcode")
     order = [F.col("created_at"), F.col("id"), F.col("pos"), F.col("qty")]
     d = running_sum(d, ["barcode"], order, "delta", "run", bucket=day_bucket("created_at"))
     return d.select(F.col("id").alias("reference_id"), "pos", "barcode",

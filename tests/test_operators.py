@@ -13,6 +13,7 @@ from retailkit.operators.running import day_bucket, running_sum
 from retailkit.operators.sequence import global_row_number
 from retailkit.operators.topk import first_per_group, top_k_per_group
 from retailkit.operators.upsert import upsert
+from retailkit.operators import fefo
 from retailkit.operators.fefo import fefo_many, fefo_single
 
 T0 = dt.datetime(2024, 1, 1)
@@ -69,7 +70,7 @@ def _fefo_loop(batches, demands):
     return out
 
 
-def test_fefo_many_equals_sequential_loop(spark):
+def test_fefo_many_equals_sequential_loop(spark, monkeypatch):
     rnd = random.Random(3)
     batches, demands = [], []
     for p in range(6):
@@ -83,8 +84,9 @@ def test_fefo_many_equals_sequential_loop(spark):
                                          "branch_id INT, quantity INT")
     ddf = spark.createDataFrame(demands, "sale_id LONG, pos INT, product_barcode STRING, qty INT, created_at TIMESTAMP_NTZ")
     exp = _fefo_loop(batches, demands)
-    for width in (7, "auto"):
-        got = fefo_many(bdf, ddf, [F.col("created_at"), F.col("sale_id"), F.col("pos"), F.col("qty")], width=width)
+    for axis in (3, 7, 50, 4096):             # buckets smaller and larger than the intervals
+        monkeypatch.setattr(fefo, "AXIS", axis)
+        got = fefo_many(bdf, ddf, [F.col("created_at"), F.col("sale_id"), F.col("pos"), F.col("qty")])
         got = {(r["sale_id"], r["pos"], r["batch_number"], r["branch_id"]): r["take"] for r in got.collect()}
         assert got == exp
 
