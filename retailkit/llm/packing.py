@@ -18,8 +18,11 @@ own.  An empty table gives an empty one; extra columns are ignored.  Texts of an
 from __future__ import annotations
 
 import heapq
+import json
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailkit.llm.bpe import TextEncoder
+from retailkit.llm.bpe import SPLIT, TextEncoder, byte_symbols
 from retailkit.llm.common import read_table, record_batch
 
 LENGTH, LINEAR, QUADRATIC = 1024, 1.0, 1.0 / 1024
@@ -75,6 +78,30 @@ def pack(lengths: list[int], length: int = LENGTH, linear: float = LINEAR, quadr
     return out
 
 
+def fast_encoder(path: str) -> TextEncoder:
+    """The ids that the tokenizers library gives for the vocabulary file; stretches between spaces are remembered.
+
+    New stretches go through tiktoken's merge loop, which wants merges ranked as ids; a file that isn't like that
+    is encoded by the tokenizers library itself."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    symbol, added = byte_symbols(), {a["content"]: a["id"] for a in d["added_tokens"]}
+    vocab, merges = d["model"]["vocab"], d["model"]["merges"]
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+    if made != sorted(made) or len(vocab) != len(made) + 256 + sum(t in vocab for t in added):
+        return library_encoder(path)
+    import tiktoken
+    ranks = {bytes(symbol[c] for c in t): i for t, i in vocab.items() if t not in added}
+    encode = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return TextEncoder(lambda xs: [little(array("I", encode(x))) for x in xs], added)
+
+
+def little(ids: array) -> bytes:
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
+
+
 def library_encoder(path: str) -> TextEncoder:
     """Ids by the tokenizers library; stretches between spaces are remembered."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -101,7 +128,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, length: int = LE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _LOADED:
-            _LOADED[path] = library_encoder(path)
+            _LOADED[path] = fast_encoder(path)
         encode, end = _LOADED[path].encode, end_id.to_bytes(4, "little")
         block, tokens, first = [], 0, TaskContext.get().partitionId() << 40
         for b in batches:

@@ -189,6 +189,15 @@ def test_packing_covers_every_id_once(spark, library):
     assert packing.pack_documents(edge(spark).limit(0), VOCAB).count() == 0
 
 
+def test_fast_encoder_equals_library(spark, library):
+    fast, plain = packing.fast_encoder(VOCAB), packing.library_encoder(VOCAB)
+    rnd = random.Random(12)
+    texts = [r.text or "" for r in small(spark).collect()] + [r[1] or "" for r in EDGE]
+    texts += ["".join(rnd.choice("ab  \n\t'sé漢1.\x1c\u3000") for _ in range(rnd.randint(0, 40))) for _ in range(500)]
+    for t in texts:
+        assert fast.encode(t) == plain.encode(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_pack_is_balanced_and_exact():
     rnd = random.Random(4)
     lengths = [rnd.choice([1, 5, 300, 700, 1024, 5000]) for _ in range(400)]
