@@ -23,7 +23,7 @@ LEFT JOIN (SELECT product_barcode, COUNT(*) AS n, MIN(expiry_date) AS next_expir
            WHERE status = 'Active' GROUP BY product_barcode) bc ON bc.product_barcode = p.barcode""")
 def rpt21_inventory_list(spark, d):
     r = Retail(spark, d)
-    return K.inventory_list(r.products(), r.batches(), ALIASES)
+    return K.inventory_list(r.products(), r.batches(by_product=True), ALIASES)
 
 
 NEG_SQL = """

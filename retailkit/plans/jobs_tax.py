@@ -56,19 +56,20 @@ def agg27_tax_rollup(spark, d):
 
 
 @job("rpt14_transaction_tax", """
-WITH vat AS (SELECT COALESCE(MAX(CAST(vat_rate AS DOUBLE)), 15.0) AS vat FROM settings WHERE branch_id = 1),
+WITH one AS (SELECT MAX(CAST(vat_rate AS DOUBLE)) AS v FROM settings WHERE branch_id = 1),
 tx AS (SELECT sale_id, SUM(CAST(amount AS DOUBLE)) AS t FROM sale_taxes GROUP BY sale_id),
-x AS (SELECT s.id, s.total_amount, vat.vat,
-             CASE WHEN s.id % 3 = 0 THEN CAST(s.total_amount AS DOUBLE)
-                                         - CAST(s.total_amount AS DOUBLE) / (1 + vat.vat / 100)
-                  ELSE COALESCE(tx.t, 0.0) END AS tax
-      FROM sales s CROSS JOIN vat LEFT JOIN tx ON tx.sale_id = s.id)
+r AS (SELECT s.id, s.total_amount, COALESCE(CAST(st.vat_rate AS DOUBLE), one.v, 15.0) AS vat
+      FROM sales s CROSS JOIN one LEFT JOIN users u ON u.id = s.user_id
+      LEFT JOIN settings st ON st.branch_id = COALESCE(u.branch_id, 1)),
+x AS (SELECT r.*, CASE WHEN r.id % 3 = 0 THEN CAST(r.total_amount AS DOUBLE) - CAST(r.total_amount AS DOUBLE) / (1 + r.vat / 100)
+                       ELSE COALESCE(tx.t, 0.0) END AS tax
+      FROM r LEFT JOIN tx ON tx.sale_id = r.id)
 SELECT id, total_amount, ROUND(tax, 2) AS total_tax, ROUND(CAST(total_amount AS DOUBLE) - tax, 2) AS subtotal,
        CASE WHEN id % 3 = 0 THEN 'VAT (' || CAST(vat AS VARCHAR) || '%)' ELSE 'stored' END AS source
 FROM x""")
 def rpt14_transaction_tax(spark, d):
     r = Retail(spark, d)
-    return TX.transaction_tax(r.sales(), r.settings())
+    return TX.transaction_tax(r.sales(), r.settings(), r.users())
 
 
 @job("agg29_company_tax_report", """
@@ -86,11 +87,11 @@ WITH b AS (SELECT CAST(id AS INTEGER) AS branch_id FROM branches),
 rules AS (SELECT branch_id AS rb, name, CAST(rate AS DOUBLE) AS rate FROM tax_rules WHERE status = 'Active'),
 own AS (SELECT b.branch_id, r.name, r.rate FROM b JOIN rules r ON r.rb = b.branch_id OR r.rb = 1),
 vat AS (SELECT b.branch_id, 'VAT' AS name,
-               COALESCE(CAST(st.vat_rate AS DOUBLE),
-                        (SELECT MAX(CAST(vat_rate AS DOUBLE)) FROM settings WHERE branch_id = 1), 15.0) AS rate
+               CASE WHEN st.branch_id IS NOT NULL THEN CAST(st.vat_rate AS DOUBLE)
+                    ELSE (SELECT MAX(CAST(vat_rate AS DOUBLE)) FROM settings WHERE branch_id = 1) END AS rate
         FROM b LEFT JOIN settings st ON st.branch_id = b.branch_id
         WHERE b.branch_id NOT IN (SELECT branch_id FROM own WHERE UPPER(name) = 'VAT'))
-SELECT * FROM vat UNION ALL SELECT * FROM own""")
+SELECT * FROM vat WHERE rate > 0 UNION ALL SELECT * FROM own""")
 def rpt35_active_taxes(spark, d):
     r = Retail(spark, d)
     return TX.active_taxes(r.tax_rules(), r.branches(), r.settings())

@@ -28,52 +28,55 @@ def system_vat(settings: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.col("vat_rate").cast("double")), F.lit(15.0)).alias("vat"))
 
 
-def tax_amounts(headers_with_tax: DataFrame, settings: DataFrame, start=None, end=None, as_of=None) -> DataFrame:
-    """Per (branch label, tax name): amount.  One pass over the sales:
-    legacy rows (NULL breakdown) get VAT = gross - gross/(1+rate) on the branch gross (T13),
-    others contribute their breakdown entries (JN-9 explode)."""
+def _period(start=None, end=None, as_of=None):
     f = F.col("status") == "completed"
     if start is not None and end is not None:
-        f = f & (F.col("created_at") >= X.lit_ts(start)) & (F.col("created_at") <= X.day_end_inclusive(end))
-    else:
-        f = f & (F.col("created_at") >= X.month_start(as_of).cast("timestamp_ntz"))
-    s = headers_with_tax.filter(f).select(X.branch_label().alias("branch"), "total_amount", "tax_breakdown")
-    legacy = (s.filter(F.col("tax_breakdown").isNull()).groupBy("branch")
-              .agg(F.sum("total_amount").alias("lg")).withColumn("vat", system_vat(settings).scalar())
-              .select("branch", F.lit("VAT").alias("tax_name"),
-                      (F.col("lg").cast("double") - F.col("lg").cast("double") / (1 + F.col("vat") / 100)).alias("amount")))
-    stored = (s.filter(F.col("tax_breakdown").isNotNull())
-              .select("branch", F.explode("tax_breakdown").alias("t"))
-              .groupBy("branch", F.col("t.name").alias("tax_name"))
-              .agg(F.sum("t.amount").cast("double").alias("amount")))
-    return legacy.unionByName(stored).groupBy("branch", "tax_name").agg(F.sum("amount").alias("amount"))
+        return f & (F.col("created_at") >= X.lit_ts(start)) & (F.col("created_at") <= X.day_end_inclusive(end))
+    return f & (F.col("created_at") >= X.month_start(as_of).cast("timestamp_ntz"))
+
+
+def tax_sums(headers_with_tax: DataFrame, settings: DataFrame, **period) -> DataFrame:
+    """(branch, kind, tax_name, amount) in one pass and one grouping over the sales.
+
+    Every sale gives a ``gross`` row; a legacy one (NULL breakdown) also its gross for the VAT formula, which is applied to
+    the branch's legacy gross (T13); others their breakdown entries (JN-9 explode)."""
+    def entry(kind, name, amount):
+        return F.struct(F.lit(kind).alias("kind"), name.cast("string").alias("name"), amount.cast("decimal(18,2)").alias("amount"))
+    total, none = F.col("total_amount"), F.lit(None)
+    stored = F.transform("tax_breakdown", lambda t: entry("tax", t["name"], t["amount"]))
+    rows = F.concat(F.array(entry("gross", none, total)),
+                    F.when(F.col("tax_breakdown").isNull(), F.array(entry("legacy", F.lit("VAT"), total))).otherwise(stored))
+    s = headers_with_tax.filter(_period(**period)).select(X.branch_label().alias("branch"), F.explode(rows).alias("e"))
+    g = s.groupBy("branch", F.col("e.kind").alias("kind"), F.col("e.name").alias("tax_name")).agg(F.sum("e.amount").alias("sum"))
+    g = g.withColumn("sum", F.col("sum").cast("double")).withColumn("vat", system_vat(settings).scalar())
+    amount = F.when(F.col("kind") == "legacy", F.col("sum") - F.col("sum") / (1 + F.col("vat") / 100)).otherwise(F.col("sum"))
+    return g.select("branch", "kind", "tax_name", amount.alias("amount"))
+
+
+def tax_amounts(headers_with_tax: DataFrame, settings: DataFrame, **period) -> DataFrame:
+    """Per (branch label, tax name): amount."""
+    g = tax_sums(headers_with_tax, settings, **period).filter(F.col("kind") != "gross")
+    return g.groupBy("branch", "tax_name").agg(F.sum("amount").alias("amount"))
 
 
 def tax_report(headers_with_tax: DataFrame, settings: DataFrame, **period) -> DataFrame:
     """RPT-16: gross, total tax (all names, T13) and net per branch label."""
-    f = F.col("status") == "completed"
-    if period.get("start") is not None:
-        f = f & (F.col("created_at") >= X.lit_ts(period["start"])) & \
-            (F.col("created_at") <= X.day_end_inclusive(period["end"]))
-    else:
-        f = f & (F.col("created_at") >= X.month_start(period["as_of"]).cast("timestamp_ntz"))
-    gross = headers_with_tax.filter(f).groupBy(X.branch_label().alias("branch")).agg(
-        F.sum("total_amount").alias("gross"))
-    tax = tax_amounts(headers_with_tax, settings, **period).groupBy("branch").agg(F.sum("amount").alias("tax"))
-    j = gross.join(tax, "branch", "left")
+    gross = F.col("kind") == "gross"
+    j = tax_sums(headers_with_tax, settings, **period).groupBy("branch").agg(
+        F.sum(F.when(gross, F.col("amount"))).alias("gross"), F.sum(F.when(~gross, F.col("amount"))).alias("tax"))
     t = F.coalesce("tax", F.lit(0.0))
     return j.select("branch", X.money("gross").alias("gross_revenue"), F.round(t, 2).alias("total_tax"),
-                    F.round(F.col("gross").cast("double") - t, 2).alias("net_revenue"))
+                    F.round(F.col("gross") - t, 2).alias("net_revenue"))
 
 
 def tax_by_rule(headers_with_tax: DataFrame, settings: DataFrame, tax_rules: DataFrame, **period) -> DataFrame:
     """AGG-28: one column per report rule, as rows (branch, rule, amount; 0 when absent).
 
-    Each branch's amounts (a handful of tax names) become one small map, and the rule list (one
-    bounded array value) is exploded against it, so the amounts are computed once."""
+    Each branch's amounts (a handful of tax names; a missing name counts as "") become one small map, and the rule list, a
+    configuration of a few rules, is exploded against it, so the amounts are computed once."""
     amounts = tax_amounts(headers_with_tax, settings, **period)
     per_branch = amounts.groupBy("branch").agg(
-        F.map_from_entries(F.collect_list(F.struct("tax_name", "amount"))).alias("m"))
+        F.map_from_entries(F.collect_list(F.struct(F.coalesce("tax_name", F.lit("")).alias("k"), "amount"))).alias("m"))
     rules = report_rules(tax_rules, settings).select(F.col("name").alias("tax_name"), "rate").distinct()
     rule_list = rules.agg(F.array_sort(F.collect_list(F.struct("tax_name", "rate")))).scalar()
     grid = per_branch.select("branch", "m", F.explode(rule_list).alias("r"))
@@ -95,11 +98,14 @@ def tax_rollup(headers_with_tax: DataFrame, **period) -> DataFrame:
                     "gross", "stored_tax")
 
 
-def transaction_tax(headers_with_tax: DataFrame, settings: DataFrame) -> DataFrame:
-    """RPT-14 for every sale: stored breakdown when not NULL (even empty), else VAT back-calculated
-    at the branch-1 rate (FN-27); amounts as the reference's floats, rounded to cents."""
-    vat = system_vat(settings)
-    s = headers_with_tax.select("id", "total_amount", "tax_breakdown").withColumn("vat", vat.scalar())
+def transaction_tax(headers_with_tax: DataFrame, settings: DataFrame, users: DataFrame) -> DataFrame:
+    """RPT-14 for every sale: stored breakdown when not NULL (even empty), else VAT back-calculated at the rate of the
+    cashier's branch, else branch 1's, else 15 (FN-27); amounts as the reference's floats, rounded to cents."""
+    rate = settings.select(F.col("branch_id").alias("_branch"), F.col("vat_rate").cast("double").alias("own"))
+    first = settings.filter(F.col("branch_id") == 1).agg(F.max(F.col("vat_rate").cast("double")).alias("v")).scalar()
+    staff = users.select(F.col("id").alias("user_id"), F.coalesce("branch_id", F.lit(1)).alias("_branch")).join(rate, "_branch", "left")
+    s = (headers_with_tax.select("id", "user_id", "total_amount", "tax_breakdown").join(staff.select("user_id", "own"), "user_id", "left")
+         .withColumn("vat", F.coalesce("own", first, F.lit(15.0))))
     stored = F.aggregate(_taxes(), F.lit(0.0),
                          lambda a, t: a + t["amount"].cast("double"))
     total = F.col("total_amount").cast("double")
@@ -120,19 +126,17 @@ def company_tax_report(invoices: DataFrame, start, end) -> DataFrame:
 
 
 def active_taxes(tax_rules: DataFrame, branches: DataFrame, settings: DataFrame) -> DataFrame:
-    """RPT-35 / SET-4 / JN-18 for every branch: Active rules of the branch or branch 1; a VAT row
-    at the branch's own rate (else branch 1's, else 15) is prepended when no rule is named VAT."""
+    """RPT-35 / SET-4 / JN-18 for every branch: Active rules of the branch or branch 1; a VAT row at the branch's own rate
+    (else branch 1's) is prepended when that rate is positive and no rule is named VAT."""
     b = branches.select(F.col("id").cast("int").alias("branch_id"))
     rules = tax_rules.filter(F.col("status") == "Active").select(
         F.col("branch_id").alias("rb"), "name", F.col("rate").cast("double").alias("rate"))
-    rule_list = rules.agg(F.collect_list(F.struct("rb", "name", "rate"))).scalar()    # a few active rules
-    own = (b.select("branch_id", F.explode(rule_list).alias("r")).select("branch_id", "r.*")
-           .filter((F.col("rb") == F.col("branch_id")) | (F.col("rb") == 1)).select("branch_id", "name", "rate"))
-    s1 = settings.filter(F.col("branch_id") == 1).select(F.col("vat_rate").cast("double").alias("v1"))
-    own_rate = settings.select(F.col("branch_id"), F.col("vat_rate").cast("double").alias("v"))
-    vat = (b.join(F.broadcast(own_rate), "branch_id", "left")
-           .select("branch_id", F.lit("VAT").alias("name"),
-                   F.coalesce("v", s1.agg(F.max("v1")).scalar(), F.lit(15.0)).alias("rate")))
+    keys = b.select("branch_id", F.explode(F.array_distinct(F.array("branch_id", F.lit(1)))).alias("rb"))
+    own = keys.join(rules, "rb").select("branch_id", "name", "rate")
+    first = settings.filter(F.col("branch_id") == 1).agg(F.max(F.col("vat_rate").cast("double")).alias("v")).scalar()
+    rate = settings.select("branch_id", F.col("vat_rate").cast("double").alias("v"), F.lit(True).alias("_set"))
+    vat = (b.join(rate, "branch_id", "left")
+           .select("branch_id", F.lit("VAT").alias("name"), F.when(F.col("_set"), F.col("v")).otherwise(first).alias("rate")))
     has_vat = own.filter(F.upper("name") == "VAT").select("branch_id").distinct()
-    vat = vat.join(has_vat, "branch_id", "left_anti")
+    vat = vat.filter(F.col("rate") > 0).join(has_vat, "branch_id", "left_anti")
     return vat.unionByName(own)
