@@ -202,11 +202,13 @@ def chg20_clean_negative(spark, d):
     return K.clean_negative(Retail(spark, d).products())
 
 
-DELTAS = """deltas AS (
-  SELECT i.id, i.pos, i.barcode, i.qty, i.created_at, i.is_return,
-         COALESCE(i.store_location, 'Main Branch') AS branch,
+DELTAS = """given AS (SELECT given, arg_min(name, rank * 1000000 + id) AS name FROM (
+           SELECT name AS given, name, 0 AS rank, id FROM branches UNION ALL SELECT location, name, 1, id FROM branches) GROUP BY given),
+deltas AS (
+  SELECT i.id, i.pos, i.barcode, i.qty, i.created_at, i.is_return, i.user_id,
+         COALESCE(g.name, i.store_location, 'Main Warehouse') AS branch,
          CASE WHEN i.is_return THEN i.qty ELSE -i.qty END AS delta
-  FROM sale_items i WHERE i.barcode IN (SELECT barcode FROM products))"""
+  FROM sale_items i LEFT JOIN given g ON g.given = i.store_location WHERE i.barcode IN (SELECT barcode FROM products))"""
 
 
 @job("chg01_stock_after_sales", f"""
@@ -216,20 +218,20 @@ FROM products p LEFT JOIN (SELECT barcode, SUM(delta) AS d FROM deltas GROUP BY
 def chg01_stock_after_sales(spark, d):
     r = Retail(spark, d)
     p = r.products()
-    return K.stock_after(p, K.sale_deltas(r.sale_items(), p)).select("barcode", "new_stock")
+    return K.stock_after(p, K.sale_deltas(r.sale_items(), p, r.branches())).select("barcode", "new_stock")
 
 
 @job("chg01_map_after_sales", f"""
 WITH {DELTAS},
 dm AS (SELECT barcode, branch, SUM(delta) AS d FROM deltas GROUP BY barcode, branch)
 SELECT COALESCE(s.barcode, dm.barcode) AS barcode, COALESCE(s.branch, dm.branch) AS branch,
-       CAST(COALESCE(s.qty, 0) + COALESCE(dm.d, 0) AS INTEGER) AS qty
+       CAST(COALESCE(s.qty, 0) + COALESCE(dm.d, 0) AS BIGINT) AS qty
 FROM stock_levels s FULL OUTER JOIN dm ON s.barcode = dm.barcode AND s.branch = dm.branch""")
 def chg01_map_after_sales(spark, d):
     from pyspark.sql import functions as F
     r = Retail(spark, d)
     p = r.products()
-    snap = K.stock_after(p, K.sale_deltas(r.sale_items(), p))
+    snap = K.stock_after(p, K.sale_deltas(r.sale_items(), p, r.branches()))
     return snap.select("barcode", F.explode("stock_levels").alias("branch", "qty"))
 
 
@@ -243,7 +245,7 @@ WINDOW w AS (PARTITION BY d.barcode ORDER BY d.created_at, d.id, d.pos, d.qty RO
 def win09_sale_audit(spark, d):
     r = Retail(spark, d)
     p = r.products()
-    return K.audit_rows(K.sale_deltas(r.sale_items(), p), p)
+    return K.audit_rows(K.sale_deltas(r.sale_items(), p, r.branches()), p)
 
 
 @job("win02_fefo_single", f"""

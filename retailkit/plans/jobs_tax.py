@@ -73,13 +73,19 @@ def rpt14_transaction_tax(spark, d):
 
 
 @job("agg29_company_tax_report", """
-SELECT CAST(COALESCE(SUM(total_amount), 0) AS DECIMAL(18,2)) AS gross,
-       CAST(COALESCE(SUM(tax_amount), 0) AS DECIMAL(18,2)) AS tax,
-       CAST(COALESCE(SUM(subtotal), 0) AS DECIMAL(18,2)) AS net, COUNT(*) AS invoices
-FROM invoices WHERE kind = 'sales' AND issue_date >= TIMESTAMP '2000-01-01 00:00:00'
-  AND issue_date <= CAST(DATE '2000-12-31' AS TIMESTAMP) + INTERVAL 1 DAY - INTERVAL 1 SECOND""")
+WITH ct AS (SELECT company_id, total_amount AS amount, issue_date AS transaction_date, CASE WHEN id % 8 <> 0 THEN id END AS invoice_id
+            FROM invoices WHERE kind = 'sales')
+SELECT CAST(COALESCE(SUM(ct.amount), 0) AS DECIMAL(18,2)) AS gross_sales,
+       CAST(COALESCE(SUM(COALESCE(si.tax_amount, 0)), 0) AS DECIMAL(18,2)) AS total_tax,
+       CAST(COALESCE(SUM(ct.amount - COALESCE(si.tax_amount, 0)), 0) AS DECIMAL(18,2)) AS net_sales, COUNT(*) AS transactions
+FROM ct LEFT JOIN invoices si ON si.id = ct.invoice_id
+WHERE ct.company_id = (SELECT MIN(company_id) FROM ct) AND ct.transaction_date >= TIMESTAMP '2000-01-01 00:00:00'
+  AND ct.transaction_date <= CAST(DATE '2000-12-31' AS TIMESTAMP) + INTERVAL 1 DAY - INTERVAL 1 SECOND""")
 def agg29_company_tax_report(spark, d):
-    return TX.company_tax_report(Retail(spark, d).invoices(), **PERIOD)
+    i = Retail(spark, d).invoices()
+    ct = i.filter("kind = 'sales'").selectExpr("company_id", "total_amount AS amount", "issue_date AS transaction_date",
+                                               "CASE WHEN id % 8 <> 0 THEN id END AS invoice_id")     # some without an invoice
+    return TX.company_tax_report(ct, i, **PERIOD)
 
 
 @job("rpt35_active_taxes", """

@@ -158,11 +158,22 @@ def clean_negative(products: DataFrame) -> DataFrame:
 
 
 # -- posting of sales (CHG-1..5) -------------------------------------------------
-def sale_deltas(sales: DataFrame, products: DataFrame) -> DataFrame:
+def stock_key(sales: DataFrame, branches: DataFrame | None) -> DataFrame:
+    """Adds ``branch``, the key of the stock map that a sale posts to: the branch whose name or location the sale carries
+    (by name first), else what it carries, else the main warehouse."""
+    label = F.coalesce("store_location", F.lit("Main Warehouse"))
+    if branches is None:
+        return sales.withColumn("branch", label)
+    names = branches.select(F.col("name").alias("_given"), F.col("name").alias("_name"), F.lit(0).alias("_rank"), "id")
+    places = branches.select(F.col("location").alias("_given"), F.col("name").alias("_name"), F.lit(1).alias("_rank"), "id")
+    known = names.unionByName(places).groupBy("_given").agg(F.min_by("_name", F.struct("_rank", "id")).alias("_name"))
+    return sales.join(known, F.col("store_location") == F.col("_given"), "left").withColumn("branch", F.coalesce("_name", label)).drop("_given", "_name")
+
+
+def sale_deltas(sales: DataFrame, products: DataFrame, branches: DataFrame | None = None) -> DataFrame:
     """CHG-1/3: signed stock delta per sale line with the product's opening stock; a sale with any unknown barcode is
     rejected whole (a test inside the sale, after one join with the products)."""
-    it = items_of(sales).select("id", "is_return", "created_at", X.branch_label().alias("branch"), "pos",
-                                "barcode", "qty")
+    it = stock_key(items_of(sales), branches).select("id", "is_return", "created_at", "branch", "pos", "barcode", "qty")
     known = products.groupBy("barcode").agg(F.min_by(F.coalesce("stock", F.lit(0)), "id").alias("opening"))
     j = it.join(known, "barcode", "left")
     whole = F.min(F.col("opening").isNotNull()).over(Window.partitionBy("id"))

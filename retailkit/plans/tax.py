@@ -116,13 +116,15 @@ def transaction_tax(headers_with_tax: DataFrame, settings: DataFrame, users: Dat
                                                                       F.lit("%)"))).otherwise("stored").alias("source"))
 
 
-def company_tax_report(invoices: DataFrame, start, end) -> DataFrame:
-    """AGG-29: gross, tax, net over sales invoices in a period (NULL -> 0)."""
-    f = (F.col("kind") == "sales") & (F.col("issue_date") >= X.lit_ts(start)) & \
-        (F.col("issue_date") <= X.day_end_inclusive(end))
-    i = invoices.filter(f)
-    return i.agg(X.money_sum("total_amount", zero=True).alias("gross"), X.money_sum("tax_amount", zero=True).alias("tax"),
-                 X.money_sum("subtotal", zero=True).alias("net"), F.count(F.lit(1)).alias("invoices"))
+def company_tax_report(transactions: DataFrame, invoices: DataFrame, start, end) -> DataFrame:
+    """AGG-29 / JN-22: gross, tax and net of the first company's transactions in a period; the tax is that of the
+    transaction's invoice, 0 without one."""
+    first = transactions.agg(F.min("company_id").alias("c")).scalar()
+    f = (F.col("company_id") == first) & (F.col("transaction_date") >= X.lit_ts(start)) & (F.col("transaction_date") <= X.day_end_inclusive(end))
+    i = invoices.select(F.col("id").alias("invoice_id"), "tax_amount")
+    j = transactions.filter(f).join(i, "invoice_id", "left").withColumn("_tax", F.coalesce("tax_amount", F.lit(0)))
+    return j.agg(X.money_sum("amount", zero=True).alias("gross_sales"), X.money_sum("_tax", zero=True).alias("total_tax"),
+                 X.money_sum(F.col("amount") - F.col("_tax"), zero=True).alias("net_sales"), F.count(F.lit(1)).alias("transactions"))
 
 
 def active_taxes(tax_rules: DataFrame, branches: DataFrame, settings: DataFrame) -> DataFrame:
