@@ -164,22 +164,7 @@ def expiry_status(expiry="expiry_date", as_of=None) -> Column:
             .otherwise(F.lit("OK")))
 
 
-# -- tax (FN-27) --------------------------------------------------------------
-def vat_from_gross(gross, rate_pct) -> Column:
-    """gross - gross / (1 + r/100), rounded to cents; computed in DOUBLE then rounded."""
-    g = col(gross).cast("double")
-    r = col(rate_pct).cast("double") if isinstance(rate_pct, (str, Column)) else F.lit(float(rate_pct))
-    return F.round(g - g / (1 + r / 100), 2)
-
-
 # -- text (FN-3, FN-7, FN-29) -------------------------------------------------
-def clean_num(c) -> Column:
-    """FN-7: keep digits, dot and minus, then parse; failure -> 0."""
-    stripped = F.regexp_replace(col(c), r"[^0-9.\-]", "")
-    return F.coalesce(F.try_cast(stripped, "decimal(18,4)") if hasattr(F, "try_cast") else
-                      stripped.try_cast("decimal(18,4)"), F.lit(0).cast("decimal(18,4)"))
-
-
 def action_label(c) -> Column:
     """FN-29: underscores to spaces, first letter of each word upper-cased, rest kept."""
     words = F.split(F.regexp_replace(col(c), "_", " "), " ")

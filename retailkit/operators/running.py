@@ -39,9 +39,8 @@ def running_agg(df: DataFrame, keys: list[str], order: list[Column], value: Colu
     ``bucket`` must be non-decreasing along ``order`` within a key.  Without a
     bucket the single-window form is used.  ``inclusive=False`` excludes the
     current row.
-    """
-    """Running ``agg`` (sum, min or max) of ``value`` per key in ``order``; see the module notes.
 
+    Running ``agg`` (sum, min or max) of ``value`` per key in ``order``; see the module notes.
     For sums an empty prefix gives 0; for min/max it gives NULL (NULL values are ignored).
     """
     fn, combine, zero = _AGG[agg]

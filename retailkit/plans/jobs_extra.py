@@ -186,8 +186,8 @@ def _staff(r: Retail):
     s = r.raw("supplier")
     n = r.raw("nation")
     g = r.raw("region")
-    j = (s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey, "left")
-         .join(F.broadcast(g), F.col("n_regionkey") == g.r_regionkey, "left"))
+    j = (s.join(n, s.s_nationkey == n.n_nationkey, "left")
+         .join(g, F.col("n_regionkey") == g.r_regionkey, "left"))
     k = F.col("s_suppkey")
     return j.select(k.alias("id"), F.concat(F.col("s_name"), F.lit("@Shop.Example")).alias("email"),
                     F.when(k % 3 == 0, "Cashier").when(k % 3 == 1, "MANAGER").otherwise("admin").alias("role"),

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from retailkit.catalog import Retail, job
 from retailkit.functions import exprs as X
+from retailkit.functions.parse import spreadsheet_serial
 from retailkit.plans import listings as L
+from retailkit.plans import sales as S
 from retailkit.plans import stock as K
 from retailkit.plans.jobs_stock import DELTAS
 
@@ -81,3 +83,31 @@ def agg19_debtors(spark, d):
     c = Retail(spark, d).customers()
     return c.agg(F.count_if(F.col("current_balance") > 0).alias("active_debtors"),
                  X.money_sum("current_balance", zero=True).alias("total_owed"), X.money_sum("credit_limit", zero=True).alias("total_limit"))
+
+
+@job("agg02_dashboard_in_row", """
+SELECT COALESCE(s.store_location, 'Main Branch') AS branch, CAST(s.created_at AS DATE) AS day,
+       CAST(COALESCE(SUM(CASE WHEN s.is_return THEN -1 ELSE 1 END * COALESCE(g.gross, 0)), 0) AS DECIMAL(18,2)) AS total_sales,
+       COUNT(CASE WHEN NOT s.is_return THEN 1 END) AS total_transactions
+FROM sales s LEFT JOIN (SELECT sale_id, SUM(qty * price) AS gross FROM sale_lines GROUP BY sale_id) g ON g.sale_id = s.id
+WHERE LOWER(s.status) = 'completed' GROUP BY 1, 2""")
+def agg02_dashboard_in_row(spark, d):
+    return S.dashboard_daily(Retail(spark, d).sales())
+
+
+@job("flt11_optional_filters", """
+SELECT COALESCE(store_location, 'Main Branch') AS branch, COUNT(*) AS transactions, CAST(SUM(total_amount) AS DECIMAL(18,2)) AS revenue
+FROM sales WHERE status = 'completed' AND created_at >= TIMESTAMP '2000-01-01 00:00:00' AND created_at <= TIMESTAMP '2000-12-31 23:59:59'
+  AND store_location IN (SELECT name FROM branches WHERE id % 2 = 0) GROUP BY 1""")
+def flt11_optional_filters(spark, d):
+    r = Retail(spark, d)
+    names = r.branches().filter("id % 2 = 0").select(F.col("name").alias("store_location"))
+    wanted = {"status": "completed", "since": "2000-01-01 00:00:00", "until": "2000-12-31 23:59:59", "payment_method": None}
+    return L.filtered_totals(r.sale_headers().join(names, "store_location", "left_semi"), **wanted)
+
+
+@job("fn09_serial_dates", """
+SELECT p_partkey AS id, DATE '1900-01-01' + CAST(40000 + p_partkey % 9000 - 2 AS INTEGER) AS day FROM part""")
+def fn09_serial_dates(spark, d):
+    p = Retail(spark, d).raw("part")
+    return p.select(F.col("p_partkey").alias("id"), spreadsheet_serial(40000 + F.col("p_partkey") % 9000).alias("day"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retailkit.functions import exprs as X
+from retailkit.functions import scope as SC
 
 
 def batches_expiry(batches: DataFrame, products: DataFrame) -> DataFrame:
@@ -58,3 +59,18 @@ def merge_aliases(products: DataFrame, primary: Column, aliases: Column) -> Data
     total = F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc + F.coalesce(F.try_element_at(m, k), F.lit(0)))
     rest = F.map_filter(m, lambda k, v: ~F.array_contains(keys, k))
     return products.withColumn("stock_levels", F.map_concat(rest, F.create_map(primary, total)))
+
+
+def filtered_totals(headers: DataFrame, status=None, since=None, until=None, payment_method=None) -> DataFrame:
+    """FLT-11: a branch summary under whichever filters are given."""
+    preds = []
+    if status is not None:
+        preds.append(F.col("status") == status)
+    if since is not None:
+        preds.append(F.col("created_at") >= X.lit_ts(since))
+    if until is not None:
+        preds.append(F.col("created_at") <= X.lit_ts(until))
+    if payment_method is not None:
+        preds.append(F.col("payment_method") == payment_method)
+    return headers.filter(SC.all_of(preds)).groupBy(X.branch_label().alias("branch")).agg(
+        F.count(F.lit(1)).alias("transactions"), X.money_sum("total_amount").alias("revenue"))

@@ -64,7 +64,7 @@ def movement_deltas(audit: DataFrame) -> DataFrame:
 # -- branches (RPT-34, FLT-6, JN-16) ------------------------------------------------
 def branch_list(branches: DataFrame, settings: DataFrame) -> DataFrame:
     s = settings.select(F.col("branch_id").cast("long").alias("id"), "vat_rate", "monthly_target")
-    j = branches.join(F.broadcast(s), "id", "left")
+    j = branches.join(s, "id", "left")
     return j.select("id", "name", "location", F.coalesce("vat_rate", X.dec("15.00", 5, 2)).alias("vat_rate"),
                     "monthly_target")
 
@@ -75,7 +75,7 @@ def resolve_branch(inputs: DataFrame, branches: DataFrame, col: str = "input") -
     The OR condition becomes two equi-joins (broadcast of the bounded branch
     table) and a union, so no nested-loop join is needed.
     """
-    b = F.broadcast(branches.select("id", "name", F.lower("name").alias("ln"), F.lower("location").alias("ll")))
+    b = branches.select("id", "name", F.lower("name").alias("ln"), F.lower("location").alias("ll"))
     i = inputs.select(F.col(col).alias("input")).distinct().withColumn("li", F.lower("input"))
     by_name = i.join(b, F.col("li") == F.col("ln")).select("input", "id", "name")
     by_loc = i.join(b, F.col("li") == F.col("ll")).select("input", "id", "name")
@@ -198,7 +198,7 @@ def promotions_for_branch(promotions: DataFrame, usage: DataFrame, branch_id: in
 
 def promo_validity(headers: DataFrame, promotions: DataFrame, branches: DataFrame) -> DataFrame:
     """RPT-37 for every sale carrying a code: valid when the code exists for its branch or globally."""
-    b = F.broadcast(branches.select(F.col("name").alias("store_location"), F.col("id").cast("int").alias("sale_branch")))
+    b = branches.select(F.col("name").alias("store_location"), F.col("id").cast("int").alias("sale_branch"))
     s = headers.filter(F.col("promo_code").isNotNull()).join(b, "store_location", "left")
     p = promotions.select(F.col("code").alias("promo_code"), F.col("branch_id").alias("promo_branch"),
                           F.lit(True).alias("_hit"))
@@ -223,7 +223,7 @@ def transfer_decisions(transfers: DataFrame, products: DataFrame, branches: Data
     current snapshot; transfers are independent of each other (not a sequential fold)."""
     res = resolve_branch(transfers.select(F.col("from_location").alias("input")), branches)
     b = branches.select(F.col("name").alias("branch_name"), F.col("location").alias("b_location"))
-    keys = res.join(F.broadcast(b), "branch_name", "left").select(
+    keys = res.join(b, "branch_name", "left").select(
         F.col("input").alias("from_location"),
         F.array_distinct(F.filter(F.array("branch_name", "input", "b_location", "branch_name"),
                                   lambda x: x.isNotNull())).alias("keys"))
@@ -245,7 +245,7 @@ def transfer_fold(transfers: DataFrame, products: DataFrame, branches: DataFrame
     from retailkit.operators.fold import sequential_baskets
     res = resolve_branch(transfers.select(F.col("from_location").alias("input")), branches)
     b = branches.select(F.col("name").alias("branch_name"), F.col("location").alias("b_location"))
-    keys = res.join(F.broadcast(b), "branch_name", "left").select(
+    keys = res.join(b, "branch_name", "left").select(
         F.col("input").alias("from_location"),
         F.array_distinct(F.filter(F.array("branch_name", "input", "b_location", "branch_name"),
                                   lambda x: x.isNotNull())).alias("keys"))
@@ -283,7 +283,7 @@ def po_listing(po_lines: DataFrame, suppliers: DataFrame, branches: DataFrame) -
                                                       F.sum("quantity").cast("long").alias("total_qty"),
                                                       F.min("order_date").alias("order_date"))
     s = suppliers.select(F.col("id").alias("supplier_id"), F.col("name").alias("supplier_name"), "branch_id")
-    b = F.broadcast(branches.select(F.col("id").cast("int").alias("branch_id"), F.col("name").alias("branch_name")))
+    b = branches.select(F.col("id").cast("int").alias("branch_id"), F.col("name").alias("branch_name"))
     return h.join(s, "supplier_id", "left").join(b, "branch_id", "left").select(
         "po_id", "supplier_id", "supplier_name", "branch_name", "n_items", "total_qty", "order_date")
 
@@ -346,8 +346,8 @@ def settings_upsert(settings: DataFrame, branches: DataFrame) -> DataFrame:
 def export_rows(headers: DataFrame, branches: DataFrame) -> DataFrame:
     """Monthly branch metrics unpivoted to {dataElement, period, orgUnit, value} rows."""
     s = headers.filter(F.lower("status") == "completed")
-    b = F.broadcast(branches.select(F.col("name").alias("store_location"),
-                                    F.concat(F.lit("OU"), F.col("id").cast("string")).alias("orgUnit")))
+    b = branches.select(F.col("name").alias("store_location"),
+                                    F.concat(F.lit("OU"), F.col("id").cast("string")).alias("orgUnit"))
     g = (s.join(b, "store_location", "inner")
          .groupBy("orgUnit", F.date_format("created_at", "yyyyMM").alias("period"))
          .agg(X.money_sum("total_amount").cast("string").alias("revenue"),

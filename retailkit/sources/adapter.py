@@ -7,10 +7,7 @@ written in SQL in ``retailkit.oracle`` so that every job can be checked
 against an independent engine.  Nothing here collects or caches; Catalyst
 prunes the columns a job does not read.
 
-Join strategy: dimensions whose size is bounded by definition (nation:
-25 rows, region: 5, the literal staff/tax frames) are broadcast
-explicitly.  Everything else (customer, part, orders, lineitem) grows
-with the data, so we leave the choice to Spark, which broadcasts only
+Join strategy: no hints.  The choice is left to Spark, which broadcasts only
 below ``spark.sql.autoBroadcastJoinThreshold`` (a size check on the plan
 statistics) and lets AQE re-plan at runtime with skew splitting.
 """
@@ -94,7 +91,7 @@ class Retail:
     def branches(self) -> DataFrame:
         """nation -> branches(id, name, location); 25 rows by construction."""
         n, r = self.raw("nation"), self.raw("region")
-        return (n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey, "left")
+        return (n.join(r, n.n_regionkey == r.r_regionkey, "left")
                 .select(n.n_nationkey.cast("long").alias("id"), n.n_name.alias("name"),
                         r.r_name.alias("location")))
 
@@ -189,7 +186,7 @@ class Retail:
         c = self.raw("customer").select("c_custkey", "c_name", "c_nationkey")
         n = self.raw("nation").select("n_nationkey", "n_name")
         j = (o.join(c, o.o_custkey == c.c_custkey, "left")
-             .join(F.broadcast(n), F.col("c_nationkey") == n.n_nationkey, "left"))
+             .join(n, F.col("c_nationkey") == n.n_nationkey, "left"))
         k = F.col("o_orderkey")
         is_return = k % 10 == 3
         cust = F.when(k % 4 == 0, F.lit(None).cast("long")).otherwise(F.col("o_custkey"))
@@ -302,7 +299,7 @@ class Retail:
         o = self.raw("orders").select("o_orderkey", "o_custkey")
         c = self.raw("customer").select("c_custkey", "c_nationkey")
         n = self.raw("nation").select("n_nationkey", "n_name")
-        nt = F.broadcast(n.withColumnRenamed("n_nationkey", "tk").withColumnRenamed("n_name", "to_location"))
+        nt = n.withColumnRenamed("n_nationkey", "tk").withColumnRenamed("n_name", "to_location")
         j = (l.join(o, l.l_orderkey == o.o_orderkey, "left")
              .join(c, F.col("o_custkey") == c.c_custkey, "left")
              .join(nt, F.col("c_nationkey") == F.col("tk"), "left"))
