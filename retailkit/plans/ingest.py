@@ -54,7 +54,7 @@ def read_upload(spark: SparkSession, path: str, order_col: str | None = None) ->
     file order (``monotonically_increasing_id``: partition index, then position)."""
     data_cols = spark.read.option("header", True).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*data_cols, "_bad"]])
-    df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True)
+    df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnPruning", False)
           .option("columnNameOfCorruptRecord", "_bad").csv(path))
     df = df.na.fill("", subset=data_cols)
     row = F.col(f"`{order_col}`").cast("long") if order_col else F.monotonically_increasing_id()
@@ -62,8 +62,9 @@ def read_upload(spark: SparkSession, path: str, order_col: str | None = None) ->
 
 
 def rejected_lines(raw: DataFrame) -> DataFrame:
-    """(_row, line) of lines whose fields don't fit the header: too many or too few."""
-    return raw.filter(F.col("_bad").isNotNull()).select("_row", F.col("_bad").alias("line"))
+    """(_row, line, fields) of lines whose fields don't fit the header, too many or too few, and what was read of them."""
+    fields = [F.col(f"`{c}`") for c in raw.columns if c not in ("_bad", "_row")]
+    return raw.filter(F.col("_bad").isNotNull()).select("_row", F.col("_bad").alias("line"), F.array(*fields).alias("fields"))
 
 
 def column_mapping(columns: list[str]) -> dict[str, str | None]:
