@@ -343,3 +343,26 @@ def test_pipeline_stages(spark, tmp_path):
     whole = seen[4].groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
     assert {r.doc_id for r in whole} == set(before) and all(r["sum(length)"] == r["max(doc_tokens)"] for r in whole)
     assert cp.run(spark, SF_SMALL).count() == seen[4].count()
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+    good = "the quick brown fox jumps over a lazy dog while some other animals sleep under the old tree near the river "
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.sample((good * 6).split(), 90)), "en", "s", 0) for i in range(60)]
+    rows += [(None, rows[0][1], None, None, None), (None, None, "en", "s", 0), (7, rows[7][1], "en", "s", 0), (100, "", "en", "s", None), (101, LONG, "xx", "s", 0),
+             (102, " ".join(rnd.sample((good * 6).split(), 90)) + " token = \"0123456789abcdef01234567\"", "en", "s", 0)]
+    docs = spark.createDataFrame([(*r, 1, "c", "d") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, node long, _kept string, comp string")
+    for name, stage in cp.STAGES:
+        for empty in (False, True):
+            out = stage(spark, docs.limit(0) if empty else docs, SF_SMALL)
+            path = str(tmp_path / f"{name}-{empty}")
+            out.write.parquet(path)
+            back = spark.read.parquet(path)
+            assert empty == (back.count() == 0)
+            if name != cp.STAGES[-1][0]:
+                assert back.columns == docs.columns
+        docs = spark.read.parquet(str(tmp_path / f"{name}-False"))
+    with_text = {r.doc_id for r in spark.read.parquet(str(tmp_path / "secret scan-False")).collect()}
+    assert 102 in with_text and 100 not in with_text and None not in with_text
+    assert not spark.read.parquet(str(tmp_path / "secret scan-False")).filter("text LIKE '%0123456789abcdef%'").count()
