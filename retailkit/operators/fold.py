@@ -58,8 +58,8 @@ def sequential_accept(events: DataFrame, key: str, order: list[str], amount: str
                 bal.append(b.quantize(cents))
             yield pdf.assign(accepted=acc, balance_after=bal)
 
-    n = partitions or events.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = events.repartition(int(n), key).sortWithinPartitions(key, *order)
+    dealt = events.repartition(partitions, key) if partitions else events.repartition(key)     # without a number Spark may coalesce
+    ordered = dealt.sortWithinPartitions(key, *order)
     return ordered.mapInPandas(fold, out_schema)
 
 
@@ -112,6 +112,6 @@ def sequential_baskets(lines: DataFrame, key: str, basket: str, order: list[str]
         if rows:
             yield pd.DataFrame(rows, columns=[key, basket, "accepted", "lines"])
 
-    n = partitions or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = lines.repartition(n, key).sortWithinPartitions(key, *order, basket)
+    dealt = lines.repartition(partitions, key) if partitions else lines.repartition(key)
+    ordered = dealt.sortWithinPartitions(key, *order, basket)
     return ordered.mapInPandas(fold, out_schema)

@@ -21,6 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+MAX_DAYS = 31      # longer intervals are not cut into days
+
+
 def points_in_intervals(points: DataFrame, intervals: DataFrame, key: str, ts: str,
                         start: str, end: str) -> DataFrame:
     """Inner pairs with ``p.key = i.key AND ts >= start AND (end IS NULL OR ts <= end)``.
@@ -28,11 +31,13 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, key: str, ts: s
     ``points`` and ``intervals`` must not share column names other than ``key``.
     """
     p = points.withColumn("_day", F.to_date(ts))
-    closed = intervals.filter(F.col(end).isNotNull())
+    short = F.coalesce(F.datediff(F.to_date(end), F.to_date(start)) <= MAX_DAYS, F.lit(False))
+    closed = intervals.filter(short)
     closed = closed.withColumn("_day", F.explode(F.sequence(F.to_date(start), F.to_date(end))))
     a = p.join(closed, [key, "_day"], "inner").filter((F.col(ts) >= F.col(start)) & (F.col(ts) <= F.col(end)))
-    opened = intervals.filter(F.col(end).isNull())
-    b = p.join(opened, [key], "inner").filter(F.col(ts) >= F.col(start))
+    # open and very long intervals are few: they meet the key's points without a day, so none is exploded without bound
+    opened = intervals.filter(~short)
+    b = p.join(opened, [key], "inner").filter((F.col(ts) >= F.col(start)) & F.coalesce(F.col(ts) <= F.col(end), F.col(end).isNull()))
     return a.drop("_day").unionByName(b.drop("_day"))
 
 

@@ -227,3 +227,12 @@ def test_sequential_baskets_equals_loop(spark):
                 used[(s, p)] = used.get((s, p), 0) + q
         exp[(s, t)] = ok
     assert got == exp and 0 < sum(exp.values()) < len(exp)
+
+
+def test_points_in_very_long_intervals(spark):
+    """Intervals of years are not cut into days and still meet their points."""
+    t = dt.datetime(2020, 1, 1)
+    iv = spark.createDataFrame([(1, "a", t, t + dt.timedelta(days=4000)), (2, "a", t, t + dt.timedelta(days=2)), (3, "a", t, None)], "sid INT, key STRING, s TIMESTAMP_NTZ, e TIMESTAMP_NTZ")
+    pt = spark.createDataFrame([(i, "a", t + dt.timedelta(days=d)) for i, d in enumerate((0, 1, 2, 3, 3999, 4001))], "pid INT, key STRING, ts TIMESTAMP_NTZ")
+    got = {(r.sid, r.pid) for r in points_in_intervals(pt, iv, "key", "ts", "s", "e").collect()}
+    assert got == {(1, i) for i in range(5)} | {(2, i) for i in range(3)} | {(3, i) for i in range(6)}
