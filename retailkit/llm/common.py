@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from retailkit.session import ensure_checkpoint_dir
 
@@ -46,3 +47,9 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df``, written and read again, with a broadcast hint if it has at most ``rows`` rows; beyond, Spark joins it by shuffle."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
