@@ -88,13 +88,14 @@ def test_tax_null_vs_empty_breakdown(spark, tmp_path):
     """T13: NULL breakdown is legacy (VAT back-calculated), [] is a stored zero."""
     from retailkit.sources.adapter import TAX_TYPE
     from pyspark.sql import types as T
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("total_amount", T.DecimalType(12, 2)),
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("total_amount", T.DecimalType(12, 2)),
                            T.StructField("tax_breakdown", T.ArrayType(TAX_TYPE))])
-    h = spark.createDataFrame([(1, Decimal("115.00"), None), (2, Decimal("50.00"), [])], schema)
-    st = spark.createDataFrame([(1, Decimal("15.00"), None)], "branch_id INT, vat_rate DECIMAL(5,2), "
+    h = spark.createDataFrame([(1, 5, Decimal("115.00"), None), (2, 5, Decimal("50.00"), []), (3, 6, Decimal("110.00"), None), (4, None, Decimal("115.00"), None)], schema)
+    st = spark.createDataFrame([(1, Decimal("15.00"), None), (2, Decimal("10.00"), None)], "branch_id INT, vat_rate DECIMAL(5,2), "
                                                               "monthly_target DECIMAL(12,2)")
-    got = {r["id"]: (r["total_tax"], r["source"]) for r in TX.transaction_tax(h, st).collect()}
-    assert got == {1: (15.0, "VAT (15.0%)"), 2: (0.0, "stored")}
+    users = spark.createDataFrame([(5, 7), (6, 2)], "id LONG, branch_id INT")          # branch 7 has no setting: branch 1's rate
+    got = {r["id"]: (r["total_tax"], r["source"]) for r in TX.transaction_tax(h, st, users).collect()}
+    assert got == {1: (15.0, "VAT (15.0%)"), 2: (0.0, "stored"), 3: (10.0, "VAT (10.0%)"), 4: (15.0, "VAT (15.0%)")}
 
 
 def test_try_divide_instead_of_ansi_error(spark):
