@@ -49,7 +49,7 @@ def pack(lengths: list[int], length: int = LENGTH, linear: float = LINEAR, quadr
     def cost(n: int) -> float:
         return linear * n + quadratic * n * n
 
-    out, queue, counter = [], [], 0
+    out, queue = [], []
     for d, n in enumerate(lengths):
         for s in range(0, n, length):
             heapq.heappush(queue, (-min(length, n - s), d, s))
@@ -71,7 +71,6 @@ def pack(lengths: list[int], length: int = LENGTH, linear: float = LINEAR, quadr
         best[c] = room[c][0][0] if room[c] else np.inf
         out.append((d, s, n, q, used[q]))
         used[q] += n
-        counter += 1
         if left := c - n:
             heapq.heappush(room[left], (had + cost(n), q))
             best[left] = room[left][0][0]
