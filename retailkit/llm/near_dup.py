@@ -45,7 +45,7 @@ ERROR = sqrt(SIMILARITY * (1 - SIMILARITY) / K)
 SURE, UNSURE = SIMILARITY + 4 * ERROR, SIMILARITY - 4 * ERROR
 POISSON = np.cumsum([1 / (e * factorial(i)) for i in range(20)])
 U = np.uint64
-STEP = 1 << 21          # elements handled at once
+STEP = 1 << 19          # elements handled at once
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,7 +63,7 @@ class WordHashes(dict):
     """Word -> 64-bit hash; forgets all when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
