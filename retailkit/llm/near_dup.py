@@ -8,9 +8,11 @@ T in all; each dart names one of K coordinates, and the earliest dart of a coord
 coordinate has no dart, the rank bound doubles.  Two documents share a value with probability of their
 weighted Jaccard similarity.
 
-BANDS bands of ROWS values make the candidates: in each band and bucket, documents link to the bucket's
-smallest document, and to their predecessor in the order of the next band's value; no bucket is
-expanded into pairs.  A pair at 0.8 shares a band with probability over 0.9999.  Candidates whose signatures agree
+BANDS bands of ROWS values make the candidates, pairs that share a band's bucket; a pair at 0.8 shares one with
+probability over 0.9999.  First every document is compared with the smallest of each of its buckets.  What
+stands in one bucket but is not of one class by then is compared pair by pair: such a bucket is cut into blocks
+of about BLOCK documents, and each two blocks meet in a task that compares signatures and returns near pairs
+only.  So a pair that shares a bucket is compared or already of one class.  Pairs whose signatures agree
 on at least SURE of the coordinates (0.8 and four standard errors) are linked; those under UNSURE (0.8 less four)
 are not; the ones between are decided by the exact similarity of the texts if not linked otherwise.  Classes
 are the connected components.
@@ -26,15 +28,17 @@ and kept by ``keep_one``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import e, factorial, log, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailkit.llm.common import cut, map_batches, read_table
+from retailkit.llm.common import cut, map_batches, read_table, record_batch
 from retailkit.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -46,6 +50,7 @@ SURE, UNSURE = SIMILARITY + 4 * ERROR, SIMILARITY - 4 * ERROR
 POISSON = np.cumsum([1 / (e * factorial(i)) for i in range(20)])
 U = np.uint64
 STEP = 1 << 19          # elements handled at once
+BLOCK = 512             # documents of a bucket that meet another block's in one task
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -172,14 +177,100 @@ def agreement(a: str, b: str):
     return share(a, b)
 
 
-def candidate_edges(nodes: DataFrame) -> DataFrame:
-    """(a, b) of texts that share a band's bucket: to the smallest of the bucket, and to the predecessor in order of the next band."""
-    at = F.posexplode("bands").alias("i", "bucket")
-    rows = nodes.select("node", "bands", at).select("node", "bucket", F.col("bands")[F.pmod(F.col("i") + 1, F.lit(BANDS))].alias("then"))
-    w = Window.partitionBy("bucket")
-    linked = rows.withColumn("first", F.min("node").over(w)).withColumn("before", F.lag("node").over(w.orderBy("then", "node")))
-    pairs = linked.select("node", F.explode(F.array("first", "before")).alias("b")).filter(F.col("b").isNotNull() & (F.col("node") != F.col("b")))
-    return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, first, n): the texts of every bucket of two or more, with its smallest text and its size."""
+    rows = nodes.select("node", F.explode("bands").alias("bucket"))
+    sizes = cut(rows.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    return rows.join(sizes, "bucket").select("bucket", "node", "first", "n")
+
+
+def star_pairs(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, share): every text and the smallest of each of its buckets, if their signatures agree on UNSURE or more."""
+    edges = cut(shared.filter(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    for side in ("a", "b"):
+        edges = edges.join(nodes.select(F.col("node").alias(side), F.col("sig").alias(f"sig_{side}")), side)
+    return cut(edges.withColumn("share", agreement("sig_a", "sig_b")).select("a", "b", "share").filter(F.col("share") >= UNSURE))
+
+
+def near_in_blocks(left: tuple, right: tuple | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, share) of the pairs of two blocks (of one, if ``right`` is None) that are of different classes and agree on
+    UNSURE or more.  Blocks are (nodes, classes, signatures).  Of sure pairs, one is returned for each link between classes.
+    """
+    node, comp, sig = left
+    to_node, to_comp, to_sig = left if right is None else right
+    order = np.argsort(to_comp, kind="stable")
+    to_node, to_comp, to_sig = to_node[order], to_comp[order], np.ascontiguousarray(to_sig[order])
+    after = np.searchsorted(to_comp, comp, "right")
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+    sure, unsure = [], []
+    for i in range(len(node)):
+        at = after[i] if right is None else 0
+        equal = (to_sig[at:] == sig[i]).view(U).sum(axis=1, dtype=U)              # eight counters of a byte each
+        share = ((equal * U(0x0101010101010101) >> U(56)) / K - 1 / 256) / (1 - 1 / 256)
+        near = np.flatnonzero((share >= UNSURE) & (to_comp[at:] != comp[i]))
+        if not len(near):
+            continue
+        for j in near[share[near] >= SURE]:
+            x, y = top(int(comp[i])), top(int(to_comp[at + j]))
+            if x != y:
+                up[x] = y
+                sure.append((node[i:i + 1], to_node[at + j:at + j + 1], share[j:j + 1]))
+        near = near[share[near] < SURE]
+        unsure.append((i, at + near, share[near]))
+    for i, near, share in unsure:
+        x = top(int(comp[i]))
+        apart = np.array([top(int(c)) != x for c in to_comp[near]], bool)
+        sure.append((np.full(apart.sum(), node[i]), to_node[near[apart]], share[apart]))
+    return sure
+
+
+def crowded_pairs(shared: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """(a, b, share): the pairs that share a bucket, aren't of one class in ``comps`` and agree on UNSURE or more."""
+    rest = shared.filter((F.col("n") > 2) & (F.col("node") != F.col("first"))).select("bucket", "node")
+    rest = cut(rest.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp")))
+    mixed = cut(rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+                .select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    rows = rest.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp")
+    rows = rows.join(nodes.select("node", "sig"), "node").select("bucket", "i", "j", "own", "node", "comp", "sig")
+    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def met(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        _, i, j, own, node, comp = (t.column(c).to_numpy() for c in range(6))
+        sig = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(-1, K)
+        first = own == i[0]
+        left, right = ((node[x], comp[x], sig[x]) for x in (first, ~first))
+        found = near_in_blocks(left, None if i[0] == j[0] else right)
+        for at in range(0, len(found), 1000):
+            a, b, share = (np.concatenate(x) for x in zip(*found[at:at + 1000]))
+            yield record_batch([np.minimum(a, b), np.maximum(a, b), share], "a long, b long, share double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(c).to_numpy() for c in range(3)])
+            starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+            for s, e_ in zip(starts, np.r_[starts[1:], b.num_rows]):
+                key = tuple(keys[:, s])
+                if key != at and held:
+                    yield from met(held)
+                    held = []
+                at = key
+                held.append(b.slice(s, e_ - s))
+        if held:
+            yield from met(held)
+
+    return cut(dealt.mapInArrow(run, "a long, b long, share double").distinct())
 
 
 def exact_similarity(edges: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -215,25 +306,35 @@ def relabel(edges: DataFrame, comps: DataFrame) -> DataFrame:
     return edges
 
 
+def merged(comps: DataFrame, edges: DataFrame) -> DataFrame:
+    """``comps`` (node, comp) after the classes at the ends (a, b) of ``edges`` are joined."""
+    edges = cut(relabel(edges, comps).filter(F.col("ca") != F.col("cb")).select("ca", "cb").distinct())
+    if edges.isEmpty():
+        return comps
+    more = components(edges.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    alone = edges.select(F.explode(F.array("ca", "cb")).alias("node")).distinct().join(comps, "node", "left_anti").withColumn("comp", F.col("node"))
+    return cut(comps.unionByName(alone).join(more, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
+
+
+def linked(comps: DataFrame, judged: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """``comps`` joined by the pairs (a, b, share) of ``judged`` that are near, by agreement or by the exact similarity."""
+    sure = merged(comps, judged.filter(F.col("share") >= SURE).select("a", "b"))
+    open_edges = cut(relabel(judged.filter(F.col("share") < SURE), sure).filter(F.col("ca") != F.col("cb")).select("a", "b"))
+    if open_edges.isEmpty():
+        return sure
+    return merged(sure, exact_similarity(open_edges, docs, reps).filter(F.col("similarity") >= SIMILARITY).select("a", "b"))
+
+
 def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((doc_id, node) of every document, (node, comp) of every text linked to another); ``docs``: doc_id, node, text."""
     drawn = cut(sketches(docs))
     members = drawn.select("doc_id", "node")
     reps = drawn.groupBy("node").agg(F.min("doc_id").alias("rep"))
     nodes = cut(drawn.filter("n > 0").groupBy("node").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    edges = cut(candidate_edges(nodes))
-    for side in ("a", "b"):
-        edges = edges.join(nodes.select(F.col("node").alias(side), F.col("sig").alias(f"sig_{side}")), side)
-    judged = cut(edges.withColumn("share", agreement("sig_a", "sig_b")).select("a", "b", "share").filter(F.col("share") >= UNSURE))
-    sure = components(judged.filter(F.col("share") >= SURE).select("a", "b"))
-    open_edges = cut(relabel(judged.filter(F.col("share") < SURE), sure).filter(F.col("ca") != F.col("cb")))
-    if open_edges.isEmpty():
-        return members, sure
-    linked = exact_similarity(open_edges, docs, reps).filter(F.col("similarity") >= SIMILARITY)
-    more = components(linked.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-    alone = open_edges.select(F.explode(F.array("ca", "cb")).alias("node")).distinct().join(sure, "node", "left_anti").withColumn("comp", F.col("node"))
-    whole = sure.unionByName(alone).join(more, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
-    return members, whole
+    shared = cut(shared_buckets(nodes))
+    none = docs.sparkSession.createDataFrame([], "node long, comp long")
+    comps = linked(none, star_pairs(shared, nodes), docs, reps)
+    return members, linked(comps, crowded_pairs(shared, nodes, comps), docs, reps)
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -287,6 +287,32 @@ def test_near_duplicates_against_all_pairs(spark):
     assert near_dup.classes(docs.limit(0)).count() == 0
 
 
+def template_rows(n=300, seed=5):
+    """Texts of one template, below 0.8 to each other, and to each a copy edited to a little over 0.8."""
+    rnd = random.Random(seed)
+    words = [f"t{i}" for i in range(5000)]
+    common, docs = [rnd.choice(words) for _ in range(300)], []
+    for _ in range(n):
+        d = common + [rnd.choice(words) for _ in range(75)]
+        docs.append(d)
+        d = list(d)
+        for i in rnd.sample(range(2, 373, 7), 7):
+            d[i] = rnd.choice(words)
+        docs.append(d)
+    rnd.shuffle(docs)
+    return [(i, " ".join(d)) for i, d in enumerate(docs)]
+
+
+@pytest.mark.parametrize("block", [near_dup.BLOCK, 40])
+def test_pairs_in_crowded_buckets_are_compared(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rows = template_rows()
+    want, n = brute_classes(rows)
+    assert n > 250
+    got = {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {rows[i][0]: c for i, c in want.items()}
+
+
 def test_signatures_estimate_weighted_jaccard():
     rnd = np.random.default_rng(1)
     for n, share in ((400, 0.8), (5000, 0.5), (60, 0.9)):
