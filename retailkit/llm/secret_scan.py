@@ -1,12 +1,11 @@
 """Operator 2: secret scan.
 
 Base kinds are patterns; the method adds spans found by entropy.  Candidate strings are the longest runs
-of ``A-Za-z0-9+/_=-`` with at least ``window`` characters.  For each character class (hex digits, base 64)
-a window slides over the parts of a candidate that consist of the class; counts change by one character
-that enters and one that leaves, and the window's Shannon entropy follows from the counts
-(H = log2 w - sum c*log2 c / w).  Windows at or over the class's threshold that hold the class's
-required mix of characters are joined to spans.  A span that an allow-list pattern covers is suppressed.
-Allow-listing never touches base spans.
+of ``A-Za-z0-9+/_=-`` with at least ``window`` characters.  For each character class (hex digits, lower case and digits,
+upper case and digits, base 64) its runs in a candidate are cut at stretches that an allow-list pattern covers.
+A window slides over each piece; counts change by one character that enters and one that leaves, and the window's Shannon
+entropy follows from the counts (H = log2 w - sum c*log2 c / w).  A piece that holds the class's required mix of characters
+and a window at or over the class's threshold is a span from end to end.  Allow-listing never touches base spans.
 
 Inputs: null text is the empty text and has no spans.  Repeated rows give repeated rows, an empty table
 an empty one; extra columns are ignored.  Texts are scanned whole.  Spans that start together are ordered
@@ -30,10 +29,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 BASE_KINDS = ("assign", "access", "hex")
 
-# class: (characters, window, bits a window needs, required in a window: minimum digits, upper, lower)
+# class: (characters, window, bits a window needs, required in the whole piece: minimum digits, upper, lower)
 CLASSES = {
     "entropy_hex": ("0123456789abcdefABCDEF", 20, 3.0, (4, 0, 0)),
-    "entropy_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", 20, 3.7, (2, 2, 2)),
+    "entropy_lower": ("abcdefghijklmnopqrstuvwxyz0123456789", 20, 3.4, (2, 0, 2)),
+    "entropy_upper": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20, 3.4, (1, 2, 0)),
+    "entropy_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", 20, 3.7, (1, 1, 1)),
 }
 KINDS = BASE_KINDS + tuple(CLASSES)
 
@@ -89,6 +90,25 @@ def _count_kind(kinds: list[int], ch: str, by: int) -> None:
         kinds[2] += by
 
 
+def found(s: str, window: int, bits: float, need: tuple[int, int, int]) -> bool:
+    """Whether ``s`` has the needed characters as a whole, and a window of enough entropy."""
+    kinds = [0, 0, 0]
+    for ch in s:
+        _count_kind(kinds, ch, 1)
+    return all(k >= n for k, n in zip(kinds, need)) and bool(entropy_runs(s, window, bits, (0, 0, 0)))
+
+
+def without(start: int, end: int, cut: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the ascending stretches ``cut`` leave of start..end."""
+    out = []
+    for a, b in cut:
+        if b > start and a < end:
+            if a > start:
+                out.append((start, a))
+            start = b
+    return [*out, (start, end)] if start < end else out
+
+
 class Scanner:
     def __init__(self, classes: dict = CLASSES, allow: tuple[str, ...] = ALLOW):
         self.allow = re.compile("|".join(allow)) if allow else None
@@ -102,12 +122,15 @@ class Scanner:
         for m in self.candidates.finditer(text):
             for kind, (part, window, bits, need) in self.classes.items():
                 for p in part.finditer(text, m.start(), m.end()):
-                    for a, b in entropy_runs(p.group(), window, bits, need):
-                        if allowed is None:
-                            allowed = [x.span() for x in self.allow.finditer(text)] if self.allow else []
-                        a, b = a + p.start(), b + p.start()
-                        if not any(x <= a and b <= y for x, y in allowed):
-                            out.append((a, b, kind))
+                    if not found(p.group(), window, bits, need):
+                        continue
+                    if allowed is None:
+                        allowed = [x.span() for x in self.allow.finditer(text)] if self.allow else []
+                    pieces = without(p.start(), p.end(), allowed)
+                    if pieces == [p.span()]:
+                        out.append((*p.span(), kind))
+                    else:
+                        out += [(a, b, kind) for a, b in pieces if found(text[a:b], window, bits, need)]
         return out
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:

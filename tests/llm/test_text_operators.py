@@ -135,6 +135,21 @@ def test_allow_list_and_masking(spark):
     assert (rows[1].text, rows[1].n_chars) == ("a <secret> b", 12) and rows[2].text is None and rows[1].lang == "en"
 
 
+def test_random_keys_of_each_alphabet_are_masked_whole():
+    rnd, scan = random.Random(6), secret_scan.Scanner()
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for chars in (lower + digits, upper + "234567", lower + upper + digits):
+        for n in (20, 32, 64):
+            keys = ["".join(rnd.choice(chars) for _ in range(n)) for _ in range(300)]
+            whole = [secret_scan.masked(f"see {k} there", scan.spans(f"see {k} there"), "<secret>") == "see <secret> there" for k in keys]
+            assert sum(whole) / len(whole) > (0.9 if n == 20 else 0.98), (chars, n, sum(whole))
+    uuid = "123e4567-e89b-12d3-a456-426614174000"
+    assert scan.spans(f"/Api/v1/{uuid} commit:{'0a1b2c3d4e5f67' * 1}") == []
+    key = "q9Zx7Lk2Wm4Rt8Vb1Nc6Hy3Jd5"
+    text = f"{uuid}-{key}"
+    assert secret_scan.masked(text, scan.spans(text), "<secret>") == f"{uuid}<secret>"
+
+
 # ---- licenses
 
 def test_base_places_against_regex(spark):
