@@ -13,7 +13,7 @@ import xxhash
 from retailkit.check import compare, duck
 from retailkit.llm import fingerprints, near_dup, quality, secret_scan, sharding, url_filter
 from retailkit.llm.components import components
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_CHECK, SF_SMALL
 
 LONG = " ".join(f"w{i}" for i in range(30_000))
 EDGE = [(1, None), (2, ""), (None, "null id"), (None, None), (3, "same row twice"), (3, "same row twice"), (3, "other text"), (9, LONG), (12, LONG + " end"), (40, "é 漢字 x")]
@@ -237,6 +237,13 @@ def test_quality_query_and_stage(spark):
     assert quality.judge(docs.limit(0)).count() == 0
 
 
+def test_perplexity_rejects_bad_documents(spark):
+    rows = quality.judge(spark.read.parquet(f"{SF_CHECK}/documents.parquet")).filter("NOT base_failed").collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF_CHECK}/labels.parquet").collect()}
+    good, bad = ([r.kept for r in rows if labels.get(r.doc_id) == v] for v in (1, 0))
+    assert np.mean(good) > 0.98 and np.mean(bad) < 0.5, (sum(good), len(good), sum(bad), len(bad))
+
+
 # ---- near-duplicates
 
 def brute_classes(rows, threshold=0.8):
