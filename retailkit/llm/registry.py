@@ -12,8 +12,9 @@ from retailkit.llm.packing import op3_packing
 from retailkit.llm.quality import op7_quality_rules
 from retailkit.llm.secret_scan import op2_secret_scan
 from retailkit.llm.sharding import OP5_SQL, op5_sharding
+from retailkit.llm.spelling import op13_spelling
 from retailkit.llm.url_filter import op1_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_packing, op4_fingerprints, op5_sharding, op6_chat_format,
-                                   op7_quality_rules, op8_licenses, op9_bpe, op10_near_dup, op12_filter_audit)}
+                                   op7_quality_rules, op8_licenses, op9_bpe, op10_near_dup, op12_filter_audit, op13_spelling)}
 SQL: dict[str, str] = {"op5_sharding": OP5_SQL, "op12_filter_audit": OP12_SQL}
