@@ -1,16 +1,25 @@
 """Filter audit, spelling variants and the id store against brute force."""
 
+import glob
 import itertools
+import os
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql.functions import col as spark_col
 
-from retailkit.check import compare, duck
-from retailkit.llm import filter_audit, spelling
-from tests.conftest import SF_SMALL
+os.environ["TOKENIZERS_PARALLELISM"] = "false"
+public_tokenizers = pytest.importorskip("public_tokenizers")
+from tokenizers import Tokenizer  # noqa: E402
+
+from retailkit.check import compare, duck  # noqa: E402
+from retailkit.llm import filter_audit, id_store, spelling  # noqa: E402
+from tests.conftest import SF_SMALL  # noqa: E402
 
 
 def docs_of(spark, rows):
@@ -176,3 +185,65 @@ def test_variants_of_the_table(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     n = brute_count([(r.doc_id, r.text, None) for r in docs.collect()])
     assert variants(spelling.op13_spelling(spark, SF_SMALL)) == brute_variants(n)
+
+
+# ---- id store
+
+@pytest.fixture(scope="module")
+def word_tokenizer():
+    return public_tokenizers.path("word_bpe_49k.json"), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def stored(rows, library):
+    """(doc_id, start, n, crc) of rows in stored order."""
+    out, start = [], 0
+    for d, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids + [2]
+        out.append((d, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+        start += len(ids)
+    return out
+
+
+def test_word_ids_equal_the_library(word_tokenizer):
+    path, library = word_tokenizer
+    ids, rnd = id_store.WordIds(path), random.Random(11)
+    letters = "aaab etion hs'tre T.,\n\t 012éÜ中́̈\x1c\x85　 ſİΣ가각<|endoftext|>"
+    for i in range(2000):
+        s = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40)))
+        s = s + " <|endoftext|>x" + s[:9] if i % 9 == 0 else s
+        assert np.frombuffer(ids.encode(s), "<u4").tolist() == library.encode(s, add_special_tokens=False).ids, s
+
+
+def test_store_of_odd_rows(spark, tmp_path, word_tokenizer):
+    path, library = word_tokenizer
+    rows = [(40, "b c"), (None, "no id"), (None, None), (3, "same row"), (3, "same row"), (3, "other text"), (-5, ""), (2 ** 40, "é 漢字 X <|endoftext|>"), (12, "word " * 60_000)]
+    rows += [(7, f"text {i}") for i in range(400)]
+    id_store.write_store(docs_of(spark, [(*r, "s") for r in rows]), str(tmp_path / "s"), path)
+    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in id_store.digests(id_store.read_store(spark, str(tmp_path / "s"))).collect()]
+    body = dict(spark.createDataFrame([(t or "",) for _, t in rows], "t string").selectExpr("t", "xxhash64(t)").collect())
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, body[r[1] or ""]))
+    assert sorted(got, key=lambda r: r[1]) == stored(rows, library)
+    id_store.write_store(docs_of(spark, []), str(tmp_path / "none"), path)
+    assert id_store.digests(id_store.read_store(spark, str(tmp_path / "none"))).count() == 0
+
+
+def test_store_prunes_by_metadata(spark, tmp_path, word_tokenizer):
+    folder = str(tmp_path / "s")
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").withColumn("doc_id", 2 * spark_col("doc_id"))
+    id_store.write_store(docs, folder, word_tokenizer[0])
+    assert {r.doc_id for r in id_store.find_documents(spark, folder, [10, 11, 12]).collect()} == {10, 12}
+    assert "PushedFilters: [In(doc_id, [10,11,12])]" in id_store.find_documents(spark, folder, [10, 11, 12])._jdf.queryExecution().toString()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for f in glob.glob(folder + "/*.orc"):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        if reader.getNumberOfRows():
+            assert reader.getRowIndexStride() == id_store.INDEX_ROWS
+            doc_id = 4                                          # column number in the file's type
+            kinds = {str(s.getKind()) for s in reader.rows().readStripeFooter(reader.getStripes().get(0)).getStreamsList() if s.getColumn() == doc_id}
+            assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
+
+
+def test_store_of_the_table(spark, word_tokenizer):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").orderBy("doc_id").collect()
+    got = sorted(id_store.op11_id_store(spark, SF_SMALL).collect(), key=lambda r: r.doc_id)
+    assert [tuple(r) for r in got] == stored([(r.doc_id, r.text) for r in docs], word_tokenizer[1])
