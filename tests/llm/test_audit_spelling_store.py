@@ -204,14 +204,22 @@ def stored(rows, library):
     return out
 
 
-def test_word_ids_equal_the_library(word_tokenizer):
+def test_word_ids_equal_the_library(word_tokenizer, monkeypatch):
     path, library = word_tokenizer
     ids, rnd = id_store.WordIds(path), random.Random(11)
     letters = "aaab etion hs'tre T.,\n\t 012éÜ中́̈\x1c\x85　 ſİΣ가각<|endoftext|>"
-    for i in range(2000):
-        s = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40)))
-        s = s + " <|endoftext|>x" + s[:9] if i % 9 == 0 else s
-        assert np.frombuffer(ids.encode(s), "<u4").tolist() == library.encode(s, add_special_tokens=False).ids, s
+    latin = "".join(map(chr, range(256))) + "abc  'sre" * 20
+    texts = ["", " ", "x" * 100_000]
+    for i in range(3000):
+        s = "".join(rnd.choice(letters if i % 2 else latin) for _ in range(rnd.randint(0, 40)))
+        texts.append(s + " <|endoftext|>x" + s[:9] if i % 9 == 0 else s)
+    for n in (1, 7, 100):
+        monkeypatch.setattr(id_store, "CACHE_WORDS", 10 ** n)
+        at = 0
+        while at < len(texts):
+            for t, got in zip(texts[at:at + n], ids.encode_all(texts[at:at + n])):
+                assert got.tolist() == library.encode(t, add_special_tokens=False).ids, t
+            at += n
 
 
 def test_store_of_odd_rows(spark, tmp_path, word_tokenizer):
