@@ -8,14 +8,17 @@ T in all; each dart names one of K coordinates, and the earliest dart of a coord
 coordinate has no dart, the rank bound doubles.  Two documents share a value with probability of their
 weighted Jaccard similarity.
 
-BANDS bands of ROWS values make the candidates, pairs that share a band's bucket; a pair at 0.8 shares one with
-probability over 0.9999.  First every document is compared with the smallest of each of its buckets.  What
-stands in one bucket but is not of one class by then is compared pair by pair: such a bucket is cut into blocks
-of about BLOCK documents, and each two blocks meet in a task that compares signatures and returns near pairs
-only.  So a pair that shares a bucket is compared or already of one class.  Pairs whose signatures agree
-on at least SURE of the coordinates (0.8 and four standard errors) are linked; those under UNSURE (0.8 less four)
-are not; the ones between are decided by the exact similarity of the texts if not linked otherwise.  Classes
-are the connected components.
+Signatures are kept as a byte per coordinate, and BANDS bands of ROWS bytes make the candidates, pairs that share a band's
+bucket; a pair at 0.8 shares one with probability over 0.9999.  First every document meets the smallest of each of its
+buckets (its hub).  What stands in one bucket but is not of one class by then meets in blocks: of a bucket's classes, all but
+the largest ("strangers") meet each other and the largest.  So a pair that shares a bucket is compared or
+already of one class; a pair that shares several is compared in the first only.
+
+Blocks are bounded in documents and in regions, and a task holds two.  It compares signatures and drops pairs whose sizes differ
+by more than the similarity allows.  Pairs whose signatures agree on at least SURE of the coordinates (0.8 and four standard
+errors) are linked; those under UNSURE (0.8 less four) are not.  Of the documents in pairs between, a task returns the
+documents, not the pairs; their regions are then read once per block, and the exact similarity decides there.  No step returns pairs:
+links are returned only between classes that a task has not joined yet.  Classes are the connected components.
 
 Equal texts are one class from the start and are represented by one text, so copies aren't expanded either.
 Texts are told apart by a 64-bit hash.
@@ -32,13 +35,13 @@ from collections.abc import Iterator
 from math import e, factorial, log, sqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailkit.llm.common import cut, map_batches, read_table, record_batch
+from retailkit.llm.common import cut, if_small, read_table, record_batch
 from retailkit.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -49,8 +52,9 @@ ERROR = sqrt(SIMILARITY * (1 - SIMILARITY) / K)
 SURE, UNSURE = SIMILARITY + 4 * ERROR, SIMILARITY - 4 * ERROR
 POISSON = np.cumsum([1 / (e * factorial(i)) for i in range(20)])
 U = np.uint64
-STEP = 1 << 19          # elements handled at once
-BLOCK = 512             # documents of a bucket that meet another block's in one task
+STEP = 1 << 19                          # elements handled at once
+BLOCK, BLOCK_REGIONS = 1024, 1 << 21    # a block's documents, and its regions unless one document has more
+MARKED = 1_000_000                      # ids of documents, of 8 bytes, that are broadcast at most
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -135,48 +139,46 @@ def _throw(sets: list[np.ndarray], group: np.ndarray, bound: np.ndarray, out: np
     np.minimum.at(out.reshape(-1), (doc * K + coordinate)[below], rank[below])
 
 
-def band_values(values: np.ndarray) -> np.ndarray:
-    """Hash of each band's values with the band's number."""
-    v = mix(values.view(U)).reshape(len(values), BANDS, ROWS)
-    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U), (len(values), BANDS)).copy()
+def band_values(sig: np.ndarray) -> np.ndarray:
+    """Each band's bytes with the band's number, as one number: equal if and only if the bytes are."""
+    v = sig.reshape(len(sig), BANDS, ROWS).astype(np.int64)
+    out = np.broadcast_to(np.arange(BANDS, dtype=np.int64), (len(sig), BANDS)).copy()
     for i in range(ROWS):
-        h = mix(h * U(0x9E3779B97F4A7C15) + v[:, :, i])
-    return h.view(np.int64)
+        out = out << 8 | v[:, :, i]
+    return out
 
 
 SKETCH = "node long, doc_id long, n long, sig binary, bands array<long>"
 
 
+def slices(column: pa.Array, rows: int = 256, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of a text column of at most ``rows`` rows and ``size`` bytes, or of one row."""
+    ends, i = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)), 0
+    while i < len(column):
+        j = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, "right"))
+        j = max(i + 1, min(j, i + rows))
+        yield i, j
+        i = j
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """(node, doc_id, n, sig, bands): a text's hash, number of regions, signature (a byte per coordinate) and band values."""
-    def run(c):
-        known, out = WordHashes(), {"n": [], "sig": [], "bands": []}
-        for i in range(0, len(c["text"]), 256):
-            sets = [regions(t, known) for t in c["text"][i:i + 256]]
-            sig = signatures(sets)
-            bytes_, bands = (mix(sig.view(U)) >> U(56)).astype(np.uint8), band_values(sig).tolist()
-            for j, s in enumerate(sets):
-                out["n"].append(len(s))
-                out["sig"].append(bytes_[j].tobytes() if len(s) else None)
-                out["bands"].append(bands[j] if len(s) else [])
-        return {"node": c["node"], "doc_id": c["doc_id"]} | out
-    return map_batches(docs.select("node", "doc_id", "text"), run, SKETCH)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in batches:
+            for i, j in slices(b.column(2)):
+                sets = [regions(t, known) for t in b.column(2)[i:j].to_pylist()]
+                sig = (mix(signatures(sets).view(U)) >> U(56)).astype(np.uint8)
+                bands = band_values(sig).tolist()
+                yield record_batch([b.column(0)[i:j], b.column(1)[i:j], [len(x) for x in sets], [x.tobytes() if len(r) else None for x, r in zip(sig, sets)],
+                                    [x if len(r) else [] for x, r in zip(bands, sets)]], SKETCH)
+    return docs.select("node", "doc_id", "text").mapInArrow(run, SKETCH)
 
 
 def with_node(docs: DataFrame, name: str = "node") -> DataFrame:
     return docs.withColumn(name, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
 
 
-def agreement(a: str, b: str):
-    """Share of equal signature values, by bytes; chance agreement of bytes is taken off."""
-    @F.pandas_udf("double")
-    def share(x: pd.Series, y: pd.Series) -> pd.Series:
-        left = np.frombuffer(b"".join(x), np.uint8).reshape(-1, K)
-        right = np.frombuffer(b"".join(y), np.uint8).reshape(-1, K)
-        return pd.Series(((left == right).mean(axis=1) - 1 / 256) / (1 - 1 / 256))
-    return share(a, b)
-
-
 def shared_buckets(nodes: DataFrame) -> DataFrame:
     """(bucket, node, first, n): the texts of every bucket of two or more, with its smallest text and its size."""
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -184,118 +186,202 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
     return rows.join(sizes, "bucket").select("bucket", "node", "first", "n")
 
 
-def star_pairs(shared: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, share): every text and the smallest of each of its buckets, if their signatures agree on UNSURE or more."""
-    edges = cut(shared.filter(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    for side in ("a", "b"):
-        edges = edges.join(nodes.select(F.col("node").alias(side), F.col("sig").alias(f"sig_{side}")), side)
-    return cut(edges.withColumn("share", agreement("sig_a", "sig_b")).select("a", "b", "share").filter(F.col("share") >= UNSURE))
-
-
-def near_in_blocks(left: tuple, right: tuple | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, share) of the pairs of two blocks (of one, if ``right`` is None) that are of different classes and agree on
-    UNSURE or more.  Blocks are (nodes, classes, signatures).  Of sure pairs, one is returned for each link between classes.
-    """
-    node, comp, sig = left
-    to_node, to_comp, to_sig = left if right is None else right
-    order = np.argsort(to_comp, kind="stable")
-    to_node, to_comp, to_sig = to_node[order], to_comp[order], np.ascontiguousarray(to_sig[order])
-    after = np.searchsorted(to_comp, comp, "right")
-    up: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = y
-        return x
-    sure, unsure = [], []
-    for i in range(len(node)):
-        at = after[i] if right is None else 0
-        equal = (to_sig[at:] == sig[i]).view(U).sum(axis=1, dtype=U)              # eight counters of a byte each
-        share = ((equal * U(0x0101010101010101) >> U(56)) / K - 1 / 256) / (1 - 1 / 256)
-        near = np.flatnonzero((share >= UNSURE) & (to_comp[at:] != comp[i]))
-        if not len(near):
-            continue
-        for j in near[share[near] >= SURE]:
-            x, y = top(int(comp[i])), top(int(to_comp[at + j]))
-            if x != y:
-                up[x] = y
-                sure.append((node[i:i + 1], to_node[at + j:at + j + 1], share[j:j + 1]))
-        near = near[share[near] < SURE]
-        unsure.append((i, at + near, share[near]))
-    for i, near, share in unsure:
-        x = top(int(comp[i]))
-        apart = np.array([top(int(c)) != x for c in to_comp[near]], bool)
-        sure.append((np.full(apart.sum(), node[i]), to_node[near[apart]], share[apart]))
-    return sure
-
-
-def crowded_pairs(shared: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """(a, b, share): the pairs that share a bucket, aren't of one class in ``comps`` and agree on UNSURE or more."""
+# ---- what meets: rows (g, i, j, head, node, comp) of group (g, i, j); its heads meet the others, or each other if there are none
+
+GROUP = ["g", "i", "j"]
+
+
+def blocks_of(n, size):
+    """How many blocks documents and regions make."""
+    return F.ceil(F.greatest(n / BLOCK, size / BLOCK_REGIONS)).cast("int")
+
+
+def dealt(node, blocks):
+    return F.pmod(F.xxhash64(node), blocks).cast("int")
+
+
+def star_groups(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Every text meets the smallest of each of its buckets."""
+    edges = cut(shared.filter(F.col("node") != F.col("first")).select(F.col("first").alias("g"), "node").distinct())
+    sizes = cut(edges.join(nodes.select("node", "n"), "node").groupBy("g").agg(F.count("*").alias("c"), F.sum("n").alias("r"))
+                .select("g", blocks_of(F.col("c"), F.col("r")).alias("blocks")))
+    others = edges.join(sizes, "g").select("g", dealt("node", F.col("blocks")).alias("i"), F.lit(-1).alias("j"), F.lit(False).alias("head"), "node")
+    heads = sizes.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(-1).alias("j"), F.lit(True).alias("head"), F.col("g").alias("node"))
+    return others.unionByName(heads).withColumn("comp", F.col("node"))
+
+
+def crowd_groups(shared: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """The texts of a bucket that aren't of one class: strangers meet each other, and those of the bucket's largest class."""
     rest = shared.filter((F.col("n") > 2) & (F.col("node") != F.col("first"))).select("bucket", "node")
-    rest = cut(rest.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp")))
-    mixed = cut(rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-                .select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks")))
-    rows = rest.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp")
-    rows = rows.join(nodes.select("node", "sig"), "node").select("bucket", "i", "j", "own", "node", "comp", "sig")
-    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-
-    def met(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held)
-        _, i, j, own, node, comp = (t.column(c).to_numpy() for c in range(6))
-        sig = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(-1, K)
-        first = own == i[0]
-        left, right = ((node[x], comp[x], sig[x]) for x in (first, ~first))
-        found = near_in_blocks(left, None if i[0] == j[0] else right)
-        for at in range(0, len(found), 1000):
-            a, b, share = (np.concatenate(x) for x in zip(*found[at:at + 1000]))
-            yield record_batch([np.minimum(a, b), np.maximum(a, b), share], "a long, b long, share double")
+    rest = rest.join(comps, "node", "left").join(nodes.select("node", "n"), "node").select(
+        F.col("bucket").alias("g"), "node", "n", F.coalesce("comp", "node").alias("comp"))
+    rest = cut(rest)
+    by_class = rest.groupBy("g", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("r"))
+    size = F.struct("c", "r", "comp")
+    sizes = by_class.groupBy("g").agg(F.max(size).alias("top"), F.sum("c").alias("c"), F.sum("r").alias("r"), F.count("*").alias("classes")).filter("classes > 1")
+    sizes = cut(sizes.select("g", F.col("top.comp").alias("top"), blocks_of(F.col("top.c"), F.col("top.r")).alias("many"),
+                             blocks_of(F.col("c") - F.col("top.c"), F.col("r") - F.col("top.r")).alias("few")))
+    rows = rest.join(sizes, "g").withColumn("stranger", F.col("comp") != F.col("top"))
+    rows = rows.withColumn("own", dealt("node", F.when(F.col("stranger"), F.col("few")).otherwise(F.col("many"))))
+    all_of = lambda n: F.sequence(F.lit(0), n - 1)
+    # strangers: j = 0.. is the other block of strangers; the largest class: j = -1, -2, ... is its block
+    strangers = rows.filter("stranger").withColumn("x", F.explode(F.concat(
+        F.transform(all_of(F.col("few")), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), (F.col("own") <= o).alias("head"))),
+        F.transform(all_of(F.col("many")), lambda o: F.struct(F.col("own").alias("i"), (-1 - o).alias("j"), F.lit(True).alias("head"))))))
+    largest = rows.filter("NOT stranger").withColumn("x", F.explode(
+        F.transform(all_of(F.col("few")), lambda o: F.struct(o.alias("i"), (-1 - F.col("own")).alias("j"), F.lit(False).alias("head")))))
+    return strangers.unionByName(largest).select("g", "x.i", "x.j", "x.head", "node", "comp")
+
+
+class Group:
+    """A group's documents in memory: heads and others, and the classes joined here so far."""
+
+    def __init__(self, rows: pa.Table, in_bucket: bool):
+        head = rows["head"].to_numpy()
+        self.inside = not (~head).any()
+        self.node, self.n, comp = (rows[c].to_numpy() for c in ("node", "n", "comp"))
+        self.sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, K)
+        self.heads = np.flatnonzero(head)
+        self.others = self.heads if self.inside else np.flatnonzero(~head)
+        self.other_sig = np.ascontiguousarray(self.sig[self.others])
+        self.classes, self.of = np.unique(comp, return_inverse=True)
+        self.up = np.arange(len(self.classes))
+        self.band = int(rows["g"][0].as_py() >> 8 * ROWS) if in_bucket else 0
+
+    def tops(self, rows: np.ndarray) -> np.ndarray:
+        c = self.of[rows]
+        while (self.up[c] != c).any():
+            c = self.up[c]
+        return c
+
+    def candidates(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(head, others, shares): pairs of different classes that can be near and meet in no earlier band."""
+        for at, x in enumerate(self.heads):
+            to, sigs = (self.others[at + 1:], self.other_sig[at + 1:]) if self.inside else (self.others, self.other_sig)
+            equal = sigs == self.sig[x]
+            count = (equal.view(U).sum(axis=1, dtype=U) * U(0x0101010101010101)) >> U(56)          # eight counters of a byte each
+            share = (count / K - 1 / 256) / (1 - 1 / 256)
+            fits = np.minimum(self.n[x], self.n[to]) >= SIMILARITY * np.maximum(self.n[x], self.n[to])
+            near = np.flatnonzero((share >= UNSURE) & fits)
+            if self.band and len(near):
+                near = near[~equal[near][:, :self.band * ROWS].reshape(len(near), self.band, ROWS).all(axis=2).any(axis=1)]
+            near = near[self.tops(to[near]) != self.tops(np.array([x]))[0]]
+            if len(near):
+                yield int(x), to[near], share[near]
+
+    def link(self, x: int, others: np.ndarray) -> list[tuple[int, int]]:
+        """Joins the classes of ``others`` with that of x; a link for each that wasn't."""
+        out = []
+        tops, first = np.unique(self.tops(others), return_index=True)
+        for t, i in zip(tops, first):
+            mine = self.tops(np.array([x]))[0]
+            if t != mine:
+                self.up[t] = mine
+                out.append((int(self.node[x]), int(self.node[others[i]])))
+        return out
+
+
+LINKS = "a long, b long"
+MARKS = "g long, i int, j int, head boolean, node long, a long, b long"
+
+
+def judge_by_signature(group: Group, key: tuple) -> list[tuple]:
+    """MARKS: links (a, b) of sure pairs, and the documents of unsure pairs between classes that stay apart."""
+    links, unsure = [], []
+    for x, others, share in group.candidates():
+        links += group.link(x, others[share >= SURE])
+        unsure.append((x, others[share < SURE]))
+    marked: set[tuple[bool, int]] = set()
+    for x, others in unsure:
+        others = others[group.tops(others) != group.tops(np.array([x]))[0]]
+        if len(others):
+            marked.add((True, x))
+            marked.update((group.inside, int(y)) for y in others)
+    none = (None,) * 5
+    return [(*none, a, b) for a, b in links] + [(*key, head, int(group.node[x]), None, None) for head, x in sorted(marked)]
+
+
+def judge_exactly(group: Group, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """LINKS by the exact similarity of unsure pairs between classes that are still apart."""
+    # the others' documents by region: what a head has in common with all of them is one count over its regions
+    region = np.concatenate([sets[y] for y in group.others])
+    owner = np.repeat(np.arange(len(group.others)), [len(sets[y]) for y in group.others])
+    order = np.argsort(region, kind="stable")
+    region, owner = region[order], owner[order]
+    place = {int(y): k for k, y in enumerate(group.others)}
+    links = []
+    for x, others, _ in group.candidates():
+        lo, hi = np.searchsorted(region, sets[x], "left"), np.searchsorted(region, sets[x], "right")
+        size = hi - lo
+        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        both = np.bincount(owner[at], minlength=len(group.others))[[place[int(y)] for y in others]]
+        near = both >= SIMILARITY * (group.n[x] + group.n[others] - both)
+        links += group.link(x, others[near])
+    return links
+
+
+def per_group(rows: DataFrame, schema: str, in_bucket: bool, fn) -> DataFrame:
+    """``fn(key, rows as an Arrow table)`` for each group, one in memory at a time."""
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(key, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            if t.num_rows > 1 and (out := fn(key, Group(t, in_bucket), t)):
+                yield record_batch([list(c) for c in zip(*out)], schema)
         held, at = [], None
         for b in batches:
             if not b.num_rows:
                 continue
+            b = pa.RecordBatch.from_arrays(b.columns, names=names)
             keys = np.stack([b.column(c).to_numpy() for c in range(3)])
             starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
             for s, e_ in zip(starts, np.r_[starts[1:], b.num_rows]):
-                key = tuple(keys[:, s])
+                key = tuple(int(k) for k in keys[:, s])
                 if key != at and held:
-                    yield from met(held)
+                    yield from done(at, held)
                     held = []
                 at = key
                 held.append(b.slice(s, e_ - s))
         if held:
-            yield from met(held)
+            yield from done(at, held)
 
-    return cut(dealt.mapInArrow(run, "a long, b long, share double").distinct())
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, schema)
 
 
-def exact_similarity(edges: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Adds ``similarity``, the weighted Jaccard similarity of the texts of nodes a and b."""
-    wanted = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node")
+def region_sets(marked: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, regions) of the marked nodes, from the text of one row of each."""
+    wanted = if_small(marked.select("node").distinct().join(reps, "node"), MARKED)
     same = (docs["node"] == wanted["node"]) & docs["doc_id"].eqNullSafe(wanted["rep"])
-    texts = docs.join(wanted, same, "left_semi").select("node", "text").dropDuplicates(["node"])
+    texts = docs.join(wanted, same, "left_semi").select("node", "text")
 
-    def run(c):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        return {"node": c["node"], "regions": [regions(t, known).tobytes() for t in c["text"]]}
-    sets = cut(map_batches(texts, run, "node long, regions binary"))
-
-    @F.pandas_udf("double")
-    def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y):
-            p, q = np.frombuffer(p, U), np.frombuffer(q, U)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(both / max(1, len(p) + len(q) - both))
-        return pd.Series(out)
+        for b in batches:
+            for i, j in slices(b.column(1)):
+                yield record_batch([b.column(0)[i:j], [regions(t, known).tobytes() for t in b.column(1)[i:j].to_pylist()]], "node long, regions binary")
+    return cut(texts.mapInArrow(run, "node long, regions binary").dropDuplicates(["node"]))
+
+
+def judged(groups: DataFrame, nodes: DataFrame, comps: DataFrame, docs: DataFrame, reps: DataFrame, in_bucket: bool) -> DataFrame:
+    """``comps`` joined by the links of what meets in ``groups``."""
+    sigs = nodes.select("node", "n", "sig")
+    rows = groups.join(sigs, "node").select(*GROUP, "head", "node", "comp", "n", "sig")
+    found = cut(per_group(rows, MARKS, in_bucket, lambda key, group, t: judge_by_signature(group, key)))
+    comps = merged(comps, found.filter("a IS NOT NULL").select("a", "b"))
+    marked = found.filter("a IS NULL").select(*GROUP, "head", "node")
+    if marked.isEmpty():
+        return comps
+    rows = marked.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    apart = rows.groupBy(*GROUP).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(*GROUP)
+    rows = cut(rows.join(apart, GROUP))
+    if rows.isEmpty():
+        return comps
+    rows = rows.join(sigs, "node").join(region_sets(rows, docs, reps), "node").select(*GROUP, "head", "node", "comp", "n", "sig", "regions")
 
-    for side in ("a", "b"):
-        edges = edges.join(sets.select(F.col("node").alias(side), F.col("regions").alias(f"set_{side}")), side)
-    return edges.withColumn("similarity", jaccard("set_a", "set_b")).drop("set_a", "set_b")
+    def exactly(key, group, t):
+        return judge_exactly(group, [np.frombuffer(r, U) for r in t["regions"].to_pylist()])
+    return merged(comps, per_group(rows, LINKS, in_bucket, exactly))
 
 
 def relabel(edges: DataFrame, comps: DataFrame) -> DataFrame:
@@ -316,25 +402,16 @@ def merged(comps: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(comps.unionByName(alone).join(more, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
 
 
-def linked(comps: DataFrame, judged: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """``comps`` joined by the pairs (a, b, share) of ``judged`` that are near, by agreement or by the exact similarity."""
-    sure = merged(comps, judged.filter(F.col("share") >= SURE).select("a", "b"))
-    open_edges = cut(relabel(judged.filter(F.col("share") < SURE), sure).filter(F.col("ca") != F.col("cb")).select("a", "b"))
-    if open_edges.isEmpty():
-        return sure
-    return merged(sure, exact_similarity(open_edges, docs, reps).filter(F.col("similarity") >= SIMILARITY).select("a", "b"))
-
-
 def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((doc_id, node) of every document, (node, comp) of every text linked to another); ``docs``: doc_id, node, text."""
     drawn = cut(sketches(docs))
     members = drawn.select("doc_id", "node")
     reps = drawn.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    nodes = cut(drawn.filter("n > 0").groupBy("node").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    nodes = cut(drawn.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     shared = cut(shared_buckets(nodes))
     none = docs.sparkSession.createDataFrame([], "node long, comp long")
-    comps = linked(none, star_pairs(shared, nodes), docs, reps)
-    return members, linked(comps, crowded_pairs(shared, nodes, comps), docs, reps)
+    comps = judged(star_groups(shared, nodes), nodes, none, docs, reps, False)
+    return members, judged(crowd_groups(shared, nodes, comps), nodes, comps, docs, reps, True)
 
 
 def classes(docs: DataFrame) -> DataFrame:
