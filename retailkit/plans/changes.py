@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailkit.functions import exprs as X
-from retailkit.operators.fold import sequential_accept
 from retailkit.operators.running import day_bucket, running_agg
 
 

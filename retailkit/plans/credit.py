@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retailkit.functions import exprs as X
-from retailkit.operators.fold import sequential_accept
+from retailkit.operators.chunk_fold import accept
 from retailkit.operators.running import day_bucket, running_sum
 from retailkit.operators.sequence import global_row_number
 
@@ -67,29 +67,6 @@ def monthly_statements(ledger: DataFrame) -> DataFrame:
                     X.money(F.col("opening") + F.col("debits") - F.col("credits")).alias("closing_balance"))
 
 
-def statement_lines(ledger: DataFrame, year: int, month: int, legacy_gap: bool = False) -> DataFrame:
-    """RPT-18 ledger form for one month, all customers: opening + running balance per line.
-
-    ``legacy_gap=True`` reproduces T8 (opening counts rows up to the previous month's last
-    day at 00:00, so that day's later rows are lost); the default uses ``date < start``.
-    """
-    start, nxt = X.prev_month_range(year, month)
-    s, n = X.lit_ts(f"{start} 00:00:00"), X.lit_ts(f"{nxt} 00:00:00")
-    if legacy_gap:
-        prev_end = F.date_sub(X.lit_date(start), 1).cast("timestamp_ntz")
-        before = F.col("date") <= prev_end
-    else:
-        before = F.col("date") < s
-    opening = ledger.filter(before).groupBy("customer_id").agg(
-        F.sum(F.col("debit") - F.col("credit")).alias("opening"))
-    period = ledger.filter((F.col("date") >= s) & (F.col("date") < n))
-    p = running_sum(period, ["customer_id"], ledger_order(), F.col("debit") - F.col("credit"), "run", bucket=day_bucket("date"))
-    j = p.join(opening, "customer_id", "left")
-    return j.select("customer_id", "date", "description", "debit", "credit",
-                    X.money(F.coalesce("opening", F.lit(0))).alias("opening_balance"),
-                    X.money(F.coalesce("opening", F.lit(0)) + F.col("run")).alias("balance"))
-
-
 def missing_ledger_rows(ledger: DataFrame, headers: DataFrame, payments: DataFrame) -> DataFrame:
     """CHG-18 incremental backfill: all-customer sales not in the ledger by transaction id (JN-13),
     payments not in it by (customer, day, description, amount) (JN-14)."""
@@ -116,8 +93,8 @@ def credit_decisions(headers: DataFrame, customers: DataFrame) -> DataFrame:
                                                signed.alias("total_amount"), (~F.col("is_return")).alias("checked"))
     c = customers.select(F.col("id").alias("customer_id"), "current_balance", "credit_limit")
     ev = s.join(c, "customer_id", "inner")
-    r = sequential_accept(ev, "customer_id", ["created_at", "sale_id"], "total_amount", "checked",
-                          "current_balance", "credit_limit")
+    r = accept(ev, "customer_id", ["created_at", "sale_id"], "total_amount", "checked",
+               "current_balance", "credit_limit", bucket=day_bucket("created_at"))
     return r.select("customer_id", "sale_id", "accepted", "balance_after")
 
 

@@ -103,27 +103,6 @@ def rpt18_monthly_statements(spark, d):
     return C.monthly_statements(_ledger(Retail(spark, d)))
 
 
-def _statement_sql(before: str) -> str:
-    return f"""
-WITH o AS (SELECT customer_id, SUM(debit - credit) AS opening FROM ledger WHERE {before} GROUP BY customer_id),
-p AS (SELECT * FROM ledger WHERE date >= TIMESTAMP '2001-05-01 00:00:00' AND date < TIMESTAMP '2001-06-01 00:00:00')
-SELECT p.customer_id, p.date, p.description, p.debit, p.credit,
-       CAST(COALESCE(o.opening, 0) AS DECIMAL(18,2)) AS opening_balance,
-       CAST(COALESCE(o.opening, 0) + SUM(p.debit - p.credit) OVER (PARTITION BY p.customer_id
-            ORDER BY p.date, p.type, p.ref_id ROWS UNBOUNDED PRECEDING) AS DECIMAL(18,2)) AS balance
-FROM p LEFT JOIN o ON o.customer_id = p.customer_id"""
-
-
-@job("rpt18_statement_lines", _statement_sql("date < TIMESTAMP '2001-05-01 00:00:00'"))
-def rpt18_statement_lines(spark, d):
-    return C.statement_lines(_ledger(Retail(spark, d)), 2001, 5)
-
-
-@job("rpt18_statement_lines_legacy", _statement_sql("date <= CAST(DATE '2001-04-30' AS TIMESTAMP)"))
-def rpt18_statement_lines_legacy(spark, d):
-    return C.statement_lines(_ledger(Retail(spark, d)), 2001, 5, legacy_gap=True)
-
-
 @job("chg18_missing_ledger_rows", """
 WITH kept AS (SELECT * FROM ledger WHERE NOT (type = 'PAYMENT' AND ref_id % 3 = 0))
 SELECT customer_id, CAST(created_at AS DATE) AS date, 'Sale - ' || receipt_number AS description, 'sale' AS type,

@@ -8,6 +8,7 @@ from retailkit.catalog import job, Retail
 from retailkit.functions import scope as SC
 from retailkit.operators.nest import nest
 from retailkit.operators.topk import first_per_group, top_k
+from retailkit.operators.chains import last_names
 from retailkit.plans import changes as CH
 from retailkit.plans import shifts as H
 from retailkit.plans.sales import payment_bucket
@@ -172,6 +173,33 @@ def chg30_batch_rename(spark, d):
                                             F.sum("quantity").cast("long").alias("quantity"))
 
 
+# renames made from the orders: every order renames its customer's number, taken as a code, to another one
+RENAMES_SQL = """renames AS (SELECT CAST(o_custkey AS VARCHAR) AS old, CAST((o_custkey * 7 + o_orderkey) % 2000 + 1 AS VARCHAR) AS new, o_orderkey AS seq
+  FROM orders WHERE o_orderkey % 5 = 0)"""
+
+
+@job("chg30_rename_chains", f"""
+WITH RECURSIVE {RENAMES_SQL},
+e AS (SELECT * FROM renames WHERE old <> new),
+nxt AS (SELECT a.seq, MIN(b.seq) AS then FROM e a LEFT JOIN e b ON b.old = a.new AND b.seq > a.seq GROUP BY a.seq),
+f AS (SELECT a.old AS start, a.new AS code, a.seq, 1 AS hops FROM e a WHERE a.seq = (SELECT MIN(seq) FROM e WHERE old = a.old)
+      UNION ALL
+      SELECT f.start, e.new, e.seq, f.hops + 1 FROM f JOIN nxt ON nxt.seq = f.seq JOIN e ON e.seq = nxt.then),
+l AS (SELECT start, arg_max(code, hops) AS last, MAX(hops) AS hops FROM f GROUP BY start)
+SELECT COALESCE(l.last, b.product_barcode) AS product_barcode, COUNT(*) AS batches, CAST(SUM(b.quantity) AS BIGINT) AS quantity,
+       CAST(MAX(COALESCE(l.hops, 0)) AS BIGINT) AS longest_chain
+FROM batches b LEFT JOIN l ON l.start = b.product_barcode GROUP BY 1""")
+def chg30_rename_chains(spark, d):
+    r = Retail(spark, d)
+    o = r.raw("orders").filter(F.col("o_orderkey") % 5 == 0)
+    renames = o.select(F.col("o_custkey").cast("string").alias("old"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 2000 + 1).cast("string").alias("new"),
+                       F.col("o_orderkey").alias("seq"))
+    names = last_names(renames).select(F.col("old").alias("product_barcode"), "last", "hops")
+    b = r.batches().join(names, "product_barcode", "left")
+    return b.groupBy(F.coalesce("last", "product_barcode").alias("product_barcode")).agg(
+        F.count(F.lit(1)).alias("batches"), F.sum("quantity").cast("long").alias("quantity"), F.max(F.coalesce("hops", F.lit(0))).cast("long").alias("longest_chain"))
+
+
 STAFF_SQL = """staff AS (
   SELECT s.s_suppkey AS id, s.s_name || '@Shop.Example' AS email,
          CASE s.s_suppkey % 3 WHEN 0 THEN 'Cashier' WHEN 1 THEN 'MANAGER' ELSE 'admin' END AS role,

@@ -69,43 +69,6 @@ def rpt17_company_transactions(spark, d):
     return RP.company_transactions(r.invoices(), r.company_users())
 
 
-@job("rpt19_statement_source", """
-SELECT customer_id, created_at AS date, 'purchase' AS kind, receipt_number AS reference,
-       CAST(total_amount AS DECIMAL(18,2)) AS amount
-FROM sales WHERE payment_method = 'credit' AND customer_id IS NOT NULL
-  AND created_at >= TIMESTAMP '2001-05-01 00:00:00' AND created_at <= TIMESTAMP '2001-06-01 00:00:00'
-UNION ALL
-SELECT customer_id, payment_date, 'payment', CAST(id AS VARCHAR), CAST(-amount AS DECIMAL(18,2)) FROM payments
-WHERE payment_date >= TIMESTAMP '2001-05-01 00:00:00' AND payment_date <= TIMESTAMP '2001-06-01 00:00:00'""")
-def rpt19_statement_source(spark, d):
-    r = Retail(spark, d)
-    return RP.statement_source(r.sale_headers(), r.payments(), 2001, 5)
-
-
-@job("rpt20_itemised_statement", """
-WITH vat AS (SELECT COALESCE(MAX(vat_rate), CAST(15.00 AS DECIMAL(5,2))) AS vat FROM settings WHERE branch_id = 1),
-p AS (SELECT * FROM ledger WHERE date >= TIMESTAMP '2001-05-01 00:00:00'
-        AND date <= CAST(DATE '2001-05-31' AS TIMESTAMP) + INTERVAL 1 DAY - INTERVAL 1 SECOND),
-o AS (SELECT customer_id, SUM(debit - credit) AS total FROM ledger
-      WHERE date < TIMESTAMP '2001-05-01 00:00:00' GROUP BY customer_id),
-rows AS (
-  SELECT customer_id, CAST(NULL AS TIMESTAMP) AS date, 'Opening Balance (Previous Debt)' AS name,
-         CAST(NULL AS BIGINT) AS qty, CAST(NULL AS DECIMAL(10,2)) AS price, total FROM o WHERE ABS(total) > 0.01
-  UNION ALL
-  SELECT customer_id, date, 'Payment Received', NULL, NULL, -credit FROM p WHERE type = 'PAYMENT'
-  UNION ALL
-  SELECT p.customer_id, p.date, l.name, CAST(l.qty AS BIGINT), l.price,
-         l.qty * l.price + l.qty * l.price * vat.vat * 0.01
-  FROM p JOIN sale_lines l ON l.sale_id = p.transaction_id CROSS JOIN vat WHERE p.type = 'SALE'
-  UNION ALL
-  SELECT customer_id, date, COALESCE(description, 'Transaction (No details)'), NULL, NULL, debit
-  FROM p WHERE type = 'SALE' AND NOT EXISTS (SELECT 1 FROM sale_lines l WHERE l.sale_id = p.transaction_id))
-SELECT customer_id, date, name, qty, price, CAST(ROUND(total, 2) AS DECIMAL(18,2)) AS total FROM rows""")
-def rpt20_itemised_statement(spark, d):
-    r = Retail(spark, d)
-    return RP.itemised_statement(C.build_ledger(r.sale_headers(), r.payments()), r.sale_items(), r.settings(), 2001, 5)
-
-
 @job("rpt26_product_performance", """
 WITH g AS (SELECT barcode, SUM(qty) AS q, SUM(qty * price) AS r FROM sale_items
            WHERE LOWER(status) = 'completed' AND store_location = 'NATION_1'

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retailkit.functions import exprs as X
-from retailkit.operators.fold import sequential_accept
+from retailkit.operators.chunk_fold import accept
+from retailkit.operators.running import day_bucket
 from retailkit.operators.nest import nest
 from retailkit.operators.topk import top_k
 from retailkit.operators.upsert import upsert
@@ -273,7 +274,7 @@ def pos_stock_decisions(sales: DataFrame, products: DataFrame) -> DataFrame:
                         F.greatest(F.coalesce("stock", F.lit(0)), F.lit(0)).cast("decimal(18,2)").alias("available"),
                         F.lit(True).alias("checked"))
     ev = it.join(p, "barcode", "inner")
-    r = sequential_accept(ev, "barcode", ["created_at", "sale_id", "pos", "qty"], "qty", "checked", "used", "available")
+    r = accept(ev, "barcode", ["created_at", "sale_id", "pos", "qty"], "qty", "checked", "used", "available", bucket=day_bucket("created_at"))
     return r.select("sale_id", "pos", "barcode", "accepted", F.col("balance_after").alias("used_after"))
 
 

@@ -78,54 +78,6 @@ def company_transactions(invoices: DataFrame, company_users: DataFrame) -> DataF
             .orderBy(F.col("issue_date").desc_nulls_first(), F.col("id").desc()))
 
 
-def statement_source(headers: DataFrame, payments: DataFrame, year: int, month: int) -> DataFrame:
-    """RPT-19 for every customer: the month's credit purchases of any status and payments as one list
-    (purchases positive, payments negative), both sides filtered to the inclusive month end."""
-    start, nxt = X.prev_month_range(year, month)
-    s_ts, n_ts = X.lit_ts(f"{start} 00:00:00"), X.lit_ts(f"{nxt} 00:00:00")
-    buy = headers.filter((F.col("payment_method") == "credit") & F.col("customer_id").isNotNull()
-                         & (F.col("created_at") >= s_ts) & (F.col("created_at") <= n_ts)).select(
-        "customer_id", F.col("created_at").alias("date"), F.lit("purchase").alias("kind"),
-        F.col("receipt_number").alias("reference"), X.money("total_amount").alias("amount"))
-    pay = payments.filter((F.col("payment_date") >= s_ts) & (F.col("payment_date") <= n_ts)).select(
-        "customer_id", F.col("payment_date").alias("date"), F.lit("payment").alias("kind"),
-        F.col("id").cast("string").alias("reference"), X.money(-F.col("amount")).alias("amount"))
-    return buy.unionByName(pay)
-
-
-def itemised_statement(ledger: DataFrame, items: DataFrame, settings: DataFrame, year: int, month: int) -> DataFrame:
-    """RPT-20 for every customer: opening row (when |opening| > 0.01), one row per sold item with VAT
-    added on top, payments negative, sales without items at their ledger amount (T11)."""
-    start, nxt = X.prev_month_range(year, month)
-    s_ts = X.lit_ts(f"{start} 00:00:00")
-    end_ts = X.day_end_inclusive(F.date_sub(X.lit_date(nxt), 1))
-    vat = settings.filter(F.col("branch_id") == 1).agg(F.max("vat_rate").alias("v")) \
-                  .select(F.coalesce("v", F.lit("15.00").cast("decimal(5,2)")).alias("vat"))
-    none_q, none_p = F.lit(None).cast("long"), F.lit(None).cast("decimal(10,2)")
-    # amounts stay exact decimals (VAT on top of qty x price), rounded to cents at the end
-    opening = (ledger.filter(F.col("date") < s_ts).groupBy("customer_id")
-               .agg(F.sum(F.col("debit") - F.col("credit")).alias("total"))
-               .filter(F.abs("total") > F.lit("0.01").cast("decimal(3,2)"))
-               .select("customer_id", F.lit(None).cast("timestamp_ntz").alias("date"),
-                       F.lit("Opening Balance (Previous Debt)").alias("name"), none_q.alias("qty"),
-                       none_p.alias("price"), "total"))
-    period = ledger.filter((F.col("date") >= s_ts) & (F.col("date") <= end_ts))
-    pays = period.filter(F.col("type") == "PAYMENT").select(
-        "customer_id", "date", F.lit("Payment Received").alias("name"), none_q.alias("qty"), none_p.alias("price"),
-        (-F.col("credit")).alias("total"))
-    sales = period.filter(F.col("type") == "SALE")
-    it = items.select(F.col("id").alias("transaction_id"), "name", "qty", "price")
-    with_items = sales.join(it, "transaction_id", "inner").withColumn("vat", vat.scalar())
-    sub = F.col("qty") * F.col("price")
-    item_rows = with_items.select("customer_id", "date", "name", F.col("qty").cast("long").alias("qty"), "price",
-                                  (sub + sub * F.col("vat") * X.dec("0.01", 3, 2)).alias("total"))
-    bare = sales.join(it.select("transaction_id").distinct(), "transaction_id", "left_anti").select(
-        "customer_id", "date", F.coalesce("description", F.lit("Transaction (No details)")).alias("name"),
-        none_q.alias("qty"), none_p.alias("price"), F.col("debit").alias("total"))
-    rows = opening.unionByName(pays, allowMissingColumns=False).unionByName(item_rows).unionByName(bare)
-    return rows.withColumn("total", X.money(F.round("total", 2)))
-
-
 def product_performance(items: DataFrame, products: DataFrame, branch: str, year: int, month: int,
                         fast_per_day: float = 1.0) -> DataFrame:
     """RPT-26: the summary table the reference reads has no writer, so it is derived from the sales of
