@@ -5,7 +5,9 @@ of ``A-Za-z0-9+/_=-`` with at least ``window`` characters.  For each character c
 upper case and digits, base 64) its runs in a candidate are cut at stretches that an allow-list pattern covers.
 A window slides over each piece; counts change by one character that enters and one that leaves, and the window's Shannon
 entropy follows from the counts (H = log2 w - sum c*log2 c / w).  A piece that holds the class's required mix of characters
-and a window at or over the class's threshold is a span from end to end.  Allow-listing never touches base spans.
+and a window at or over the class's threshold is a span from end to end, unless it reads like words, a path or a number
+(``plain``): allow-listed is what has no letter, and what has most of its neighbouring letters in pairs that are common in
+European languages.  Allow-listing never touches base spans.
 
 Inputs: null text is the empty text and has no spans.  Repeated rows give repeated rows, an empty table
 an empty one; extra columns are ignored.  Texts are scanned whole.  Spans that start together are ordered
@@ -32,9 +34,9 @@ BASE_KINDS = ("assign", "access", "hex")
 # class: (characters, window, bits a window needs, required in the whole piece: minimum digits, upper, lower)
 CLASSES = {
     "entropy_hex": ("0123456789abcdefABCDEF", 20, 3.0, (4, 0, 0)),
-    "entropy_lower": ("abcdefghijklmnopqrstuvwxyz0123456789", 20, 3.4, (2, 0, 2)),
-    "entropy_upper": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20, 3.4, (1, 2, 0)),
-    "entropy_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", 20, 3.7, (1, 1, 1)),
+    "entropy_lower": ("abcdefghijklmnopqrstuvwxyz0123456789", 20, 3.3, (1, 0, 2)),
+    "entropy_upper": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20, 3.3, (1, 2, 0)),
+    "entropy_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", 20, 3.5, (1, 1, 1)),
 }
 KINDS = BASE_KINDS + tuple(CLASSES)
 
@@ -45,6 +47,26 @@ ALLOW = (
     r"sha(?:256|384|512)-[A-Za-z0-9+/=]+",
 )
 
+# Letter pairs common in English, German, French and Spanish words.
+PAIRS = frozenset("""
+ab ac ad ag ai al am an ap ar as at au av ba be bi bl bo br bu ca ce ch ci ck cl co cr ct cu da de di do du ea ec ed ee ei el em en ep er es et
+ex fa fe fi fo fr fu ga ge gi go gr ha he hi ho ht ic id ie if ig il im in io ir is it iv la le li ll lo lu ly ma me mi mo mp mu na nc nd ne
+ng ni no ns nt nu ob oc od of og ol om on oo op or os ot ou ow pa pe ph pi pl po pr pt pu qu ra rd re ri ro rs rt ru sa sc se sh si so sp ss st
+su ta te th ti to tr ts tu tt ty ub ue ug ui ul um un up ur us ut va ve vi vo wa we wh wi wo""".split())
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+SURPLUS = 3                     # by how many the common pairs must outnumber the others
+
+
+def plain(s: str) -> bool:
+    """Whether ``s`` is a number or made of words: its letters, cut at case changes and other characters, stand in common pairs.
+    Hexadecimal digits are never words."""
+    if not any(map(str.isalpha, s)):
+        return True
+    if not s.lower().strip("0123456789abcdef"):
+        return False
+    pairs = [w[i:i + 2] for w in WORDS.findall(s) for w in (w.lower(),) for i in range(len(w) - 1)]
+    return 2 * sum(p in PAIRS for p in pairs) - len(pairs) >= SURPLUS
+
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
@@ -95,7 +117,7 @@ def found(s: str, window: int, bits: float, need: tuple[int, int, int]) -> bool:
     kinds = [0, 0, 0]
     for ch in s:
         _count_kind(kinds, ch, 1)
-    return all(k >= n for k, n in zip(kinds, need)) and bool(entropy_runs(s, window, bits, (0, 0, 0)))
+    return all(k >= n for k, n in zip(kinds, need)) and not plain(s) and bool(entropy_runs(s, window, bits, (0, 0, 0)))
 
 
 def without(start: int, end: int, cut: list[tuple[int, int]]) -> list[tuple[int, int]]:

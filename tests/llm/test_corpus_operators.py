@@ -121,21 +121,23 @@ def test_block_tables_find_all_pairs_in_the_radius(spark):
 # ---- sharding
 
 def brute_shards(rows, limit):
-    bits = lambda k: int(hashlib.md5(str(k if k is not None else "").encode()).hexdigest()[:15], 16) >> (60 - sharding.MAX_BITS)
+    bits = lambda k: int(hashlib.md5(str(k if k is not None else "").encode()).hexdigest()[:15], 16) >> (60 - sharding.HASH_BITS)
     out = {}
     def split(prefix, depth, members):
         if not members:
             return
-        if sum(n for _, n in members) <= limit or depth == sharding.MAX_BITS:
+        if sum(n for _, n in members) <= limit or depth == sharding.HASH_BITS:
             out[depth, prefix] = members
             return
         for b in (0, 1):
-            split(prefix * 2 + b, depth + 1, [m for m in members if bits(m[0]) >> (sharding.MAX_BITS - depth - 1) & 1 == b])
+            split(prefix * 2 + b, depth + 1, [m for m in members if bits(m[0]) >> (sharding.HASH_BITS - depth - 1) & 1 == b])
     split(0, 0, rows)
     return out
 
 
-def test_sharding_against_recursive_splits(spark):
+@pytest.mark.parametrize("levels", [sharding.LEVELS, (2, 4, sharding.HASH_BITS)])
+def test_sharding_against_recursive_splits(spark, monkeypatch, levels):
+    monkeypatch.setattr(sharding, "LEVELS", levels)
     rows = EDGE + [(i, "z" * (i % 50)) for i in range(100, 400)] + [(77, "h" * 90)] * 300
     docs = edge(spark, rows)
     got = sharding.shard(docs, 1000).collect()
@@ -320,6 +322,26 @@ def test_pairs_in_crowded_buckets_are_compared(spark, monkeypatch, block):
     assert got == {rows[i][0]: c for i, c in want.items()}
 
 
+def test_a_crowd_puts_out_no_pairs(spark, monkeypatch):
+    """Different texts that share most words: nearly all their pairs are unsure, yet tasks return documents and links only."""
+    rnd, out = random.Random(4), []
+    common = [f"c{i}" for i in range(85)]
+    rows = [(i, " ".join(common + [f"x{rnd.randrange(10 ** 6)}" for _ in range(12)])) for i in range(600)]
+    one = near_dup.per_group
+
+    def counted(*args):
+        df = one(*args)
+        path = near_dup.cut(df)
+        out.append(path.filter("a IS NOT NULL").count() if "a" in path.columns else 0)
+        out.append(path.count())
+        return path
+    monkeypatch.setattr(near_dup, "per_group", counted)
+    got = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want, n = brute_classes(rows)
+    assert {r.doc_id: r.class_id for r in got} == {rows[i][0]: c for i, c in want.items()}
+    assert max(out[::2]) <= len(rows) and max(out[1::2]) <= near_dup.BANDS * 2 * len(rows) < 600 * 599 / 4, out
+
+
 def test_signatures_estimate_weighted_jaccard():
     rnd = np.random.default_rng(1)
     for n, share in ((400, 0.8), (5000, 0.5), (60, 0.9)):

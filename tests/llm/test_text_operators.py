@@ -135,6 +135,33 @@ def test_allow_list_and_masking(spark):
     assert (rows[1].text, rows[1].n_chars) == ("a <secret> b", 12) and rows[2].text is None and rows[1].lang == "en"
 
 
+WORDS = ("the quick brown fox get element by request handler service factory manager user account email template view model controller index page "
+         "report order customer invoice payment export import file config system main test base data science machine learning introduction history "
+         "summer holiday travel guide best places visit city garden house kitchen recipe chicken soup").split()
+PLAIN = ("com/Blog/2024/How-To-Train-Your-Model src/main/java/com/acme/HttpServletRequest2Handler /usr/local/lib/python3/Site-packages/numpy "
+         "AbstractSingletonProxyFactoryBean2Test introduction2024todatascience ORDER20240101CUSTOMER4455 123456789012345678901 "
+         "org/apache/spark/sql/execution/WholeStageCodegenExec3 2024-01-15T10-30-00Z_Backup_Full Chapter_12_The_Return_of_the_King").split()
+
+
+def test_miss_rate_and_false_hit_rate():
+    """Both rates: random keys of each alphabet, and paths, names and slugs that look alike."""
+    rnd, scan = random.Random(2), secret_scan.Scanner()
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for chars in (lower + digits, upper + "234567", lower + upper + digits, lower + upper + digits + "+/", digits + "abcdef"):
+        for n, most in ((20, 0.06), (32, 0.02), (40, 0.02)):
+            missed = [not scan.entropy_spans("".join(rnd.choice(chars) for _ in range(n))) for _ in range(1500)]
+            assert np.mean(missed) < most, (chars, n, np.mean(missed))
+
+    def name():
+        w, year = [rnd.choice(WORDS) for _ in range(rnd.randint(3, 7))], str(rnd.randint(1, 2030))
+        title = [x.capitalize() for x in w]
+        return rnd.choice(["".join(title) + year, "/".join([*w, year, title[0]]), "-".join([*title, year]), "_".join([*w, year]).upper(),
+                           "".join(w) + year + w[0], "-".join([*w, year, "Html"])])
+    names = [name() for _ in range(3000)]
+    assert np.mean([bool(scan.entropy_spans(x)) for x in names]) < 0.02
+    assert [x for x in PLAIN if scan.entropy_spans(x)] == []
+
+
 def test_random_keys_of_each_alphabet_are_masked_whole():
     rnd, scan = random.Random(6), secret_scan.Scanner()
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
