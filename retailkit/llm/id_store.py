@@ -169,7 +169,8 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))      # a row per file
     parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("first"))
-    return rows.join(parts, "part").select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids")
+    # as small as the list of files, so broadcast: a shuffle join would move all ids
+    return rows.join(F.broadcast(parts), "part").select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
 def find_documents(spark: SparkSession, folder: str, doc_ids: list[int]) -> DataFrame:
