@@ -39,7 +39,7 @@ from retailkit.session import ensure_checkpoint_dir
 
 END_ID = 2
 STRIPE, INDEX_ROWS, FALSE_HITS = 16 << 20, 1000, 0.01
-CACHE_WORDS, BATCH_BYTES = 400_000, 1 << 20
+CACHE_WORDS, BATCH_BYTES = 600_000, 1 << 20
 # Fixed value: the vocabulary's pattern for words, in Latin-1: contractions, letters, one digit, or what is neither and no space.
 PRE = re.compile(rb"[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|'(?:[stmd]|re|ve|ll)|[0-9\xb2\xb3\xb9\xbc-\xbe]"
                  rb"|[^\x09-\x0d\x20\x85\xa0a-zA-Z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
