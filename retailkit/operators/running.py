@@ -84,3 +84,17 @@ def month_bucket(d: str | Column, nulls_last: bool = True) -> Column:
     c = F.col(d) if isinstance(d, str) else d
     m = F.year(c) * 12 + F.month(c)
     return F.coalesce(m, F.lit(1 << 30)) if nulls_last else F.coalesce(m, F.lit(-(1 << 30)))
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list[Column], values: dict[str, Column], bucket: Column, inclusive: bool = True) -> DataFrame:
+    """Several running sums of one order in one pass (``values``: name of the new column -> summed value, NULL counts as 0); else as ``running_sum``."""
+    b, frame_end = "_rs_bucket", Window.currentRow if inclusive else -1
+    wr = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
+    wt, wb = Window.partitionBy(*keys, b), Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    d = df.withColumns({b: bucket} | {f"_rs_v_{n}": F.coalesce(v, F.lit(0)) for n, v in values.items()})
+    inner = d.withColumns({f"_rs_in_{n}": F.coalesce(F.sum(f"_rs_v_{n}").over(wr), F.lit(0)) for n in values}
+                          | {f"_rs_tot_{n}": F.sum(f"_rs_v_{n}").over(wt) for n in values})
+    totals = inner.groupBy(*keys, b).agg(*[F.max(f"_rs_tot_{n}").alias(f"_rs_tot_{n}") for n in values])
+    offsets = totals.select(*keys, b, *[F.coalesce(F.sum(f"_rs_tot_{n}").over(wb), F.lit(0)).alias(f"_rs_off_{n}") for n in values])
+    j = inner.join(offsets, [*keys, b], "left")
+    return j.withColumns({n: F.coalesce(f"_rs_off_{n}", F.lit(0)) + F.col(f"_rs_in_{n}") for n in values}).select(*df.columns, *values)

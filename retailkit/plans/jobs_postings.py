@@ -1,4 +1,4 @@
-"""Registered postings (CHG-8, CHG-13/14, CHG-15) and the incremental monthly table (SRC-4), with their SQL oracle twins."""
+"""Registered postings (CHG-8, CHG-10, CHG-13/14, CHG-15) and the incremental monthly table (SRC-4), with their SQL oracle twins."""
 
 from __future__ import annotations
 
@@ -190,6 +190,74 @@ def chg14_counts_as_of(spark, d):
     return PO.counts_as_of(counts, sold.unionByName(bought), r.products())
 
 
+# -- CHG-10: transfers that leave their source ----------------------------------------
+# requests made from the transfer lines, of smaller quantities; the stock keys get branches, so that two of them are one source
+DISPATCH_SQL = """RECURSIVE b2 AS (SELECT id, name, location FROM branches UNION ALL SELECT 1000, 'Kumasi Hub', 'B2' UNION ALL SELECT 1001, 'Main Warehouse', 'B1'),
+keys AS (SELECT stock_key, arg_min(name, id) AS source FROM (SELECT id, name, name AS stock_key FROM b2 UNION ALL SELECT id, name, location FROM b2) GROUP BY 1),
+stock AS (SELECT sl.barcode, COALESCE(k.source, sl.branch) AS source, SUM(sl.qty) AS units FROM stock_levels sl LEFT JOIN keys k ON k.stock_key = sl.branch GROUP BY 1, 2),
+req AS (SELECT t.transfer_id, t.from_location, COALESCE(e.source, t.to_location) AS to_location, COALESCE(k.source, t.from_location) AS source,
+               CASE WHEN t.transfer_id % 97 = 0 THEN 'X' ELSE '' END || t.barcode AS barcode, t.qty // 12 + 1 AS qty, t.created_at
+        FROM transfers t LEFT JOIN keys k ON k.stock_key = t.from_location LEFT JOIN keys e ON e.stock_key = t.to_location),
+one AS (SELECT r.source, r.transfer_id, r.from_location, r.barcode, MIN(r.to_location) AS to_location, MIN(r.created_at) AS t, CAST(SUM(r.qty) AS BIGINT) AS q,
+               CASE WHEN MAX(p.barcode) IS NOT NULL THEN CAST(COALESCE(MAX(s.units), 0) AS BIGINT) END AS av
+        FROM req r LEFT JOIN products p ON p.barcode = r.barcode LEFT JOIN stock s ON s.barcode = r.barcode AND s.source = r.source GROUP BY 1, 2, 3, 4),
+bk AS (SELECT source, transfer_id, from_location, list({'item': barcode, 'q': q, 'av': av}) AS need,
+              ROW_NUMBER() OVER (PARTITION BY source ORDER BY MIN(t), transfer_id, from_location) AS rn FROM one GROUP BY 1, 2, 3),
+f(source, rn, transfer_id, from_location, accepted, short, used) AS (
+  SELECT source, 0, NULL::BIGINT, NULL::VARCHAR, NULL::BOOLEAN, NULL::STRUCT(item VARCHAR, q BIGINT, av BIGINT)[], MAP {}::MAP(VARCHAR, BIGINT) FROM (SELECT DISTINCT source FROM bk)
+  UNION ALL
+  SELECT bk.source, bk.rn, bk.transfer_id, bk.from_location, list_bool_and(list_transform(bk.need, lambda x: COALESCE(COALESCE(f.used[x.item], 0) + x.q <= x.av, FALSE))),
+         list_transform(list_filter(bk.need, lambda x: NOT COALESCE(COALESCE(f.used[x.item], 0) + x.q <= x.av, FALSE)),
+                        lambda x: {'item': x.item, 'q': x.q, 'av': x.av - COALESCE(f.used[x.item], 0)}),
+         CASE WHEN list_bool_and(list_transform(bk.need, lambda x: COALESCE(COALESCE(f.used[x.item], 0) + x.q <= x.av, FALSE)))
+              THEN map_concat(f.used, map_from_entries(list_transform(bk.need, lambda x: {'k': x.item, 'v': COALESCE(f.used[x.item], 0) + x.q}))) ELSE f.used END
+  FROM f JOIN bk ON bk.source = f.source AND bk.rn = f.rn + 1),
+decided AS (SELECT o.*, f.accepted FROM one o JOIN f ON f.source = o.source AND f.transfer_id = o.transfer_id AND f.from_location = o.from_location WHERE f.rn > 0)"""
+
+
+def _dispatched(spark, d, kind: str):
+    r = Retail(spark, d)
+    t = r.transfers()
+    t = t.withColumns({"barcode": F.concat(F.when(F.col("transfer_id") % 97 == 0, "X").otherwise(""), F.col("barcode")), "qty": F.floor(F.col("qty") / 12) + 1})
+    more = spark.createDataFrame([(1000, "Kumasi Hub", "B2"), (1001, "Main Warehouse", "B1")], "id long, name string, location string")
+    branches = r.branches().unionByName(more)
+    changes = PO.dispatch_transfers(t, r.products(), branches)
+    folder = _folder(spark, "dispatch")
+    post(changes, folder)
+    return r, branches, rows_of(spark, changes, folder, kind)
+
+
+@job("chg10_dispatch_transfers", f"""
+WITH {DISPATCH_SQL}
+SELECT transfer_id, from_location AS requested_from, source AS from_location, to_location, 'In Transit' AS status, barcode, q AS qty FROM decided WHERE accepted""")
+def chg10_dispatch_transfers(spark, d):
+    return _dispatched(spark, d, "transfer")[2]
+
+
+@job("chg10_dispatch_rejects", f"""
+WITH {DISPATCH_SQL}
+SELECT transfer_id, from_location AS requested_from, s.item AS barcode, s.av AS available, s.q AS requested,
+       CASE WHEN s.av IS NULL THEN 'not found' ELSE 'Insufficient stock' END AS reason
+FROM (SELECT transfer_id, from_location, UNNEST(short) AS s FROM f WHERE rn > 0 AND NOT accepted)""")
+def chg10_dispatch_rejects(spark, d):
+    return _dispatched(spark, d, "reject")[2]
+
+
+@job("chg10_dispatch_products", f"""
+WITH {DISPATCH_SQL},
+gone AS (SELECT barcode, source, SUM(q) AS units FROM decided WHERE accepted GROUP BY 1, 2),
+m AS (SELECT barcode, branch, SUM(qty) AS qty FROM (
+        SELECT sl.barcode, CASE WHEN g.units IS NOT NULL THEN g.source ELSE sl.branch END AS branch, sl.qty
+        FROM stock_levels sl LEFT JOIN keys k ON k.stock_key = sl.branch LEFT JOIN gone g ON g.barcode = sl.barcode AND g.source = COALESCE(k.source, sl.branch)
+        UNION ALL SELECT barcode, source, -units FROM gone) GROUP BY 1, 2)
+SELECT p.barcode, CAST(p.stock - COALESCE((SELECT SUM(units) FROM gone WHERE gone.barcode = p.barcode), 0) AS BIGINT) AS stock, m.branch, CAST(m.qty AS BIGINT) AS branch_stock
+FROM products p LEFT JOIN m USING (barcode)""")
+def chg10_dispatch_products(spark, d):
+    r, branches, moved = _dispatched(spark, d, "product")
+    new = PO.take_from_stock(r.products().select("barcode", "stock", "stock_levels"), branches, moved)
+    return new.select("barcode", "stock", F.explode_outer("stock_levels").alias("branch", "branch_stock"))
+
+
 # -- SRC-4: the monthly table, refreshed where its sales changed ----------------------
 @job("src04_refreshed_months", """
 SELECT CAST(date_trunc('month', created_at) AS DATE) AS month, COALESCE(store_location, 'Main Branch') AS branch, name AS product_name,

@@ -1,5 +1,5 @@
 """Postings that change several tables at once: received purchase orders (CHG-8, FN-11), adjustments (CHG-15), counts as of
-their time (CHG-13/14)."""
+their time (CHG-13/14), transfers that leave their source (CHG-10)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retailkit.operators.asof import as_of
+from retailkit.operators.baskets import settle_baskets
 from retailkit.operators.changeset import tagged
 from retailkit.operators.running import day_bucket, running_sum
 
@@ -97,3 +98,62 @@ def counts_as_of(counts: DataFrame, movements: DataFrame, products: DataFrame) -
     j = asked.join(p, "barcode").withColumn("system_count", system)
     return j.select("stock_take_id", "barcode", "counted_at", "system_count", F.col("physical_count").cast("long").alias("physical_count"),
                     (F.col("physical_count") - F.col("system_count")).cast("long").alias("variance"))
+
+
+# -- CHG-10: transfers that leave their source --------------------------------------
+def branch_keys(branches: DataFrame) -> DataFrame:
+    """(stock_key, source): every name and location of a branch and the name of the branch that it stands for.  A name or location that
+    several branches have belongs to the one with the lowest id."""
+    both = branches.select("id", "name", F.explode(F.array_distinct(F.array("name", "location"))).alias("stock_key")).filter("stock_key IS NOT NULL AND stock_key <> ''")
+    return both.groupBy("stock_key").agg(F.min_by("name", "id").alias("source"))
+
+
+def levels_by_source(products: DataFrame, keys: DataFrame) -> DataFrame:
+    """(barcode, stock_key, source, units): the entries of the stock map with the source that each counts for."""
+    levels = products.select("barcode", F.explode("stock_levels").alias("stock_key", "units"))
+    j = levels.join(keys, "stock_key", "left")
+    return j.select("barcode", "stock_key", F.coalesce("source", "stock_key").alias("source"), F.coalesce("units", F.lit(0)).cast("long").alias("units"))
+
+
+def dispatch_transfers(transfers: DataFrame, products: DataFrame, branches: DataFrame, **settle) -> DataFrame:
+    """CHG-10: the tagged change set of transfer requests (transfer_id, from_location, to_location, barcode, qty, created_at; one row per line).
+
+    A request is the lines of one (from_location, transfer_id).  Requests of one source, under whichever of its names, are decided in time
+    order (earliest line, then id, then the name used), all or nothing: every product must be known and the source's stock, all its
+    alias keys together, must cover the request after the earlier accepted ones.  Kinds: ``product`` (what leaves, per product and source),
+    ``transfer`` (the accepted request's items, In Transit, ends by their branch names), ``reject`` (every line that the request failed on, with what
+    was left for it; the reference reports the first).  A null source or barcode counts as the empty text, a null quantity as 0.
+    """
+    keys = branch_keys(branches)
+    ends = keys.select(F.col("stock_key").alias("to_location"), F.col("source").alias("_to"))
+    t = transfers.select("transfer_id", F.coalesce("from_location", F.lit("")).alias("from_location"), "to_location", "barcode", F.col("qty").cast("long").alias("qty"), "created_at")
+    t = t.join(keys.withColumnRenamed("stock_key", "from_location"), "from_location", "left").withColumn("source", F.coalesce("source", "from_location"))
+    t = t.join(ends, "to_location", "left").withColumn("to_location", F.coalesce("_to", "to_location"))
+    known = products.select("barcode", F.lit(True).alias("_known"))
+    stock = levels_by_source(products, keys).groupBy("barcode", "source").agg(F.sum("units").alias("_units"))
+    t = t.join(known, "barcode", "left").join(stock, ["barcode", "source"], "left")
+    t = t.withColumn("available", F.when(F.col("_known"), F.coalesce("_units", F.lit(0)))).withColumn("barcode", F.coalesce("barcode", F.lit("")))
+    done = settle_baskets(t, "source", ["transfer_id", "from_location"], "created_at", "barcode", "qty", "available", day_bucket, carry=("to_location",), **settle)
+    ok, left, unknown = F.col("accepted"), (F.col("available") - F.col("used_before")).cast("long"), F.col("available").isNull()
+    line = [F.col("transfer_id"), F.col("from_location").alias("requested_from")]
+    return tagged(done, {
+        "product": (ok, [F.col("barcode"), F.col("source"), F.col("qty").alias("units")]),
+        "transfer": (ok, [*line, F.col("source").alias("from_location"), F.col("to_location"), F.lit("In Transit").alias("status"), F.col("barcode"), F.col("qty")]),
+        "reject": (~ok & (unknown | (left < F.col("qty"))), [*line, F.col("barcode"), left.alias("available"), F.col("qty").alias("requested"),
+                                                            F.when(unknown, "not found").otherwise("Insufficient stock").alias("reason")]),
+    })
+
+
+def take_from_stock(products: DataFrame, branches: DataFrame, moved: DataFrame) -> DataFrame:
+    """Products (barcode, stock, stock_levels, ...) after ``moved`` (barcode, source, units) has left: the total and the source's entry fall, and
+    the entries under the source's other names are merged into it.  Products that nothing left keep their map as it is."""
+    gone = moved.groupBy("barcode", "source").agg(F.sum("units").alias("_gone"))
+    touched = gone.select("barcode").distinct()
+    old = levels_by_source(products.join(touched, "barcode", "left_semi"), branch_keys(branches)).join(gone, ["barcode", "source"], "left")
+    rows = old.select("barcode", F.when(F.col("_gone").isNotNull(), F.col("source")).otherwise(F.col("stock_key")).alias("k"), "units").unionByName(
+        gone.select("barcode", F.col("source").alias("k"), (-F.col("_gone")).alias("units")))
+    new = rows.groupBy("barcode", "k").agg(F.sum("units").cast("long").alias("v")).groupBy("barcode").agg(
+        F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_levels"))
+    j = products.join(new, "barcode", "left").join(gone.groupBy("barcode").agg(F.sum("_gone").alias("_all")), "barcode", "left")
+    return (j.withColumn("stock", (F.col("stock") - F.coalesce("_all", F.lit(0))).cast("long"))
+            .withColumn("stock_levels", F.coalesce("_levels", F.col("stock_levels").cast("map<string,bigint>"))).drop("_levels", "_all").select(*products.columns))
