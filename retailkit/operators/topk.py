@@ -15,6 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def page_size(asked, most: int, usual: int = 50) -> int:
+    """TOP-8: the size of a page: as asked, ``usual`` if nothing (or 0) is asked for, never over ``most``."""
+    return min(int(asked or usual), most)
+
+
 def top_k(df: DataFrame, order: list[Column], k: int, offset: int = 0) -> DataFrame:
     """TOP-1..3/5/6/8: total order expected (add a unique tie-break column)."""
     if offset:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from retailkit.catalog import job, Retail
 from retailkit.functions import scope as SC
 from retailkit.operators.nest import nest
-from retailkit.operators.topk import first_per_group, top_k
+from retailkit.operators.topk import page_size, first_per_group, top_k
 from retailkit.operators.chains import last_names
 from retailkit.plans import changes as CH
 from retailkit.plans import shifts as H
@@ -58,7 +58,7 @@ def flt19_promo_search(spark, d):
 SELECT id, name, balance FROM suppliers ORDER BY name NULLS LAST, id LIMIT 50 OFFSET 20""")
 def top08_supplier_page(spark, d):
     s = Retail(spark, d).suppliers().select("id", "name", "balance")
-    return top_k(s, [F.col("name").asc_nulls_last(), F.col("id").asc()], min(50, 500), offset=20)
+    return top_k(s, [F.col("name").asc_nulls_last(), F.col("id").asc()], page_size(None, 100), offset=20)
 
 
 @job("agg21_distinct_pairs", """

@@ -75,7 +75,7 @@ def rpt34_branch_list(spark, d):
 
 RESOLVE = """best AS (SELECT input, arg_min(id, id) AS id, arg_min(name, id) AS name, arg_min(location, id) AS location
           FROM (SELECT i.input, b.id, b.name, b.location FROM i JOIN branches b
-                ON LOWER(i.input) = LOWER(b.name) OR LOWER(i.input) = LOWER(b.location)) GROUP BY input)"""
+                ON i.input = b.name OR i.input = b.location) GROUP BY input)"""
 
 
 @job("flt06_resolve_branch", f"""
@@ -368,7 +368,7 @@ def src05_export_rows(spark, d):
 WITH RECURSIVE i AS (SELECT DISTINCT from_location AS input FROM transfers),
 best AS (SELECT input, arg_min(name, id) AS name, arg_min(location, id) AS location
          FROM (SELECT i.input, b.id, b.name, b.location FROM i JOIN branches b
-               ON LOWER(i.input) = LOWER(b.name) OR LOWER(i.input) = LOWER(b.location)) GROUP BY input),
+               ON i.input = b.name OR i.input = b.location) GROUP BY input),
 k AS (SELECT DISTINCT from_location, key FROM (
         SELECT i.input AS from_location, UNNEST([COALESCE(best.name, i.input), i.input, best.location]) AS key
         FROM i LEFT JOIN best ON best.input = i.input) WHERE key IS NOT NULL),

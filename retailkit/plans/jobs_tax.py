@@ -55,6 +55,21 @@ def agg27_tax_rollup(spark, d):
     return TX.tax_rollup(Retail(spark, d).sales(since=PERIOD["start"], until=PERIOD["end"] + " 23:59:59"), **PERIOD)
 
 
+@job("agg27_tax_totals", f"""
+WITH {AMOUNTS},
+rules AS (SELECT 'VAT' AS name UNION SELECT name FROM tax_rules WHERE status = 'Active' AND branch_id = 1),
+g AS (SELECT branch, CAST(SUM(total_amount) AS DOUBLE) AS gross FROM s GROUP BY branch),
+t AS (SELECT g.branch, g.gross, COALESCE((SELECT SUM(amount) FROM amounts a WHERE a.branch = g.branch), 0.0) AS tax FROM g),
+l AS (SELECT branch, 'gross' AS line, NULL AS name, gross AS amount FROM t UNION ALL SELECT branch, 'net', NULL, gross - tax FROM t
+      UNION ALL SELECT branch, 'tax', NULL, tax FROM t
+      UNION ALL SELECT g.branch, 'rule', r.name, COALESCE(a.amount, 0.0) FROM g CROSS JOIN rules r LEFT JOIN amounts a ON a.branch = g.branch AND a.tax_name = r.name)
+SELECT branch, line, name, ROUND(amount, 2) AS amount FROM l
+UNION ALL SELECT 'TOTAL', line, name, ROUND(SUM(amount), 2) FROM l GROUP BY line, name""")
+def agg27_tax_totals(spark, d):
+    r = Retail(spark, d)
+    return TX.tax_totals(r.sales(since=PERIOD["start"], until=PERIOD["end"] + " 23:59:59"), r.settings(), r.tax_rules(), **PERIOD)
+
+
 @job("rpt14_transaction_tax", """
 WITH one AS (SELECT MAX(CAST(vat_rate AS DOUBLE)) AS v FROM settings WHERE branch_id = 1),
 tx AS (SELECT sale_id, SUM(CAST(amount AS DOUBLE)) AS t FROM sale_taxes GROUP BY sale_id),

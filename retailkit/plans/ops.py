@@ -71,15 +71,14 @@ def branch_list(branches: DataFrame, settings: DataFrame) -> DataFrame:
 
 
 def resolve_branch(inputs: DataFrame, branches: DataFrame, col: str = "input") -> DataFrame:
-    """Branch by name OR location, case-insensitive; lowest id wins; no match keeps the input.
+    """Branch by name OR location, letter for letter; lowest id wins; no match keeps the input.
 
     The OR condition becomes two equi-joins (broadcast of the bounded branch
     table) and a union, so no nested-loop join is needed.
     """
-    b = branches.select("id", "name", F.lower("name").alias("ln"), F.lower("location").alias("ll"))
-    i = inputs.select(F.col(col).alias("input")).distinct().withColumn("li", F.lower("input"))
-    by_name = i.join(b, F.col("li") == F.col("ln")).select("input", "id", "name")
-    by_loc = i.join(b, F.col("li") == F.col("ll")).select("input", "id", "name")
+    i = inputs.select(F.col(col).alias("input")).distinct()
+    by_name = i.join(branches, F.col("input") == F.col("name")).select("input", "id", "name")
+    by_loc = i.join(branches, F.col("input") == F.col("location")).select("input", "id", "name")
     best = by_name.unionByName(by_loc).groupBy("input").agg(F.min_by(F.struct("id", "name"), "id").alias("m"))
     j = i.join(best, "input", "left")
     return j.select("input", F.col("m.id").alias("branch_id"),

@@ -70,12 +70,13 @@ def receipt_totals(sales: DataFrame) -> DataFrame:
                     F.round(F.col("t") - F.col("n"), 2).alias("tax"))
 
 
-def company_transactions(invoices: DataFrame, company_users: DataFrame) -> DataFrame:
-    """RPT-17 transactions list: sales invoices with the creating company user (JN-1), newest first."""
-    i = invoices.filter(F.col("kind") == "sales").join(
-        (company_users.select(F.col("id").alias("created_by"), "company_name")), "created_by", "left")
-    return (i.select("id", "invoice_number", "issue_date", "total_amount", "status", "company_name")
-            .orderBy(F.col("issue_date").desc_nulls_first(), F.col("id").desc()))
+def company_transactions(transactions: DataFrame, invoices: DataFrame) -> DataFrame:
+    """RPT-17 transactions list: the first company's transactions with the numbers of their invoices (JN-1, JN-22), newest first."""
+    first = transactions.agg(F.min("company_id").alias("c")).scalar()
+    i = invoices.select(F.col("id").alias("invoice_id"), "invoice_number")
+    j = transactions.filter(F.col("company_id") == first).join(i, "invoice_id", "left")
+    return (j.select("id", "company_id", "invoice_id", "invoice_number", "amount", "created_at")
+            .orderBy(F.col("created_at").desc_nulls_first(), F.col("id").desc()))
 
 
 def product_performance(items: DataFrame, products: DataFrame, branch: str, year: int, month: int,

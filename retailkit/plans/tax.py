@@ -75,8 +75,8 @@ def tax_by_rule(headers_with_tax: DataFrame, settings: DataFrame, tax_rules: Dat
     Each branch's amounts (a handful of tax names; a missing name counts as "") become one small map, and the rule list, a
     configuration of a few rules, is exploded against it, so the amounts are computed once."""
     amounts = tax_amounts(headers_with_tax, settings, **period)
-    per_branch = amounts.groupBy("branch").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.coalesce("tax_name", F.lit("")).alias("k"), "amount"))).alias("m"))
+    named = amounts.groupBy("branch", F.coalesce("tax_name", F.lit("")).alias("k")).agg(F.sum("amount").alias("amount"))
+    per_branch = named.groupBy("branch").agg(F.map_from_entries(F.collect_list(F.struct("k", "amount"))).alias("m"))
     rules = report_rules(tax_rules, settings).select(F.col("name").alias("tax_name"), "rate").distinct()
     rule_list = rules.agg(F.array_sort(F.collect_list(F.struct("tax_name", "rate")))).scalar()
     grid = per_branch.select("branch", "m", F.explode(rule_list).alias("r"))
@@ -98,6 +98,26 @@ def tax_rollup(headers_with_tax: DataFrame, **period) -> DataFrame:
                     "gross", "stored_tax")
 
 
+def tax_totals(headers_with_tax: DataFrame, settings: DataFrame, tax_rules: DataFrame, **period) -> DataFrame:
+    """AGG-27 / RPT-16 as the tax page shows it, as rows (branch, line, name, amount): gross, net, total tax and every report rule per branch,
+    and the TOTAL of each line, by GROUPING SETS.
+
+    The VAT formula is applied to each branch's legacy gross before any total, so the total is the sum of the branches and not the
+    formula of the sum.  A rule without an amount is 0; an amount whose name is no report rule counts in the total tax only.
+    """
+    def part(line, amount, name=F.lit(None)):
+        return F.struct(F.lit(line).alias("line"), name.cast("string").alias("name"), amount.cast("double").alias("amount"))
+    rules = report_rules(tax_rules, settings).agg(F.sort_array(F.collect_set("name")).alias("r")).scalar()
+    amount, name = F.col("amount"), F.col("tax_name")
+    gross = F.concat(F.array(part("gross", amount), part("net", amount), part("tax", F.lit(0))), F.transform("_rules", lambda r: part("rule", F.lit(0), r)))
+    tax = F.array(part("net", -amount), part("tax", amount), F.when(F.array_contains("_rules", name), part("rule", amount, name)))
+    s = tax_sums(headers_with_tax, settings, **period).withColumn("_rules", rules)
+    parts = F.when(F.col("kind") == "gross", gross).otherwise(F.filter(tax, lambda e: e.isNotNull()))
+    e = s.select("branch", F.explode(parts).alias("e")).select("branch", "e.*")
+    g = e.groupingSets([["branch", "line", "name"], ["line", "name"]], "branch", "line", "name").agg(F.sum("amount").alias("amount"), F.grouping("branch").alias("_all"))
+    return g.select(F.when(F.col("_all") == 1, F.lit("TOTAL")).otherwise(F.col("branch")).alias("branch"), "line", "name", F.round("amount", 2).alias("amount"))
+
+
 def transaction_tax(headers_with_tax: DataFrame, settings: DataFrame, users: DataFrame) -> DataFrame:
     """RPT-14 for every sale: stored breakdown when not NULL (even empty), else VAT back-calculated at the rate of the
     cashier's branch, else branch 1's, else 15 (FN-27); amounts as the reference's floats, rounded to cents."""
