@@ -41,7 +41,7 @@ def oracle_sql() -> dict[str, str]:
 def _load():
     # Importing the job modules fills REGISTRY.
     from retailkit.plans import jobs_sales, jobs_stock, jobs_credit, jobs_tax, jobs_ops, jobs_rules  # noqa: F401
-    from retailkit.plans import jobs_more, jobs_extra, jobs_ingest, jobs_reports, jobs_stored, jobs_statements, jobs_postings, jobs_viewers  # noqa: F401
+    from retailkit.plans import jobs_more, jobs_extra, jobs_ingest, jobs_reports, jobs_stored, jobs_statements, jobs_postings, jobs_viewers, jobs_identity  # noqa: F401
     from retailkit.plans import jobs_stream  # noqa: F401  (reuses the oracle SQL registered above)
 
 

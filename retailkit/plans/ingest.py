@@ -17,8 +17,8 @@ DataFrame:
    batch rows are insert-if-new on (barcode, batch, branch); physical counts
    become count lines against the updated system stock.
 
-Simplification, stated: unmatched rows are grouped as new products by
-their provided barcode, else by (lower(name), lower(category)).
+``match_products`` groups unmatched rows as new products by their provided barcode, else by (lower(name), lower(category));
+``identity.resolve_in_order`` resolves them as the row loop does, each row seeing what earlier rows made and renamed.
 """
 
 from __future__ import annotations
@@ -82,9 +82,10 @@ def parse_upload(raw: DataFrame) -> DataFrame:
 
     cost, price, markup = clean_num(txt("cost")), clean_num(txt("price")), clean_num(txt("markup"))
     price = F.when((price == 0) & (cost > 0) & (markup > 0), cost * (1 + markup / 100)).otherwise(price)
-    stock = F.coalesce(js_parse_int(F.when(txt("stock") == "", "0").otherwise(txt("stock"))), F.lit(0))
-    reorder = F.coalesce(js_parse_int(F.when(txt("reorder_level") == "", "10").otherwise(txt("reorder_level"))),
-                         F.lit(10))
+    stock_read = js_parse_int(F.when(txt("stock") == "", "0").otherwise(txt("stock")))
+    reorder_read = js_parse_int(F.when(txt("reorder_level") == "", "10").otherwise(txt("reorder_level")))
+    stock, reorder = F.coalesce(stock_read, F.lit(0)), F.coalesce(reorder_read, F.lit(10))
+    problem = F.when(stock_read.isNull(), "stock is no number").when(reorder_read.isNull(), "reorder level is no number")
     conv = clean_num(F.when(txt("conversion_rate") == "", "1").otherwise(txt("conversion_rate")))
     rows = raw.select(
         "_row", txt("name").alias("name"),
@@ -95,10 +96,17 @@ def parse_upload(raw: DataFrame) -> DataFrame:
         conv.alias("conversion_rate"), reorder.alias("reorder_level"),
         txt("batch_number").alias("batch_number"), flexible_date(txt("expiry_date")).alias("expiry_date"),
         txt("barcode").alias("barcode_provided"),
-        F.coalesce(js_parse_int(txt("physical_count")), F.lit(0)).alias("physical_count"))
+        F.coalesce(js_parse_int(txt("physical_count")), F.lit(0)).alias("physical_count"),
+        problem.alias("problem"))
     return rows.filter(F.col("name") != "")                    # rows without a name are skipped
 
 
+def generated_barcode():
+    """A new product's code: 128 bits of (name, category), so different products don't share one and equal ones are one product."""
+    prefix = F.regexp_replace(F.upper(F.substring("name", 1, 3)), "[^A-Z]", "X")
+    return F.concat_ws("-", prefix, F.md5(F.concat_ws("\x1f", F.lower("name"), F.lower("category"))))
+
+
 def match_products(rows: DataFrame, products: DataFrame) -> DataFrame:
     """JN-23: barcode first, else lower(name)+lower(category); adds ``barcode`` and ``matched``."""
     p1 = products.select(F.col("barcode").alias("barcode_provided"), F.lit(True).alias("_m1"))
@@ -109,19 +117,20 @@ def match_products(rows: DataFrame, products: DataFrame) -> DataFrame:
         F.min("barcode").alias("_b2"))                     # duplicates by name: lowest barcode (T7 deterministic)
     s2 = rest.join(by_name, (F.lower(rest["name"]) == F.col("_ln")) & (F.lower(rest["category"]) == F.col("_lc")),
                    "left")
-    prefix = F.regexp_replace(F.upper(F.substring("name", 1, 3)), "[^A-Z]", "X")
-    # 128 bits of (name, category): different products don't share a code, equal ones are one product
-    generated = F.concat_ws("-", prefix, F.md5(F.concat_ws("\x1f", F.lower("name"), F.lower("category"))))
-    new_bc = F.when(F.col("barcode_provided") != "", F.col("barcode_provided")).otherwise(generated)
+    new_bc = F.when(F.col("barcode_provided") != "", F.col("barcode_provided")).otherwise(generated_barcode())
     s2 = s2.select(*rows.columns, F.coalesce(F.col("_b2"), new_bc).alias("barcode"),
                    F.col("_b2").isNotNull().alias("_m2"))
     return (hit.withColumn("matched", F.lit(True))
             .unionByName(s2.withColumn("matched", F.col("_m2")).drop("_m2")))
 
 
-def bulk_apply(rows: DataFrame, products: DataFrame, batches: DataFrame, branch: str, branch_id: int):
-    """Returns (products_after, new_batches, count_lines, categories)."""
-    m = match_products(rows, products)
+def bulk_apply(rows: DataFrame, products: DataFrame, batches: DataFrame, branch: str, branch_id: int, matched: DataFrame | None = None):
+    """Returns (products_after, new_batches, count_lines, categories).
+
+    ``matched``: all rows of the file with the products that they mean, of which those without a problem are applied; else ``match_products`` of ``rows``.
+    """
+    m = match_products(rows, products) if matched is None else matched.filter("problem IS NULL")
+    counted = m if matched is None else matched
     w = Window.partitionBy("barcode").orderBy(F.col("_row").desc())
     last = m.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk")   # last row's attributes
     sums = m.groupBy("barcode").agg(F.sum("stock").alias("added"))
@@ -157,7 +166,7 @@ def bulk_apply(rows: DataFrame, products: DataFrame, batches: DataFrame, branch:
     existing = batches.select("product_barcode", "batch_number", "branch_id", "expiry_date", "quantity")
     new_batches = upsert(existing, nb, ["product_barcode", "batch_number", "branch_id"], "ignore") \
         .filter(F.col("_action") == "insert").drop("_action")
-    counts = (m.filter(F.col("physical_count") > 0)
+    counts = (counted.filter(F.col("physical_count") > 0)
               .join(after.select("barcode", F.col("stock").alias("system_count")), "barcode", "left")
               .select(F.col("barcode").alias("product_barcode"), "physical_count",
                       F.coalesce("system_count", F.lit(0)).alias("system_count"))
