@@ -38,13 +38,14 @@ def rows_of(spark: SparkSession, changes: DataFrame, folder: str, kind: str) ->
     return spark.read.schema(changes.schema).parquet(folder).filter(F.col(KIND) == kind).select(f"{kind}.*")
 
 
-def add_to_stock(products: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Products (barcode, stock, stock_levels, ...) after deltas (barcode, branch_name, units): the total and the branch's entry grow."""
+def add_to_stock(products: DataFrame, deltas: DataFrame, missing: int | None = 0) -> DataFrame:
+    """Products (barcode, stock, stock_levels, ...) after deltas (barcode, branch_name, units): the total and the branch's entry grow.  A total that
+    is NULL counts as ``missing``."""
     by_key = deltas.groupBy("barcode", "branch_name").agg(F.sum("units").alias("units"))
     by_code = by_key.groupBy("barcode").agg(F.sum("units").alias("_units"), F.map_from_entries(F.collect_list(F.struct("branch_name", "units"))).alias("_delta"))
     j = products.join(by_code, "barcode", "left")
     levels = F.when(F.col("_units").isNotNull(), X.map_add("stock_levels", "_delta")).otherwise(F.col("stock_levels").cast("map<string,bigint>"))
-    return (j.withColumn("stock", F.when(F.col("_units").isNotNull(), F.coalesce("stock", F.lit(0)) + F.col("_units")).otherwise(F.col("stock")).cast("long"))
+    return (j.withColumn("stock", F.when(F.col("_units").isNotNull(), F.coalesce("stock", F.lit(missing).cast("long")) + F.col("_units")).otherwise(F.col("stock")).cast("long"))
             .withColumn("stock_levels", levels).drop("_units", "_delta").select(*products.columns))
 
 

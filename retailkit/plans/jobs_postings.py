@@ -1,4 +1,4 @@
-"""Registered postings (CHG-8, CHG-10, CHG-13/14, CHG-15) and the incremental monthly table (SRC-4), with their SQL oracle twins."""
+"""Registered postings (CHG-8, CHG-10, CHG-11, CHG-13/14, CHG-15) and the incremental monthly table (SRC-4), with their SQL oracle twins."""
 
 from __future__ import annotations
 
@@ -258,6 +258,109 @@ def chg10_dispatch_products(spark, d):
     return new.select("barcode", "stock", F.explode_outer("stock_levels").alias("branch", "branch_stock"))
 
 
+# -- CHG-11: transfers that arrive -------------------------------------------------------
+# two requests for most transfers: by a user of some branch, in lower case and with spaces, and later by an admin or again a branch; some lines have an unknown product
+ARRIVAL_SQL = """tl AS (SELECT transfer_id, to_location, status, CASE WHEN transfer_id % 31 = 0 THEN 'X' ELSE '' END || barcode AS barcode, qty FROM transfers),
+heads AS (SELECT tl.transfer_id, MIN(status) AS status, MIN(to_location) AS to_location, bool_and(p.barcode IS NOT NULL) AS all_known
+          FROM tl LEFT JOIN products p ON p.barcode = tl.barcode GROUP BY 1),
+requests AS (
+  SELECT o_orderkey * 2 AS request_id, o_orderkey AS transfer_id, 'cashier' AS role, CASE WHEN o_orderkey % 2 = 0 THEN n_name ELSE ' ' || lower(n_name) || ' ' END AS store_location, o_orderdate AS requested_at
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = (c_nationkey + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END) % 25
+  UNION ALL SELECT o_orderkey * 2 + 1, o_orderkey + CASE WHEN o_orderkey % 50 = 0 THEN 900000000 ELSE 0 END, CASE WHEN o_orderkey % 3 = 0 THEN 'Admin' ELSE 'cashier' END, NULL, o_orderdate
+  FROM orders WHERE o_orderkey % 4 <> 1),
+named AS (SELECT q.*, (SELECT arg_min(b.name, b.id) FROM branches b WHERE b.name = q.store_location OR b.location = q.store_location) AS branch FROM requests q),
+checked AS (
+  SELECT q.*, CASE WHEN h.transfer_id IS NULL THEN 'Transfer not found' WHEN h.status IS DISTINCT FROM 'In Transit' THEN 'Transfer already processed'
+                   WHEN lower(role) NOT IN ('admin', 'ceo') AND lower(trim(COALESCE(branch, store_location, ''))) <> lower(trim(COALESCE(h.to_location, ''))) THEN 'Unauthorized'
+                   WHEN NOT h.all_known THEN 'unknown product' WHEN h.to_location IS NULL THEN 'no destination' END AS wrong
+  FROM named q LEFT JOIN heads h ON h.transfer_id = q.transfer_id),
+answered AS (SELECT *, CASE WHEN MIN(CASE WHEN wrong IS NULL THEN request_id END) OVER (PARTITION BY transfer_id) < request_id THEN 'Transfer already processed' ELSE wrong END AS reason FROM checked)"""
+
+
+def _arrived(spark, d, kind: str):
+    r = Retail(spark, d)
+    t = r.transfers().withColumn("barcode", F.concat(F.when(F.col("transfer_id") % 31 == 0, "X").otherwise(""), F.col("barcode")))
+    o, k = r.raw("orders"), F.col("o_orderkey")
+    c, n = r.raw("customer").select("c_custkey", "c_nationkey"), r.raw("nation").select("n_nationkey", "n_name")
+    own = o.join(c, F.col("o_custkey") == F.col("c_custkey")).withColumn("_n", (F.col("c_nationkey") + F.when(k % 5 == 0, 1).otherwise(0)) % 25).join(n, F.col("_n") == F.col("n_nationkey"))
+    first = own.select((k * 2).alias("request_id"), k.alias("transfer_id"), F.lit("cashier").alias("role"),
+                       F.when(k % 2 == 0, F.col("n_name")).otherwise(F.concat(F.lit(" "), F.lower("n_name"), F.lit(" "))).alias("store_location"), F.col("o_orderdate").alias("requested_at"))
+    later = o.filter(k % 4 != 1).select((k * 2 + 1).alias("request_id"), (k + F.when(k % 50 == 0, 900000000).otherwise(0)).alias("transfer_id"),
+                                        F.when(k % 3 == 0, "Admin").otherwise("cashier").alias("role"), F.lit(None).cast("string").alias("store_location"), F.col("o_orderdate").alias("requested_at"))
+    changes = PO.receive_transfers(first.unionByName(later), t, r.products(), r.branches())
+    folder = _folder(spark, "arrivals")
+    post(changes, folder)
+    return r, rows_of(spark, changes, folder, kind)
+
+
+@job("chg11_received_products", f"""
+WITH {ARRIVAL_SQL},
+a AS (SELECT tl.barcode, tl.to_location AS branch, tl.qty FROM tl JOIN answered q ON q.transfer_id = tl.transfer_id AND q.reason IS NULL),
+g AS (SELECT barcode, SUM(qty) AS units FROM a GROUP BY barcode),
+m AS (SELECT barcode, branch, SUM(qty) AS qty FROM (SELECT barcode, branch, qty FROM stock_levels UNION ALL SELECT * FROM a) GROUP BY 1, 2)
+SELECT p.barcode, CAST(p.stock + COALESCE(g.units, 0) AS BIGINT) AS stock, m.branch, CAST(m.qty AS BIGINT) AS branch_stock
+FROM products p LEFT JOIN g USING (barcode) LEFT JOIN m USING (barcode)""")
+def chg11_received_products(spark, d):
+    r, deltas = _arrived(spark, d, "product")
+    new = add_to_stock(r.products().select("barcode", "stock", "stock_levels"), deltas, missing=None)
+    return new.select("barcode", "stock", F.explode_outer("stock_levels").alias("branch", "branch_stock"))
+
+
+@job("chg11_received_status", f"WITH {ARRIVAL_SQL} SELECT transfer_id, 'Received' AS status, request_id FROM answered WHERE reason IS NULL")
+def chg11_received_status(spark, d):
+    return _arrived(spark, d, "status")[1]
+
+
+@job("chg11_receive_rejects", f"WITH {ARRIVAL_SQL} SELECT request_id, transfer_id, reason FROM answered WHERE reason IS NOT NULL")
+def chg11_receive_rejects(spark, d):
+    return _arrived(spark, d, "reject")[1]
+
+
+# -- CHG-14: stock takes that are approved ------------------------------------------------
+APPROVED_SQL = """approvals AS (SELECT DISTINCT stock_take_id, CAST(stock_take_id % 4 AS INTEGER) AS branch_id, 100 + stock_take_id AS approved_by FROM count_lines WHERE stock_take_id % 5 <> 4),
+l AS (SELECT c.*, a.approved_by, CASE a.branch_id WHEN 2 THEN 'Accra Branch' WHEN 3 THEN 'Kumasi Branch' ELSE 'Main Warehouse' END AS branch
+      FROM count_lines c JOIN approvals a USING (stock_take_id))"""
+
+
+def _approved(spark, d, kind: str):
+    r = Retail(spark, d)
+    take = F.col("stock_take_id")
+    approvals = r.count_lines().select("stock_take_id").distinct().filter(take % 5 != 4).select(
+        take, (take % 4).cast("int").alias("branch_id"), (take + 100).alias("approved_by"))
+    changes = PO.approve_stock_takes(approvals, r.count_lines())
+    folder = _folder(spark, "approvals")
+    post(changes, folder)
+    return r, rows_of(spark, changes, folder, kind)
+
+
+@job("chg14_approved_products", f"""
+WITH {APPROVED_SQL},
+g AS (SELECT product_barcode AS barcode, SUM(variance) AS units FROM l WHERE variance <> 0 GROUP BY 1),
+m AS (SELECT barcode, branch, SUM(qty) AS qty FROM (
+        SELECT barcode, branch, qty FROM stock_levels UNION ALL SELECT product_barcode, branch, variance FROM l WHERE variance <> 0) GROUP BY 1, 2)
+SELECT p.barcode, CAST(CASE WHEN g.units IS NULL THEN p.stock ELSE COALESCE(p.stock, 0) + g.units END AS BIGINT) AS stock, m.branch, CAST(m.qty AS BIGINT) AS branch_stock
+FROM products p LEFT JOIN g USING (barcode) LEFT JOIN m USING (barcode)""")
+def chg14_approved_products(spark, d):
+    r, deltas = _approved(spark, d, "product")
+    new = add_to_stock(r.products().select("barcode", "stock", "stock_levels"), deltas)
+    return new.select("barcode", "stock", F.explode_outer("stock_levels").alias("branch", "branch_stock"))
+
+
+@job("chg14_approved_audit", f"""
+WITH {APPROVED_SQL}
+SELECT 'Stock Take Variance' AS action_type, product_barcode, CAST(system_count AS BIGINT) AS quantity_before, CAST(physical_count AS BIGINT) AS quantity_after,
+       stock_take_id AS reference_id, 'Stock Take' AS reference_type, approved_by AS user_id FROM l WHERE variance <> 0""")
+def chg14_approved_audit(spark, d):
+    return _approved(spark, d, "audit")[1]
+
+
+@job("chg14_approved_status", f"""
+WITH {APPROVED_SQL}
+SELECT stock_take_id, 'Approved' AS status, approved_by, CAST(SUM(variance) AS BIGINT) AS variance_total FROM l GROUP BY stock_take_id, approved_by""")
+def chg14_approved_status(spark, d):
+    return _approved(spark, d, "status")[1]
+
+
 # -- SRC-4: the monthly table, refreshed where its sales changed ----------------------
 @job("src04_refreshed_months", """
 SELECT CAST(date_trunc('month', created_at) AS DATE) AS month, COALESCE(store_location, 'Main Branch') AS branch, name AS product_name,

@@ -1,5 +1,6 @@
 """Postings that change several tables at once: received purchase orders (CHG-8, FN-11), adjustments (CHG-15), counts as of
-their time (CHG-13/14), transfers that leave their source (CHG-10)."""
+their time (CHG-13/14), transfers that leave and arrive (CHG-10/11),
+stock takes that are approved (CHG-14)."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from retailkit.operators.asof import as_of
 from retailkit.operators.baskets import settle_baskets
 from retailkit.operators.changeset import tagged
 from retailkit.operators.running import day_bucket, running_sum
+from retailkit.plans.ops import resolve_branch
 
 LINE_ORDER = ["received_at", "po_id", "supplier_id", "barcode"]
 
@@ -157,3 +159,60 @@ def take_from_stock(products: DataFrame, branches: DataFrame, moved: DataFrame)
     j = products.join(new, "barcode", "left").join(gone.groupBy("barcode").agg(F.sum("_gone").alias("_all")), "barcode", "left")
     return (j.withColumn("stock", (F.col("stock") - F.coalesce("_all", F.lit(0))).cast("long"))
             .withColumn("stock_levels", F.coalesce("_levels", F.col("stock_levels").cast("map<string,bigint>"))).drop("_levels", "_all").select(*products.columns))
+
+
+# -- CHG-11: transfers that arrive ----------------------------------------------------
+def receive_transfers(requests: DataFrame, transfers: DataFrame, products: DataFrame, branches: DataFrame) -> DataFrame:
+    """CHG-11: the tagged change set of receipts (request_id, transfer_id, role, store_location, requested_at) of transfers (transfer_id, to_location,
+    status, barcode, qty; one row per line).
+
+    The first request that is allowed (admin, CEO or the destination branch, by its name without regard to case and outer spaces) receives a transfer in
+    transit whose products are all known, whole or not at all; later ones find it processed.  A transfer without a destination can't be received; a null quantity counts as 0.  Kinds: ``product`` (what arrives, per line),
+    ``status`` (the received transfers), ``reject`` (request and reason, the first that applies in the reference's order of checks).
+    """
+    known = products.select("barcode", F.lit(True).alias("_known"))
+    lines = transfers.join(known, "barcode", "left")
+    heads = lines.groupBy("transfer_id").agg(F.min("status").alias("status"), F.min("to_location").alias("to_location"),
+                                             F.bool_and(F.coalesce("_known", F.lit(False))).alias("_all_known"), F.lit(True).alias("_found"))
+    at = resolve_branch(requests.select(F.col("store_location").alias("input")), branches).select(F.col("input").alias("store_location"), "branch_name")
+    r = requests.join(at, "store_location", "left").join(heads, "transfer_id", "left")
+    here = F.lower(F.trim(F.coalesce("branch_name", F.lit("")))) == F.lower(F.trim(F.coalesce("to_location", F.lit(""))))
+    allowed = F.lower(F.coalesce("role", F.lit(""))).isin("admin", "ceo") | here
+    late = F.lit("Transfer already processed")
+    r = r.withColumn("reason", F.when(F.col("_found").isNull(), "Transfer not found").when(~F.col("status").eqNullSafe("In Transit"), late)
+                     .when(~allowed, "Unauthorized").when(~F.col("_all_known"), "unknown product").when(F.col("to_location").isNull(), "no destination"))
+    turn = F.struct("requested_at", "request_id")
+    first = r.filter("reason IS NULL").groupBy("transfer_id").agg(F.min(turn).alias("_first"))
+    r = r.join(first, "transfer_id", "left").withColumn("reason", F.when(turn > F.col("_first"), late).otherwise(F.col("reason")))
+    done = lines.join(first.select("transfer_id"), "transfer_id")
+    arrived = tagged(done, {"product": (F.lit(True), [F.col("barcode"), F.col("to_location").alias("branch_name"), F.coalesce("qty", F.lit(0)).cast("long").alias("units")])})
+    answers = tagged(r, {
+        "status": (F.col("reason").isNull(), [F.col("transfer_id"), F.lit("Received").alias("status"), F.col("request_id")]),
+        "reject": (F.col("reason").isNotNull(), [F.col("request_id"), F.col("transfer_id"), F.col("reason")]),
+    })
+    return arrived.unionByName(answers, allowMissingColumns=True)
+
+
+# -- CHG-14: stock takes that are approved ---------------------------------------------
+def approve_stock_takes(approvals: DataFrame, lines: DataFrame) -> DataFrame:
+    """CHG-14: the tagged change set of approvals (stock_take_id, branch_id, approved_by) of counted lines (stock_take_id, product_barcode,
+    physical_count, system_count, variance).
+
+    Kinds: ``product`` (the variance, per product and the take's branch), ``audit`` (system and physical count; also of a barcode that no product has),
+    ``status`` (the take with its total variance, 0 without lines).  Lines without a difference, or with none recorded, change nothing.  An
+    approval that is given twice applies twice, as in the reference.
+    """
+    branch = F.when(F.col("branch_id") == 2, "Accra Branch").when(F.col("branch_id") == 3, "Kumasi Branch").otherwise("Main Warehouse")
+    j = approvals.join(lines, "stock_take_id").filter("variance <> 0")
+    units = F.col("variance").cast("long")
+    changes = tagged(j, {
+        "product": (F.lit(True), [F.col("product_barcode").alias("barcode"), branch.alias("branch_name"), units.alias("units")]),
+        "audit": (F.lit(True), [F.lit("Stock Take Variance").alias("action_type"), F.col("product_barcode"), F.col("system_count").cast("long").alias("quantity_before"),
+                                F.col("physical_count").cast("long").alias("quantity_after"), F.col("stock_take_id").alias("reference_id"),
+                                F.lit("Stock Take").alias("reference_type"), F.col("approved_by").alias("user_id")]),
+    })
+    total = lines.groupBy("stock_take_id").agg(F.sum("variance").cast("long").alias("total"))
+    takes = approvals.groupBy("stock_take_id").agg(F.max("approved_by").alias("approved_by")).join(total, "stock_take_id", "left")
+    status = tagged(takes, {"status": (F.lit(True), [F.col("stock_take_id"), F.lit("Approved").alias("status"), F.col("approved_by"),
+                                                    F.coalesce("total", F.lit(0)).cast("long").alias("variance_total")])})
+    return changes.unionByName(status, allowMissingColumns=True)

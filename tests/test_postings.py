@@ -100,3 +100,43 @@ def test_refresh_builds_changed_months_only(spark, tmp_path):
     swapped = [r if r != (3, "x", 5) else (3, "x", 4) for r in changed]                       # same number of rows, another value
     sinks.refresh_months(frame(swapped), month, build, path, 3)
     assert built(3) == {3} and table(3)[3, "x"] == 5
+
+
+def test_transfers_arrive_once_and_whole(spark, tmp_path):
+    t = [dt.datetime(2024, 1, 1, h) for h in range(9)]
+    branches = spark.createDataFrame([(1, "North", "Tamale"), (2, "South", None)], "id long, name string, location string")
+    products = spark.createDataFrame([("a", 5, {"North": 1}), ("b", None, None)], "barcode string, stock int, stock_levels map<string,int>")
+    transfers = spark.createDataFrame(
+        [(1, "North", "In Transit", "a", 3), (1, "North", "In Transit", "b", 4), (2, "North", "Received", "a", 1), (3, "South", "In Transit", "a", 7), (3, "South", "In Transit", "zz", 1),
+         (4, None, "In Transit", "a", 2), (5, "South", "In Transit", "a", None)], "transfer_id long, to_location string, status string, barcode string, qty int")
+    asked = [(1, 1, "cashier", "South", t[1]), (2, 1, "cashier", "Tamale", t[2]), (3, 1, "admin", None, t[3]), (4, 1, "cashier", "South", t[4]), (5, 2, "ceo", None, t[1]), (6, 3, "Admin", "x", t[1]),
+             (7, 9, "admin", None, t[1]), (8, 4, None, " north ", t[0]), (9, 4, None, "", t[1]), (10, 5, "staff", " SOUTH", t[2]), (11, 5, "staff", "South", t[2])]
+    requests = spark.createDataFrame(asked, "request_id long, transfer_id long, role string, store_location string, requested_at timestamp_ntz")
+    changes = PO.receive_transfers(requests, transfers, products, branches)
+    folder = str(tmp_path / "arrivals")
+    post(changes, folder)
+    got = {k: rows_of(spark, changes, folder, k).collect() for k in ("status", "reject")}
+    assert {(r.transfer_id, r.request_id, r.status) for r in got["status"]} == {(1, 2, "Received"), (5, 10, "Received")}
+    late = "Transfer already processed"
+    assert {(r.request_id, r.reason) for r in got["reject"]} == {(1, "Unauthorized"), (3, late), (4, late), (5, late), (6, "unknown product"), (7, "Transfer not found"),
+                                                               (8, "Unauthorized"), (9, "no destination"), (11, late)}
+    new = {r.barcode: (r.stock, r.stock_levels) for r in add_to_stock(products, rows_of(spark, changes, folder, "product"), missing=None).collect()}
+    assert new["b"] == (None, {"North": 4}) and new["a"] == (8, {"North": 4, "South": 0})
+    none = PO.receive_transfers(requests.limit(0), transfers, products, branches)
+    assert none.count() == 0
+
+
+def test_approved_stock_takes(spark, tmp_path):
+    lines = spark.createDataFrame([(1, "a", 7, 5, 2), (1, "a", 1, 4, -3), (1, "b", 2, 2, 0), (2, "a", 9, 5, 4), (3, "zz", 1, 0, 1), (4, "a", 1, 1, None), (6, "a", 3, 1, 2)],
+                                  "stock_take_id long, product_barcode string, physical_count int, system_count int, variance int")
+    approvals = spark.createDataFrame([(1, 2, 8), (2, 3, 8), (3, None, 9), (4, 1, 9), (5, 1, 9)], "stock_take_id long, branch_id int, approved_by long")
+    changes = PO.approve_stock_takes(approvals, lines)
+    folder = str(tmp_path / "approvals")
+    post(changes, folder)
+    assert {tuple(r) for r in rows_of(spark, changes, folder, "status").collect()} == {
+        (1, "Approved", 8, -1), (2, "Approved", 8, 4), (3, "Approved", 9, 1), (4, "Approved", 9, 0), (5, "Approved", 9, 0)}
+    assert sorted((r.product_barcode, r.reference_id, r.quantity_before, r.quantity_after) for r in rows_of(spark, changes, folder, "audit").collect()) == [
+        ("a", 1, 4, 1), ("a", 1, 5, 7), ("a", 2, 5, 9), ("zz", 3, 0, 1)]
+    products = spark.createDataFrame([("a", None, {"Accra Branch": 1})], "barcode string, stock int, stock_levels map<string,int>")
+    new = add_to_stock(products, rows_of(spark, changes, folder, "product")).collect()
+    assert [(r.stock, r.stock_levels) for r in new] == [(3, {"Accra Branch": 0, "Kumasi Branch": 4})]
