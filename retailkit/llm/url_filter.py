@@ -5,9 +5,10 @@ longest fitting rule wins.  Other urls are judged by boosted trees (Spark's GBTC
 ratio, entropy, parameter counts, hyphens and suffix statistics.  A suffix statistic is the smoothed share of
 blocked urls among the labelled ones with the same last 1, 2 or 3 labels of the host.
 
-Training takes a bounded sample of the labelled urls: of each class the SAMPLE first by hash of the url.  So the
-suffix tables have at most 2 * SAMPLE rows each and are broadcast.  Statistics and trees see the sample;
-every page is judged.
+The trees are fitted on a bounded sample of the labelled urls: of each class the SAMPLE first by hash of the url.  Suffix statistics
+are counted over all labelled rows, combined before one shuffle; the shorter suffixes are summed from the longest.  For fitting, a
+url's statistic leaves out its own fold (one of FOLDS by hash of the url), so its own label isn't in it.  Tables of few suffixes are broadcast, after
+they are counted; others are joined by shuffle.  Every page is judged.
 
 Labelled urls of the query: a page's url is labelled "block" if a label of its host consists of or joins by
 hyphens one of the listed SEED terms, else "allow".
@@ -25,13 +26,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailkit.llm.common import read_table
+from retailkit.llm.common import cut, if_small, read_table
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 # Fixed value: terms whose hosts are labelled "block"
 SEED = ("casino", "bets", "pills", "spam", "adult", "porn", "ads")
 SAMPLE, TREES, DEPTH, SEED_NUMBER = 4000, 20, 4, 7
-SMOOTHING = 5.0
+SMOOTHING, FOLDS = 5.0, 5
 SUFFIXES = (1, 2, 3)
 FEATURES = ("f_length", "f_host_length", "f_path_length", "f_labels", "f_depth", "f_digits", "f_hyphens", "f_entropy", "f_params", "f_query_length",
             *(f"f_suffix{k}" for k in SUFFIXES))
@@ -81,6 +82,10 @@ def lexical(urls: DataFrame) -> DataFrame:
         **{f"suffix{k}": F.substring_index("host", ".", -k) for k in SUFFIXES}})
 
 
+def _fold() -> Column:
+    return F.pmod(F.xxhash64(F.coalesce("url", F.lit("")), F.lit(SEED_NUMBER)), F.lit(FOLDS))
+
+
 class Trees:
     """Fitted suffix statistics and trees."""
 
@@ -94,21 +99,33 @@ class Trees:
             share = min(1.0, 2 * SAMPLE / max(1, distinct.get(v, 0)))
             few = labelled.filter((F.col("label") == v) & (F.xxhash64("url") <= int(-2**63 + share * (2**64 - 2**12))))
             picked.append(few.select("url", "label").distinct().orderBy(F.xxhash64("url"), "url").limit(SAMPLE))
-        rows = lexical(picked[0].unionByName(picked[1]).withColumn("host", host).withColumn("path", path)).coalesce(1).cache()
-        means = rows.agg(F.avg("label").alias("m"), F.count_distinct("label").alias("n")).first()
-        self.model, self.base = None, means["m"] or 0.0
-        if means["n"] == 2:
-            # at most 2 * SAMPLE rows each
-            self.tables = {k: rows.groupBy(f"suffix{k}").agg(((F.sum("label") + SMOOTHING * self.base) / (F.count("*") + SMOOTHING)).alias(f"f_suffix{k}")) for k in SUFFIXES}
+        rows = lexical(picked[0].unionByName(picked[1]).withColumn("host", host).withColumn("path", path)).withColumn("_fold", _fold())
+        counts = cut(labelled.select(F.substring_index(host, ".", -max(SUFFIXES)).alias("_s"), _fold().alias("_fold"), "label")
+                     .groupBy("_s", "_fold").agg(F.sum("label").alias("_bad"), F.count("*").alias("_n")))
+        whole = counts.agg(F.sum("_bad").alias("bad"), F.sum("_n").alias("n")).first()
+        self.model, self.base, self.tables = None, (whole["bad"] or 0.0) / max(1, whole["n"] or 0), {}
+        if 0 < (whole["bad"] or 0.0) < (whole["n"] or 0):
+            for k in SUFFIXES:
+                folds = counts.groupBy(F.substring_index("_s", ".", -k).alias(f"suffix{k}"), "_fold").agg(F.sum("_bad").alias("_bad"), F.sum("_n").alias("_n"))
+                sums = folds.groupBy(f"suffix{k}").agg(F.sum("_bad").alias("_all_bad"), F.sum("_n").alias("_all_n"))
+                self.tables[k] = if_small(sums.select(f"suffix{k}", self.share(F.col("_all_bad"), F.col("_all_n")).alias(f"f_suffix{k}")))
+                others = folds.join(sums, f"suffix{k}").select(f"suffix{k}", "_fold", self.share(F.col("_all_bad") - F.col("_bad"), F.col("_all_n") - F.col("_n")).alias(f"f_suffix{k}"))
+                rows = others.join(F.broadcast(rows), [f"suffix{k}", "_fold"])          # at most 2 * SAMPLE rows, each in its suffix's fold
+            rows = rows.coalesce(1).sortWithinPartitions("url", "label").cache()
             self.model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=SEED_NUMBER, maxBins=32).fit(
-                self.featured(rows).select("features", "label"))
+                self.vectors(rows).select("features", "label"))
         self.rows = rows
 
+    def share(self, bad: Column, n: Column) -> Column:
+        return (bad + SMOOTHING * self.base) / (n + SMOOTHING)
+
+    def vectors(self, urls: DataFrame) -> DataFrame:
+        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(urls)
+
     def featured(self, urls: DataFrame) -> DataFrame:
         for k in SUFFIXES:
-            urls = urls.join(F.broadcast(self.tables[k]), f"suffix{k}", "left")
-        urls = urls.fillna(self.base, [f"f_suffix{k}" for k in SUFFIXES])
-        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(urls)
+            urls = urls.join(self.tables[k], f"suffix{k}", "left")
+        return self.vectors(urls.fillna(self.base, [f"f_suffix{k}" for k in SUFFIXES]))
 
     def score(self, urls: DataFrame) -> DataFrame:
         """Adds ``score``, the probability of block."""

@@ -71,6 +71,28 @@ def test_url_trees_hold_out(spark):
     assert np.mean([(r.score > 0.5) == (r.label == 1.0) for r in held]) > 0.95
 
 
+def test_url_suffixes_are_counted_over_all_labelled_urls(spark, monkeypatch):
+    """Also over those outside the sample; a sampled url's own fold isn't in its statistic."""
+    monkeypatch.setattr(url_filter, "SAMPLE", 10)
+    rnd = random.Random(4)
+    rows = [(f"http://{rnd.choice('abc')}.{h}.x{h % 7}.org/{i}", float(h % 3 == 0)) for i in range(400) for h in [rnd.randrange(60)]]
+    t = url_filter.Trees(spark.createDataFrame(rows, "url string, label double"))
+    base = np.mean([y for _, y in rows])
+    folds = {r.url: r._fold for r in spark.createDataFrame(rows, "url string, label double").withColumn("_fold", url_filter._fold()).collect()}
+    for k in url_filter.SUFFIXES:
+        def suffix(u):
+            return ".".join(u.split("/")[2].split(".")[-k:])
+        def share(part):
+            return (sum(part) + url_filter.SMOOTHING * base) / (len(part) + url_filter.SMOOTHING)
+        got = {r[0]: r[1] for r in t.tables[k].collect()}
+        assert set(got) == {suffix(u) for u, _ in rows}
+        assert all(abs(v - share([y for u, y in rows if suffix(u) == s])) < 1e-12 for s, v in got.items())
+        sample = t.rows.collect()
+        assert len(sample) == 20
+        for r in sample:
+            assert abs(r[f"f_suffix{k}"] - share([y for u, y in rows if suffix(u) == suffix(r.url) and folds[u] != folds[r.url]])) < 1e-12
+
+
 # ---- fingerprints
 
 def brute_simhash(text):
