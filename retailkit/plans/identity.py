@@ -6,7 +6,8 @@ all rows at once, and only the rest is folded in order:
 
 1. rows whose barcode is in the product table mean that product; they say from which row to which each product has which name;
 2. for the others, the stored product that has their name at that row: the smallest barcode of products that the file doesn't touch, and of
-   those from 1 whose span covers the row;
+   those from 1 whose span covers the row.  Starts and ends of spans and the rows pass by name in file order, so no row meets all
+   spans of its name; a name's products of the moment are in memory;
 3. the others interact only through shared barcodes and names: connected components over (barcode, name) pairs;
 4. a component's rows are folded in file order with the products that it made as state.  Rows that repeat the one before them (same barcode, name,
    stored product, validity) mean the same product, so only the first of a run is folded, and the others take its answer: a
@@ -62,27 +63,61 @@ def stored_holders(hits: DataFrame, rest: DataFrame, products: DataFrame) -> Dat
     moves = run_starts(first.unionByName(hits.select("barcode", F.col("_row").alias("since"), "k")), ["barcode"], "since", ["k"])
     spans = running_agg(moves, ["barcode"], [F.col("since").desc()], "since", "until", bucket=-_block("since"), inclusive=False, agg="min")
     spans = spans.filter("k IS NOT NULL").select("k", F.col("barcode").alias("held"), "since", "until")
-    at = F.col("_row")
-    moving = rest.join(spans, "k").filter((at > F.col("since")) & (F.col("until").isNull() | (at < F.col("until")))).select("_row", "held")
+    takes, leaves = [F.struct(F.col(c).alias("at"), F.lit(i).alias("step")) for c, i in (("since", 2), ("until", 0))]
+    moves = spans.filter("until IS NULL OR until > since").select("k", "held", F.explode(F.array(takes, leaves)).alias("e")).filter("e.at IS NOT NULL")
+    asked = rest.select("k", F.col("_row").alias("at"), F.lit(1).alias("step"), F.lit(None).cast("string").alias("held"))
+    events = asked.unionByName(moves.select("k", "e.at", "e.step", "held"))
+    moving = events.filter("k IS NOT NULL").repartition("k").sortWithinPartitions("k", "at", "step").mapInPandas(_sweep, "_row long, held string")
     return rest.join(still, "k").select("_row", "held").unionByName(moving).groupBy("_row").agg(F.min("held").alias("held"))
 
 
+def _sweep(batches):
+    """(k, at, step, held) in order of (k, at, step), where a product leaves a name (step 0), a row asks (1) or a product takes it (2) -> (_row, held): the
+    smallest barcode of the products with the row's name."""
+    import heapq
+
+    import pandas as pd
+    name, heap, held_by = None, [], {}
+    for pdf in batches:
+        out = []
+        for k, at, step, code in zip(*(pdf[c].tolist() for c in ("k", "at", "step", "held"))):
+            if k != name:
+                name, heap, held_by = k, [], {}
+            if step == 2:
+                if not held_by.get(code):
+                    heapq.heappush(heap, code)
+                held_by[code] = held_by.get(code, 0) + 1
+            elif step == 0:
+                held_by[code] -= 1
+            else:
+                while heap and not held_by[heap[0]]:            # left before
+                    heapq.heappop(heap)
+                if heap:
+                    out.append((at, heap[0]))
+        yield pd.DataFrame(out, columns=["_row", "held"])
+
+
 def _fold(batches):
     """Rows (comp, _row, b, k, held, ok, made) in order of (comp, _row) -> (_row, barcode, matched)."""
+    import heapq
+
     import pandas as pd
-    comp, name_of, named = None, {}, {}
+    comp, name_of, named = None, {}, {}                              # named: per name a heap of codes, some of which have left it
     for pdf in batches:
         out = []
         for c, row, b, k, held, ok, made in pdf[["comp", "_row", "b", "k", "held", "ok", "made"]].itertuples(index=False, name=None):
             if c != comp:
                 comp, name_of, named = c, {}, {}
             by_code = b != "" and b in name_of
-            found = [b] if by_code else [*named.get(k, ()), *([held] if isinstance(held, str) else [])]
+            codes = named.get(k, [])
+            while not by_code and codes and name_of[codes[0]] != k:
+                heapq.heappop(codes)
+            found = [b] if by_code else [*codes[:1], *([held] if isinstance(held, str) else [])]
             code = min(found) if found else (b or made)
             if ok and (by_code or not found):                    # a product found by its name has that name already
-                named.get(name_of.get(code), set()).discard(code)
-                name_of[code] = k
-                named.setdefault(k, set()).add(code)
+                if name_of.get(code) != k:
+                    name_of[code] = k
+                    heapq.heappush(named.setdefault(k, []), code)
             out.append((row, code, bool(found)))
         yield pd.DataFrame(out, columns=["_row", "barcode", "matched"])
 
