@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from retailkit.catalog import job, Retail
+from retailkit.operators.running import heavy_keys
 from retailkit.plans import changes as CH
 from retailkit.plans import credit as C
 from retailkit.plans import reports as RP
@@ -96,7 +97,7 @@ SELECT b.product_barcode, p.name, b.batch_number, b.branch_id, b.expiry_date, b.
 FROM batches b JOIN products p ON p.barcode = b.product_barcode WHERE b.quantity_available > 0""")
 def rpt41_batches_by_product(spark, d):
     r = Retail(spark, d)
-    return RP.batches_by_product(r.batches(), r.products())
+    return RP.batches_by_product(r.batches(), r.products(), heavy_keys(r.line_products("product_barcode"), ["product_barcode"]))
 
 
 # -- changes -----------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from retailkit.catalog import job, Retail, SALES_AS_OF, STOCK_KEYS
+from retailkit.operators.running import heavy_keys
 from retailkit.plans import stock as K
 
 AS_OF = SALES_AS_OF
@@ -259,7 +260,7 @@ FROM s JOIN products p ON p.barcode = s.product_barcode
 WHERE GREATEST(0, LEAST(quantity, 40 - before)) > 0""")
 def win02_fefo_single(spark, d):
     r = Retail(spark, d)
-    return K.fefo_for_demand(r.batches(), r.products(), 40)
+    return K.fefo_for_demand(r.batches(), r.products(), 40, heavy_keys(r.line_products("product_barcode"), ["product_barcode"]))
 
 
 @job("win03_fefo_sales", f"""
@@ -275,7 +276,7 @@ FROM d JOIN s ON d.product_barcode = s.product_barcode
  AND d.d_hi - d.qty < s.s_hi AND s.s_hi - s.quantity < d.d_hi""")
 def win03_fefo_sales(spark, d):
     r = Retail(spark, d)
-    return K.fefo_for_sales(r.batches(), r.sale_items())
+    return K.fefo_for_sales(r.batches(), r.sale_items(), heavy_keys(r.line_products("product_barcode"), ["product_barcode"]))
 
 
 @job("win04_return_restock", f"""

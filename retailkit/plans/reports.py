@@ -102,14 +102,14 @@ def product_performance(items: DataFrame, products: DataFrame, branch: str, year
                     F.col("stock").alias("current_stock"))
 
 
-def batches_by_product(batches: DataFrame, products: DataFrame) -> DataFrame:
+def batches_by_product(batches: DataFrame, products: DataFrame, heavy: DataFrame | None | str = "all") -> DataFrame:
     """RPT-41 / WIN-6: each product's batches in FEFO order with stock left and their position.
 
     The position is a running count (two-level, skew-safe), not a window over the whole product."""
     b = batches.filter(F.col("quantity_available") > 0).select(
         "product_barcode", "batch_number", "branch_id", "expiry_date", "quantity_available")
     order = [F.col("expiry_date").asc_nulls_last(), F.col("batch_number"), F.col("branch_id")]
-    b = running_sum(b, ["product_barcode"], order, F.lit(1), "fefo_rank", bucket=month_bucket("expiry_date"))
+    b = running_sum(b, ["product_barcode"], order, F.lit(1), "fefo_rank", bucket=month_bucket("expiry_date"), heavy=heavy)
     j = b.join(products.select(F.col("barcode").alias("product_barcode"), "name"), "product_barcode", "inner")
     return j.select("product_barcode", "name", "batch_number", "branch_id", "expiry_date", "quantity_available",
                     F.col("fefo_rank").cast("long").alias("fefo_rank"))

@@ -202,19 +202,19 @@ def audit_rows(deltas: DataFrame, products: DataFrame) -> DataFrame:
                     (F.col("opening") + F.col("run")).alias("quantity_after"))
 
 
-def fefo_for_demand(batches: DataFrame, products: DataFrame, demand: int) -> DataFrame:
+def fefo_for_demand(batches: DataFrame, products: DataFrame, demand: int, heavy: DataFrame | None | str = "all") -> DataFrame:
     dm = products.select(F.col("barcode").alias("product_barcode"), F.lit(demand).alias("demand"))
-    return fefo_single(batches, dm).select("product_barcode", "batch_number", "branch_id", "take", "remaining")
+    return fefo_single(batches, dm, heavy).select("product_barcode", "batch_number", "branch_id", "take", "remaining")
 
 
-def fefo_for_sales(batches: DataFrame, sales: DataFrame) -> DataFrame:
+def fefo_for_sales(batches: DataFrame, sales: DataFrame, heavy: DataFrame | None | str = "all") -> DataFrame:
     """CHG-2 / WIN-3: completed non-return sale lines consume batches in time order."""
     s = sales.filter((F.lower("status") == "completed") & ~F.col("is_return"))
     d = items_of(s).select(F.col("id").alias("sale_id"), "created_at", "pos",
                            F.col("barcode").alias("product_barcode"), "qty")
     order = [F.col("created_at"), F.col("sale_id"), F.col("pos"), F.col("qty")]
     b = batches.select("product_barcode", "batch_number", "branch_id", "expiry_date", "quantity")
-    r = fefo_many(b, d, order)
+    r = fefo_many(b, d, order, heavy=heavy, keep=("sale_id", "pos", "batch_number", "branch_id"))
     return r.select("sale_id", "pos", "product_barcode", "batch_number", "branch_id", F.col("take").cast("long"))
 
 
