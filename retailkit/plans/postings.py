@@ -4,7 +4,7 @@ stock takes that are approved (CHG-14)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retailkit.operators.asof import as_of
@@ -27,41 +27,42 @@ def short_code(name: Column, default: str) -> Column:
     return F.regexp_replace(F.upper(F.substring(filled, 1, 3)), r"\s", "")
 
 
-def received_lines(lines: DataFrame, suppliers: DataFrame, products: DataFrame, batches: DataFrame) -> DataFrame:
-    """The lines of received orders with units, expiry and batch number (FN-11).
+def received_lines(lines: DataFrame, suppliers: DataFrame, products: DataFrame, batches: DataFrame, heavy: DataFrame | None | str = "all") -> DataFrame:
+    """The lines of received orders with units, expiry, batch number (FN-11) and ``upto``, the product's units up to the line.
 
     ``lines``: po_id, supplier_id, barcode, quantity, received_at, branch_id, branch_name, given_number, given_expiry, given_quantity (given by
     hand at the receipt, NULL or 0: not given).  A batch number belongs to the expiry date of the batch that exists, else of the first
-    line; a line with the number and another date gets the date as a suffix.
+    line; a line with the number and another date gets the date as a suffix.  Lines without a barcode or
+    branch are left out.  ``heavy``: products whose lines are cut into days (see ``running``).
     """
     s = suppliers.select(F.col("id").alias("supplier_id"), F.col("name").alias("_supplier"))
     p = products.select("barcode", F.col("name").alias("_product"), F.coalesce("stock", F.lit(0)).cast("long").alias("stock"), F.lit(True).alias("_known"))
-    j = lines.join(s, "supplier_id", "left").join(p, "barcode", "left")
+    j = lines.filter("barcode IS NOT NULL AND branch_id IS NOT NULL").join(s, "supplier_id", "left").join(p, "barcode", "left")
     day = F.to_date("received_at")
     j = j.withColumn("units", F.coalesce(F.nullif("given_quantity", F.lit(0)), "quantity").cast("long"))
     j = j.withColumn("expiry_date", F.coalesce("given_expiry", year_later(day))).withColumn("known", F.coalesce("_known", F.lit(False)))
     made = F.concat_ws("-", short_code(F.col("_supplier"), "SUP"), F.date_format(day, "yyMMdd"), short_code(F.col("_product"), "ITEM"), F.date_format("expiry_date", "yyMMdd"))
     j = j.withColumn("number", F.coalesce(F.nullif("given_number", F.lit("")), made))
+    j = running_sum(j, ["barcode"], [F.col(c) for c in LINE_ORDER], "units", "upto", bucket=day_bucket("received_at"), heavy=heavy)
     key = ["barcode", "number", "branch_id"]
-    first = j.groupBy(*key).agg(F.min_by("expiry_date", F.struct(*[c for c in LINE_ORDER if c != "barcode"])).alias("_first"))
     # a batch without a date counts as dated 1970-01-01
     has = batches.groupBy(F.col("product_barcode").alias("barcode"), F.col("batch_number").alias("number"), "branch_id").agg(
         F.min(F.coalesce("expiry_date", F.lit("1970-01-01").cast("date"))).alias("_has"))
-    owners = first.join(has, key, "left").select(*key, F.coalesce("_has", "_first").alias("_owner"))
-    j = j.join(owners, key)
+    j = j.join(has, key, "left")
+    first = F.min_by("expiry_date", F.struct(*[c for c in LINE_ORDER if c != "barcode"])).over(Window.partitionBy(*key))
+    j = j.withColumn("_owner", F.coalesce("_has", first))
     number = F.when(F.col("_owner") == F.col("expiry_date"), F.col("number")).otherwise(F.concat_ws("-", "number", F.date_format("expiry_date", "yyMMdd")))
-    return j.select("po_id", "supplier_id", "barcode", "received_at", "branch_id", "branch_name", "units", "expiry_date", number.alias("batch_number"), "stock", "known")
+    return j.select("po_id", "supplier_id", "barcode", "received_at", "branch_id", "branch_name", "units", "expiry_date", number.alias("batch_number"), "stock", "known", "upto")
 
 
-def receive_orders(lines: DataFrame, suppliers: DataFrame, products: DataFrame, batches: DataFrame) -> DataFrame:
+def receive_orders(lines: DataFrame, suppliers: DataFrame, products: DataFrame, batches: DataFrame, heavy: DataFrame | None | str = "all") -> DataFrame:
     """CHG-8: the tagged change set of received orders: product, batch, audit, status, reject.
 
     A line of an unknown product makes a batch but neither stock nor audit, as in the reference; it is put out as a reject too.  The
     audit row has the product's stock before and after the line, lines in the order of their receipt.
     """
-    j = received_lines(lines, suppliers, products, batches)
-    j = running_sum(j, ["barcode"], [F.col(c) for c in LINE_ORDER], "units", "_upto", bucket=day_bucket("received_at"))
-    after = (F.col("stock") + F.col("_upto")).cast("long")
+    j = received_lines(lines, suppliers, products, batches, heavy)
+    after = (F.col("stock") + F.col("upto")).cast("long")
     known = F.col("known")
     return tagged(j, {
         "product": (known, [F.col("barcode"), F.col("branch_name"), F.col("units")]),
@@ -90,11 +91,11 @@ def adjust_stock(adjustments: DataFrame, products: DataFrame) -> DataFrame:
     })
 
 
-def counts_as_of(counts: DataFrame, movements: DataFrame, products: DataFrame) -> DataFrame:
+def counts_as_of(counts: DataFrame, movements: DataFrame, products: DataFrame, heavy: DataFrame | None | str = "all") -> DataFrame:
     """CHG-13/14: variance of a count against the stock when it was counted: the product's opening stock and all movements
-    (barcode, moved_at, ref, delta) up to ``counted_at``."""
-    run = running_sum(movements, ["barcode"], [F.col("moved_at"), F.col("ref")], "delta", "moved", bucket=day_bucket("moved_at"))
-    asked = as_of(counts, run, ["barcode"], "counted_at", "moved_at", ["ref"], "moved", "moved", day_bucket)
+    (barcode, moved_at, ref, delta) up to ``counted_at``.  ``heavy``: products whose movements are cut into days (see ``running``)."""
+    run = running_sum(movements, ["barcode"], [F.col("moved_at"), F.col("ref")], "delta", "moved", bucket=day_bucket("moved_at"), heavy=heavy)
+    asked = as_of(counts, run, ["barcode"], "counted_at", "moved_at", ["ref"], "moved", "moved", day_bucket, heavy)
     p = products.select("barcode", F.coalesce("stock", F.lit(0)).cast("long").alias("_stock"))
     system = (F.col("_stock") + F.coalesce("moved", F.lit(0))).cast("long")
     j = asked.join(p, "barcode").withColumn("system_count", system)
@@ -131,10 +132,11 @@ def dispatch_transfers(transfers: DataFrame, products: DataFrame, branches: Data
     t = transfers.select("transfer_id", F.coalesce("from_location", F.lit("")).alias("from_location"), "to_location", "barcode", F.col("qty").cast("long").alias("qty"), "created_at")
     t = t.join(keys.withColumnRenamed("stock_key", "from_location"), "from_location", "left").withColumn("source", F.coalesce("source", "from_location"))
     t = t.join(ends, "to_location", "left").withColumn("to_location", F.coalesce("_to", "to_location"))
-    known = products.select("barcode", F.lit(True).alias("_known"))
     stock = levels_by_source(products, keys).groupBy("barcode", "source").agg(F.sum("units").alias("_units"))
-    t = t.join(known, "barcode", "left").join(stock, ["barcode", "source"], "left")
-    t = t.withColumn("available", F.when(F.col("_known"), F.coalesce("_units", F.lit(0)))).withColumn("barcode", F.coalesce("barcode", F.lit("")))
+    levels = stock.groupBy("barcode").agg(F.map_from_entries(F.collect_list(F.struct("source", "_units"))).alias("_levels"))        # one entry per source
+    known = products.select("barcode", F.lit(True).alias("_known")).join(levels, "barcode", "left")
+    t = t.join(known, "barcode", "left").withColumn("available", F.when(F.col("_known"), F.coalesce(F.try_element_at("_levels", F.col("source")), F.lit(0))))
+    t = t.withColumn("barcode", F.coalesce("barcode", F.lit(""))).drop("_levels")
     done = settle_baskets(t, "source", ["transfer_id", "from_location"], "created_at", "barcode", "qty", "available", day_bucket, carry=("to_location",), **settle)
     ok, left, unknown = F.col("accepted"), (F.col("available") - F.col("used_before")).cast("long"), F.col("available").isNull()
     line = [F.col("transfer_id"), F.col("from_location").alias("requested_from")]
