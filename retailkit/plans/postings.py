@@ -114,7 +114,7 @@ def branch_keys(branches: DataFrame) -> DataFrame:
 def levels_by_source(products: DataFrame, keys: DataFrame) -> DataFrame:
     """(barcode, stock_key, source, units): the entries of the stock map with the source that each counts for."""
     levels = products.select("barcode", F.explode("stock_levels").alias("stock_key", "units"))
-    j = levels.join(keys, "stock_key", "left")
+    j = levels.join(F.broadcast(keys), "stock_key", "left")             # few keys: dealt by key, the entries would be a few tasks'
     return j.select("barcode", "stock_key", F.coalesce("source", "stock_key").alias("source"), F.coalesce("units", F.lit(0)).cast("long").alias("units"))
 
 
@@ -130,8 +130,8 @@ def dispatch_transfers(transfers: DataFrame, products: DataFrame, branches: Data
     keys = branch_keys(branches)
     ends = keys.select(F.col("stock_key").alias("to_location"), F.col("source").alias("_to"))
     t = transfers.select("transfer_id", F.coalesce("from_location", F.lit("")).alias("from_location"), "to_location", "barcode", F.col("qty").cast("long").alias("qty"), "created_at")
-    t = t.join(keys.withColumnRenamed("stock_key", "from_location"), "from_location", "left").withColumn("source", F.coalesce("source", "from_location"))
-    t = t.join(ends, "to_location", "left").withColumn("to_location", F.coalesce("_to", "to_location"))
+    t = t.join(F.broadcast(keys.withColumnRenamed("stock_key", "from_location")), "from_location", "left").withColumn("source", F.coalesce("source", "from_location"))
+    t = t.join(F.broadcast(ends), "to_location", "left").withColumn("to_location", F.coalesce("_to", "to_location"))
     stock = levels_by_source(products, keys).groupBy("barcode", "source").agg(F.sum("units").alias("_units"))
     levels = stock.groupBy("barcode").agg(F.map_from_entries(F.collect_list(F.struct("source", "_units"))).alias("_levels"))        # one entry per source
     known = products.select("barcode", F.lit(True).alias("_known")).join(levels, "barcode", "left")

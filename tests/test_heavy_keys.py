@@ -112,3 +112,21 @@ def test_many_products_of_one_name_are_swept_not_paired(spark):
                             spark.createDataFrame(products, "barcode string, name string, category string"))
     assert "MapInPandas" in out._jdf.queryExecution().executedPlan().toString()
     assert {r._row: r.held for r in out.collect()} == {r: want[r][k] for r, k in asked if want[r][k]}
+
+
+def test_lines_are_not_dealt_by_their_few_sources(spark):
+    lines = [(i % 40, ("Main Warehouse", "Hub", "Kiosk", None)[i % 4], f"p{i % 9}", 1 + i % 7) for i in range(200)]
+    t = spark.createDataFrame(lines, "transfer_id long, from_location string, barcode string, qty int")
+    products = spark.createDataFrame([(f"p{i}", {"Main Warehouse": i, "Hub": 1, "Kiosk": 3}) for i in range(8)], "barcode string, stock_levels map<string,int>")
+    branches = spark.createDataFrame([(1, "Main Warehouse", "Hub"), (2, "Other", "Main Warehouse")], "id long, name string, location string")
+    out = O.transfer_decisions(t, products, branches)
+    assert "hashpartitioning(from_location" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for tid, src, code, n in lines:
+        i = int(code[1:])
+        have = {"Main Warehouse": i + 1, "Hub": i + 1, "Kiosk": 3}.get(src)
+        short = i > 7 or (have is not None and have < n)
+        d = want.setdefault(tid, [True, 0, 0])
+        d[0], d[1], d[2] = d[0] and not short, d[1] + 1, d[2] + short
+    got = {r.transfer_id: (r.dispatched, r.n_items, r.short_items) for r in out.collect() if r.transfer_id % 4 != 3}       # a null source is neither
+    assert got == {k: tuple(v) for k, v in want.items() if k % 4 != 3}
