@@ -6,7 +6,8 @@ path.  Policies (SURVEY §2.10):
 
 * ``ignore``      keep the existing row, insert only new keys;
 * ``overwrite``   the change row replaces the existing one;
-* ``add``         ``add_cols`` are summed, other columns overwritten when the change has a value;
+* ``add``         ``add_cols`` are summed, ``keep_cols`` keep the existing row's value (NULL too), other columns are
+                  overwritten when the change has a value;
 * ``keep_if_null``every column: change value unless it is NULL;
 * ``partial``     only ``set_cols`` are overwritten.
 
@@ -23,7 +24,7 @@ POLICIES = ("ignore", "overwrite", "add", "keep_if_null", "partial")
 
 
 def upsert(target: DataFrame, changes: DataFrame, keys: list[str], policy: str,
-           add_cols: tuple = (), set_cols: tuple = ()) -> DataFrame:
+           add_cols: tuple = (), set_cols: tuple = (), keep_cols: tuple = ()) -> DataFrame:
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
     t = target.withColumn("_t", F.lit(True))
@@ -45,6 +46,8 @@ def upsert(target: DataFrame, changes: DataFrame, keys: list[str], policy: str,
             if x in add_cols:
                 v = F.when(has_t & has_c, F.coalesce(tv, F.lit(0)) + F.coalesce(cv, F.lit(0))) \
                      .when(has_c, cv).otherwise(tv)
+            elif x in keep_cols:
+                v = F.when(has_t, tv).otherwise(cv)
             else:
                 v = F.when(has_c, F.coalesce(cv, tv)).otherwise(tv)
         elif policy == "keep_if_null":

@@ -13,6 +13,7 @@ from retailkit.operators.changeset import tagged
 from retailkit.operators.running import day_bucket, running_sum
 from retailkit.plans.ops import resolve_branch
 
+FEW = 500_000           # rows of a supplier's key and code, some 50 bytes each
 LINE_ORDER = ["received_at", "po_id", "supplier_id", "barcode"]
 
 
@@ -33,15 +34,17 @@ def received_lines(lines: DataFrame, suppliers: DataFrame, products: DataFrame,
     ``lines``: po_id, supplier_id, barcode, quantity, received_at, branch_id, branch_name, given_number, given_expiry, given_quantity (given by
     hand at the receipt, NULL or 0: not given).  A batch number belongs to the expiry date of the batch that exists, else of the first
     line; a line with the number and another date gets the date as a suffix.  Lines without a barcode or
-    branch are left out.  ``heavy``: products whose lines are cut into days (see ``running``).
+    branch are left out.  ``heavy``: products whose lines are cut into days (see ``running``).  Up to FEW suppliers are broadcast, so that lines
+    dealt by product stay so; of names only the short codes go along.
     """
-    s = suppliers.select(F.col("id").alias("supplier_id"), F.col("name").alias("_supplier"))
-    p = products.select("barcode", F.col("name").alias("_product"), F.coalesce("stock", F.lit(0)).cast("long").alias("stock"), F.lit(True).alias("_known"))
+    s = suppliers.select(F.col("id").alias("supplier_id"), short_code(F.col("name"), "SUP").alias("_supplier"))
+    s = F.broadcast(s) if suppliers.limit(FEW + 1).count() <= FEW else s
+    p = products.select("barcode", short_code(F.col("name"), "ITEM").alias("_product"), F.coalesce("stock", F.lit(0)).cast("long").alias("stock"), F.lit(True).alias("_known"))
     j = lines.filter("barcode IS NOT NULL AND branch_id IS NOT NULL").join(s, "supplier_id", "left").join(p, "barcode", "left")
     day = F.to_date("received_at")
     j = j.withColumn("units", F.coalesce(F.nullif("given_quantity", F.lit(0)), "quantity").cast("long"))
     j = j.withColumn("expiry_date", F.coalesce("given_expiry", year_later(day))).withColumn("known", F.coalesce("_known", F.lit(False)))
-    made = F.concat_ws("-", short_code(F.col("_supplier"), "SUP"), F.date_format(day, "yyMMdd"), short_code(F.col("_product"), "ITEM"), F.date_format("expiry_date", "yyMMdd"))
+    made = F.concat_ws("-", F.coalesce("_supplier", F.lit("SUP")), F.date_format(day, "yyMMdd"), F.coalesce("_product", F.lit("ITE")), F.date_format("expiry_date", "yyMMdd"))
     j = j.withColumn("number", F.coalesce(F.nullif("given_number", F.lit("")), made))
     j = running_sum(j, ["barcode"], [F.col(c) for c in LINE_ORDER], "units", "upto", bucket=day_bucket("received_at"), heavy=heavy)
     key = ["barcode", "number", "branch_id"]
